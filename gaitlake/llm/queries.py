@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gaitlake.llm.near_dedup import near_duplicates
+from gaitlake.llm.quality_rules import quality_rules
+from gaitlake.llm.secrets import scan_secrets
+from gaitlake.llm.sharding import shard
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +22,18 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), width=4)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_minhash_near_dedup,)}
+def op5_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_documents(spark, sf_dir))
+
+
+def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_documents(spark, sf_dir))
+
+
+def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(_documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_minhash_near_dedup, op5_secret_ownership, op7_quality_cascade, op8_virtual_slots)}
 
 ORACLES: dict[str, str] = {}
