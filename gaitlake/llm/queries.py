@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gaitlake.llm.classifier import quality_scores
+from gaitlake.llm.decontaminate import decontaminate
 from gaitlake.llm.near_dedup import near_duplicates
 from gaitlake.llm.quality_rules import quality_rules
 from gaitlake.llm.secrets import scan_secrets
@@ -26,6 +28,10 @@ def op5_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_documents(spark, sf_dir))
 
 
+def op6_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_documents(spark, sf_dir))
 
@@ -34,6 +40,10 @@ def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_minhash_near_dedup, op5_secret_ownership, op7_quality_cascade, op8_virtual_slots)}
+def op10_ngram_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_minhash_near_dedup, op5_secret_ownership, op6_wu_manber_decontamination, op7_quality_cascade, op8_virtual_slots, op10_ngram_ftrl)}
 
 ORACLES: dict[str, str] = {}
