@@ -32,31 +32,48 @@ def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes, nodes[label]
 
 
+#: Most edges that one task contracts at once.
+LOCAL_EDGES = 1_000_000
+
+
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replaces each batch of edges by stars with the same components."""
-    for batch in batches:
-        a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        node, root = roots(a, b)
+    """Replaces the edges of a partition, LOCAL_EDGES at a time, by stars with the same components."""
+
+    def stars(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        node, root = roots(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
         keep = node != root
-        yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(root[keep])], names=["src", "dst"])
+        return node[keep], root[keep]
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)))
+        if sum(len(x) for x, _ in held) > 2 * LOCAL_EDGES:
+            held = [stars(held)]
+            if len(held[0][0]) > LOCAL_EDGES:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], names=["src", "dst"])
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in stars(held)], names=["src", "dst"])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of an edge, component being its smallest reachable node.
 
     ``edges`` has two BIGINT columns; direction, repeats and self-loops do not
-    matter. Batches of edges are first contracted to stars where they lie. Then
-    alternating star steps run: every node points its larger neighbours, then
-    its smaller ones, to the smallest node it sees, which keeps the components
-    and ends in one star for each. A step is an aggregation with partial
-    minima and a join that adaptive execution can split, so a node with very
-    many neighbours needs no task of its own. Nodes with null ids are dropped.
-    An empty edge list gives an empty result.
+    matter. Edges are first contracted to stars in tasks of at most
+    ``LOCAL_EDGES`` edges; if one such task holds all, that is the result.
+    Otherwise alternating star steps run: every node points its larger
+    neighbours, then its smaller ones, to the smallest node it sees, which
+    keeps the components and ends in one star for each. A step is an
+    aggregation with partial minima and a join that adaptive execution can
+    split, so a node with very many neighbours needs no task of its own. Edges
+    with a null end are dropped. An empty edge list gives an empty result.
     """
     a, b = edges.columns[:2]
-    edges = edges.select(F.col(a).cast("long").alias("src"), F.col(b).cast("long").alias("dst")).where("src is not null and dst is not null and src <> dst")
-    edges = _work.table(edges.mapInArrow(_contract, "src long, dst long").distinct(), "edges")
-    while True:
+    edges = _work.table(edges.select(F.col(a).cast("long").alias("src"), F.col(b).cast("long").alias("dst")).where("src is not null and dst is not null and src <> dst"), "edges")
+    parts = max(1, -(-edges.count() // LOCAL_EDGES))
+    raw, edges = edges, _work.table(edges.coalesce(parts).mapInArrow(_contract, "src long, dst long"), "edges")
+    _work.drop(raw)
+    while parts > 1:
         both = edges.union(edges.select("dst", "src"))
         low = both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("low"))
         large = both.join(low, both.src == low.node).where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))

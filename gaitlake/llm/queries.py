@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gaitlake.llm.classifier import quality_scores
 from gaitlake.llm.decontaminate import decontaminate
+from gaitlake.llm.mixing import mix
 from gaitlake.llm.near_dedup import near_duplicates
 from gaitlake.llm.quality_rules import quality_rules
 from gaitlake.llm.secrets import scan_secrets
@@ -40,10 +41,14 @@ def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_documents(spark, sf_dir))
 
 
+def op9_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_documents(spark, sf_dir))
+
+
 def op10_ngram_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_minhash_near_dedup, op5_secret_ownership, op6_wu_manber_decontamination, op7_quality_cascade, op8_virtual_slots, op10_ngram_ftrl)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_minhash_near_dedup, op5_secret_ownership, op6_wu_manber_decontamination, op7_quality_cascade, op8_virtual_slots, op9_entropy_balancing, op10_ngram_ftrl)}
 
 ORACLES: dict[str, str] = {}
