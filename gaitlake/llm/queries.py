@@ -13,6 +13,7 @@ from gaitlake.llm.near_dedup import near_duplicates
 from gaitlake.llm.quality_rules import quality_rules
 from gaitlake.llm.secrets import scan_secrets
 from gaitlake.llm.sharding import shard
+from gaitlake.llm.tokens import tokenise
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +26,12 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), width=4)
 
 
+def op3_frequency_ranked_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokenise(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_documents(spark, sf_dir))
 
@@ -49,6 +56,6 @@ def op10_ngram_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_minhash_near_dedup, op5_secret_ownership, op6_wu_manber_decontamination, op7_quality_cascade, op8_virtual_slots, op9_entropy_balancing, op10_ngram_ftrl)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_minhash_near_dedup, op3_frequency_ranked_tokens, op5_secret_ownership, op6_wu_manber_decontamination, op7_quality_cascade, op8_virtual_slots, op9_entropy_balancing, op10_ngram_ftrl)}
 
 ORACLES: dict[str, str] = {}
