@@ -10,6 +10,7 @@ from gaitlake.llm.classifier import quality_scores
 from gaitlake.llm.decontaminate import decontaminate
 from gaitlake.llm.mixing import mix
 from gaitlake.llm.near_dedup import near_duplicates
+from gaitlake.llm.pii import find_pii
 from gaitlake.llm.quality_rules import quality_rules
 from gaitlake.llm.secrets import scan_secrets
 from gaitlake.llm.sharding import shard
@@ -32,6 +33,10 @@ def op3_frequency_ranked_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenise(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(_documents(spark, sf_dir))
+
+
 def op5_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_documents(spark, sf_dir))
 
@@ -56,6 +61,6 @@ def op10_ngram_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_minhash_near_dedup, op3_frequency_ranked_tokens, op5_secret_ownership, op6_wu_manber_decontamination, op7_quality_cascade, op8_virtual_slots, op9_entropy_balancing, op10_ngram_ftrl)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_minhash_near_dedup, op3_frequency_ranked_tokens, op4_skip_chain_pii, op5_secret_ownership, op6_wu_manber_decontamination, op7_quality_cascade, op8_virtual_slots, op9_entropy_balancing, op10_ngram_ftrl)}
 
 ORACLES: dict[str, str] = {}
