@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -55,3 +56,9 @@ def _clean() -> None:
     for path, spark in list(_made.items()):
         _delete(spark, path)
     _made.clear()
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more, rather than when its driver happens to collect garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -14,6 +14,7 @@ from gaitlake.llm.pii import find_pii
 from gaitlake.llm.quality_rules import quality_rules
 from gaitlake.llm.secrets import scan_secrets
 from gaitlake.llm.sharding import shard
+from gaitlake.llm.substrings import remove_repeats
 from gaitlake.llm.tokens import tokenise
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +24,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_columnwise_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_documents(spark, sf_dir))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), width=4)
 
@@ -61,6 +66,6 @@ def op10_ngram_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_minhash_near_dedup, op3_frequency_ranked_tokens, op4_skip_chain_pii, op5_secret_ownership, op6_wu_manber_decontamination, op7_quality_cascade, op8_virtual_slots, op9_entropy_balancing, op10_ngram_ftrl)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_columnwise_suffix_dedup, op2_minhash_near_dedup, op3_frequency_ranked_tokens, op4_skip_chain_pii, op5_secret_ownership, op6_wu_manber_decontamination, op7_quality_cascade, op8_virtual_slots, op9_entropy_balancing, op10_ngram_ftrl)}
 
 ORACLES: dict[str, str] = {}
