@@ -29,8 +29,11 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from gaitlake.plans import pose_queries  # noqa: F401  registers on import
+
     return dict(_QUERIES)
 
 
 def oracles() -> dict[str, str]:
+    queries()
     return dict(_ORACLES)
