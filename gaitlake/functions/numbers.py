@@ -40,7 +40,9 @@ def cosine(a: Column, b: Column) -> Column:
 def angle_between(u: Sequence[Column], v: Sequence[Column]) -> Column:
     """Unsigned angle of two vectors given by coordinates; NaN if one is zero."""
     inner = sum((a * b for a, b in zip(u[1:], v[1:], strict=True)), u[0] * v[0])
-    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), divided(inner, norm(*u) * norm(*v)))))
+    size = norm(*u) * norm(*v)
+    # NaN counts as larger than any number, so it would not survive the clipping.
+    return F.when(size == 0, F.lit(float("nan"))).otherwise(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), inner / size))))
 
 
 def bin_of(x: Column, low: Column | float, high: Column | float, n: int) -> Column:

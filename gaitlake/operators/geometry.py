@@ -88,10 +88,11 @@ def angle_labels(triples: Sequence[tuple[int, int, int]], planes: bool = False)
 def joint_angles(pose: DataFrame, triples: Sequence[tuple[int, int, int]], planes: bool = False) -> DataFrame:
     """Adds ``angles``: at the middle joint of each triple, in space or (``planes``) of the projections on xy, xz and yz; NaN for a link of length 0."""
 
-    def angle(t: tuple[int, int, int], axes: Sequence[str]) -> Column:
-        return angle_between([at(t[0], x) - at(t[1], x) for x in axes], [at(t[2], x) - at(t[1], x) for x in axes])
-
-    return pose.withColumn("angles", F.array(*(angle(t, x) for t in triples for x in (PLANES.values() if planes else (AXES,)))))
+    sides = F.array(*(F.struct(*((at(j, x) - at(t[1], x)).alias(f"{n}{x}") for n, j in (("u", t[0]), ("v", t[2])) for x in AXES)) for t in triples))
+    # One expression over the sides, not one for each triple: plans stay small however many there are.
+    angle = lambda d, axes: angle_between([d[f"u{x}"] for x in axes], [d[f"v{x}"] for x in axes])
+    each = F.transform("_sides", (lambda d: F.array(*(angle(d, p) for p in PLANES.values()))) if planes else (lambda d: angle(d, AXES)))
+    return held(pose, _sides=sides).withColumn("angles", F.flatten(each) if planes else each).drop("_sides")
 
 
 def head_angle(link: tuple[int, int, int] = (0, 3, 4)) -> Column:

@@ -149,12 +149,12 @@ def nearest(queries: np.ndarray, base: np.ndarray, k: int, skip: np.ndarray | No
     return np.take_along_axis(some, order, 1), np.take_along_axis(exact, order, 1)
 
 
-def tsne(points: np.ndarray, perplexity: float = 30.0, rounds: int = 500, seed: int = 0, rate: float = 200.0) -> np.ndarray:
+def tsne(points: np.ndarray, perplexity: float = 30.0, rounds: int = 500, seed: int = 0, rate: float | None = None) -> np.ndarray:
     """Exact t-SNE to two dimensions, for a template of bounded size."""
     n = len(points)
     if n < 2:
         return np.zeros((n, 2))
-    perplexity = min(perplexity, max(1.0, (n - 1) / 3))
+    perplexity, rate = min(perplexity, max(1.0, (n - 1) / 3)), rate or max(n / 48, 5.0)
     square = (points**2).sum(1)
     d = np.maximum(square[:, None] + square - 2 * points @ points.T, 0)
     p = np.zeros((n, n))
@@ -212,6 +212,52 @@ def elastic_net(x: np.ndarray, y: np.ndarray, alpha: float, ratio: float, rounds
     return w, float(mean_y - mean_x @ w)
 
 
+def elastic_net_many(gram: np.ndarray, cross: np.ndarray, l1: np.ndarray, l2: np.ndarray, rounds: int = 300, close: float = 1e-7) -> np.ndarray:
+    """Weights of many elastic nets at once, from (..., d, d) centred Gram matrices and (..., d) cross products, both by row."""
+    w = np.zeros(np.broadcast_shapes(cross.shape, l1.shape + (1,)))
+    square = np.diagonal(gram, axis1=-2, axis2=-1)
+    for _ in range(rounds):
+        most = 0.0
+        for j in range(w.shape[-1]):
+            rho = cross[..., j] - (gram[..., j, :] * w).sum(-1) + square[..., j] * w[..., j]
+            new = np.sign(rho) * np.maximum(np.abs(rho) - l1, 0) / np.maximum(square[..., j] + l2, 1e-300)
+            most = max(most, float(np.abs(new - w[..., j]).max()))
+            w[..., j] = new
+        if most < close:
+            break
+    return w
+
+
+def forest(x: np.ndarray, y: np.ndarray, at: np.ndarray, trees: int = 100, seed: int = 0) -> float:
+    """Prediction at one point of a random forest: bootstrapped regression trees, all features, grown until leaves are pure or single."""
+    rng = np.random.default_rng(seed)
+    total = 0.0
+    for _ in range(trees):
+        rows = rng.integers(0, len(y), len(y))
+        while True:
+            a, b = x[rows], y[rows]
+            if len(b) < 2 or (b == b[0]).all():
+                break
+            best = (np.inf, -1, 0.0)
+            for j in range(a.shape[1]):
+                order = np.argsort(a[:, j], kind="stable")
+                v, t = a[order, j], b[order]
+                n = np.arange(1, len(t))
+                left, square = np.cumsum(t)[:-1], np.cumsum(t * t)
+                error = square[-1] - left**2 / n - (t.sum() - left) ** 2 / (len(t) - n)
+                error[v[1:] == v[:-1]] = np.inf
+                k = int(error.argmin())
+                if error[k] < best[0]:
+                    best = (error[k], j, (v[k] + v[k + 1]) / 2)
+            if best[1] < 0:
+                break
+            # Only the branch that the point takes is grown.
+            side = a[:, best[1]] <= best[2]
+            rows = rows[side if at[best[1]] <= best[2] else ~side]
+        total += float(y[rows].mean())
+    return total / trees
+
+
 def levenshtein(a: list, b: list) -> int:
     """Edit distance of two sequences, unit costs."""
     row = list(range(len(b) + 1))

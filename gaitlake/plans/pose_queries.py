@@ -408,9 +408,9 @@ def cosine_rowwise(spark: SparkSession, sf: str) -> DataFrame:
     return a.join(b, "frame").select("frame", rounded(cosine(F.col("features"), F.col("other"))).alias("cos"))
 
 
-@register("pairwise_cosine", f"with {CATS}, m as (select cat, list(freq order by cluster) f from fq where cat % 10 = 0 group by cat) select a.cat a, b.cat b, {v.r('list_dot_product(a.f, b.f)/(sqrt(list_dot_product(a.f, a.f))*sqrt(list_dot_product(b.f, b.f)))')} cos from m a join m b on a.cat<b.cat where a.cat<>30 and b.cat<>30")
+@register("pairwise_cosine", f"with {CATS}, m as (select cat, list(freq order by cluster) f from fq group by cat) select a.cat a, b.cat b, {v.r('list_dot_product(a.f, b.f)/(sqrt(list_dot_product(a.f, a.f))*sqrt(list_dot_product(b.f, b.f)))')} cos from m a join m b on a.cat<b.cat where a.cat<>30 and b.cat<>30")
 def pairwise_cosine(spark: SparkSession, sf: str) -> DataFrame:
-    shares = reduce.cluster_shares_by(v.clusters(spark, sf).where("cat % 10 = 0"), "cat", clusters=5)
+    shares = reduce.cluster_shares_by(v.clusters(spark, sf), "cat", clusters=5)
     rows = shares.groupBy("cat").agg(F.array_sort(F.collect_list(F.struct("cluster", "freq"))).alias("f")).select("cat", F.col("f.freq").alias("f"))
     return stats.pairwise_cosine(rows, "cat", "f", [30]).select("a", "b", rounded("cosine").alias("cos"))
 
@@ -440,7 +440,7 @@ def levenshtein_names(spark: SparkSession, sf: str) -> DataFrame:
 def _occupancy(spark: SparkSession, sf: str) -> tuple[list, object, object]:
     import numpy as np
 
-    cats, x = stats.occupancy_matrix(reduce.cluster_shares_by(v.clusters(spark, sf).where("cat < 30"), "cat", clusters=5))
+    cats, x = stats.occupancy_matrix(reduce.cluster_shares_by(v.nations(spark, sf), "cat", clusters=5))
     return cats, x, 1.0 + np.array([(c * 7) % 11 for c in cats], float)
 
 
@@ -463,14 +463,13 @@ def loo_elastic_net(spark: SparkSession, sf: str) -> DataFrame:
 @register("loo_elastic_net_cv")
 def loo_elastic_net_cv(spark: SparkSession, sf: str) -> DataFrame:
     cats, x, y = _occupancy(spark, sf)
-    return _predictions(spark, cats[:6], stats.loo_elastic_net_cv(x[:6], y[:6], alphas=10)[0])
+    return _predictions(spark, cats, stats.loo_elastic_net_cv(x, y)[0])
 
 
 @register("loo_random_forest")
 def loo_random_forest(spark: SparkSession, sf: str) -> DataFrame:
-    shares = reduce.cluster_shares_by(v.clusters(spark, sf).where("cat < 4"), "cat", clusters=5)
-    rows = shares.groupBy("cat").agg(F.array_sort(F.collect_list(F.struct("cluster", "freq"))).alias("f")).select("cat", F.col("f.freq").alias("f"), (F.col("cat") * 7 % 11).alias("y"))
-    return stats.loo_random_forest(rows, "f", "y", "cat", trees=20)
+    cats, x, y = _occupancy(spark, sf)
+    return _predictions(spark, cats, stats.loo_random_forest(spark, x, y))
 
 
 NN = f"{v.FEATURES}, nn as (select a.frame src, b.frame dst, list_sum(list_transform(list_zip(a.f, b.f), lambda p: (p[1]-p[2])*(p[1]-p[2]))) d2 from ft a join ft b on a.frame<>b.frame), k5 as (select *, row_number() over (partition by src order by d2, dst) rank from nn qualify rank<=5)"
@@ -486,13 +485,12 @@ def knn_graph_unweighted(spark: SparkSession, sf: str) -> DataFrame:
     return neighbors.knn_graph(v.features(spark, sf), weighted=False)
 
 
-NR = f"{v.FEATURES}, nn as (select a.frame, b.f[1:2] y, list_sum(list_transform(list_zip(a.f, b.f), lambda p: (p[1]-p[2])*(p[1]-p[2]))) d2, b.frame dst from ft a join ft b on b.frame % 3 = 0), k5 as (select *, row_number() over (partition by frame order by d2, dst) rank from nn qualify rank<=5)"
+NR = f"{v.FEATURES}, nn as (select a.frame, b.f[1:2] y, list_sum(list_transform(list_zip(a.f, b.f), lambda p: (p[1]-p[2])*(p[1]-p[2]))) d2, b.frame dst from ft a, ft b), k5 as (select *, row_number() over (partition by frame order by d2, dst) rank from nn qualify rank<=5)"
 
 
 def _regress(spark: SparkSession, sf: str, weights: str) -> DataFrame:
     points = v.features(spark, sf)
-    base = points.where("frame % 3 = 0")
-    out = neighbors.knn_regress(points, base, base.select("frame", F.slice("features", 1, 2).alias("y")), 5, weights)
+    out = neighbors.knn_regress(points, points, points.select("frame", F.slice("features", 1, 2).alias("y")), 5, weights)
     return out.select("frame", rounded(F.col("y")[0], 5).alias("y0"), rounded(F.col("y")[1], 5).alias("y1"))
 
 
@@ -604,12 +602,12 @@ def template_batch_fit(spark: SparkSession, sf: str) -> DataFrame:
 @register("embed_tsne")
 def embed_tsne(spark: SparkSession, sf: str) -> DataFrame:
     points = v.features(spark, sf)
-    return embed.Embedding().fit(points.where("frame % 5 = 0")).predict(points)
+    return embed.Embedding().fit(ts.strided(points, 5)).predict(points)
 
 
 @register("kfold_reembed")
 def kfold_reembed(spark: SparkSession, sf: str) -> DataFrame:
-    model = embed.Embedding().fit(v.features(spark, sf).where("frame % 5 = 0"))
+    model = embed.Embedding().fit(ts.strided(v.features(spark, sf), 5))
     return spark.createDataFrame(embed.kfold_errors(model, spark, [1, 3, 5]), "k int, mse double, distance double, accuracy double")
 
 

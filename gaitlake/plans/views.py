@@ -40,6 +40,12 @@ def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("cat"), cluster.alias("cluster"), "event_id")
 
 
+def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cat, cluster): a nation's customers by market segment, 0 to 4: few categories, as regressions on occupancy have."""
+    names = F.array(*(F.lit(x) for x in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")))
+    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("cat"), (F.array_position(names, F.col("c_mktsegment")) - 1).cast("int").alias("cluster"))
+
+
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(frame, label, features): embeddings as double arrays."""
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), "label", F.col("embedding").cast("array<double>").alias("features"))
