@@ -79,6 +79,14 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[0], s[2]))
 
 
+def doubtful(text: str) -> list[Span]:
+    """Phone and card matches of nine or more digits that failed their test: what they hold is unknown, so it teaches nothing."""
+    out = []
+    for pattern, accepted in ((_CARD, {s[:2] for s in base_spans(text) if s[2] == 2}), (_PHONE, {s[:2] for s in base_spans(text) if s[2] == 3})):
+        out += [(m.start(), m.end(), 0) for m in pattern.finditer(text) if m.span() not in accepted and sum(c in "0123456789" for c in m[0]) >= 9]
+    return sorted(out)
+
+
 def _shape(token: str) -> str:
     """Letters as a, digits as 9, runs shortened to their length class; marks as they are."""
     out = []
@@ -188,14 +196,14 @@ def _association(pairs: np.ndarray, share: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: list[tuple[list[list[int]], list[int], list[tuple[int, int]], list[tuple[int, int]]]], passes: int = 12, rate: float = 0.3) -> Field:
-    """Piecewise training on (features, labels, chain, skip) of documents; without rows nothing is ever labelled."""
+    """Piecewise training on (features, labels, chain, skip) of documents, leaving out tokens labelled -1; without rows nothing is ever labelled."""
     n = 1 + len(KINDS)
     weights = np.zeros((1 << FEATURE_BITS, n))
-    if not any(r[1] for r in rows):
+    if not any(y >= 0 for r in rows for y in r[1]):
         weights[:, 0] = 1.0
         return Field(weights, np.zeros((n, n)), np.zeros((n, n)))
-    features = [f for r in rows for f in r[0]]
-    label = np.array([y for r in rows for y in r[1]])
+    features = [f for r in rows for f, y in zip(r[0], r[1], strict=True) if y >= 0]
+    label = np.array([y for r in rows for y in r[1] if y >= 0])
     flat, owner = np.concatenate([np.array(f) for f in features]), np.repeat(np.arange(len(features)), [len(f) for f in features])
     total = np.full_like(weights, 1e-6)
     truth = np.eye(n)[label]
@@ -213,7 +221,7 @@ def fit(rows: list[tuple[list[list[int]], list[int], list[tuple[int, int]], list
     links: list[list[tuple[int, int]]] = [[], []]
     for _, y, chain, skip in rows:
         for k, pairs in enumerate((chain, skip)):
-            links[k] += [(y[a], y[b]) for a, b in pairs]
+            links[k] += [(y[a], y[b]) for a, b in pairs if y[a] >= 0 and y[b] >= 0]
     return Field(weights, *(_association(np.array(p, int).reshape(-1, 2), share) for p in links))
 
 
@@ -229,7 +237,8 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in _marked(data, offsets):
             text = data[offsets[i] : offsets[i + 1]].tobytes().decode()
             t = tokens(text)
-            out.append((batch.column(1)[int(i)].as_py(), t.features, labels(t.spans, base_spans(text)), [list(e) for e in t.chain], [list(e) for e in t.skip]))
+            known = [-1 if d and not y else y for y, d in zip(labels(t.spans, base_spans(text)), labels(t.spans, doubtful(text)), strict=True)]
+            out.append((batch.column(1)[int(i)].as_py(), t.features, known, [list(e) for e in t.chain], [list(e) for e in t.skip]))
         nested = pa.list_(pa.list_(pa.int32()))
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), nested, pa.list_(pa.int32()), nested, nested))], names=["o", "features", "labels", "chain", "skip"])
 
