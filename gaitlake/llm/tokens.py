@@ -32,7 +32,7 @@ END_ID = 1
 #: Tokens of a block, as soon as a document ends.
 BLOCK_TOKENS = 1 << 18
 #: Pieces of text whose ids a worker remembers, and their longest length.
-CACHED_PIECES, CACHED_LENGTH = 400_000, 48
+CACHED_PIECES, CACHED_LENGTH = 600_000, 48
 
 _counts = np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3
 #: Byte lengths of the four values of each control byte.
@@ -74,41 +74,89 @@ def _tokenizer(path: str) -> object:
     return Tokenizer.from_file(path)
 
 
+#: Pieces encoded as one row.
+ROW_PIECES = 2048
+#: Marks that a piece's end may lose without changing the ids before them.
+_TAIL = ".,;:!?*#$%&|"
+
+
 class Encoder:
-    """Ids of whole texts, as little-endian 32-bit bytes.
+    """Ids of whole texts, as little-endian bytes of the narrowest kind that holds the vocabulary.
 
     Pieces between ASCII spaces and line ends are encoded by the library and
-    remembered. That gives the ids of the whole text for every tokenizer whose
-    normalisation and pre-tokenisation let nothing reach across white space
-    and drop it, which ``whole=False`` states; otherwise texts are encoded whole.
+    remembered; of ASCII pieces that end in marks after a letter or digit, the
+    part before them and the marks apart. That gives the ids of the whole text
+    for every tokenizer that folds case, drops white space and parts words from
+    marks, which ``whole=False`` states; otherwise texts are encoded whole.
     """
 
     def __init__(self, path: str, whole: bool = False) -> None:
         self.path, self.whole = path, whole
+        self.kind = id_kind(path)
         self.known: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in _tokenizer(self.path).encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.kind).tobytes() for e in _tokenizer(self.path).encode_batch(texts, add_special_tokens=False)]
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces without spaces: encoded in long rows, which costs far less than one by one, and parted by where tokens begin."""
+        out = []
+        for at in range(0, len(pieces), ROW_PIECES):
+            row = pieces[at : at + ROW_PIECES]
+            start = np.cumsum([0, *(len(p) + 1 for p in row)])
+            found = _tokenizer(self.path).encode(" ".join(row), add_special_tokens=False)
+            ids = np.array(found.ids, self.kind)
+            own = np.searchsorted(start, np.fromiter((a for a, _ in found.offsets), np.int64, len(ids)), "right") - 1
+            cut = np.searchsorted(own, np.arange(len(row) + 1)) * ids.itemsize
+            held = ids.tobytes()
+            out += [held[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        return out
+
+    def _parts(self, piece: str) -> tuple[str, ...]:
+        if not piece.isascii() or "<" in piece:
+            return (piece,)
+        core = piece.rstrip(_TAIL)
+        if core == piece or not core or not core[-1].isalnum():
+            return (piece.lower(),)
+        return core.lower(), piece[len(core) :]
 
     def texts(self, texts: list[str]) -> list[bytes]:
         if self.whole:
             return self._ids(texts)
-        pieces = [[p for p in t.replace("\n", " ").split(" ") if p] for t in texts]
-        new = list({p for own in pieces for p in own}.difference(self.known))
-        if len(self.known) + len(new) > CACHED_PIECES:
+        pieces = [t.replace("\n", " ").split(" ") for t in texts]
+        missing = set().union(*pieces).difference(self.known)
+        if len(self.known) + len(missing) > CACHED_PIECES:
             self.known = {}
-            new = list({p for own in pieces for p in own})
-        own = dict(zip(new, self._ids(new), strict=True))
-        self.known.update((p, i) for p, i in own.items() if len(p) <= CACHED_LENGTH)
-        own = {p: i for p, i in own.items() if len(p) > CACHED_LENGTH}
-        if not own:
-            return [b"".join(map(self.known.__getitem__, each)) for each in pieces]
-        return [b"".join(self.known[p] if p in self.known else own[p] for p in each) for each in pieces]
+            missing = set().union(*pieces)
+        if missing:
+            parts = {p: self._parts(p) if p else () for p in missing}
+            new = list({x for own in parts.values() for x in own}.difference(self.known))
+            ids = dict(zip(new, self._pieces(new), strict=True))
+            self.known.update({p: b"".join([ids[x] if x in ids else self.known[x] for x in own]) for p, own in parts.items()})
+            self.known.update(ids)
+        out = [b"".join(map(self.known.__getitem__, each)) for each in pieces]
+        for p in missing:
+            if len(p) > CACHED_LENGTH:
+                self.known.pop(p, None)
+                for x in parts[p]:
+                    self.known.pop(x, None)
+        return out
+
+
+def id_kind(path: str) -> str:
+    return "<u2" if _tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
+@functools.cache
+def _encoder(path: str, whole: bool) -> Encoder:
+    """One for each worker process, so that later tasks find what earlier ones have encoded."""
+    return Encoder(path, whole)
 
 
 def _tokenise(path: str, whole: bool, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(path, whole), np.array([end_id], "<u4").tobytes()
+        encoder = _encoder(path, whole)
+        end = np.array([end_id], encoder.kind).tobytes()
         for batch, _, _ in _text.blocks(batches):
             ids = [x + end for x in encoder.texts([t or "" for t in batch.column(1).to_pylist()])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["id", "tokens"])
@@ -116,26 +164,30 @@ def _tokenise(path: str, whole: bool, end_id: int) -> Callable[[Iterator[pa.Reco
     return run
 
 
-def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        for tokens in batch.column(0).to_pylist():
-            n = np.bincount(np.frombuffer(tokens, "<u4"), minlength=len(total))
+def _histogram(kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            data, _ = _text.utf8(batch.column(0))
+            n = np.bincount(data.view(kind), minlength=len(total))
             n[: len(total)] += total
             total = n
-    seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["token", "n"])
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["token", "n"])
+
+    return run
 
 
-def _pack(shared: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pack(shared: object, kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, file = shared.value, TaskContext.get().partitionId()
         ids, held, size, block, before = [], [], 0, 0, 0
+        width = np.dtype(kind).itemsize
 
         def done() -> pa.RecordBatch:
-            values = np.concatenate([np.frombuffer(t, "<u4") for t in held])
+            values = np.frombuffer(b"".join(held), kind)
             control, data = encode(rank[values])
-            counts = [len(t) // 4 for t in held]
+            counts = [len(t) // width for t in held]
             row = [pa.array([x], k) for x, k in ((file, pa.int32()), (block, pa.int32()), (before, pa.int64()), (ids, pa.list_(pa.int64())), (counts, pa.list_(pa.int32())), (control, pa.binary()), (data, pa.binary()))]
             return pa.RecordBatch.from_arrays(row, names=["file", "block", "before", "ids", "counts", "control", "data"])
 
@@ -143,7 +195,7 @@ def _pack(shared: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             for i, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids.append(i)
                 held.append(tokens)
-                size += len(tokens) // 4
+                size += len(tokens) // width
                 if size >= BLOCK_TOKENS:
                     yield done()
                     before += size
@@ -176,17 +228,17 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     table in the shared folder; the vocabulary's counts (bounded by its size)
     go to the driver and give the ranks; files are then cut by ranges of ids.
     """
-    spark = docs.sparkSession
+    spark, kind = docs.sparkSession, id_kind(path)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     ids = _work.table(rows.mapInArrow(_tokenise(path, whole, end_id), "id long, tokens binary"), "tokenised")
-    counts = ids.select("tokens").mapInArrow(_histogram, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
+    counts = ids.select("tokens").mapInArrow(_histogram(kind), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
     order = np.lexsort((counts["token"].to_numpy(), -counts["n"].to_numpy()))
     token = counts["token"].to_numpy(np.int64)[order].astype(np.uint32)
     rank = np.zeros(int(token.max(initial=0)) + 1, np.uint32)
     rank[token] = np.arange(len(token), dtype=np.uint32)
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = ids.repartitionByRange(files, "id").sortWithinPartitions("id")
-    blocks = _work.table(ordered.mapInArrow(_pack(spark.sparkContext.broadcast(rank)), "file int, block int, before long, ids array<long>, counts array<int>, control binary, data binary"), "token-files")
+    blocks = _work.table(ordered.mapInArrow(_pack(spark.sparkContext.broadcast(rank), kind), "file int, block int, before long, ids array<long>, counts array<int>, control binary, data binary"), "token-files")
     _work.drop(ids)
     return blocks, token
 

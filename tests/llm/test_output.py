@@ -24,10 +24,10 @@ def test_codec_round_trip():
 
 def test_pieces_give_the_ids_of_whole_texts():
     rng = random.Random(1)
-    parts = [*"ab Σσς\n\t é'sdlvt re0٣.!? İß‍😀　̈", "<|endoftext|>", "x" * 60]
+    parts = [*"ab Σσς\n\t é'sdlvt re0٣.!? İß‍😀　̈", "<|endoftext|>", "<|ENDOFTEXT|>", "x" * 60, *"ABZ***##.,"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(3000)]
     whole = tokenizers.Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)
-    assert Encoder(PATH).texts(texts) == [np.array(e.ids, "<u4").tobytes() for e in whole]
+    assert Encoder(PATH).texts(texts) == [np.array(e.ids, "<u2").tobytes() for e in whole]
 
 
 def test_files_give_back_every_document(docs, rows, none):
