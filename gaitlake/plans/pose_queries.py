@@ -408,11 +408,11 @@ def cosine_rowwise(spark: SparkSession, sf: str) -> DataFrame:
     return a.join(b, "frame").select("frame", rounded(cosine(F.col("features"), F.col("other"))).alias("cos"))
 
 
-@register("pairwise_cosine", f"with {CATS}, m as (select cat, list(freq order by cluster) f from fq group by cat) select a.cat a, b.cat b, {v.r('list_dot_product(a.f, b.f)/(sqrt(list_dot_product(a.f, a.f))*sqrt(list_dot_product(b.f, b.f)))')} cos from m a join m b on a.cat<b.cat where a.cat<>30 and b.cat<>30")
+@register("pairwise_cosine", f"with {CATS}, m as (select cat, list(freq order by cluster) f from fq group by cat) select a.cat a, b.cat b, {v.r('list_dot_product(a.f, b.f)/(sqrt(list_dot_product(a.f, a.f))*sqrt(list_dot_product(b.f, b.f)))')} cos from m a join m b on a.cat<b.cat")
 def pairwise_cosine(spark: SparkSession, sf: str) -> DataFrame:
     shares = reduce.cluster_shares_by(v.clusters(spark, sf), "cat", clusters=5)
     rows = shares.groupBy("cat").agg(F.array_sort(F.collect_list(F.struct("cluster", "freq"))).alias("f")).select("cat", F.col("f.freq").alias("f"))
-    return stats.pairwise_cosine(rows, "cat", "f", [30]).select("a", "b", rounded("cosine").alias("cos"))
+    return stats.pairwise_cosine(rows, "cat", "f").select("a", "b", rounded("cosine").alias("cos"))
 
 
 JS = f"""with {v.PLANE}, p as (select label, x, y, row_number() over (partition by label order by frame)-1 t, count(*) over (partition by label) n from xy),
@@ -510,7 +510,6 @@ def pose_geodesic(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(k, f, float(d)) for k, (f, d) in enumerate(path)], "step int, frame long, distance double")
 
 
-RANGE = "((-4.0, 4.0), (-4.0, 4.0))"
 HIST = "cast(49-least(49, cast(floor((y+4)/8*50) as int)) as int) \"row\", cast(least(49, cast(floor((x+4)/8*50) as int)) as int) col"
 
 
