@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,14 +50,17 @@ class Density:
         grid = np.zeros((self.bins, self.bins))
         for r, c, n in self.histogram(points, new).collect():  # at most bins * bins cells
             grid[r, c] = n
-        grid = kernels.gaussian(grid, self.sigma)
-        if self.log:
-            grid = np.log1p(grid)
-        grid = np.minimum(grid, grid.max() * self.most)
+        grid = self.smoothed(grid)
         if new:
             self.grid = grid
         return grid
 
+    def smoothed(self, counts: np.ndarray) -> np.ndarray:
+        grid = kernels.gaussian(counts, self.sigma)
+        if self.log:
+            grid = np.log1p(grid)
+        return np.minimum(grid, grid.max() * self.most)
+
     def lookup(self, axis: str, low: float, high: float, shifted: bool = False) -> Column:
         """Row or column to look a point up in. ``shifted`` is the historical rule: rows one less than the histogram's, and -1 at the upper end."""
         if not shifted:
@@ -102,13 +107,23 @@ def masked(density: np.ndarray, labels: np.ndarray, least: float = 1e-3) -> np.n
     return np.where(labels > 0, np.maximum(density, least), 0.0)
 
 
-def density_by(points: DataFrame, by: str, fitted: Watershed) -> DataFrame:
-    """(by, row, col, density) of each category on the fitted axes, masked by the fitted labels."""
-    spark, out = points.sparkSession, []
-    for (value,) in points.select(by).distinct().orderBy(by).collect():
-        grid = masked(fitted.fit(points.where(F.col(by).eqNullSafe(F.lit(value))), new=False), fitted.labels, fitted.least)
-        out += [(value, int(r), int(c), float(grid[r, c])) for r, c in np.argwhere(grid > 0)]
-    return spark.createDataFrame(out, f"{by} {points.schema[by].dataType.simpleString()}, row int, col int, density double")
+def density_by(points: DataFrame, by: str | Sequence[str], fitted: Watershed) -> DataFrame:
+    """(*by, row, col, density) of each category, or combination of them, on the fitted axes, masked by the fitted labels.
+
+    Counted in one pass; a category's grid is one task's work, of bins * bins cells at most.
+    """
+    by = [by] if isinstance(by, str) else list(by)
+    counts = fitted.cells(points).where("row is not null and col is not null").groupBy(*by, "row", "col").agg(F.count("*").alias("n"))
+
+    def smooth(rows: pd.DataFrame) -> pd.DataFrame:
+        grid = np.zeros((fitted.bins, fitted.bins))
+        grid[rows["row"], rows["col"]] = rows["n"]
+        grid = masked(fitted.smoothed(grid), fitted.labels, fitted.least)
+        row, col = np.nonzero(grid > 0)
+        return pd.DataFrame({**{k: [rows[k].iloc[0]] * len(row) for k in by}, "row": row, "col": col, "density": grid[row, col]})
+
+    kinds = ", ".join(f"`{k}` {points.schema[k].dataType.simpleString()}" for k in by)
+    return counts.groupBy(*by).applyInPandas(smooth, f"{kinds}, row int, col int, density double")
 
 
 def feature_grid(points: DataFrame, value: str, density: Density) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaitlake.functions.numbers import cosine, rounded
-from gaitlake.operators import augment, density, embed, geometry, grouped, neighbors, reduce, stats
+from gaitlake.operators import augment, density, embed, geometry, grouped, motifs, neighbors, reduce, stats
 from gaitlake.operators import timeseries as ts
 from gaitlake.operators.skeleton import MOUSE18
 from gaitlake.plans import views as v
@@ -623,3 +623,62 @@ def pose_limits(spark: SparkSession, sf: str) -> DataFrame:
 @register("skeleton_segments", f"with {v.POSE}, l(item, a, b) as (values {LINK_VALUES}) select p.id, p.t, cast(item as bigint) link, " + ", ".join(f"{v.r(f'{q}.{a}')} {a}{e}" for e, q in ((0, "p"), (1, "q")) for a in XYZ) + " from l join pose p on p.joint=a join pose q on q.joint=b and q.id=p.id and q.t=p.t")
 def skeleton_segments(spark: SparkSession, sf: str) -> DataFrame:
     return geometry.segments(v.pose(spark, sf), MOUSE18.links).select("id", "t", "link", *(rounded(f"{a}{e}").alias(f"{a}{e}") for e in (0, 1) for a in XYZ))
+
+
+CENTRES = """c as (select label cluster, vec_id frame, row_number() over (partition by label order by (vec_id*7919)%10007, vec_id) k from embeddings, (select max(vec_id)+1 n from embeddings) where vec_id>=10 and vec_id<=n-10),
+g as (select distinct cluster, cast(0 as bigint) k, cast([] as bigint[]) picks from c union all select g.cluster, c.k, case when len(picks)<3 and len(list_filter(picks, lambda p: abs(p-c.frame)<20))=0 then list_append(picks, c.frame) else picks end from g join c on c.cluster=g.cluster and c.k=g.k+1),
+pk as (select cluster, arg_max(picks, k) picks from g group by cluster), ce as (select cluster, cast(s as int) sample, picks[s+1] frame from pk, range(3) r(s) where s<len(picks))"""
+
+
+def _centres(spark: SparkSession, sf: str) -> DataFrame:
+    return motifs.motif_centres(v.plane(spark, sf).withColumnRenamed("label", "cluster"), n=3, frames=20, apart=20)
+
+
+@register("motif_centres", f"with recursive {CENTRES} select * from ce")
+def motif_centres(spark: SparkSession, sf: str) -> DataFrame:
+    return _centres(spark, sf)
+
+
+MOTIFS = f"{CENTRES}, {v.POSE}, mf as (select cluster, sample, step, frame-10+step frame from ce, range(20) r(step)), mp as (select cluster, sample, cast(step as int) step, frame, id, t, joint, x, y, z from mf join pose using (frame))"
+
+
+@register("motif_poses", f"with recursive {MOTIFS} select cluster, sample, step, frame, id, t, joint, {R3} from mp")
+def motif_poses(spark: SparkSession, sf: str) -> DataFrame:
+    return _long(v.pose(spark, sf).join(motifs.motif_frames(_centres(spark, sf), 20), "frame"), "cluster", "sample", "step", "frame")
+
+
+@register("motif_planar", f"with recursive {MOTIFS} select cluster, sample, step, joint, {v.r('x+step/5.0::double')} u, {v.r('z')} v from mp where step=0 or (step+1)%5=0")
+def motif_planar(spark: SparkSession, sf: str) -> DataFrame:
+    poses = geometry.exploded(v.pose(spark, sf).join(motifs.motif_frames(_centres(spark, sf), 20), "frame"), "cluster", "sample", "step")
+    return motifs.planar(poses, 5).select("cluster", "sample", "step", "joint", rounded("u").alias("u"), rounded("v").alias("v"))
+
+
+CELLS = f"{v.PLANE}, h as (select {HIST} from xy where x between -4 and 4 and y between -4 and 4), ws as (select \"row\", col, cast(count(*)%5 as int) cluster from h group by all)"
+
+
+def _cells(spark: SparkSession, sf: str) -> DataFrame:
+    return _density().histogram(v.plane(spark, sf), new=False).select("row", "col", (F.col("n") % 5).cast("int").alias("cluster"))
+
+
+@register("labelled_map", f"with {CELLS} select \"row\", col, cluster, case cluster when 1 then 2 when 2 then 1 else 0 end code from ws")
+def labelled_map(spark: SparkSession, sf: str) -> DataFrame:
+    return motifs.labelled(_cells(spark, sf), [(1, "Walk"), (2, "Rear"), (3, "Walk"), (1, "Groom")])
+
+
+@register("painted_map", f"with {CELLS}, m as (select label cluster, avg(x) score from xy where label<4 group by label) select \"row\", col, cluster, {v.r('case when cluster>0 and score is not null then score else 0.0::double end')} score from ws left join m using (cluster)")
+def painted_map(spark: SparkSession, sf: str) -> DataFrame:
+    points = v.plane(spark, sf).where("label < 4").groupBy(F.col("label").alias("cluster")).agg(F.avg("x").alias("score"))
+    return motifs.painted(_cells(spark, sf), points, "score").select("row", "col", "cluster", rounded("score").alias("score"))
+
+
+@register("feature_ridge", f"with {v.PLANE}, s as (select label, count(*) n, stddev_samp(x)*pow(count(*), -0.2)*0.5 h, min(x) a, max(x) b from xy group by label having stddev_samp(x)>0), g as (select label, n, h, p, a-3*h+p*(b-a+6*h)/199 gx from s, range(200) r(p)) select label, cast(p as int) point, {v.r('any_value(gx)', 5)} \"at\", {v.r('sum(exp(-(gx-x)*(gx-x)/(2*h*h)))/(any_value(n)*any_value(h)*sqrt(2*pi()))', 5)} density from g join xy using (label) group by label, p")
+def feature_ridge(spark: SparkSession, sf: str) -> DataFrame:
+    return motifs.ridge(v.plane(spark, sf), "x", "label").select("label", "point", rounded("at", 5).alias("at"), rounded("density", 5).alias("density"))
+
+
+@register("density_by_pair")
+def density_by_pair(spark: SparkSession, sf: str) -> DataFrame:
+    points = v.plane(spark, sf).withColumn("half", F.col("frame") % 2)
+    shed = density.Watershed(sigma=2.0, bins=50)
+    shed.segment(points)
+    return density.density_by(points.withColumn("label", F.col("label") % 3), ("label", "half"), shed)

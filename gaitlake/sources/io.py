@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
+import numpy as np
+import pandas as pd
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,14 +84,99 @@ def pose_from_meta(spark: SparkSession, meta: DataFrame, column: str = "path") -
     return pose.join(F.broadcast(held), F.regexp_replace("_file", "^[a-z]+:/*", "/").startswith(F.regexp_replace("_path", "/+$", ""))).drop("_file", "_path")
 
 
-def pose_h5(spark: SparkSession, path: str) -> DataFrame:
-    """A pose table from HDF5 with datasets ``pose`` (frames, joints, 3) and perhaps ``id``; needs h5py."""
+def read_extended(spark: SparkSession, path: str, *extra: str) -> tuple[DataFrame, list[str], dict[str, DataFrame]]:
+    """Features, labels and the further tables that ``write_features`` wrote beside them."""
+    features, labels = read_features(spark, path)
+    return features, labels, {name: spark.read.parquet(f"{path}/{name}") for name in extra}
+
+
+def stage(spark: SparkSession, path: str, made: Callable[[], DataFrame]) -> DataFrame:
+    """The table at ``path`` if an earlier run has finished it, otherwise made and written there."""
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        made().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _h5(content: bytes) -> dict[str, Any]:
+    """Datasets by name, those of groups by ``group/name``."""
     try:
         import h5py
     except ImportError as e:
         raise ImportError("reading HDF5 needs h5py") from e
-    with h5py.File(path) as f:
-        pose, ids = f["pose"][:], f["id"][:] if "id" in f else None
-    rows = ((int(ids[k]) if ids is not None else 0, k, [tuple(map(float, p)) for p in frame]) for k, frame in enumerate(pose))
-    out = spark.createDataFrame(rows, "id int, frame long, kp array<struct<x:double,y:double,z:double>>")
-    return out.withColumn("t", F.expr("row_number() over (partition by id order by frame) - 1").cast("long"))
+    found: dict[str, Any] = {}
+    with h5py.File(io.BytesIO(content)) as f:
+        f.visititems(lambda name, held: found.update({name: held[()]}) if isinstance(held, h5py.Dataset) else None)
+    return found
+
+
+def _mat(content: bytes) -> dict[str, Any]:
+    """Variables by name, fields of a struct by ``variable/field``; the newer format is HDF5, with axes reversed."""
+    if content[:8] == b"\x89HDF\r\n\x1a\n" or content[512:520] == b"\x89HDF\r\n\x1a\n":
+        return {k: np.asarray(v).T for k, v in _h5(content).items()}
+    try:
+        from scipy.io import loadmat
+    except ImportError as e:
+        raise ImportError("reading MATLAB files needs scipy") from e
+    found: dict[str, Any] = {}
+    for name, value in loadmat(io.BytesIO(content), struct_as_record=True).items():
+        if isinstance(value, np.ndarray) and value.dtype.names:
+            found |= {f"{name}/{k}": np.asarray(value[k].item()) for k in value.dtype.names}
+        else:
+            found[name] = np.asarray(value)
+    return found
+
+
+def frames_of(arrays: dict[str, Any], kind: str, joints: Sequence[str] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """(frames x joints x 3, session of each frame) out of a file's arrays.
+
+    ``h5``: ``pose`` and perhaps ``id``. ``dannce``: ``pred``, frames x 3 x
+    joints. ``predictions``: ``predictions/<joint>``, frames x 3 for each joint,
+    in the order of ``joints``; joints that the file lacks are left out.
+    """
+    if kind == "h5":
+        pose = np.asarray(arrays["pose"], float)
+        ids = np.asarray(arrays["id"], int).reshape(-1) if "id" in arrays else np.zeros(len(pose), int)
+        return pose, ids
+    if kind == "dannce":
+        pose = np.moveaxis(np.asarray(arrays["pred"], float), 1, 2)
+    elif kind == "predictions":
+        pose = np.stack([np.asarray(arrays[f"predictions/{j}"], float) for j in joints if f"predictions/{j}" in arrays], axis=1)
+    else:
+        raise ValueError(f"no such kind of pose file: {kind}")
+    return pose, np.zeros(len(pose), int)
+
+
+POSE = "id int, t long, frame long, kp array<struct<x:double,y:double,z:double>>"
+#: Frames in a row group that a reader hands on at once.
+READ_FRAMES = 4096
+
+
+def pose_files(spark: SparkSession, path: str | Sequence[str], kind: str, joints: Sequence[str] = ()) -> DataFrame:
+    """(path, id, t, frame, kp) of HDF5 or MATLAB files, each read by one task, in whatever store Spark reads; ``kind`` as in ``frames_of``. Needs h5py or scipy on the executors."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                pose, ids = frames_of((_h5 if kind == "h5" else _mat)(content), kind, joints)
+                t = pd.Series(ids).groupby(ids).cumcount().to_numpy()
+                for a in range(0, len(pose), READ_FRAMES):
+                    part = pose[a : a + READ_FRAMES]
+                    kp = [[{"x": x, "y": y, "z": z} for x, y, z in frame.tolist()] for frame in part]
+                    yield pd.DataFrame({"path": name, "id": ids[a : a + READ_FRAMES], "t": t[a : a + READ_FRAMES], "frame": np.arange(a, a + len(part)), "kp": kp})
+
+    files = spark.read.format("binaryFile").load(path if isinstance(path, str) else list(path)).select("path", "content")
+    return files.mapInPandas(read, f"path string, {POSE}")
+
+
+def pose_h5(spark: SparkSession, path: str) -> DataFrame:
+    """(id, t, frame, kp) from HDF5 with datasets ``pose`` (frames, joints, 3) and perhaps ``id``; needs h5py."""
+    return pose_files(spark, path, "h5").drop("path")
+
+
+def good_frames(features: DataFrame, frames: Sequence[int], step: int = 20, frame: str = "frame") -> DataFrame:
+    """Features of the recording frames given by their numbers from 1, every ``step``-th of them; ``frame`` counts features from 0 and becomes the recording's frame."""
+    spark = features.sparkSession
+    kept = [(k, int(f) - 1) for k, f in enumerate(frames) if k % step == 0]
+    picked = spark.createDataFrame(kept, "_k long, _frame long")
+    return features.join(picked, F.col(frame) == F.col("_k")).withColumn(frame, F.col("_frame")).drop("_k", "_frame")

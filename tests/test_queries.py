@@ -9,7 +9,7 @@ from gaitlake.plans import registry
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-PICKED = ["ego_rotate", "joint_angles_planar", "velocity_std", "median_filter_even", "floor_align", "cluster_freq_by_cat", "js_distance_segments", "knn_regress_distance", "hist2d", "augment_mirror"]
+PICKED = ["motif_poses", "feature_ridge", "painted_map", "ego_rotate", "joint_angles_planar", "velocity_std", "median_filter_even", "floor_align", "cluster_freq_by_cat", "js_distance_segments", "knn_regress_distance", "hist2d", "augment_mirror"]
 
 
 @pytest.mark.parametrize("name", PICKED)
