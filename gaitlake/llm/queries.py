@@ -71,7 +71,9 @@ def op10_ngram_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_columnwise_suffix_dedup, op2_minhash_near_dedup, op3_frequency_ranked_tokens, op4_skip_chain_pii, op5_secret_ownership, op6_wu_manber_decontamination, op7_quality_cascade, op8_virtual_slots, op9_entropy_balancing, op10_ngram_ftrl)}
 
 ORACLES: dict[str, str] = {
+    "op1_columnwise_suffix_dedup": oracles.REPEATS,
     "op2_minhash_near_dedup": oracles.NEAR_DUPLICATES,
+    "op5_secret_ownership": oracles.SECRETS,
     "op6_wu_manber_decontamination": oracles.DECONTAMINATION,
     "op7_quality_cascade": oracles.QUALITY,
 }
