@@ -97,7 +97,7 @@ def columnwise(strings: list[bytes], folder: str | None = None) -> tuple[np.ndar
     return transform.get(), common.get()
 
 
-def repeated(strings: list[bytes], window: int) -> list[np.ndarray]:
+def repeated(strings: list[bytes], window: int, folder: str | None = None) -> list[np.ndarray]:
     """For each string, whether the ``window`` bytes from each place also start at another place of the collection.
 
     A suffix shares its first ``window`` bytes with another one exactly if it
@@ -108,7 +108,7 @@ def repeated(strings: list[bytes], window: int) -> list[np.ndarray]:
     out = [np.zeros(max(0, n - window + 1), bool) for n in length.tolist()]
     if not len(strings) or length.max() < window:
         return out
-    bwt, lcp = columnwise(strings)
+    bwt, lcp = columnwise(strings, folder)
     m = len(strings)
     found = lcp >= window
     found[:-1] |= lcp[1:] >= window

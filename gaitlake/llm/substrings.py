@@ -13,6 +13,7 @@ windows, spread by their hashes.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 from hashlib import sha256
 
@@ -83,7 +84,7 @@ def _numbered(k: int) -> bytes:
     return bytes([_OPEN, *out])
 
 
-def repeats(pieces: list[bytes], length: int, anchor: int) -> list[np.ndarray]:
+def repeats(pieces: list[bytes], length: int, anchor: int, folder: str | None = None) -> list[np.ndarray]:
     """Which windows of each piece (a run, so with one anchor) start elsewhere among the pieces too.
 
     A window holds all of its anchor, so pieces are compared with the anchor
@@ -101,21 +102,27 @@ def repeats(pieces: list[bytes], length: int, anchor: int) -> list[np.ndarray]:
         gram = piece[at : at + anchor]
         if gram not in number:
             if len(number) == len(_DIGITS) ** _PLACES:
-                return repeated(pieces, length)
+                return repeated(pieces, length, folder)
             number[gram] = _numbered(len(number))
         short.append(piece[:at] + number[gram] + piece[at + anchor :])
-    return repeated(short, length - anchor + 1 + _PLACES)
+    return repeated(short, length - anchor + 1 + _PLACES, folder)
 
 
 def _collect(length: int, anchor: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(h, own, a, b): windows a to b - 1 of a run are repeated; rows lie in order of their collection."""
+    """(h, own, a, b): windows a to b - 1 of a run are repeated; rows lie in order of their collection.
+
+    A collection's columns are external files of the task, in its own temporary
+    folder, which goes with it: nothing outside the task ever reads them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, rows = None, []
 
         def done() -> pa.RecordBatch:
             out = []
-            for (h, own, at, _), flags in zip(rows, repeats([r[3] for r in rows], length, anchor) if rows else [], strict=True):
+            with tempfile.TemporaryDirectory(prefix="columns-") as folder:
+                found = repeats([r[3] for r in rows], length, anchor, folder) if rows else []
+            for (h, own, at, _), flags in zip(rows, found, strict=True):
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
                 out += [(h, own, at + a, at + b) for a, b in edge.reshape(-1, 2).tolist()]
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], names=["h", "own", "a", "b"])
