@@ -82,13 +82,12 @@ def columnwise(strings: list[bytes], folder: str | None = None) -> tuple[np.ndar
         column = np.zeros(m + len(order), np.uint8)
         shared = np.zeros(m + len(order), np.uint16)
         column[:m] = bwt[:m]
-        old = m + np.flatnonzero(~fresh)
-        column[old], shared[old] = bwt[m:], lcp[m:]
+        stays = ~fresh
+        column[m:][stays], shared[m:][stays] = bwt[m:], lcp[m:]
         column[m + at] = new
         # Common prefixes change for new suffixes and for those right after one, where the first symbol is the same.
-        touched = np.unique(np.concatenate([at, at[at + 1 < len(order)] + 1]))
-        touched = touched[touched > 0]
-        same = touched[symbol[touched] == symbol[touched - 1]]
+        touched = fresh[1:] | fresh[:-1]
+        same = np.flatnonzero(touched & (symbol[1:] == symbol[:-1])) + 1
         shared[m + at] = 0
         shared[m + same] = _minima(lcp, order[same - 1] + 1, order[same] + 1) + 1
         transform.put(column)
