@@ -8,7 +8,8 @@ short strings, to collections of bounded size. There the Burrows-Wheeler
 transform and the common prefixes are built column by column, and a window
 whose suffix shares ``length`` bytes with a neighbour in sorted order is
 repeated. An anchor with very many different runs is split into single
-windows, spread by their hashes.
+windows: their hashes are counted, and of each that several runs have, two
+copies go to a collection, whose verdict then holds for all of them.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaitlake.llm import _text, _work
+from gaitlake.llm import _text, _windows, _work
 from gaitlake.llm._windows import super_windows
 from gaitlake.llm.collection import repeated
 
@@ -55,27 +56,50 @@ def _runs(length: int, anchor: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
 
 
 def _cut(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(spread, h, own, at, anchor offset, bytes) of the runs wanted from each (runs, text); those of split anchors window by window."""
+    """(h, own, split, bytes) of the runs wanted from each (runs, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in _text.blocks(batches):
-            rows: list[tuple[int, int, int, int, bytes]] = []
+            rows: list[tuple[int, int, bool, bytes]] = []
             for runs, a, b in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 raw = data[a:b].tobytes()
-                for r in runs:
-                    s, n = r["start"], r["n"]
-                    if r["split"]:
-                        for k in range(n):
-                            piece = raw[s + k : s + k + length]
-                            rows.append((int.from_bytes(sha256(piece).digest()[:8], "little", signed=True), r["h"], r["own"], k, piece))
-                    else:
-                        rows.append((r["h"], r["h"], r["own"], 0, raw[s : s + n + length - 1]))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["spread", "h", "own", "at", "piece"])
+                rows += [(r["h"], r["own"], r["split"], raw[r["start"] : r["start"] + r["n"] + length - 1]) for r in runs]
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["h", "own", "split", "piece"])
 
     return run
 
 
+def _hashed(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(spread, tail, h, own, k) of every window of (h, own, bytes) runs: two parts of its hash, its run and its place there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pieces = batch.column(2).to_pylist()
+            n = np.array([len(p) - length + 1 for p in pieces], np.int64)
+            digests = b"".join(sha256(p[k : k + length]).digest()[:16] for p in pieces for k in range(len(p) - length + 1))
+            spread, tail = np.frombuffer(digests, "<i8").reshape(-1, 2).T
+            h, own = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), n) for i in (0, 1))
+            columns = (spread, tail, h, own, np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c), pa.int64()) for c in columns], names=["spread", "tail", "h", "own", "k"])
+
+    return run
+
+
+def _places(pieces: list[bytes], length: int, anchor: int) -> Iterator[int]:
+    """Where each piece has its anchor. Pieces are taken in buffers that ``super_windows`` does not cut."""
+    offsets = np.cumsum([0, *map(len, pieces)])
+    at = 0
+    while at < len(pieces):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (1 << _windows.PLACE_BITS), "left")) - 1)
+        data = np.frombuffer(b"".join(pieces[at:to]), np.uint8)
+        doc, _, _, place, _ = super_windows(data, offsets[at : to + 1] - offsets[at], length, anchor)
+        if not np.array_equal(doc, np.arange(to - at)):
+            raise ValueError("a piece is not one run of windows")
+        yield from (place - offsets[at:to] + offsets[at]).tolist()
+        at = to
+
+
 def _numbered(k: int) -> bytes:
     out = []
     for _ in range(_PLACES):
@@ -90,15 +114,9 @@ def repeats(pieces: list[bytes], length: int, anchor: int, folder: str | None =
     A window holds all of its anchor, so pieces are compared with the anchor
     replaced by its number, which leaves far fewer columns to build.
     """
-    data = np.frombuffer(b"".join(pieces), np.uint8)
-    offsets = np.cumsum([0, *map(len, pieces)])
-    doc, start, n, place, _ = super_windows(data, offsets, length, anchor)
     number: dict[bytes, bytes] = {}
     short = []
-    for i, (d, p) in enumerate(zip(doc.tolist(), place.tolist(), strict=True)):
-        if d != i:
-            raise ValueError("a piece is not one run of windows")
-        piece, at = pieces[i], p - int(offsets[i])
+    for piece, at in zip(pieces, _places(pieces, length, anchor), strict=True):
         gram = piece[at : at + anchor]
         if gram not in number:
             if len(number) == len(_DIGITS) ** _PLACES:
@@ -109,7 +127,7 @@ def repeats(pieces: list[bytes], length: int, anchor: int, folder: str | None =
 
 
 def _collect(length: int, anchor: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(h, own, a, b): windows a to b - 1 of a run are repeated; rows lie in order of their collection.
+    """(one, two, split, a, b): windows a to b - 1 of a piece, counted from its ``at``, are repeated; rows lie in order of their collection.
 
     A collection's columns are external files of the task, in its own temporary
     folder, which goes with it: nothing outside the task ever reads them.
@@ -121,14 +139,15 @@ def _collect(length: int, anchor: int) -> Callable[[Iterator[pa.RecordBatch]], I
         def done() -> pa.RecordBatch:
             out = []
             with tempfile.TemporaryDirectory(prefix="columns-") as folder:
-                found = repeats([r[3] for r in rows], length, anchor, folder) if rows else []
-            for (h, own, at, _), flags in zip(rows, found, strict=True):
+                found = repeats([r[4] for r in rows], length, anchor, folder) if rows else []
+            for (one, two, split, at, _), flags in zip(rows, found, strict=True):
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
-                out += [(h, own, at + a, at + b) for a, b in edge.reshape(-1, 2).tolist()]
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], names=["h", "own", "a", "b"])
+                out += [(one, two, split, at + a, at + b) for a, b in edge.reshape(-1, 2).tolist()]
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["one", "two", "split", "a", "b"])
 
         for batch in batches:
-            for collection, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for collection, *row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if collection != last:
                     yield done()
                     last, rows = collection, []
@@ -184,20 +203,37 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     # Anchors whose runs are not all equal: only there can windows repeat beyond equal runs.
     mixed = kinds.groupBy("h").agg(F.count("*").alias("runs")).where("runs > 1")
     wanted = kinds.join(mixed, "h").select("at.*", "h", "own", (F.col("runs") > MOST_RUNS).alias("split"))
-    size = wanted.agg(F.coalesce(F.sum(F.when(F.col("split"), F.col("n") * length).otherwise(F.col("n") + length)), F.lit(0))).first()[0]
-    collections = max(1, -(-size // COLLECTION_BYTES))
+    size, split = wanted.agg(F.coalesce(F.sum(F.when(~F.col("split"), F.col("n") + length)), F.lit(0)), F.count(F.when(F.col("split"), 1))).first()
     wanted = wanted.groupBy("key").agg(F.collect_list(F.struct("h", "own", "start", "n", "split")).alias("runs"))
     texts = long.select(_key(F.col("text")).alias("key"), "text")
-    pieces = wanted.join(texts, "key").select("runs", "text").mapInArrow(_cut(length), "spread long, h long, own long, at long, piece binary")
-    # Repeated rows (id and text) give the same pieces more than once; they count as equal runs already.
-    pieces = pieces.select(F.pmod(F.xxhash64("spread"), F.lit(collections)).alias("collection"), "h", "own", "at", "piece").dropDuplicates(["collection", "h", "own", "at"])
+    cut = wanted.join(texts, "key").select("runs", "text").mapInArrow(_cut(length), "h long, own long, split boolean, piece binary")
+    # Repeated rows (id and text) give the same runs more than once; they count as equal runs already.
+    cut = _work.table(cut.dropDuplicates(["h", "own"]), "cut-runs")
+    _work.release(spark)
+    # A piece is named by two numbers: a run by its anchor's hash and its own, a split window by the two parts of its hash.
+    pieces = cut.where(~F.col("split")).select(F.col("h").alias("one"), F.col("own").alias("two"), "split", F.lit(0).cast("long").alias("at"), "piece")
+    if split:
+        windows = cut.where("split").select("h", "own", "piece").mapInArrow(_hashed(length), "spread long, tail long, h long, own long, k long")
+        # Equal windows have one anchor at one place in them, so a run has none twice: those that repeat have two values of own.
+        pairs = windows.groupBy("spread", "tail").agg(F.min("h").alias("h"), F.min("own").alias("own_0"), F.max("own").alias("own_1"), F.min_by("k", "own").alias("k_0"), F.max_by("k", "own").alias("k_1")).where("own_0 < own_1")
+        copies = F.array(*(F.struct(F.lit(i).cast("long").alias("at"), F.col(f"own_{i}").alias("own"), F.col(f"k_{i}").alias("k")) for i in (0, 1)))
+        pairs = pairs.select("spread", "tail", "h", F.explode(copies).alias("c")).select("spread", "tail", "h", "c.*").join(cut.where("split"), ["h", "own"])
+        pairs = _work.table(pairs.select(F.col("spread").alias("one"), F.col("tail").alias("two"), "split", "at", F.col("piece").substr((F.col("k") + 1).cast("int"), F.lit(length)).alias("piece")), "pairs")
+        pieces, size = pieces.union(pairs), size + pairs.count() * length
+    collections = max(1, -(-size // COLLECTION_BYTES))
+    pieces = pieces.select(F.pmod(F.xxhash64("one"), F.lit(collections)).alias("collection"), "one", "two", "split", "at", "piece")
     pieces = pieces.repartition(F.col("collection")).sortWithinPartitions("collection")
-    differing = _work.table(pieces.mapInArrow(_collect(length, anchor), "h long, own long, a long, b long"), "repeats")
+    differing = _work.table(pieces.mapInArrow(_collect(length, anchor), "one long, two long, split boolean, a long, b long"), "repeats")
     _work.release(spark)
 
     equal = kinds.where("times > 1").select("h", "own", F.lit(0).cast("long").alias("a"), F.col("at.n").cast("long").alias("b"))
     single = kinds.where("times = 1").select("h", "own")
-    spans = equal.union(differing.join(single, ["h", "own"], "left_semi"))
+    differs = differing.where(~F.col("split")).select(F.col("one").alias("h"), F.col("two").alias("own"), "a", "b")
+    if split:
+        # Both copies of a repeated window are found; the first one's verdict is taken.
+        twins = differing.where("split and a = 0").select(F.col("one").alias("spread"), F.col("two").alias("tail"))
+        differs = differs.union(windows.join(twins, ["spread", "tail"]).select("h", "own", F.col("k").alias("a"), (F.col("k") + 1).alias("b")))
+    spans = equal.union(differs.join(single, ["h", "own"], "left_semi"))
     found = shared.join(spans, ["h", "own"]).select("key", (F.col("start") + F.col("a")).cast("int").alias("start"), (F.col("start") + F.col("b")).cast("int").alias("end"))
     found = found.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     found = _work.table(found, "spans")

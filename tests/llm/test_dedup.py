@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from gaitlake.llm import components as cc
-from gaitlake.llm import near_dedup
+from gaitlake.llm import near_dedup, substrings
 from gaitlake.llm._windows import super_windows
 from gaitlake.llm.collection import columnwise, repeated
 from gaitlake.llm.near_dedup import block_links, near_duplicates
@@ -72,6 +72,52 @@ def test_repeats_number_anchors():
     assert [f.all() for f in repeats([a[:40], a[:40], b[:40]], 40, 20)] == [True, True, False]
 
 
+def test_split_windows_are_sent_twice_at_most(spark, monkeypatch):
+    """However many contexts a passage has, a collection gets two copies of its windows, and the verdict reaches all rows."""
+    monkeypatch.setattr(substrings, "MOST_RUNS", 3)
+    rng = random.Random(11)
+    line = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage = line(260)
+    rows = [(k, line(150) + passage + line(150)) for k in range(40)] + [(50, line(400))]
+    rows.append(rows[0])
+    collect = substrings._collect
+
+    def counted(length, anchor):
+        inner = collect(length, anchor)
+
+        def run(batches):
+            seen = Counter()
+
+            def each():
+                for batch in batches:
+                    seen.update(zip(batch.column("collection").to_pylist(), batch.column("piece").to_pylist(), strict=True))
+                    if max(seen.values(), default=0) > 2:
+                        raise ValueError("more than two copies in one collection")
+                    yield batch
+
+            return inner(each())
+
+        return run
+
+    monkeypatch.setattr(substrings, "_collect", counted)
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter((r[0], *e) for r, e in zip(rows, brute_removal([r[1] for r in rows], 200), strict=True))
+
+
+def test_repeats_of_many_pieces(monkeypatch):
+    """Also beyond the bytes that one call of super_windows takes uncut."""
+    rng = random.Random(4)
+    text = bytes(rng.choice(b"abcdefgh") for _ in range(1500))
+    data = np.frombuffer(text, np.uint8)
+    _, start, n, _, _ = super_windows(data, np.array([0, len(data)]), 40, 20)
+    pieces = [text[s : s + k + 39] for s, k in zip(start.tolist(), n.tolist(), strict=True)]
+    pieces.append(pieces[5])
+    want = [f.tolist() for f in repeats(pieces, 40, 20)]
+    assert sum(map(any, want)) == 2
+    monkeypatch.setattr("gaitlake.llm._windows.PLACE_BITS", 9)
+    assert [f.tolist() for f in repeats(pieces, 40, 20)] == want
+
+
 def test_empty_tables(none):
     assert remove_repeats(none).count() == 0
     assert near_duplicates(none).count() == 0
