@@ -37,7 +37,7 @@ KINDS = (
     # Runs of 24 or more are the runs of any length that pass the test on length.
     Kind("hex", r"[0-9a-f]{24,}", 0, 24, hint="[0-9a-f]{24}"),
     Kind("prefixed", r"\b(?:gh[oprsu]_|glpat-|xox[abprs]-|sk_live_|sk-|AIza)[A-Za-z0-9_-]+", 0, 20, base=False, hint="gh[oprsu]_|glpat-|xox|sk|AIza"),
-    Kind("mixed", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{0,40}[0-9])(?=[A-Za-z0-9+/_=-]{0,40}[A-Z])(?=[A-Za-z0-9+/_=-]{0,40}[a-z])[A-Za-z0-9+/_=-]{32,}", 0, 32, base=False, hint="[A-Za-z0-9+/_=-]{32}"),
+    Kind("mixed", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]*[0-9])(?=[A-Za-z0-9+/_=-]*[A-Z])(?=[A-Za-z0-9+/_=-]*[a-z])[A-Za-z0-9+/_=-]{32,}", 0, 32, base=False, hint="[A-Za-z0-9+/_=-]{32}"),
 )
 #: A value with more owners than this is a copied example.
 MOST_OWNERS = 2

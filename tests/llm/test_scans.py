@@ -75,6 +75,14 @@ def test_widely_copied_values_are_examples(spark):
     assert got[9]["n_assign"] == 0
 
 
+def test_mixed_values_are_judged_whole(spark):
+    """Also where the first digit, capital or small letter comes late, and in very long runs."""
+    late = ["aB" * 30 + "7", "x7" * 30 + "B", "X7" * 30 + "a", "aB" * 200_000 + "7"]
+    rows = [(k, f"key {v} end", "o", "r") for k, v in enumerate([*late, "aB" * 30])]
+    got = {r["doc_id"]: r["live_spans"] for r in scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()}
+    assert got == {**{k: f"mixed:4:{4 + len(v)}" for k, v in enumerate(late)}, len(late): ""}
+
+
 def brute_leaks(text, items):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
