@@ -598,15 +598,20 @@ def template_batch_fit(spark: SparkSession, sf: str) -> DataFrame:
     return embed.batch_template(points, "batch", n=5, sigma=2.0, bins=50).select("batch", "frame", "cluster")
 
 
+def _template(points: DataFrame) -> DataFrame:
+    """The whole table where a template takes it, else the frames of the smallest stride that fits."""
+    return ts.strided(points, max(1, -(-points.count() // embed.TEMPLATE_ROWS)))
+
+
 @register("embed_tsne")
 def embed_tsne(spark: SparkSession, sf: str) -> DataFrame:
     points = v.features(spark, sf)
-    return embed.Embedding().fit(ts.strided(points, 5)).predict(points)
+    return embed.Embedding().fit(_template(points)).predict(points)
 
 
 @register("kfold_reembed")
 def kfold_reembed(spark: SparkSession, sf: str) -> DataFrame:
-    model = embed.Embedding().fit(ts.strided(v.features(spark, sf), 5))
+    model = embed.Embedding().fit(_template(v.features(spark, sf)))
     return spark.createDataFrame(embed.kfold_errors(model, spark, [1, 3, 5]), "k int, mse double, distance double, accuracy double")
 
 

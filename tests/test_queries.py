@@ -29,3 +29,11 @@ def test_entry_runs_without_the_corpus_subpackage(spark):
 
     assert entry.entry(spark).limit(1).count() == 1
     assert set(registry.oracles()) <= set(registry.queries()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["embed_tsne", "kfold_reembed"])
+def test_template_is_the_whole_table(spark, monkeypatch, name):
+    seen = []
+    monkeypatch.setattr("gaitlake.operators.kernels.tsne", lambda x, *a, **b: (seen.append(len(x)), x[:, :2])[1])
+    registry.queries()[name](spark, SF).collect()
+    assert seen == [spark.read.parquet(f"{SF}/embeddings.parquet").count()]
