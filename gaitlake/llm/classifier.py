@@ -23,6 +23,7 @@ from gaitlake.llm import _text
 BITS = 20
 #: Bound of the labelled sample that the model is fitted on: the rows with the smallest hashes of their ids.
 TRAIN_ROWS = 8_000
+PASSES = 2
 
 
 def _kinds() -> np.ndarray:
@@ -83,43 +84,77 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[ids] @ values, -35, 35))))
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, passes: int = 2, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.0005, l2: float = 0.0) -> Model:
-    """Follow-the-regularised-leader over the rows in the order given. Without rows every score is one half."""
-    z, n = np.zeros(1 << bits), np.zeros(1 << bits)
-    zb = nb = 0.0
+class Learner:
+    """Follow-the-regularised-leader (proximal) state, of fixed size, fed with one row at a time."""
 
-    def weight(z: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return np.where(np.abs(z) <= l1, 0, (np.sign(z) * l1 - z) / ((beta + np.sqrt(n)) / alpha + l2))
+    def __init__(self, bits: int = BITS, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.0005, l2: float = 0.0) -> None:
+        self.bits, self.alpha, self.beta, self.l1, self.l2 = bits, alpha, beta, l1, l2
+        self.z, self.n = np.zeros(1 << bits), np.zeros(1 << bits)
+        self.zb = self.nb = 0.0
 
+    def _weight(self, z: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.where(np.abs(z) <= self.l1, 0, (np.sign(z) * self.l1 - z) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
+
+    def _bias(self) -> float:
+        return -self.zb / ((self.beta + np.sqrt(self.nb)) / self.alpha)
+
+    def feed(self, ids: np.ndarray, values: np.ndarray, label: int) -> None:
+        w, bias, n = self._weight(self.z[ids], self.n[ids]), self._bias(), self.n[ids]
+        wrong = 1 / (1 + np.exp(-np.clip(bias + w @ values, -35, 35))) - label
+        g = wrong * values
+        self.z[ids] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
+        self.n[ids] += g * g
+        self.zb += wrong - (np.sqrt(self.nb + wrong * wrong) - np.sqrt(self.nb)) / self.alpha * bias
+        self.nb += wrong * wrong
+
+    def model(self) -> Model:
+        return Model(self._weight(self.z, self.n).astype(np.float32), float(self._bias()), self.bits)
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, passes: int = PASSES) -> Model:
+    """The model after ``passes`` passes over the rows in the order given. Without rows every score is one half."""
+    learner = Learner(bits)
     for _ in range(passes):
-        for ids, values, label in rows:
-            w = weight(z[ids], n[ids])
-            bias = -zb / ((beta + np.sqrt(nb)) / alpha)
-            p = 1 / (1 + np.exp(-np.clip(bias + w @ values, -35, 35)))
-            g = (p - label) * values
-            sigma = (np.sqrt(n[ids] + g * g) - np.sqrt(n[ids])) / alpha
-            z[ids] += g - sigma * w
-            n[ids] += g * g
-            g = p - label
-            zb += g - (np.sqrt(nb + g * g) - np.sqrt(nb)) / alpha * bias
-            nb += g * g
-    return Model(weight(z, n).astype(np.float32), float(-zb / ((beta + np.sqrt(nb)) / alpha)), bits)
+        for row in rows:
+            learner.feed(*row)
+    return learner.model()
 
 
 def _featurise(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in _text.blocks(batches):
             found = features(data, offsets, bits)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary())], names=["label", "ids", "values"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary())], names=[*batch.schema.names[:-1], "ids", "values"])
 
     return run
 
 
-def fit(labelled: DataFrame, text_col: str, label_col: str, order: Column, rows: int = TRAIN_ROWS, bits: int = BITS) -> Model:
-    """Fits on the ``rows`` rows that come first in ``order``, a documented bound, so the driver's share does not grow with the corpus. Rows with a null label are left out."""
-    some = labelled.where(F.col(label_col).isNotNull()).select(F.col(label_col).cast("int").alias("label"), F.col(text_col).cast("string").alias("text"), order.alias("o")).orderBy("o", "label", F.xxhash64("text")).limit(rows)
-    held = some.select("label", "text", "o").mapInArrow(_featurise(bits), "label int, ids binary, values binary").toPandas()
-    return train([(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32), y) for y, i, v in zip(held["label"], held["ids"], held["values"], strict=True)], bits)
+def _learn(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One row of the weights that (label, ids, values) rows leave, fed in the order in which they come."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner = Learner(bits)
+        for batch in batches:
+            for label, ids, values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                learner.feed(np.frombuffer(ids, np.int32), np.frombuffer(values, np.float32), label)
+        model = learner.model()
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], names=["weights", "bias"])
+
+    return run
+
+
+def fit(labelled: DataFrame, text_col: str, label_col: str, order: Column, rows: int = TRAIN_ROWS, bits: int = BITS, passes: int = PASSES) -> Model:
+    """Fits on the ``rows`` rows that come first in ``order``, a documented bound. Rows with a null label are left out.
+
+    Features are made where the texts lie. One task then learns, as a stream:
+    it holds the weights and a batch of rows, each of at most 2**bits
+    features, and the driver gets the weights alone.
+    """
+    some = labelled.where(F.col(label_col).isNotNull()).select(F.col(label_col).cast("int").alias("label"), order.alias("o"), F.xxhash64(F.col(text_col).cast("string")).alias("t"), F.col(text_col).cast("string").alias("text"))
+    some = some.mapInArrow(_featurise(bits), "label int, o long, t long, ids binary, values binary").orderBy("o", "label", "t").limit(rows)
+    each = some.withColumn("pass", F.explode(F.sequence(F.lit(1), F.lit(passes)))).repartition(1).sortWithinPartitions("pass", "o", "label", "t")
+    learned = each.select("label", "ids", "values").mapInArrow(_learn(bits), "weights binary, bias double").first()
+    return Model(np.frombuffer(learned[0], np.float32), learned[1], bits) if learned else Learner(bits).model()
 
 
 def _score(model: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
