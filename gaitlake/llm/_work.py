@@ -17,6 +17,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; a temporary folder only where that is unset (tests, one machine)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="gaitlake-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -28,13 +31,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; what is written there goes when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made[path] = spark
+    return path
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Writes the rows as Parquet in the shared folder and reads them back: cheap to read in part, and safe from lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = place(df.sparkSession, name)
     df.write.parquet(path)
-    _made[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop(df: DataFrame) -> None:
