@@ -6,12 +6,17 @@ evaluations yield ``2p`` lanes; both agree between two documents with a
 probability that equals their Jaccard similarity. Lanes are cut into bands,
 and documents that share a band are candidates.
 
-Links are then confirmed on the full sets. A band's bucket is not expanded
+The nodes of the graph are the distinct sets, whatever ids their documents
+have. Links are confirmed on the full sets. A band's bucket is not expanded
 into pairs: its members are first compared with three leaders (a number of
-rows linear in the bucket), linked documents are merged, and only buckets that
-still hold several components go on, in blocks of bounded size compared inside
+rows linear in the bucket), linked sets are merged, and only buckets that
+still hold several components go on, in blocks of bounded bytes compared inside
 a task, which give back no more links than join components. So the components
 are those of *all* confirmed links between candidates, at any bucket size.
+
+Buckets, leaders, components and copies may be very large. What belongs to
+those above a size that leaves at most HOT_KEYS of them is broadcast, all else
+is joined by key, so no task gets a large group.
 """
 
 from __future__ import annotations
@@ -25,12 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaitlake.llm import _text, _work
-from gaitlake.llm.components import components, roots
+from gaitlake.llm.components import components
 
 #: Lanes in a band and number of bands. A pair at similarity 0.8 shares no band with a probability of (1 - 0.8**4)**32, 5e-8.
 ROWS, BANDS = 4, 32
-#: Most rows of either side that one block comparison holds.
-BLOCK = 256
+#: Shingles of either side that one block comparison holds, on average.
+BLOCK = 1 << 20
+#: Most groups that are broadcast for being large, and the size from which on a group may be one of them.
+HOT_KEYS, HOT_ROWS = 100_000, 500
 
 Sets = Callable[[pa.Array], list[np.ndarray]]
 
@@ -67,28 +74,34 @@ def _multipliers(n: int) -> np.ndarray:
     return (odd >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
-def band_keys(members: np.ndarray, rows: int = ROWS, bands: int = BANDS) -> np.ndarray:
-    """One 64-bit key for each band of the min-max signature."""
+def lanes(members: np.ndarray, n: int = ROWS * BANDS) -> np.ndarray:
+    """Min-max signature: the smallest values under ``n`` / 2 permutations, then the largest."""
     low = (members >> np.uint64(32)).astype(np.uint32)
-    half = rows * bands // 2
-    factors = _multipliers(half)
-    smallest, largest = np.full(half, 0xFFFFFFFF, np.uint32), np.zeros(half, np.uint32)
+    factors = _multipliers(n // 2)
+    smallest, largest = np.full(n // 2, 0xFFFFFFFF, np.uint32), np.zeros(n // 2, np.uint32)
     for at in range(0, len(low), 4096):
         permuted = low[at : at + 4096] * factors[:, None]
         np.minimum(smallest, permuted.min(1), out=smallest)
         np.maximum(largest, permuted.max(1), out=largest)
-    lanes = np.concatenate([smallest, largest]).astype(np.uint64)
-    # Lanes of one permutation go to different bands.
-    return _text.mix(_text.mix(lanes.reshape(rows, bands) + np.uint64(1)).sum(0) * np.uint64(_text.MULTIPLIER) + np.arange(bands, dtype=np.uint64))
+    return np.concatenate([smallest, largest])
+
+
+def band_keys(members: np.ndarray, rows: int = ROWS, bands: int = BANDS) -> np.ndarray:
+    """One 64-bit key for each band of the signature; lanes of one permutation go to different bands."""
+    low, high = np.split(lanes(members, rows * bands).astype(np.uint64), 2)
+    held = _text.mix(np.concatenate([low, np.roll(high, 1)]).reshape(rows, bands) + np.uint64(1))
+    return _text.mix(held.sum(0) * np.uint64(_text.MULTIPLIER) + np.arange(bands, dtype=np.uint64))
 
 
 def _signatures(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The columns before the text, and each text's set: its size, digest and bands."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, _, _ in _text.blocks(batches):
-            sets = shingle_sets(batch.column(1), width)
+            sets = shingle_sets(batch.column(3), width)
             keys = [band_keys(s).astype(np.int64) if len(s) else None for s in sets]
             digest = [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "k1", "k2", "n", "digest", "bands"])
 
     return run
 
@@ -105,7 +118,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _check_pairs(width: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows of (a, b, text_a, text_b) that lie in order of a: keeps the linked pairs."""
+    """Rows of (a, b, text_a, text_b), equal ones of a together: keeps the linked pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
@@ -178,47 +191,42 @@ def _check_blocks(width: int, percent: int) -> Callable[[Iterator[pa.RecordBatch
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """(id, n_shingles, component_id, kept) for every row of ``docs``.
+def _with(rows: DataFrame, facts: DataFrame, key: str, most: int) -> DataFrame:
+    """Joins what ``facts`` has of each ``key``; keys of more than ``most`` rows (its column ``m``) are broadcast: by the choice of ``most`` they are few, and none is gathered in a task."""
+    large = F.broadcast(facts.where(F.col("m") > most))
+    small = rows.join(large.select(key), key, "left_anti").join(facts.where(F.col("m") <= most), key)
+    return rows.join(large, key).unionByName(small)
 
-    A document is the set of its ``width``-word shingles (words between white
-    space, A-Z lower-cased); one with fewer words is a single shingle; one
-    without words, or null, is empty and linked with nothing. Two documents
-    are linked if 100 * shared >= percent * all shingles. ``component_id`` is
-    the smallest id that links lead to, the row's own included, and ``kept``
-    marks the row that carries it. Repeated rows with one id stay repeated and
-    get the same component; rows with a null id are returned with null
-    ``component_id`` if nothing links them. Other columns, whatever their
-    names, are ignored. An empty table gives an empty result.
-    """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = _work.table(docs.mapInArrow(_signatures(width), "id long, n long, digest binary, bands array<long>"), "signatures")
-    # Equal sets stand for each other from here on.
-    alike = signed.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("n").alias("n"))
-    alike = _work.table(alike, "sets")
 
-    bands = alike.select(F.posexplode("bands").alias("band", "hash"), F.struct(F.col("rep").alias("id"), "n").alias("own")).select(F.xxhash64("band", "hash").alias("key"), "own")
-    third = F.min(F.struct(F.xxhash64("own.id").alias("h"), "own"))["own"]
-    buckets = bands.groupBy("key").agg(F.count("*").alias("m"), F.array_distinct(F.array(F.min("own"), F.max("own"), third)).alias("leaders")).where("m > 1")
-    members = _work.table(bands.join(buckets, "key"), "buckets")
-    texts = docs.join(members.select(F.col("own.id").alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
-    texts = _work.table(texts, "texts")
+def _most(rows: int) -> int:
+    """Size above which there are HOT_KEYS groups at most."""
+    return max(HOT_ROWS, rows // HOT_KEYS)
 
+
+def _leader_links(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Confirmed links of bucket members with their buckets' leaders."""
     pairs = members.select("own", F.explode("leaders").alias("leader"))
     near = 100 * F.least("own.n", "leader.n") >= percent * F.greatest("own.n", "leader.n")
-    pairs = pairs.where((F.col("own.id") != F.col("leader.id")) & near).select(F.least("own.id", "leader.id").alias("a"), F.greatest("own.id", "leader.id").alias("b")).distinct()
-    pairs = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    pairs = pairs.select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
-    links = _work.table(pairs.mapInArrow(_check_pairs(width, percent), "a long, b long"), "links")
-    joined = _work.table(components(links), "joined")
-
-    rest = members.where("m > 2 and not array_contains(leaders, own)").select("key", "own.id")
-    rest = rest.join(joined.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    parts = rest.groupBy("key", "component").agg(F.count("*").alias("m"))
-    mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("m").alias("all"), F.max(F.struct("m", "component")).alias("most")).where("parts > 1")
-    mixed = mixed.select("key", F.col("most.component").alias("giant"), F.ceil(F.col("most.m") / BLOCK).alias("blocks1"), F.ceil((F.col("all") - F.col("most.m")) / BLOCK).alias("blocks0"))
+    pairs = _work.table(pairs.where((F.col("own.id") != F.col("leader.id")) & near).select(F.col("leader.id").alias("a"), F.col("own.id").alias("b")).distinct(), "pairs")
+    most = _most(pairs.count())
+    # A leader of very many pairs is dealt out, with its text, to as many places as it needs.
+    dealt = F.broadcast(pairs.groupBy("a").agg(F.ceil(F.count("*") / most).alias("places")).where("places > 1"))
+    places = F.coalesce("places", F.lit(1).cast("long"))
+    first = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).join(dealt, "a", "left").select("a", "text_a", F.explode(F.sequence(F.lit(0).cast("long"), places - 1)).alias("place"))
+    second = pairs.join(dealt, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), places).alias("place")).join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    pairs = second.join(first, ["a", "place"]).select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
+    return _work.table(pairs.mapInArrow(_check_pairs(width, percent), "a long, b long"), "links")
+
+
+def _block_links(members: DataFrame, joined: DataFrame, texts: DataFrame, width: int, percent: int, most: int) -> DataFrame:
+    """Confirmed links within buckets that hold several components, in blocks."""
+    rest = members.where("m > 2 and not array_contains(leaders, own)").select("key", "own.id", "own.n")
+    rest = _work.table(rest.join(joined.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component")), "rest")
+    parts = rest.groupBy("key", "component").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("m").alias("m"), F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("giant")).where("parts > 1")
+    mixed = _work.table(mixed.select("key", "m", F.col("giant.component").alias("giant"), F.ceil(F.col("giant.n") / BLOCK).alias("blocks1"), F.ceil((F.col("all") - F.col("giant.n")) / BLOCK).alias("blocks0")), "mixed")
     # Side 1: blocks of the bucket's largest component, which need no comparison with each other. Side 0: blocks of all other rows.
-    rest = rest.join(mixed, "key").withColumn("side", (F.col("component") == F.col("giant")).cast("int"))
+    rest = _with(rest, mixed, "key", most).withColumn("side", (F.col("component") == F.col("giant")).cast("int"))
     rest = rest.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("side") == 1, F.col("blocks1")).otherwise(F.col("blocks0"))))
     every = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     as_first = F.transform(every(F.col("blocks1")), lambda k: F.struct(F.col("own").alias("i"), (-k - 1).alias("j"), F.lit(0).alias("side")))
@@ -228,9 +236,80 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     work = work.select(F.xxhash64("key", "w.i", "w.j").alias("block"), "id", "component", F.col("w.side").alias("side"))
     work = work.join(texts, "id").select("block", "id", "component", "side", "text")
     work = work.repartition(F.col("block")).sortWithinPartitions("block")
-    more = _work.table(work.mapInArrow(_check_blocks(width, percent), "a long, b long"), "links")
+    return _work.table(work.mapInArrow(_check_blocks(width, percent), "a long, b long"), "links")
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, k1, k2, text): two hashes of the text tell the texts of one id (or of none) apart."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), text.alias("text"))
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """(id, k1, k2, n, component_id, group) for every row; ``group`` numbers the components and is null for the empty set."""
+    docs = _keyed(docs, id_col, text_col)
+    signed = _work.table(docs.mapInArrow(_signatures(width), "id long, k1 long, k2 long, n long, digest binary, bands array<long>"), "signatures")
+    # Equal sets stand for each other from here on: for one of the rows, that with the smallest id.
+    row = F.min(F.struct(F.col("id").isNull(), "id", "k1", "k2"))
+    alike = signed.where("digest is not null").groupBy("digest").agg(F.count("*").alias("m"), row.alias("row"), F.first("bands").alias("bands"), F.first("n").alias("n"))
+    alike = _work.table(alike.select(F.monotonically_increasing_id().alias("node"), "digest", "m", "row.id", "row.k1", "row.k2", "bands", "n"), "sets")
+    nodes, rows = alike.agg(F.count("*"), F.coalesce(F.sum("m"), F.lit(0))).first()
+    most = _most(BANDS * nodes)
+
+    bands = alike.select(F.posexplode("bands").alias("band", "hash"), F.struct(F.col("node").alias("id"), "n").alias("own")).select(F.xxhash64("band", "hash").alias("key"), "own")
+    third = F.min(F.struct(F.xxhash64("own.id").alias("h"), "own"))["own"]
+    buckets = bands.groupBy("key").agg(F.count("*").alias("m"), F.array_distinct(F.array(F.min("own"), F.max("own"), third)).alias("leaders")).where("m > 1")
+    members = _work.table(_with(bands, _work.table(buckets, "buckets"), "key", most), "members")
+    wanted = alike.select("node", F.col("id").alias("_id"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).join(members.select(F.col("own.id").alias("node")).distinct(), "node", "left_semi")
+    texts = docs.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))).groupBy("node").agg(F.first("text").alias("text"))
+    texts = _work.table(texts.withColumnRenamed("node", "id"), "texts")
+
+    links = _leader_links(members, texts, width, percent)
+    joined = _work.table(components(links), "joined")
+    more = _block_links(members, joined, texts, width, percent, most)
     ends = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
-    ends = signed.select("id", "n", "digest").join(alike.select("digest", "rep"), "digest", "left").join(ends.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep", "id")
-    return ends.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    ends = alike.select("node", "digest", "m", "id").join(ends, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component", "node")
+    ends = _work.table(ends, "ends")
+    least = ends.groupBy("group").agg(F.count("*").alias("m"), F.min("id").alias("component_id"))
+    ends = _with(ends.select("digest", "group", F.col("m").alias("copies")), least, "group", _most(nodes)).select("digest", "group", "component_id", F.col("copies").alias("m"))
+    full = _with(signed.where("digest is not null").drop("bands"), _work.table(ends, "ends"), "digest", _most(rows)).select("id", "k1", "k2", "n", "component_id", "group")
+    return full.unionByName(signed.where("digest is null").select("id", "k1", "k2", "n", F.col("id").alias("component_id"), F.lit(None).cast("long").alias("group")))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """(id, n_shingles, component_id, kept) for every row of ``docs``.
+
+    A document is the set of its ``width``-word shingles (words between white
+    space, A-Z lower-cased); one with fewer words is a single shingle; one
+    without words, or null, is empty and linked with nothing. Two documents
+    are linked if 100 * shared >= percent * all shingles; a very long text is
+    a large set like any other. ``component_id`` is the smallest id that links
+    lead to, the row's own included, and ``kept`` marks the rows that carry it.
+    Repeated rows stay repeated and get the same component. Rows that share an
+    id but not their text are documents of their own, with their own links;
+    ids may be null: such rows link like others, and where no row of a
+    component has an id, ``component_id`` is null and its rows are kept. Other
+    columns, whatever their names, are ignored. An empty table gives an empty
+    result.
+    """
+    found = groups(docs, id_col, text_col, width, percent)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group one row, that with the smallest id (null last), and every row without words."""
+    found = _work.table(groups(docs, id_col, text_col, width, percent).where("group is not null").select("group", F.col("id").isNull().alias("none"), "id", "k1", "k2"), "groups")
+    rows = found.groupBy("none", "id", "k1", "k2").agg(F.count("*").alias("times"), F.first("group").alias("group"))
+    rows = _work.table(rows, "rows")
+    kept = rows.groupBy("group").agg(F.count("*").alias("m"), F.min(F.struct("none", "id", "k1", "k2")).alias("kept"))
+    rows = _with(rows, kept, "group", _most(rows.count())).withColumn("first", F.struct("none", "id", "k1", "k2") == F.col("kept"))
+    names = docs.columns
+    keyed = docs.withColumns({"_k1": F.xxhash64(F.col(text_col).cast("string")), "_k2": F.xxhash64(F.lit(1), F.col(text_col).cast("string"))})
+    of = lambda d: keyed[id_col].cast("long").eqNullSafe(d["id"]) & (keyed["_k1"] == d["k1"]) & (keyed["_k2"] == d["k2"])
+    lost = _work.table(rows.where("not first or times > 1").select("id", "k1", "k2", "first"), "lost")
+    out = keyed.join(lost, of(lost), "left_anti")
+    again = lost.where("first")
+    if not again.isEmpty():
+        out = out.unionByName(keyed.join(again, of(again), "left_semi").dropDuplicates([id_col, "_k1", "_k2"]))
+    return out.select(*names)
