@@ -1,22 +1,27 @@
 """Personal data: patterns, and a skip-chain conditional random field over tokens.
 
-Patterns give the base spans, which are always kept. The field labels the
-tokens of a document that hold a digit or an at sign (all others are fixed to
-"outside", and enter as context): neighbours are linked, and so are distant
-tokens that repeat or differ in their marks only. Linked tokens share
-potentials, and loopy message passing over chain and skip links makes a
-document's labels agree. Runs of tokens that the field labels and no base span
-touches are added, such as a phone number and a card number that a pattern
-took for one.
-
-The field is trained piecewise on the base spans of a bounded sample of
-documents: token weights by multinomial logistic regression, link potentials
-from how often linked tokens carry which labels.
+Patterns give the base spans, which are always kept. The field labels tokens
+that hold a digit or an at sign, and capitalised words that follow a form of
+address, are part of an e-mail address of the document, or repeat such a word;
+all others are "outside" and enter as context. Neighbours are linked, and so
+are distant tokens that repeat each other or are similar: the same letters and
+digits, or the same last seven digits. Linked tokens share potentials, and
+loopy message passing over chain and skip links makes a document's labels
+agree: a number that is clearly a phone number once is one wherever it recurs.
+Runs of tokens that the field labels and no base span touches are added.
+
+The field is trained on a bounded sample of documents, by the gradient of the
+joint likelihood that message passing gives. Base spans and forms of address
+give the labels; those of other tokens are unknown and summed over. Features
+are left out at random, so that links learn to speak where a token alone does
+not say enough; in a corpus without repeats they keep the prior that linked
+tokens agree.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from hashlib import sha256
@@ -29,10 +34,17 @@ from pyspark.sql import functions as F
 from gaitlake.llm import _text
 
 KINDS = ("email", "ip", "card", "phone")
-#: Bound of the sample of documents that the field is trained on, by the hash of their texts.
-TRAIN_DOCS = 6000
+#: What the field labels: the base kinds, and names, which no pattern finds.
+LABELS = (*KINDS, "name")
+#: Bounds of the sample that the field is trained on: documents, by the hash of their texts, and their tokens.
+TRAIN_DOCS, TRAIN_TOKENS = 6000, 30_000
 FEATURE_BITS = 14
-ROUNDS, DAMPING = 10, 0.5
+#: Messages pass until none changes by more than SETTLED, at most ROUNDS times.
+ROUNDS, SETTLED, DAMPING = 50, 1e-3, 0.3
+#: Prior potential of linked tokens with one label, along skip links.
+AGREE = 5.0
+#: Prior evidence of any token for being outside.
+OUTSIDE = 2.0
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A digit run that fails at its start fails everywhere within, so matches begin at run starts.
@@ -41,6 +53,11 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _MARKED = re.compile(r"[0-9@]")
+_NAME = re.compile(r"(?:Mr|Mrs|Ms|Dr|Prof|Dear)\.?[\x20\x09-\x0D]+(?=[A-Z])")
+#: Numbers that may be personal although no base span covers them.
+_NUMBER = re.compile(r"\+?\(?(?:[0-9][().-]*){7,}")
+_ADDRESS = re.compile(rb"(?:Mrs?|Ms|Dr|Prof|Dear)\.?[\x20\x09-\x0D]")
+_CAPITAL = re.compile(r"[A-Z][a-z'-]+[.,;:!?]*")
 
 Span = tuple[int, int, int]
 
@@ -90,58 +107,71 @@ def doubtful(text: str) -> list[Span]:
 def _shape(token: str) -> str:
     """Letters as a, digits as 9, runs shortened to their length class; marks as they are."""
     out = []
-    for m in re.finditer(r"[0-9]+|[A-Za-z\u0080-\U0010ffff]+|.", token[:200], re.S):
+    for m in re.finditer(r"[0-9]+|[A-Za-z\u0080-\U0010ffff]+|.", token, re.S):
         kind = "9" if m[0][0] in "0123456789" else "a" if len(m[0]) > 1 or m[0].isalpha() else m[0]
         out.append(kind if kind not in "9a" else kind + str(min(len(m[0]), 20 if kind == "9" else 2)))
-    return "".join(out[:24])
+    return "".join(out)
 
 
 @dataclass
 class Tokens:
-    """The marked tokens of one document: spans, feature ids, chain and skip links between them."""
+    """The labelled tokens of one document: spans, feature ids, which follow a form of address, chain and skip links between them."""
 
     spans: list[tuple[int, int]]
     features: list[list[int]]
+    addressed: list[bool]
     chain: list[tuple[int, int]]
     skip: list[tuple[int, int]]
 
 
 def _hash(text: str) -> int:
-    value = 0xCBF29CE484222325
-    for byte in text.encode("utf-8", "surrogatepass"):
-        value = (value ^ byte) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-    return (value ^ value >> 29) & ((1 << FEATURE_BITS) - 1)
+    return zlib.crc32(text.encode("utf-8", "surrogatepass")) >> (32 - FEATURE_BITS)
 
 
-def tokens(text: str) -> Tokens:
-    """Skip links join each token with the next one that repeats it, or has the same letters and digits: as many links as tokens."""
-    spans, features, chain, skip = [], [], [], []
-    before, last_index, last_end, seen = "^", -2, 0, {}
+#: Features that every number and every word have, each of its sort.
+ALWAYS = [_hash("number"), _hash("word")]
+
+
+def _form(token: str) -> str:
+    return "".join(c for c in token if c.isalnum()).lower()
+
+
+def tokens(text: str, base: list[Span]) -> Tokens:
+    """Skip links join each token with the first one like it, so evidence passes between any two in two steps and there are as many links as tokens."""
+    addressed = {m.end() for m in _NAME.finditer(text)}
+    parts = {p.lower() for a, b, k in base if k == 0 for p in re.split("[^A-Za-z]+", text[a:b].partition("@")[0]) if len(p) >= 3}
+    names = parts | {_form(_TOKEN.match(text, at)[0]) for at in addressed}
+    out = Tokens([], [], [], [], [])
+    before, last_index, seen = "^", -2, {}
     pending: list[int] | None = None
     for index, m in enumerate(_TOKEN.finditer(text)):
         token = m[0]
         marked = bool(_MARKED.search(token))
-        shape = _shape(token) if marked else "w"
+        form = _form(token) if marked or names and token[0].isupper() else ""
+        named = not marked and form in names and bool(_CAPITAL.fullmatch(token))
+        shape = _shape(token) if marked else "N" if named else "w"
         if pending is not None:
-            pending.append(_hash(f"n{shape}"))
+            pending.append(_hash(f"mn{shape}"))
             pending = None
-        if marked:
+        if marked or named:
             digits = re.sub("[^0-9]", "", token)
-            own = [_hash(f"s{shape}"), _hash(f"p{before}"), _hash(f"d{min(len(digits), 24)}"), _hash(f"l{len(digits) >= 12 and luhn(digits)}{'@' in token}{token[:1] in '+('}")]
-            spans.append((m.start(), m.end()))
-            features.append(own)
-            pending = own
-            k = len(spans) - 1
+            if named:
+                own = [ALWAYS[1], _hash(f"wc{m.start() in addressed}{form in parts}")]  # nothing else: all words whose label is known are names
+            else:
+                own = [ALWAYS[0], _hash(f"ms{shape}"), _hash(f"mp{before}"), _hash(f"md{min(len(digits), 24)}"), _hash(f"ml{len(digits) >= 12 and luhn(digits)}{'@' in token}{token[:1] in '+('}")]
+            k = len(out.spans)
+            out.spans.append((m.start(), m.end()))
+            out.features.append(own)
+            out.addressed.append(named and m.start() in addressed)
+            pending = own if marked else None
             if last_index == index - 1:
-                chain.append((k - 1, k))
-            same = "".join(c for c in token if c.isalnum())
-            if len(same) >= 4:
-                if same in seen:
-                    skip.append((seen[same], k))
-                seen[same] = k
+                out.chain.append((k - 1, k))
+            for key in {form if len(form) >= 4 or named else "", digits[-7:] if len(digits) >= 7 else ""} - {""}:
+                if seen.setdefault(key, k) != k and (seen[key], k) not in out.skip[-2:]:
+                    out.skip.append((seen[key], k))
             last_index = index
         before = shape
-    return Tokens(spans, features, chain, skip)
+    return out
 
 
 def labels(found: list[tuple[int, int]], base: list[Span]) -> list[int]:
@@ -155,102 +185,174 @@ def labels(found: list[tuple[int, int]], base: list[Span]) -> list[int]:
     return out
 
 
+@dataclass(frozen=True)
+class Graph:
+    """Tokens of many documents: feature ids and the token of each, number of tokens, links, and their kind (0 chain, 1 skip)."""
+
+    features: np.ndarray
+    owner: np.ndarray
+    n: int
+    links: np.ndarray
+    kind: np.ndarray
+
+    @classmethod
+    def of(cls, documents: list[tuple[list[list[int]], list[tuple[int, int]], list[tuple[int, int]]]]) -> Graph:
+        """From (features, chain, skip) of each document."""
+        first = np.cumsum([0, *(len(d[0]) for d in documents)])
+        every = [f for d in documents for f in d[0]]
+        links = [(a + at, b + at) for d, at in zip(documents, first.tolist(), strict=False) for pairs in d[1:] for a, b in pairs]
+        kind = [k for d in documents for k, pairs in enumerate(d[1:]) for _ in pairs]
+        flat = np.array([x for f in every for x in f], int)
+        return cls(flat, np.repeat(np.arange(len(every)), [len(f) for f in every]) if every else flat, len(every), np.array(links, int).reshape(-1, 2), np.array(kind, int))
+
+
+def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis, keepdims=True)
+    return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
+
+
 @dataclass(frozen=True)
 class Field:
-    """Weights (features x labels) and the potentials of chain and skip links (labels x labels)."""
+    """Weights (features x labels) and the potentials of chain and skip links (2 x labels x labels)."""
 
     weights: np.ndarray
-    chain: np.ndarray
-    skip: np.ndarray
-
-    def marginals(self, features: np.ndarray, owner: np.ndarray, n: int, edges: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        """Beliefs of ``n`` tokens after ROUNDS of damped loopy sum-product over the links, all documents of a batch at once."""
-        unary = np.zeros((n, self.weights.shape[1]))
-        np.add.at(unary, owner, self.weights[features])
-        if not len(edges):
-            return unary
-        source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
-        back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-        pair = np.stack([self.chain, self.skip])
-        potential = np.concatenate([pair[kind], pair[kind].transpose(0, 2, 1)])
-        message = np.zeros((len(source), unary.shape[1]))
-        for _ in range(ROUNDS):
+    pair: np.ndarray
+
+    def unary(self, g: Graph, held: np.ndarray | None = None) -> np.ndarray:
+        """Evidence of each token alone; ``held`` tells which of its features count."""
+        out = np.zeros((g.n, self.weights.shape[1]))
+        if held is None:
+            np.add.at(out, g.owner, self.weights[g.features])
+        else:
+            np.add.at(out, g.owner[held], self.weights[g.features[held]])
+        return out
+
+    def marginals(self, g: Graph, unary: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of each token's and each link's labels, by loopy sum-product until messages settle; exact where links form no loop."""
+        m = len(g.links)
+        source, target = np.concatenate([g.links, g.links[:, ::-1]]).T
+        back = np.concatenate([np.arange(m) + m, np.arange(m)])
+        potential = np.concatenate([self.pair[g.kind], self.pair[g.kind].transpose(0, 2, 1)])
+        message = np.zeros((2 * m, unary.shape[1]))
+        belief = unary
+        for _ in range(rounds if m else 0):
+            new = _log_sum((belief[source] - message[back])[:, :, None] + potential, 1)
+            new = DAMPING * message + (1 - DAMPING) * (new - new.max(1, keepdims=True))
+            change = np.abs(new - message).max()
+            message = new
             belief = unary.copy()
             np.add.at(belief, target, message)
-            into = (belief[source] - message[back])[:, :, None] + potential
-            top = into.max(1)
-            new = top + np.log(np.exp(into - top[:, None]).sum(1))
-            new -= new.max(1, keepdims=True)
-            message = DAMPING * message + (1 - DAMPING) * new
-        belief = unary.copy()
-        np.add.at(belief, target, message)
-        return belief
-
-
-def _association(pairs: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """Logarithm of how much more often linked labels occur than independent ones would, smoothed and bounded."""
-    n = len(share)
-    counts = np.full((n, n), 0.5) * share[:, None] * share[None] * n
-    np.add.at(counts, (pairs[:, 0], pairs[:, 1]), 1.0)
-    return np.clip(np.log(counts / counts.sum() / (share[:, None] * share[None])), -3, 3)
-
-
-def fit(rows: list[tuple[list[list[int]], list[int], list[tuple[int, int]], list[tuple[int, int]]]], passes: int = 12, rate: float = 0.3) -> Field:
-    """Piecewise training on (features, labels, chain, skip) of documents, leaving out tokens labelled -1; without rows nothing is ever labelled."""
-    n = 1 + len(KINDS)
+            if change < SETTLED:
+                break
+        out = (belief[source[:m]] - message[m:])[:, :, None] + (belief[target[:m]] - message[:m])[:, None, :] + potential[:m]
+        pairs = np.exp(out - _log_sum(out.reshape(m, out.shape[1] * out.shape[2]), 1)[:, None, None]) if m else out
+        return np.exp(belief - _log_sum(belief, 1)[:, None]), pairs
+
+
+def prior() -> Field:
+    """What holds before anything is learned: tokens are outside, words are no numbers nor the other way round, and along skip links one label is favoured."""
+    n = 1 + len(LABELS)
     weights = np.zeros((1 << FEATURE_BITS, n))
-    if not any(y >= 0 for r in rows for y in r[1]):
-        weights[:, 0] = 1.0
-        return Field(weights, np.zeros((n, n)), np.zeros((n, n)))
-    features = [f for r in rows for f, y in zip(r[0], r[1], strict=True) if y >= 0]
-    label = np.array([y for r in rows for y in r[1] if y >= 0])
-    flat, owner = np.concatenate([np.array(f) for f in features]), np.repeat(np.arange(len(features)), [len(f) for f in features])
-    total = np.full_like(weights, 1e-6)
-    truth = np.eye(n)[label]
-    for _ in range(passes * 8):
-        score = np.zeros((len(label), n))
-        np.add.at(score, owner, weights[flat])
-        score = np.exp(score - score.max(1, keepdims=True))
-        error = score / score.sum(1, keepdims=True) - truth
-        slope = np.zeros_like(weights)
-        np.add.at(slope, flat, error[owner])
-        slope += 1e-3 * weights
-        total += slope * slope
-        weights -= rate * 4 * slope / np.sqrt(total)
-    share = (np.bincount(label, minlength=n) + 1.0) / (len(label) + n)
-    links: list[list[tuple[int, int]]] = [[], []]
-    for _, y, chain, skip in rows:
-        for k, pairs in enumerate((chain, skip)):
-            links[k] += [(y[a], y[b]) for a, b in pairs if y[a] >= 0 and y[b] >= 0]
-    return Field(weights, *(_association(np.array(p, int).reshape(-1, 2), share) for p in links))
+    weights[ALWAYS, 0] = OUTSIDE
+    weights[ALWAYS[0], -1] = weights[ALWAYS[1], 1:-1] = -20
+    return Field(weights, np.stack([np.zeros((n, n)), AGREE * np.eye(n)]))
+
+
+def fit(documents: list[tuple[list[list[int]], list[tuple[int, int]], list[tuple[int, int]]]], known: list[list[int]], steps: int = 40, rate: float = 0.5, kept: float = 0.7) -> Field:
+    """Ascends the joint likelihood of the ``known`` labels (-1: unknown, summed over): at each step, what features and links carry with those labels held, less what they carry without, both by message passing."""
+    n, before, field = 1 + len(LABELS), prior(), prior()
+    g, label = Graph.of(documents), np.array([y for d in known for y in d], int)
+    if not (label >= 0).any():
+        return field
+    held = np.where(label[:, None] < 0, 0.0, np.where(np.arange(n) == label[:, None], 0.0, -50.0))
+    rng = np.random.default_rng(1)
+    sums = [np.full_like(field.weights, 1e-3), np.full_like(field.pair, 1e-3)]
+    for _ in range(steps):
+        some = (rng.random(len(g.features)) < kept) | np.isin(g.features, ALWAYS)
+        unary = field.unary(g, some)
+        (free, free_pairs), (truth, true_pairs) = (field.marginals(g, u, 12) for u in (unary, unary + held))
+        slope = [-0.1 * field.weights, before.pair - field.pair]
+        np.add.at(slope[0], g.features[some], (truth - free)[g.owner[some]])
+        for k in (0, 1):
+            slope[1][k] += (true_pairs - free_pairs)[g.kind == k].sum(0)
+        slope[0][ALWAYS] = 0  # the prior stays: what is known of tokens is mostly that they are personal
+        for own, total, at in zip((field.weights, field.pair), sums, slope, strict=True):
+            total += at * at
+            own += rate * at / np.sqrt(total)
+    return field
 
 
 def _marked(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Which documents of a block hold a digit or an at sign; no others can have a span."""
-    hit = np.concatenate([[0], np.cumsum((data == 64) | ((data >= 48) & (data <= 57)))])
+    """Which documents of a block hold a digit, an at sign or a form of address; no others can have a span."""
+    hit = (data == 64) | ((data >= 48) & (data <= 57))
+    for m in _ADDRESS.finditer(data.tobytes()):
+        hit[m.start()] = True
+    hit = np.concatenate([[0], np.cumsum(hit)])
     return np.flatnonzero(hit[offsets[1:]] > hit[offsets[:-1]])
 
 
+def _weak_labels(text: str, t: Tokens, base: list[Span]) -> list[int]:
+    """What is known of the tokens: base spans, words after a form of address, and that short numbers are neither.
+
+    Failed matches, other long numbers and capitalised words, and what is
+    linked with a base span, are unknown: patterns miss them for their form,
+    which says nothing of what they are.
+    """
+    sure, unsure = labels(t.spans, base), labels(t.spans, doubtful(text))
+    out = []
+    for (a, b), addressed, y, d in zip(t.spans, t.addressed, sure, unsure, strict=True):
+        unknown = d or not _MARKED.search(text, a, b) or _NUMBER.fullmatch(text, a, b)
+        out.append(1 + len(KINDS) if addressed else -1 if unknown and not y else y)
+    for a, b in t.skip:
+        for x, y in ((a, b), (b, a)):
+            if out[x] > 0 and out[y] == 0:
+                out[y] = -1
+    return out
+
+
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, data, offsets in _text.blocks(batches):
         out = []
         for i in _marked(data, offsets):
             text = data[offsets[i] : offsets[i + 1]].tobytes().decode()
-            t = tokens(text)
-            known = [-1 if d and not y else y for y, d in zip(labels(t.spans, base_spans(text)), labels(t.spans, doubtful(text)), strict=True)]
-            out.append((batch.column(1)[int(i)].as_py(), t.features, known, [list(e) for e in t.chain], [list(e) for e in t.skip]))
+            base = base_spans(text)
+            t = tokens(text, base)
+            out.append((batch.column(1)[int(i)].as_py(), t.features, _weak_labels(text, t, base), [list(e) for e in t.chain], [list(e) for e in t.skip]))
         nested = pa.list_(pa.list_(pa.int32()))
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), nested, pa.list_(pa.int32()), nested, nested))], names=["o", "features", "labels", "chain", "skip"])
 
 
-def train(docs: DataFrame, text_col: str = "text", most: int = TRAIN_DOCS) -> Field:
-    """Fits the field on at most ``most`` documents that hold marked tokens, the first by the hash of their texts."""
+def _learn(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One row of the field that the rows train, as many from the first on as have ``most`` tokens together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        documents, known, size = [], [], 0
+        for batch in batches:
+            for k in range(batch.num_rows):
+                size += len(batch.column(1)[k])
+                if size <= most:
+                    row = [batch.column(c)[k].as_py() for c in range(1, 5)]
+                    documents.append((row[0], row[2], row[3]))
+                    known.append(row[1])
+        field = fit(documents, known)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (field.weights, field.pair)], names=["weights", "pair"])
+
+    return run
+
+
+def train(docs: DataFrame, text_col: str = "text", most: int = TRAIN_DOCS, most_tokens: int = TRAIN_TOKENS) -> Field:
+    """Fits the field on at most ``most`` distinct texts with tokens to label, the first by their hashes, and at most ``most_tokens`` such tokens; one task does, and the driver gets the weights."""
     n = max(docs.count(), 1)
     rows = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null").withColumns({"o": F.xxhash64("text")})
-    # Hashes fall evenly: about 20 times the bound is looked at, as few documents may have marked tokens.
+    # Hashes fall evenly: about 20 times the bound is looked at, as few documents may have such tokens.
     cut = -(2**63) + min(2**64 - 1, int(2**64 * min(1.0, 20 * most / n)))
-    some = rows.where(F.col("o") <= F.lit(cut)).mapInArrow(_examples, "o long, features array<array<int>>, labels array<int>, chain array<array<int>>, skip array<array<int>>").orderBy("o").limit(most)
-    return fit([(r["features"], r["labels"], r["chain"], r["skip"]) for r in some.collect()])
+    nested = "array<array<int>>"
+    some = rows.where(F.col("o") <= F.lit(cut)).mapInArrow(_examples, f"o long, features {nested}, labels array<int>, chain {nested}, skip {nested}").dropDuplicates(["o"]).orderBy("o").limit(most)
+    learned = some.repartition(1).sortWithinPartitions("o").mapInArrow(_learn(most_tokens), "weights binary, pair binary").first()
+    if not learned:
+        return fit([], [])
+    width = 1 + len(LABELS)
+    return Field(np.frombuffer(learned[0]).reshape(-1, width), np.frombuffer(learned[1]).reshape(2, width, width))
 
 
 def added_spans(text: str, t: Tokens, label: np.ndarray, base: list[Span]) -> list[Span]:
@@ -262,7 +364,7 @@ def added_spans(text: str, t: Tokens, label: np.ndarray, base: list[Span]) -> li
     for k in range(len(t.spans)):
         if not label[k] or taken[k]:
             continue
-        if runs and joined.get(k) == runs[-1][-1] and label[runs[-1][-1]] == label[k] and label[k] == 4:
+        if runs and joined.get(k) == runs[-1][-1] and label[runs[-1][-1]] == label[k] and LABELS[label[k] - 1] in ("phone", "name"):
             runs[-1].append(k)
         else:
             runs.append([k])
@@ -279,7 +381,7 @@ def added_spans(text: str, t: Tokens, label: np.ndarray, base: list[Span]) -> li
 
 
 def _text_of(spans: list[Span]) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], s[2], s[1])))
+    return ",".join(f"{LABELS[k]}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], s[2], s[1])))
 
 
 def _find(shared: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -288,25 +390,21 @@ def _find(shared: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
         for batch, data, offsets in _text.blocks(batches):
             n = len(offsets) - 1
             counts, base_text, all_text = np.zeros((len(KINDS), n), np.int64), [""] * n, [""] * n
-            held, features, owner, edges, kind, first = [], [], [], [], [], 0
+            held = []
             for i in _marked(data, offsets):
                 text = data[offsets[i] : offsets[i + 1]].tobytes().decode()
-                t = tokens(text)
-                held.append((i, text, t, base_spans(text), first))
-                for k, f in enumerate(t.features):
-                    features += f
-                    owner += [first + k] * len(f)
-                edges += [(a + first, b + first) for a, b in t.chain + t.skip]
-                kind += [0] * len(t.chain) + [1] * len(t.skip)
-                first += len(t.spans)
+                base = base_spans(text)
+                held.append((i, text, tokens(text, base), base))
             if held:
-                belief = field.marginals(np.array(features), np.array(owner), first, np.array(edges, int).reshape(-1, 2), np.array(kind, int))
-                best = belief.argmax(1)
-                for i, text, t, base, at in held:
+                g = Graph.of([(t.features, t.chain, t.skip) for _, _, t, _ in held])
+                best = field.marginals(g, field.unary(g))[0].argmax(1)
+                at = 0
+                for i, text, t, base in held:
                     for s in base:
                         counts[s[2], i] += 1
                     base_text[i] = _text_of(base)
                     all_text[i] = _text_of(base + added_spans(text, t, best[at : at + len(t.spans)], base))
+                    at += len(t.spans)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in counts), pa.array([sha256(b.encode()).hexdigest() for b in base_text]), pa.array(all_text)], names=["id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
     return run
@@ -316,10 +414,12 @@ def find_pii(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id"
     """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for every row.
 
     Counts and digest are of the base spans; ``spans`` has those and the ones
-    that the field adds, as ``kind:start:end`` in code points, end exclusive,
-    by start and then kind. Without ``field`` one is trained on ``docs``. Null
-    and empty texts have no spans; repeated rows are treated alike; other
-    columns are ignored; an empty table gives an empty result.
+    that the field adds (of the base kinds and ``name``), as ``kind:start:end``
+    in code points, end exclusive, by start and then kind. Without ``field``
+    one is trained on ``docs``. Null and empty texts have no spans; a very
+    long text is one graph, with as many links as tokens or so; repeated rows
+    are treated alike; other columns, whatever their names, are ignored; an
+    empty table gives an empty result.
     """
     field = field or train(docs, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(field)  # of fixed size
