@@ -52,7 +52,7 @@ def op6_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Which rule is named depends on their order, and so on measured times; the verdict does not.
+    # Which rule is named depends on their order, and so on the sample; the verdict does not.
     return quality_rules(_documents(spark, sf_dir)).drop("failed_rule")
 
 

@@ -2,8 +2,8 @@
 
 Candidate credentials are found by pattern. Their hashes are then counted over
 the whole corpus by distinct owner and distinct repository: a value that many
-owners carry is a widely copied example, one that a single owner carries looks
-live. Candidates of the base kinds are always reported; those of the wider
+owners carry, or that one carries through very many repositories, is a widely
+copied example; one that few carry in few places looks live. Candidates of the base kinds are always reported; those of the wider
 kinds only where the counts say that they are owner-specific. DataFrame
 operations only.
 """
@@ -39,8 +39,8 @@ KINDS = (
     Kind("prefixed", r"\b(?:gh[oprsu]_|glpat-|xox[abprs]-|sk_live_|sk-|AIza)[A-Za-z0-9_-]+", 0, 20, base=False, hint="gh[oprsu]_|glpat-|xox|sk|AIza"),
     Kind("mixed", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]*[0-9])(?=[A-Za-z0-9+/_=-]*[A-Z])(?=[A-Za-z0-9+/_=-]*[a-z])[A-Za-z0-9+/_=-]{32,}", 0, 32, base=False, hint="[A-Za-z0-9+/_=-]{32}"),
 )
-#: A value with more owners than this is a copied example.
-MOST_OWNERS = 2
+#: A value with more owners, or in more repositories, than this is a copied example.
+MOST_OWNERS, MOST_REPOSITORIES = 2, 4
 
 
 def candidates(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
@@ -65,15 +65,18 @@ def ownership(found: DataFrame) -> DataFrame:
     return repos.groupBy("digest").agg(F.count("*").alias("owners"), F.sum("repos").alias("repositories"))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), kinds: tuple[Kind, ...] = KINDS, most_owners: int = MOST_OWNERS) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), kinds: tuple[Kind, ...] = KINDS, most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES) -> DataFrame:
     """(id, n_<base kind>..., base_sha256, spans, live_spans) for every row.
 
     Spans are ``kind:start:end`` in code points, end exclusive, by start and
-    then kind. ``spans`` has all base spans and those of the wider kinds that
-    at most ``most_owners`` owners carry and no base span covers;
-    ``live_spans`` has those of either that at most that many owners carry. A
-    null text is empty and has no spans; repeated rows are scanned alike;
-    other columns are ignored; an empty table gives an empty result.
+    then kind. A value looks live if at most ``most_owners`` owners carry it,
+    in at most ``most_repositories`` repositories. ``spans`` has all base spans
+    and those of the wider kinds that look live and that no base span covers;
+    ``live_spans`` has those of either that look live. Whole texts are scanned,
+    however long. A null text is empty and has no spans; repeated rows are
+    scanned alike and count once for an owner and a repository; a null owner
+    or repository is one of its own; other columns, whatever their names, are
+    ignored; an empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(owner_col).alias("owner"), F.struct(*(F.col(c).cast("string") for c in repo_cols)).alias("repo"))
     held = candidates(docs, kinds=kinds).select(F.monotonically_increasing_id().alias("row"), "_id", "owner", F.xxhash64("repo").alias("repo"), "hits")
@@ -84,16 +87,17 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     least = F.element_at(F.array(*(F.lit(k.least) for k in kinds)), F.col("kind") + 1)
     each = each.withColumns({"end": end.cast("int"), "digest": F.sha2("value", 256)}).where(F.char_length("value") >= least)
     each = _work.table(each.select("row", "kind", (F.col("end") - F.col("n")).alias("start"), "end", "digest", "owner", "repo"), "found")
-    spans = each.join(ownership(each), "digest").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "owners"))).alias("all"))
+    owned = ownership(each).select("digest", ((F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories)).alias("live"))
+    spans = each.join(owned, "digest").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("all"))
     is_base = F.array(*(F.lit(k.base) for k in kinds))
     base = F.filter("all", lambda s: F.get(is_base, s["kind"]))
     spans = spans.withColumns({"base": base})
     free = lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"]))
-    spans = spans.withColumns({"all": F.filter("all", lambda s: F.get(is_base, s["kind"]) | ((s["owners"] <= most_owners) & free(s)))})
+    spans = spans.withColumns({"all": F.filter("all", lambda s: F.get(is_base, s["kind"]) | (s["live"] & free(s)))})
     name = F.array(*(F.lit(k.name) for k in kinds))
     text = lambda c: F.coalesce(F.array_join(F.transform(c, lambda s: F.concat_ws(":", F.get(name, s["kind"]), s["start"], s["end"])), ","), F.lit(""))
     out = held.select("row", "_id").join(spans, "row", "left")
-    live = F.filter("all", lambda s: s["owners"] <= most_owners)
+    live = F.filter("all", lambda s: s["live"])
     count = lambda i: F.coalesce(F.greatest(F.size(F.filter("base", lambda s: s["kind"] == i)), F.lit(0)), F.lit(0)).cast("long")
     counts = [count(i).alias(f"n_{k.name}") for i, k in enumerate(kinds) if k.base]
     return out.select(F.col("_id").alias(id_col), *counts, F.sha2(text("base"), 256).alias("base_sha256"), text("all").alias("spans"), text(live).alias("live_spans"))
