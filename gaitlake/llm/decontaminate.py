@@ -4,8 +4,10 @@ Patterns are the word windows of the benchmark items, one table for each
 window length. A block is two successive words. The shift table tells for a
 block how far the next possible window end lies, so most words are never
 looked at; where it is zero, the window's last block picks a bucket of test
-strings, and direct comparison of the words' bytes confirms the occurrence.
-Cursors over many pieces of text advance in step, as NumPy vectors.
+strings, a hash of the whole window its place in the bucket, and direct
+comparison of the words' bytes confirms the occurrence. So a frequent last
+block costs no more than a rare one, and the work is linear in the text and its
+occurrences. Cursors over many pieces of text advance in step, as NumPy vectors.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ TABLE_BITS = 20
 #: Words that one cursor walks over.
 LANE = 64
 #: Most bytes of benchmark text that one search holds; a larger benchmark is searched in several.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
 
 
 def _blocks(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -45,8 +47,9 @@ class Table:
     length: int
     width: int
     shift: np.ndarray
-    #: Hash of each pattern's last block, ascending, and the patterns in that order.
+    #: Hashes of each pattern's last block and of all of it, ascending, and the patterns in that order.
     suffix: np.ndarray
+    whole: np.ndarray
     patterns: list[tuple[bytes, ...]]
     #: Items of each pattern.
     owners: list[tuple[str, ...]]
@@ -63,8 +66,9 @@ class Table:
         shift = np.full(1 << TABLE_BITS, length - width + 1, np.uint8)
         for j in range(width - 1, length):
             np.minimum.at(shift, (blocks[:, j] >> np.uint64(64 - TABLE_BITS)).astype(np.int64), np.uint8(length - 1 - j))
-        order = np.argsort(blocks[:, -1], kind="stable")
-        return cls(length, width, shift, blocks[order, -1], [patterns[i] for i in order], [tuple(sorted(windows[patterns[i]])) for i in order])
+        whole = _whole(hashes.reshape(len(patterns), length), np.full(len(patterns), length - 1), length, np.arange(len(patterns)))
+        order = np.lexsort((whole, blocks[:, -1]))
+        return cls(length, width, shift, blocks[order, -1], whole[order], [patterns[i] for i in order], [tuple(sorted(windows[patterns[i]])) for i in order])
 
     def search(self, hashes: np.ndarray, first: np.ndarray, word: Callable[[int], bytes]) -> list[tuple[int, int]]:
         """(index of the window's last word, pattern) of every occurrence; ``first`` has each document's first word."""
@@ -86,13 +90,34 @@ class Table:
             begin, stop = begin[keep], stop[keep]
         at = np.concatenate(ends) if ends else np.zeros(0, np.int64)
         left, right = np.searchsorted(self.suffix, blocks[at], "left"), np.searchsorted(self.suffix, blocks[at], "right")
+        at, left, right = (x[left < right] for x in (at, left, right))
+        whole = _whole(hashes, at, self.length)
+        low, high = left.copy(), right.copy()
+        while (open_ := low < high).any():
+            middle = (low + high) // 2
+            less = self.whole[np.minimum(middle, len(self.whole) - 1)] < whole
+            low = np.where(open_ & less, middle + 1, low)
+            high = np.where(open_ & ~less, middle, high)
         found = []
-        for e, a, b in zip(at[left < right].tolist(), left[left < right].tolist(), right[left < right].tolist(), strict=True):
-            own = tuple(word(k) for k in range(e - self.length + 1, e + 1))
-            found += [(e, p) for p in range(a, b) if self.patterns[p] == own]
+        for e, p, b, h in zip(at.tolist(), low.tolist(), right.tolist(), whole.tolist(), strict=True):
+            if p < b and self.whole[p] == h:
+                own = tuple(word(k) for k in range(e - self.length + 1, e + 1))
+                while p < b and self.whole[p] == h:
+                    if self.patterns[p] == own:
+                        found.append((e, p))
+                    p += 1
         return found
 
 
+def _whole(hashes: np.ndarray, last: np.ndarray, length: int, row: np.ndarray | None = None) -> np.ndarray:
+    """Hash of the ``length`` words up to each ``last`` (in its row, if there are rows)."""
+    out = np.zeros(len(last), np.uint64)
+    for k in range(length):
+        at = last - length + 1 + k
+        out = out * np.uint64(_text.MULTIPLIER) + (hashes[at] if row is None else hashes[row, at])
+    return _text.mix(out)
+
+
 def tables(items: list[tuple[str, str]], window: int = WINDOW) -> list[Table]:
     """Tables over (id, text) items: every ``window`` successive words, or all of an item with fewer; one without words has none."""
     by_length: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
@@ -117,18 +142,32 @@ def _scan(shared: object, keep: list[str]) -> Callable[[Iterator[pa.RecordBatch]
             raw = low.tobytes()
             hashes, start, end, first = _text.word_hashes(low, offsets, _text.ALNUM)
             hits: list[list[int]] = batch.column("_hits").to_pylist()
-            items: list[list[str]] = batch.column("_items").to_pylist()
+            items = [set(x) for x in batch.column("_items").to_pylist()]
             for table in shared.value:
                 found = table.search(hashes, first, lambda k: raw[start[k] : end[k]])
-                for (e, p), d in zip(found, (np.searchsorted(first, [e for e, _ in found], "right") - 1).tolist(), strict=True):
-                    hits[d] = [*hits[d], e - table.length + 1 - int(first[d]), e - int(first[d])]
-                    items[d] = sorted({*items[d], *table.owners[p]})
+                last, pattern = np.array(found, np.int64).reshape(-1, 2).T
+                row = np.searchsorted(first, last, "right") - 1
+                for d, a, b in _runs(row, last - table.length + 1, last):
+                    hits[d] += (a - int(first[d]), b - int(first[d]))
+                for d, p in np.unique(np.stack([row, pattern]), axis=1).T.tolist():
+                    items[d].update(table.owners[p])
+            items = [sorted(x) for x in items]
             columns = {c: batch.column(c) for c in keep} | {"_n": pa.array(np.diff(first)), "_hits": pa.array(hits, pa.list_(pa.int64())), "_items": pa.array(items, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 
 
+def _runs(row: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(row, first, last) of the spans' unions, from spans of one length in any order."""
+    order = np.lexsort((first, row))
+    row, first, last = row[order], first[order], last[order]
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (first[1:] > last[:-1] + 1)
+    at = np.flatnonzero(fresh)
+    return zip(row[at].tolist(), first[at].tolist(), last[np.append(at[1:], len(row)) - 1].tolist() if len(at) else [], strict=True)
+
+
 def covered(hits: list[int]) -> int:
     """Number of words within the spans, given as successive pairs of first and last word."""
     total, upto = 0, -1
@@ -153,8 +192,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", kee
 
     Words are runs of a-z (after lower-casing A-Z), digits and all beyond
     ASCII. ``n_hit`` words lie within occurrences of item windows, ``n_items``
-    items have one. Null and empty texts have no words; items without words
-    match nothing; repeated items and rows do no harm; a null item id counts as
+    items have one. Null and empty texts have no words; a very long text is
+    searched like any other; items without words match nothing; repeated items and rows do no harm; a null item id counts as
     empty text; other columns, whatever their names, are ignored. An empty
     table of items leaves every row clean. No shuffle: the benchmark is read
     in chunks of at most ``chunk_bytes`` bytes (or one item), and each is sent
