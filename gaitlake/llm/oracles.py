@@ -41,7 +41,8 @@ m as (select doc_id, text, len(w) n_words, cast(coalesce(list_sum(list_transform
 len(l) n_lines, len(l)-len(list_distinct(l)) n_dup_lines, coalesce(n, 0) n_repeat_words from w left join rep using (doc_id)),
 b as (select *, n_words < 20 or 100*n_repeat_words > 30*n_words base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not (base_failed or n_symbols > n_words or 2*n_dup_lines > n_lines
-or length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3*length(regexp_replace(text, '[^a-z]', '', 'g'))) kept from b
+or length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3*length(regexp_replace(text, '[^a-z]', '', 'g')) or 3*length(regexp_replace(text, '[^\p{{L}}\p{{M}}\p{{N}}]', '', 'g')) < word_chars
+or 20*(length(text)-length(replace(text, chr(65533), ''))) > word_chars) kept from b
 """
 
 REPEATS = """
@@ -62,20 +63,20 @@ sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(last, 0) + 1))) kept_s
 
 _ASSIGN = "(" + "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key")) + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 _KINDS = ((_ASSIGN, 2), ("AKIA[A-Z0-9]+", 0), ("[0-9a-f]+", 0), (r"\b(?:gh[oprsu]_|glpat-|xox[abprs]-|sk_live_|sk-|AIza)[A-Za-z0-9_-]+", 0), ("[A-Za-z0-9+/_=-]+", 0))
-_HITS = " union all ".join(f"select r, source, {i} kind, regexp_extract_all(text, '{p}', 0) hit, regexp_extract_all(text, '{p}', {g}) val, string_split_regex(text, '{p}') gaps from d" for i, (p, g) in enumerate(_KINDS))
+_HITS = " union all ".join(f"select r, source, lang, {i} kind, regexp_extract_all(text, '{p}', 0) hit, regexp_extract_all(text, '{p}', {g}) val, string_split_regex(text, '{p}') gaps from d" for i, (p, g) in enumerate(_KINDS))
 
 SECRETS = f"""
-with d as (select row_number() over () r, doc_id, source, coalesce(text, '') text from documents),
+with d as (select row_number() over () r, doc_id, source, lang, coalesce(text, '') text from documents),
 h as ({_HITS}),
-k as (select r, source, kind, unnest(list_zip(hit, val, gaps[1:len(hit)])) x, generate_subscripts(hit, 1) k from h where len(hit) > 0),
-e as (select r, source, kind, x[2] val, length(x[1]) n, sum(length(x[1]) + length(x[3])) over (partition by r, kind order by k) e from k),
-f as (select r, source, kind, val, cast(e - n as bigint) a, cast(e as bigint) b from e where length(val) >= [6, 20, 24, 20, 32][kind + 1]
-and (kind < 4 or (regexp_matches(left(val, 41), '[0-9]') and regexp_matches(left(val, 41), '[A-Z]') and regexp_matches(left(val, 41), '[a-z]')))),
-o as (select val, count(distinct source) + max(case when source is null then 1 else 0 end) owners from f group by val),
-s as (select r, kind, a, b, owners, ['assign', 'access', 'hex', 'prefixed', 'mixed'][kind + 1] || ':' || a || ':' || b t from f join o using (val)),
-w as (select * from s where kind < 3 or (owners <= 2 and not exists (select 1 from s z where z.r = s.r and z.kind < 3 and z.a <= s.a and z.b >= s.b))),
+k as (select r, source, lang, kind, unnest(list_zip(hit, val, gaps[1:len(hit)])) x, generate_subscripts(hit, 1) k from h where len(hit) > 0),
+e as (select r, source, lang, kind, x[2] val, length(x[1]) n, sum(length(x[1]) + length(x[3])) over (partition by r, kind order by k) e from k),
+f as (select r, source, lang, kind, val, cast(e - n as bigint) a, cast(e as bigint) b from e where length(val) >= [6, 20, 24, 20, 32][kind + 1]
+and (kind < 4 or (regexp_matches(val, '[0-9]') and regexp_matches(val, '[A-Z]') and regexp_matches(val, '[a-z]')))),
+o as (select val, count(distinct source) + max(case when source is null then 1 else 0 end) <= 2 and count(distinct struct_pack(s := source, l := lang)) <= 4 live from f group by val),
+s as (select r, kind, a, b, live, ['assign', 'access', 'hex', 'prefixed', 'mixed'][kind + 1] || ':' || a || ':' || b t from f join o using (val)),
+w as (select * from s where kind < 3 or (live and not exists (select 1 from s z where z.r = s.r and z.kind < 3 and z.a <= s.a and z.b >= s.b))),
 t as (select r, count(*) filter (kind = 0) n_assign, count(*) filter (kind = 1) n_access, count(*) filter (kind = 2) n_hex, string_agg(t, ',' order by a, kind) filter (kind < 3) base,
-string_agg(t, ',' order by a, kind) spans, string_agg(t, ',' order by a, kind) filter (owners <= 2) live from w group by r)
+string_agg(t, ',' order by a, kind) spans, string_agg(t, ',' order by a, kind) filter (live) live from w group by r)
 select doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, coalesce(n_hex, 0) n_hex, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans, coalesce(live, '') live_spans
 from d left join t using (r)
 """
