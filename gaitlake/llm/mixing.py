@@ -6,12 +6,12 @@ tilt, ``exp(lambda * size)``, with one multiplier for each source, cut off at
 the most copies allowed. The multipliers solve a convex dual; each Newton
 iteration is one aggregation over the corpus. Rates are then rounded into
 whole copies, with one threshold for each source chosen, again by aggregation,
-so that the copies' tokens meet the target.
+so that the copies' tokens meet the target. The driver holds one line for each
+source; documents get their source's numbers by a join.
 """
 
 from __future__ import annotations
 
-import json
 import math
 from dataclasses import dataclass
 
@@ -22,8 +22,8 @@ from gaitlake.llm import _work
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST_COPIES = 3
-#: Sources are a configured list, small by nature; more than this is an error, not a plan.
-MOST_SOURCES = 10_000
+#: Sources up to this number are broadcast; of more, those with over this share of all rows are, and the others are joined by name.
+FEW_SOURCES = 10_000
 STEPS = 32
 
 
@@ -58,16 +58,26 @@ def set_targets(sources: list[Source], weight: list[float], most: float = MOST_C
         for k in full:
             sources[k].target = float(most * sources[k].size)
             left -= sources[k].target
-        open_ = [k for k in open_ if k not in set(full)]
+        done = set(full)
+        open_ = [k for k in open_ if k not in done]
 
 
-def _number(values: dict[int, float], n: int) -> Column:
-    """The value of a row's ``source_no`` out of a literal with one number for each source; 0 for those left out."""
-    return F.get(F.from_json(F.lit(json.dumps([float(values.get(k, 0.0)) for k in range(n)])), "array<double>"), F.col("source_no"))
+def _joined(rows: DataFrame, sources: list[Source], **columns: dict[int, float]) -> DataFrame:
+    """Rows of the sources that have the values given, each with those of its ``source`` (null like any other)."""
+    kinds = ", ".join(["_source string", *(f"{c} double" for c in columns)])
 
+    def table(keys: list[int]) -> DataFrame:
+        return rows.sparkSession.createDataFrame([(sources[k].name, *(float(v[k]) for v in columns.values())) for k in keys], kinds)
 
-def _listed(values: dict[int, float]) -> Column:
-    return F.col("source_no").isin(*values)
+    keys = list(next(iter(columns.values())))
+    of = lambda t: rows["source"].eqNullSafe(t["_source"])
+    if len(keys) <= FEW_SOURCES:
+        few = F.broadcast(table(keys))
+        return rows.join(few, of(few)).drop("_source")
+    most = sum(s.rows for s in sources) // FEW_SOURCES
+    large, others = F.broadcast(table([k for k in keys if sources[k].rows > most])), table([k for k in keys if sources[k].rows <= most])
+    rest = rows.join(large, of(large), "left_anti")
+    return rows.join(large, of(large)).unionByName(rest.join(others, rest["source"].eqNullSafe(others["_source"]))).drop("_source")
 
 
 def balance(sizes: DataFrame, sources: list[Source], most: int = MOST_COPIES, rounds: int = 40, close: float = 1e-4) -> None:
@@ -75,6 +85,7 @@ def balance(sizes: DataFrame, sources: list[Source], most: int = MOST_COPIES, ro
 
     ``sizes`` counts the documents (``n``) of each source and size: documents of one size share a rate, so the sums need no more.
     """
+    number = {s.name: k for k, s in enumerate(sources)}
     low = {k: -60.0 for k, s in enumerate(sources) if s.size}
     high = dict.fromkeys(low, 60.0)
     now = {}
@@ -87,12 +98,13 @@ def balance(sizes: DataFrame, sources: list[Source], most: int = MOST_COPIES, ro
     for _ in range(rounds):
         if not now:
             return
-        scale = _number({k: max(sources[k].rows, 1) / sources[k].size for k in now}, len(sources))
-        rows = sizes.where(_listed(now)).withColumns({"z": F.col("size") * scale, "tilt": _number(now, len(sources)), "tokens": F.col("size") * F.col("n")})
+        rows = _joined(sizes, sources, scale={k: max(sources[k].rows, 1) / sources[k].size for k in now}, tilt=now)
+        rows = rows.withColumns({"z": F.col("size") * F.col("scale"), "tokens": F.col("size") * F.col("n")})
         x = F.least(F.col("tilt") * F.col("z"), F.lit(60.0))
         free = F.exp(x) < most
-        sums = rows.groupBy("source_no").agg(F.sum(F.col("tokens") * F.least(F.exp(x), F.lit(float(most)))), F.sum(F.when(free, F.col("tokens") * F.col("z") * F.exp(x)).otherwise(0.0))).collect()
-        for k, got, slope in sums:
+        sums = rows.groupBy("source").agg(F.sum(F.col("tokens") * F.least(F.exp(x), F.lit(float(most)))), F.sum(F.when(free, F.col("tokens") * F.col("z") * F.exp(x)).otherwise(0.0))).collect()
+        for name, got, slope in sums:
+            k = number[name]
             gap = got - sources[k].target
             if abs(gap) <= close * sources[k].target or high[k] - low[k] < 1e-9:
                 sources[k].tilt = now.pop(k)
@@ -114,16 +126,17 @@ def _copies(rate: Column, draw: Column, shift: Column, most: int) -> Column:
 
 def round_rates(rated: DataFrame, sources: list[Source], most: int = MOST_COPIES, passes: int = 3) -> dict[int, float]:
     """Shift of each source's rounding threshold, from ``passes`` aggregations of STEPS thresholds each; taken tokens grow with it."""
+    number = {s.name: k for k, s in enumerate(sources)}
     low = {k: -1.0 for k, s in enumerate(sources) if s.size and math.isfinite(s.tilt)}
     wide = 2.0
     best = dict.fromkeys(low, 0.0)
     for _ in range(passes):
         if not low:
             break
-        joined = rated.where(_listed(low)).withColumns({"low": _number(low, len(sources))})
+        joined = _joined(rated, sources, low=low)
         sums = [F.sum(F.col("size") * _copies(F.col("rate"), F.col("draw"), F.col("low") + wide * j / STEPS, most)).alias(f"s{j}") for j in range(STEPS + 1)]
-        for row in joined.groupBy("source_no").agg(*sums).collect():
-            k, taken = row[0], row[1:]
+        for row in joined.groupBy("source").agg(*sums).collect():
+            k, taken = number[row[0]], row[1:]
             j = min(range(STEPS + 1), key=lambda j: abs(taken[j] - sources[k].target))
             best[k] = low[k] + wide * j / STEPS
             under = max((j for j in range(STEPS + 1) if taken[j] <= sources[k].target), default=0)
@@ -132,66 +145,63 @@ def round_rates(rated: DataFrame, sources: list[Source], most: int = MOST_COPIES
     return best
 
 
-def sized_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, list[Source]]:
-    """A table of (id, source, size, source_no) and the sources by code point, null last."""
+def sized_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> tuple[DataFrame, list[Source]]:
+    """A table of (id, source, size, the columns to keep) and the sources by code point, null last."""
     size = F.size(F.regexp_extract_all(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD), F.lit(0))).cast("long")
-    held = _work.table(docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), size.alias("size")), "sizes")
-    found = held.groupBy("source").agg(F.sum("size"), F.count("*")).limit(MOST_SOURCES + 1).collect()
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources: group them before mixing")
-    sources = [Source(*r) for r in sorted(found, key=lambda r: (r[0] is None, r[0] or ""))]
-    # Null never equals an element, so null's position stands in for it.
-    names = F.from_json(F.lit(json.dumps([s.name for s in sources if s.name is not None])), "array<string>")
-    number = F.when(F.col("source").isNull(), F.lit(len(sources) - 1)).otherwise(F.array_position(names, F.col("source")) - 1)
-    return held.withColumns({"source_no": number.cast("int")}), sources
-
-
-def mix(docs: DataFrame, weight: list[float] | None = None, most: int = MOST_COPIES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, size, source_size, target, copies, taken, rate) for every row.
-
-    ``size`` counts the words between white space; ``weight`` is by source in
-    order of code points, null last (default 1, 2, 3, repeating). A document is
-    taken ``copies`` times, at most ``most``; ``taken`` is that many times its
-    size. Documents without words have rate 1 (``most`` in a source that is
-    taken in full) and take nothing. Equal ids draw alike, so repeated rows and
-    reruns agree; a null id draws like any other value. Other columns are
-    ignored; an empty table gives an empty result.
+    kept = F.struct(*(F.col(c) for c in keep)) if keep else F.lit(None).cast("int")
+    held = _work.table(docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), kept.alias("_kept")), "sizes")
+    found = held.groupBy("source").agg(F.sum("size"), F.count("*")).collect()
+    return held, [Source(*r) for r in sorted(found, key=lambda r: (r[0] is None, r[0] or ""))]
+
+
+def mix(docs: DataFrame, weight: list[float] | None = None, most: int = MOST_COPIES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, size, source_size, target, copies, taken, rate, *keep) for every row.
+
+    ``size`` counts the words between white space of the whole text, however
+    long; ``weight`` is by source in order of code points, null last (default
+    1, 2, 3, repeating). A document is taken ``copies`` times, at most
+    ``most``; ``taken`` is that many times its size. Documents without words
+    (null and empty texts) have rate 1 (``most`` in a source that is taken in
+    full) and take nothing. Equal ids draw alike, so repeated rows and reruns
+    agree; a null id draws like any other value. ``keep`` names columns to
+    carry along; others, whatever their names, are ignored; an empty table
+    gives an empty result. There may be any number of sources; the driver
+    holds a line for each.
     """
-    sized, sources = sized_documents(docs, id_col, text_col, source_col)
+    sized, sources = sized_documents(docs, id_col, text_col, source_col, keep)
     set_targets(sources, list(weight or weights(len(sources))), most)
-    if not sources:
-        return sized.select(F.col("_id").alias(id_col), "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("taken"), F.lit(0.0).alias("rate"))
-    sizes = _work.table(sized.groupBy("source_no", "size").agg(F.count("*").alias("n")), "size-counts")
+    sizes = _work.table(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "size-counts")
     balance(sizes, sources, most)
     _work.drop(sizes)
-    # A draw in [0, 1) from the id alone.
-    sized = sized.withColumns({"draw": F.pmod(F.xxhash64("_id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)})
-    each = lambda f: _number({k: f(s) for k, s in enumerate(sources)}, len(sources))
-    full = each(lambda s: not math.isfinite(s.tilt)) == 1
-    slope = each(lambda s: s.tilt * s.rows / s.size if s.size and math.isfinite(s.tilt) else 0.0)
-    rate = F.when(full, F.lit(float(most))).otherwise(F.least(F.exp(F.least(slope * F.col("size"), F.lit(60.0))), F.lit(float(most))))
-    rated = sized.withColumns({"source_size": each(lambda s: s.size), "target": each(lambda s: s.target), "rate": rate})
-    held = _work.table(rated.select("_id", "source_no", "size", F.col("source_size").cast("long").alias("source_size"), "target", "rate", "draw"), "rates")
-    shifts = round_rates(held, sources, most)
-    out = held.withColumns({"shift": _number(shifts, len(sources))})
+    each = lambda f: {k: f(s) for k, s in enumerate(sources)}
+    rated = _joined(
+        sized.withColumns({"draw": F.pmod(F.xxhash64("_id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)}), sources,  # a draw in [0, 1) from the id alone
+        source_size=each(lambda s: s.size), target=each(lambda s: s.target), whole=each(lambda s: not math.isfinite(s.tilt)), slope=each(lambda s: s.tilt * s.rows / s.size if s.size and math.isfinite(s.tilt) else 0.0),
+    )
+    rate = F.when(F.col("whole") == 1, F.lit(float(most))).otherwise(F.least(F.exp(F.least(F.col("slope") * F.col("size"), F.lit(60.0))), F.lit(float(most))))
+    rated = rated.withColumns({"source_size": F.col("source_size").cast("long"), "rate": rate})
+    shifts = round_rates(rated, sources, most)
+    out = _joined(rated, sources, shift=each(lambda s: 0.0) | shifts)
     out = out.withColumns({"copies": _copies(F.col("rate"), F.col("draw"), F.col("shift"), most)})
     out = _repaired(out, sources, most)
-    return out.select(F.col("_id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "rate")
+    return out.select(F.col("_id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "rate", *(F.col("_kept")[c].alias(c) for c in keep))
 
 
 def _repaired(out: DataFrame, sources: list[Source], most: int, passes: int = 3) -> DataFrame:
     """Up to ``passes`` times changes one document's copies by one in each source, the one whose size comes closest to what the source's sum is off."""
+    number = {s.name: k for k, s in enumerate(sources)}
     for _ in range(passes):
-        sums = {r[0]: r[1] for r in out.groupBy("source_no").agg(F.sum(F.col("copies") * F.col("size"))).collect()}
+        sums = {number[r[0]]: r[1] for r in out.groupBy("source").agg(F.sum(F.col("copies") * F.col("size"))).collect()}
         off = {k: sources[k].target - taken for k, taken in sums.items() if sources[k].size and math.isfinite(sources[k].tilt) and abs(sources[k].target - taken) >= 1}
         if not off:
             break
-        joined = out.where(_listed(off)).withColumns({"off": _number(off, len(sources))})
         can = (F.col("size") > 0) & (F.col("size") < 2 * F.abs("off")) & F.when(F.col("off") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0)
-        picked = joined.where(can).groupBy("source_no").agg(F.min(F.struct(F.abs(F.abs("off") - F.col("size")).alias("d"), F.xxhash64("_id").alias("h"), F.col("_id").cast("string").alias("pick")))["pick"]).collect()
-        picks = {r[0]: r[1] for r in picked}
-        pick = F.get(F.from_json(F.lit(json.dumps([picks.get(k) for k in range(len(sources))])), "array<string>"), F.col("source_no"))
-        by = _number({k: math.copysign(1, off[k]) for k in picks}, len(sources)).cast("long")
-        change = F.when(F.col("_id").cast("string").eqNullSafe(pick), by).otherwise(0)
-        out = out.withColumns({"copies": F.least(F.greatest(F.col("copies") + change, F.lit(0)), F.lit(most))})
+        place = F.xxhash64("_id")
+        picked = _joined(out, sources, off=off).where(can).groupBy("source").agg(F.min(F.struct(F.abs(F.abs("off") - F.col("size")).alias("d"), place.alias("h")))["h"]).collect()
+        # The pick goes by the hash of its id, and two halves make that two exact numbers.
+        picks = {number[r[0]]: r[1] for r in picked}
+        every = range(len(sources))
+        out = _joined(out, sources, by={k: math.copysign(1, off[k]) if k in picks else 0.0 for k in every}, high={k: picks.get(k, 0) >> 32 for k in every}, low={k: picks.get(k, 0) & 0xFFFFFFFF for k in every})
+        change = F.when((F.shiftright(place, 32) == F.col("high")) & (place.bitwiseAND(0xFFFFFFFF) == F.col("low")), F.col("by").cast("long")).otherwise(0)
+        out = out.withColumns({"copies": F.least(F.greatest(F.col("copies") + change, F.lit(0)), F.lit(most))}).drop("by", "high", "low")
     return out
