@@ -9,20 +9,25 @@ a block at once.
 A file is a Parquet file of blocks, in ascending order of document ids; a
 block is ``file`` and ``block`` number, ``before`` (tokens of the file before
 it), ``ids`` and ``counts`` of its documents, and the streams ``control`` and
-``data``. Spark's commit protocol makes files appear whole or not at all,
-whichever executors are lost.
+``data``. The token id of each rank lies beside the files, so that they can be
+read without the tokenizer and by another application. Spark's commit protocol
+makes files appear whole or not at all, whichever executors are lost.
 """
 
 from __future__ import annotations
 
 import functools
+import json
+import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaitlake.llm import _text, _work
@@ -31,8 +36,12 @@ from gaitlake.llm import _text, _work
 END_ID = 1
 #: Tokens of a block, as soon as a document ends.
 BLOCK_TOKENS = 1 << 18
-#: Pieces of text whose ids a worker remembers, and their longest length.
-CACHED_PIECES, CACHED_LENGTH = 600_000, 48
+#: Tokens of a file, and the number of files from which on files grow instead.
+FILE_TOKENS, MOST_FILES = 1 << 24, 20_000
+#: Bytes of text whose distinct pieces are looked up at once, and how many pieces of at most which length a worker remembers.
+BLOCK_BYTES, CACHED_PIECES, CACHED_LENGTH = 4 << 20, 600_000, 48
+#: Columns of the files.
+BLOCKS = "file int, block int, before long, ids array<long>, counts array<int>, control binary, data binary"
 
 _counts = np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3
 #: Byte lengths of the four values of each control byte.
@@ -74,73 +83,86 @@ def _tokenizer(path: str) -> object:
     return Tokenizer.from_file(path)
 
 
-#: Pieces encoded as one row.
-ROW_PIECES = 2048
-#: Marks that a piece's end may lose without changing the ids before them.
+def parts_at_spaces(path: str) -> bool:
+    """Whether the tokenizer's own parts prove that pieces between white space, and marks after a letter or digit, have the ids that they have in the whole text.
+
+    That holds if the text is composed, folded and stripped of white space
+    only, and then cut by a pattern none of whose alternatives takes white
+    space, or both marks other than the apostrophe and what comes before them.
+    """
+    with open(path, encoding="utf-8") as f:
+        parts = json.load(f)
+    normal = (parts.get("normalizer") or {}).get("normalizers", [])
+    cut = (parts.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    folds = [n["type"] for n in normal] == ["NFC", "Replace", "Lowercase"] and normal[1]["pattern"] == {"Regex": r"\s+"} and normal[1]["content"] == " "
+    drops = cut[0].get("type") == "Split" and cut[0]["behavior"] == "Removed" and cut[0]["invert"] and all(_ALTERNATIVE.fullmatch(x) for x in cut[0]["pattern"].get("Regex", " ").split("|"))
+    later = len(cut) == 2 and cut[1]["type"] == "ByteLevel" and not cut[1]["add_prefix_space"] and not cut[1]["use_regex"]
+    marked = all("<" in t["content"] and not re.search(r"\s", t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in parts["added_tokens"])
+    return bool(folds and drops and later and marked and parts.get("post_processor") is None and not parts["model"].get("dropout"))
+
+
+#: What an alternative of the cutting pattern may be: an apostrophe with letters, letters, a digit, or marks.
+_ALTERNATIVE = re.compile(r"'[a-z]+|\[?\\p\{L\}\]?\+|\[?\\p\{N\}\]?\+?|\[\^\\s\\p\{L\}\\p\{N\}\]\+")
+#: Marks that are cut off a piece's end.
 _TAIL = ".,;:!?*#$%&|"
 
 
 class Encoder:
-    """Ids of whole texts, as little-endian bytes of the narrowest kind that holds the vocabulary.
+    """Ids of whole texts, by the tokenizers library.
 
-    Pieces between ASCII spaces and line ends are encoded by the library and
-    remembered; of ASCII pieces that end in marks after a letter or digit, the
-    part before them and the marks apart. That gives the ids of the whole text
-    for every tokenizer that folds case, drops white space and parts words from
-    marks, which ``whole=False`` states; otherwise texts are encoded whole.
+    Where ``parts_at_spaces`` proves it sound, the distinct pieces of a block
+    of texts are encoded once and remembered, and texts are put together from
+    them by index; otherwise, and with ``whole``, every text is encoded in one
+    piece.
     """
 
-    def __init__(self, path: str, whole: bool = False) -> None:
-        self.path, self.whole = path, whole
+    def __init__(self, path: str, end_id: int = END_ID, whole: bool = False) -> None:
+        self.path, self.whole = path, whole or not parts_at_spaces(path)
         self.kind = id_kind(path)
-        self.known: dict[str, bytes] = {}
+        self.end = np.array([end_id], self.kind).tobytes()
+        self.known: dict[bytes, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in _tokenizer(self.path).encode_batch(texts, add_special_tokens=False)]
-
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces without spaces: encoded in long rows, which costs far less than one by one, and parted by where tokens begin."""
-        out = []
-        for at in range(0, len(pieces), ROW_PIECES):
-            row = pieces[at : at + ROW_PIECES]
-            start = np.cumsum([0, *(len(p) + 1 for p in row)])
-            found = _tokenizer(self.path).encode(" ".join(row), add_special_tokens=False)
-            ids = np.array(found.ids, self.kind)
-            own = np.searchsorted(start, np.fromiter((a for a, _ in found.offsets), np.int64, len(ids)), "right") - 1
-            cut = np.searchsorted(own, np.arange(len(row) + 1)) * ids.itemsize
-            held = ids.tobytes()
-            out += [held[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-        return out
-
-    def _parts(self, piece: str) -> tuple[str, ...]:
-        if not piece.isascii() or "<" in piece:
-            return (piece,)
-        core = piece.rstrip(_TAIL)
-        if core == piece or not core or not core[-1].isalnum():
-            return (piece.lower(),)
-        return core.lower(), piece[len(core) :]
-
-    def texts(self, texts: list[str]) -> list[bytes]:
+    def texts(self, column: pa.Array) -> pa.Array:
+        """The ids of each text of a string column and the end id, as little-endian bytes; null counts as empty."""
+        column = pc.fill_null(column, pa.scalar("", column.type))
         if self.whole:
-            return self._ids(texts)
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = set().union(*pieces).difference(self.known)
-        if len(self.known) + len(missing) > CACHED_PIECES:
+            return pa.array([x + self.end for x in self._ids(column.to_pylist())], pa.binary())
+        pieces = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
+        words = pieces.flatten().dictionary_encode()
+        ids = pa.concat_arrays([self._pieces(words.dictionary), pa.array([self.end], pa.binary())])
+        n = pc.list_value_length(pieces).to_numpy().astype(np.int64)
+        flat = ids.take(pa.array(np.insert(words.indices.to_numpy(), np.cumsum(n), len(ids) - 1)))
+        ends = np.frombuffer(flat.buffers()[1], np.int32)[np.concatenate([[0], np.cumsum(n + 1)])]
+        return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.ascontiguousarray(ends)), flat.buffers()[2]])
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in _tokenizer(self.path).encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, pieces: pa.Array) -> pa.Array:
+        """Ids of distinct pieces. Those of ASCII alone, without the start of a special token, are lower-cased, and last marks after a letter or digit encoded apart, as many pieces differ in no more."""
+        plain = pc.and_not(pc.string_is_ascii(pieces), pc.match_substring(pieces, "<"))
+        small = pc.if_else(plain, pc.ascii_lower(pieces), pieces)
+        core = pc.ascii_rtrim(small, _TAIL)
+        core = pc.if_else(pc.and_(plain, pc.match_substring_regex(core, "[a-z0-9]$")), core, small)
+        data, offsets = _text.utf8(small)
+        start = offsets[:-1] + pc.binary_length(core).to_numpy()
+        n = offsets[1:] - start
+        at = np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
+        tail = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.py_buffer(data[at])])
+        return pc.binary_join_element_wise(self._known(core.cast(pa.binary())), self._known(tail), b"")
+
+    def _known(self, pieces: pa.Array) -> pa.Array:
+        held = pieces.dictionary_encode()
+        distinct = held.dictionary.to_pylist()
+        if len(self.known) > CACHED_PIECES:
             self.known = {}
-            missing = set().union(*pieces)
-        if missing:
-            parts = {p: self._parts(p) if p else () for p in missing}
-            new = list({x for own in parts.values() for x in own}.difference(self.known))
-            ids = dict(zip(new, self._pieces(new), strict=True))
-            self.known.update({p: b"".join([ids[x] if x in ids else self.known[x] for x in own]) for p, own in parts.items()})
-            self.known.update(ids)
-        out = [b"".join(map(self.known.__getitem__, each)) for each in pieces]
+        missing = [p for p in distinct if p not in self.known]
+        self.known.update(zip(missing, self._ids([p.decode() for p in missing]), strict=True))
+        ids = pa.array([self.known[p] for p in distinct], pa.binary())
         for p in missing:
             if len(p) > CACHED_LENGTH:
-                self.known.pop(p, None)
-                for x in parts[p]:
-                    self.known.pop(x, None)
-        return out
+                del self.known[p]
+        return ids.take(held.indices)
 
 
 def id_kind(path: str) -> str:
@@ -148,18 +170,17 @@ def id_kind(path: str) -> str:
 
 
 @functools.cache
-def _encoder(path: str, whole: bool) -> Encoder:
+def _encoder(path: str, end_id: int, whole: bool) -> Encoder:
     """One for each worker process, so that later tasks find what earlier ones have encoded."""
-    return Encoder(path, whole)
+    return Encoder(path, end_id, whole)
 
 
 def _tokenise(path: str, whole: bool, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, whole)
-        end = np.array([end_id], encoder.kind).tobytes()
-        for batch, _, _ in _text.blocks(batches):
-            ids = [x + end for x in encoder.texts([t or "" for t in batch.column(1).to_pylist()])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["id", "tokens"])
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # each core has a task of its own already
+        encoder = _encoder(path, end_id, whole)
+        for batch, _, _ in _text.blocks(batches, most=BLOCK_BYTES):
+            yield pa.RecordBatch.from_arrays([batch.column(0), encoder.texts(batch.column(1))], names=["id", "tokens"])
 
     return run
 
@@ -221,44 +242,54 @@ def _unpack(shared: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", whole: bool = False, end_id: int = END_ID) -> tuple[DataFrame, np.ndarray]:
-    """Writes the files; returns their blocks, read back, and the token id of each rank.
+def write_tokens(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", whole: bool = False, end_id: int = END_ID, file_tokens: int = FILE_TOKENS) -> None:
+    """Writes ``folder``/blocks, the files, and ``folder``/ranks, the token id of each rank: all that a reader needs.
 
     ``path`` is a file of the tokenizers library. Texts are encoded once, to a
     table in the shared folder; the vocabulary's counts (bounded by its size)
-    go to the driver and give the ranks; files are then cut by ranges of ids.
+    go to the driver and give the ranks. Files are ranges of ids, then of
+    hashes of the ids' bytes, so one id with very many rows (or null) is
+    spread too; there are as many as ``file_tokens`` tokens a file make, at
+    most MOST_FILES, beyond which files grow.
     """
     spark, kind = docs.sparkSession, id_kind(path)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     ids = _work.table(rows.mapInArrow(_tokenise(path, whole, end_id), "id long, tokens binary"), "tokenised")
-    counts = ids.select("tokens").mapInArrow(_histogram(kind), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
-    order = np.lexsort((counts["token"].to_numpy(), -counts["n"].to_numpy()))
-    token = counts["token"].to_numpy(np.int64)[order].astype(np.uint32)
+    counts = ids.select("tokens").mapInArrow(_histogram(kind), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").collect()
+    token = np.array([r[0] for r in counts], np.uint32)
     rank = np.zeros(int(token.max(initial=0)) + 1, np.uint32)
     rank[token] = np.arange(len(token), dtype=np.uint32)
-    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = ids.repartitionByRange(files, "id").sortWithinPartitions("id")
-    blocks = _work.table(ordered.mapInArrow(_pack(spark.sparkContext.broadcast(rank), kind), "file int, block int, before long, ids array<long>, counts array<int>, control binary, data binary"), "token-files")
+    ranks = spark.range(1).select(F.posexplode(F.from_json(F.lit(json.dumps(token.tolist())), "array<long>")).alias("rank", "token"))
+    ranks.coalesce(1).write.parquet(f"{folder}/ranks")
+    files = max(1, min(MOST_FILES, -(-sum(r[1] for r in counts) // file_tokens)))
+    ordered = ids.withColumn("spread", F.xxhash64("tokens")).repartitionByRange(files, "id", "spread").sortWithinPartitions("id", "spread").select("id", "tokens")
+    ordered.mapInArrow(_pack(spark.sparkContext.broadcast(rank), kind), BLOCKS).write.parquet(f"{folder}/blocks")
     _work.drop(ids)
-    return blocks, token
 
 
-def read_tokens(blocks: DataFrame, token: np.ndarray) -> DataFrame:
-    """(id, start, n_tokens, ids_crc32) of every document, decoded from the files."""
+def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, start, n_tokens, ids_crc32) of every document, decoded from the files alone. What goes to the executors is one number for each rank and each file."""
+    blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
+    token = np.array([r[0] for r in spark.read.schema("rank int, token long").parquet(f"{folder}/ranks").orderBy("rank").select("token").collect()], np.uint32)
     sums = blocks.select("file", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("file").agg(F.sum("n")).collect()
     base, total = {}, 0
     for file, n in sorted((r[0], r[1]) for r in sums):
         base[file] = total
         total += n
-    return blocks.mapInArrow(_unpack(blocks.sparkSession.sparkContext.broadcast((token, base))), "id long, start long, n_tokens long, ids_crc32 long")
+    return blocks.mapInArrow(_unpack(spark.sparkContext.broadcast((token, base))), "id long, start long, n_tokens long, ids_crc32 long")
 
 
-def tokenise(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", whole: bool = False, end_id: int = END_ID) -> DataFrame:
+def tokenise(docs: DataFrame, path: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", whole: bool = False, end_id: int = END_ID) -> DataFrame:
     """(id, start, n_tokens, ids_crc32) for every row, as read back from the files.
 
-    Null and empty texts are the end id alone. Documents lie in ascending order
-    of ids, null ids first; repeated ids follow each other in any order, each
-    with its own ids. Other columns are ignored. An empty table gives no
+    Files stay in ``folder``; without one they lie in the shared folder until
+    the application ends. Null and empty texts are the end id alone; a very
+    long text is encoded like any other, in a block of its own. Documents lie
+    in ascending order of ids, null ids first; repeated ids and rows follow
+    each other in an order that their tokens give, each with its own ids.
+    Other columns, whatever their names, are ignored. An empty table gives no
     blocks and an empty result.
     """
-    return read_tokens(*write_tokens(docs, path, id_col, text_col, whole, end_id)).withColumnRenamed("id", id_col)
+    folder = folder or _work.place(docs.sparkSession, "token-files")
+    write_tokens(docs, path, folder, id_col, text_col, whole, end_id)
+    return read_tokens(docs.sparkSession, folder).withColumnRenamed("id", id_col)
