@@ -1,16 +1,18 @@
+import os
 import random
 import re
 from collections import Counter, defaultdict
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gaitlake.llm import components as cc
 from gaitlake.llm import near_dedup, substrings
 from gaitlake.llm._windows import super_windows
 from gaitlake.llm.collection import columnwise, repeated
-from gaitlake.llm.near_dedup import block_links, near_duplicates
+from gaitlake.llm.near_dedup import band_keys, block_links, lanes, linked, near_duplicates, one_of_each, shingle_sets
 from gaitlake.llm.substrings import remove_repeats, repeats
 
 
@@ -149,8 +151,8 @@ def test_groups_equal_brute_force(docs, rows, width):
 
 
 def test_large_buckets_are_searched_to_the_end(spark, monkeypatch):
-    """Chains whose links the leaders do not see, in blocks of two rows."""
-    monkeypatch.setattr(near_dedup, "BLOCK", 2)
+    """Chains whose links the leaders do not see, in blocks of two rows or so."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 100)
     rng = random.Random(5)
     base = [f"w{k}" for k in range(60)]
     rows = []
@@ -164,6 +166,84 @@ def test_large_buckets_are_searched_to_the_end(spark, monkeypatch):
     assert got == brute_groups(rows, 4, 80)
 
 
+@pytest.mark.parametrize("order", [0, 1, 2, 3])
+def test_one_id_with_several_texts(spark, order):
+    """Sets are the nodes: neither text of a shared id loses its links, in any order of the rows."""
+    a, b = " ".join(f"a{k}" for k in range(50)), " ".join(f"b{k}" for k in range(50))
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more")]
+    rows = rows[order:] + rows[:order]
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()
+    assert Counter((r["doc_id"], r["component_id"], r["kept"]) for r in found) == Counter({(1, 1, True): 2, (2, 1, False): 1, (3, 1, False): 1})
+
+
+def test_null_ids_are_linked(spark):
+    a, b = " ".join(f"a{k}" for k in range(50)), " ".join(f"b{k}" for k in range(50))
+    rows = [(None, a), (7, a + " more"), (9, a + " more ."), (None, b), (None, b + " more"), (None, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = Counter((r["doc_id"], r["n_shingles"] > 0, r["component_id"], r["kept"]) for r in near_duplicates(df, width=4).collect())
+    assert found == Counter({(None, True, 7, False): 1, (7, True, 7, True): 1, (9, True, 7, False): 1, (None, True, None, True): 2, (None, False, None, True): 2})
+    kept = one_of_each(df, width=4).collect()
+    assert Counter((r["doc_id"], (r["text"] or "-")[:1]) for r in kept) == Counter({(7, "a"): 1, (None, "b"): 1, (None, "-"): 2})
+
+
+def test_one_of_each_group_stays(spark, docs, rows):
+    """Clashing names, repeated rows, an id with two texts: one row of each group, and every row without words."""
+    more = [(6, "quite another text of six words", *rows[6][2:]), (6, rows[6][1] + " x", *rows[6][2:])]
+    df = docs.union(spark.createDataFrame(more, docs.schema))
+    kept = one_of_each(df, width=5).collect()
+    assert kept[0].asDict().keys() == rows_keys(docs)
+    every = [*rows, *more]
+    wide = brute_groups([(k, r[1]) for k, r in enumerate(every)], 5, 80)
+    want = Counter()
+    for root in {g for n, g, _ in wide.values() if n}:
+        best = min((every[k] for k, (n, g, _) in wide.items() if n and g == root), key=lambda r: (r[0] is None, r[0] or 0))
+        want[best[0]] += 1
+    want.update(every[k][0] for k, (n, _, _) in wide.items() if not n)
+    assert Counter(r["doc_id"] for r in kept) == want
+
+
+def rows_keys(df):
+    return dict.fromkeys(df.columns).keys()
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.95])
+def test_signature_estimates_similarity_and_bands_find_it(similarity):
+    """Lanes agree as often as their sets are alike, with less spread for 64 evaluations than one lane for each would have, and nearly all pairs share a band."""
+    rng = np.random.default_rng(4)
+    shares, met = [], 0
+    for _ in range(300):
+        both, own = int(similarity * 400), 400 - int(similarity * 400)
+        every = rng.integers(0, 2**63, both + own, dtype=np.uint64)
+        cut = rng.integers(0, own + 1)
+        a, b = np.sort(every[: both + cut]), np.sort(np.concatenate([every[:both], every[both + cut :]]))
+        x, y = lanes(a), lanes(b)
+        shares.append((x == y).mean())
+        met += (band_keys(a) == band_keys(b)).any()
+    assert np.mean(shares) == pytest.approx(similarity, abs=0.01)
+    assert np.std(shares) < 0.85 * np.sqrt(similarity * (1 - similarity) / 64)
+    assert met >= 0.99 * 300
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_recall_of_queries_against_all_rows(spark):
+    """Every document whose id is divisible by 50 against all others, by brute force: at least nine tenths of the links, here all of them, are within components."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    component = {r["doc_id"]: r["component_id"] for r in near_duplicates(df, width=4).collect()}
+    texts = [(r["doc_id"], r["text"]) for r in df.collect()]
+    sets = dict(zip([i for i, _ in texts], shingle_sets(pa.array([t for _, t in texts], pa.string()), 4), strict=True))
+    links = [(a, b) for a in sets if a % 50 == 0 for b in sets if a != b and len(sets[a]) and len(sets[b]) and linked(sets[a], sets[b], 80)]
+    assert links
+    assert sum(component[a] == component[b] for a, b in links) == len(links)
+
+
+@pytest.mark.parametrize("hot", [1, 500])
+def test_large_groups_are_not_gathered(spark, docs, rows, monkeypatch, hot):
+    """The same result where nearly every group counts as large."""
+    monkeypatch.setattr(near_dedup, "HOT_ROWS", hot)
+    found = near_duplicates(docs, width=4).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in found if r["doc_id"] is not None} == brute_groups(rows, 4, 80)
+
+
 def test_block_links_join_what_is_linked():
     sets = [np.array(s, np.uint64) for s in ([1, 2, 3, 4, 5], [1, 2, 3, 4, 5, 6], [1, 2, 3, 4, 6], [9])]
     assert sorted(map(sorted, block_links(sets, np.arange(4), np.arange(4), np.zeros(4, int), 80))) == [[0, 1], [1, 2]]
