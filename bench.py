@@ -34,7 +34,7 @@ def main() -> None:
     queries, took = registry.queries(), {}
     for name in HEADLINE:
         runs = []
-        for _ in range(2):  # the first one warms up
+        for _ in range(4):  # the first one warms up
             began = time.perf_counter()
             queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - began)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -41,11 +42,12 @@ def cluster_shares(labels: DataFrame, cluster: str = "cluster", clusters: int |
 def cluster_shares_by(labels: DataFrame, cat: str, cluster: str = "cluster", clusters: int | None = None, empty: float = float("nan")) -> DataFrame:
     """(cat, cluster, freq): shares within each category, every cluster in every category; ``empty`` where a category has no counted label."""
     clusters = clusters or (labels.agg(F.max(cluster)).first()[0] or 0) + 1
-    inside = F.col(cluster).between(0, clusters - 1)
-    counts = F.array(*(F.sum((F.col(cluster) == c).cast("long")) for c in range(clusters)))
-    rows = labels.groupBy(F.col(cat).alias("cat")).agg(counts.alias("n"), F.sum(inside.cast("long")).alias("total"))
-    rows = rows.select("cat", "total", F.posexplode("n").alias("cluster", "n"))
-    return rows.select("cat", F.col("cluster").cast("int").alias("cluster"), F.when(F.col("total") > 0, F.col("n") / F.col("total")).otherwise(F.lit(empty)).alias("freq"))
+    counts = labels.where(F.col(cluster).between(0, clusters - 1)).groupBy(F.col(cat).alias("cat"), F.col(cluster).cast("int").alias("cluster")).agg(F.count("*").alias("n"))
+    totals = labels.groupBy(F.col(cat).alias("cat")).agg(F.count(F.when(F.col(cluster).between(0, clusters - 1), 1)).alias("total"))
+    spine = totals.withColumn("cluster", F.explode(F.sequence(F.lit(0), F.lit(clusters - 1))))
+    found = counts.withColumnsRenamed({"cat": "_cat", "cluster": "_cluster"})
+    rows = spine.join(found, F.col("cat").eqNullSafe(F.col("_cat")) & (F.col("cluster") == F.col("_cluster")), "left")
+    return rows.select("cat", "cluster", F.when(F.col("total") > 0, F.coalesce("n", F.lit(0)) / F.col("total")).otherwise(F.lit(empty)).alias("freq"))
 
 
 def mean_sem(shares: DataFrame, group: str) -> DataFrame:
@@ -70,6 +72,32 @@ def heuristic_score(labels: Sequence[str], rule: Heuristic, column: str = "featu
     return (sum(terms[1:], terms[0]) / len(terms) if terms else F.lit(float("nan"))), missing
 
 
+#: Ranges of values that places are counted in.
+RANGES = 1000
+
+
+def placed(rows: DataFrame, *order: str) -> DataFrame:
+    """Adds ``place``, the row's position from 1 in the order given, its first column numeric and free of nulls.
+
+    Values fall into RANGES ranges between approximate quantiles, fixed before
+    rows are placed; places are those within a range, after the rows of all
+    ranges below it. No task orders all rows.
+    """
+    value = F.col(order[0]).cast("double")
+    edges = rows.agg(F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)], 10 * RANGES).alias("e")).first()["e"] or []
+    edges = sorted(set(edges))
+    part = F.lit(0)
+    if edges:
+        held = F.array(*(F.lit(e) for e in edges)) if len(edges) < 32 else F.from_json(F.lit(json.dumps(edges)), "array<double>")
+        part = F.size(F.filter(held, lambda e: e < value))
+    rows = rows.withColumn("_part", part)
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", F.expr("coalesce(sum(_n) over (order by _part rows between unbounded preceding and 1 preceding), 0)").alias("_before"))
+    rank = F.expr(f"row_number() over (partition by _part order by {', '.join(order)})")
+    # At most RANGES rows are broadcast.
+    return rows.join(F.broadcast(before), "_part").withColumn("place", (rank + F.col("_before")).cast("long")).drop("_part", "_before")
+
+
 def selected(labels: Sequence[str], category: str) -> list[int]:
     """Positions of the labels of a category: those that begin with it or hold it between underscores."""
     return [j for j, name in enumerate(labels) if name.startswith(f"{category}_") or f"_{category}_" in name]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaitlake.functions.numbers import cosine, rounded
@@ -386,14 +386,7 @@ SCORE = "(greatest(-2.5, least(2.5, f[1]))+greatest(-2.5, least(2.5, f[4]))+grea
 @register("heuristic_score", f"with {v.FEATURES} select frame, {v.r(SCORE)} score, row_number() over (order by {v.r(SCORE)}, frame) place from ft")
 def heuristic_score(spark: SparkSession, sf: str) -> DataFrame:
     score, _ = reduce.heuristic_score([f"f{k}" for k in range(64)], RULE)
-    scored = v.features(spark, sf).select("frame", rounded(score).alias("score"))
-    ranked = scored.orderBy("score", "frame").select("frame", "score")
-    # Places come from a global order: counts of the ranges before, then the rank within a range.
-    held = ranked.withColumn("_p", F.spark_partition_id())
-    first = held.groupBy("_p").agg(F.count("*").alias("n"))
-    before = first.alias("a").join(first.alias("b"), F.col("b._p") < F.col("a._p"), "left").groupBy("a._p").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("_p").orderBy("score", "frame")).cast("long") + F.col("before")
-    return held.join(F.broadcast(before), "_p").select("frame", "score", place.alias("place"))
+    return reduce.placed(v.features(spark, sf).select("frame", rounded(score).alias("score")), "score", "frame")
 
 
 @register("heuristic_by_cluster", f"with {v.FEATURES} select label, {v.r(f'avg({SCORE})')} score from ft group by label")

@@ -29,7 +29,7 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from gaitlake.plans import pose_queries  # noqa: F401  registers on import
+    from gaitlake.plans import pose_queries, table_queries  # noqa: F401  register on import
 
     return dict(_QUERIES)
 

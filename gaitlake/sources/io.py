@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import io
 import json
+import re
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
@@ -32,11 +34,21 @@ def read_heuristics(path: str) -> dict[str, Heuristic]:
 
 
 def read_meta(spark: SparkSession, path: str) -> DataFrame:
-    """Session metadata from CSV with a header; ``id`` is the row's position, so the file is read in one piece."""
+    """Session metadata from CSV with a header; ``id`` is the row's position: files by name, then pieces of a file by where they begin, then rows."""
     rows = spark.read.csv(path, header=True, inferSchema=True)
     if "id" in rows.columns:
         raise ValueError("the metadata already has a column id")
-    return rows.coalesce(1).withColumn("id", F.monotonically_increasing_id().cast("int"))
+    held = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_piece")).withColumn("_at", F.monotonically_increasing_id())
+    # One row for each piece of a file.
+    sizes = held.groupBy("_file", "_piece").agg(F.count("*").alias("_n"))
+    before = sizes.select("_file", "_piece", F.expr("coalesce(sum(_n) over (order by _file, _piece rows between unbounded preceding and 1 preceding), 0)").alias("_before"))
+    place = F.col("_before") + F.expr("row_number() over (partition by _file, _piece order by _at)") - 1
+    return held.join(before, ["_file", "_piece"]).select(*rows.columns, place.cast("int").alias("id"))
+
+
+def read_behaviours(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(cluster, label) lines of a CSV with the columns Cluster and Label, in the order of the file: one line for each cluster, as ``motifs.labelled`` takes them."""
+    return [(r["Cluster"], r["Label"]) for r in read_meta(spark, path).orderBy("id").select(F.col("Cluster").cast("int"), "Label").collect()]
 
 
 def meta_by_frame(frames: DataFrame, meta: DataFrame) -> DataFrame:
@@ -76,12 +88,28 @@ def read_features(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]
     return spark.read.parquet(f"{path}/features"), list(spark.read.parquet(f"{path}/labels").first()[0])
 
 
+def _plain(path: str) -> str:
+    return re.sub("^[a-z0-9]+:/*", "/", unquote(path)).rstrip("/")
+
+
+#: Files up to this number are joined by broadcast.
+FEW_FILES = 10_000
+
+
 def pose_from_meta(spark: SparkSession, meta: DataFrame, column: str = "path") -> DataFrame:
-    """All sessions' poses, each from the file that its metadata names, in one scan."""
-    paths = [r[0] for r in meta.select(column).collect()]
-    pose = spark.read.parquet(*paths).drop("id").withColumn("_file", F.input_file_name())
-    held = meta.select("id", F.regexp_replace(column, "^[a-z]+:/*", "/").alias("_path"))
-    return pose.join(F.broadcast(held), F.regexp_replace("_file", "^[a-z]+:/*", "/").startswith(F.regexp_replace("_path", "/+$", ""))).drop("_file", "_path")
+    """All sessions' poses, each from the file or folder that its metadata names, in one scan. A file belongs to the session named by it or by the nearest folder above it."""
+    named = {_plain(r[0]): (r[0], r[1]) for r in meta.select(column, "id").collect()}
+    pose = spark.read.option("recursiveFileLookup", "true").parquet(*(path for path, _ in named.values())).drop("id")
+
+    def session(path: str) -> int:
+        while path not in named:
+            path = path.rpartition("/")[0]
+        return named[path][1]
+
+    files = [(re.sub("^[a-z0-9]+:/*", "/", f), int(session(_plain(f)))) for f in pose.inputFiles()]
+    held = spark.createDataFrame(files, "_file string, id long").withColumn("id", F.col("id").cast(meta.schema["id"].dataType))
+    pose = pose.withColumn("_file", F.regexp_replace("_metadata.file_path", "^[a-z0-9]+:/*", "/"))
+    return pose.join(F.broadcast(held) if len(files) <= FEW_FILES else held, "_file").drop("_file")
 
 
 def read_extended(spark: SparkSession, path: str, *extra: str) -> tuple[DataFrame, list[str], dict[str, DataFrame]]:
