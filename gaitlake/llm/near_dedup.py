@@ -35,7 +35,7 @@ from gaitlake.llm.components import components
 #: Lanes in a band and number of bands. A pair at similarity 0.8 shares no band with a probability of (1 - 0.8**4)**32, 5e-8.
 ROWS, BANDS = 4, 32
 #: Shingles of either side that one block comparison holds, on average.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Most groups that are broadcast for being large, and the size from which on a group may be one of them.
 HOT_KEYS, HOT_ROWS = 100_000, 500
 
