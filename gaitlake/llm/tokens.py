@@ -39,7 +39,7 @@ BLOCK_TOKENS = 1 << 18
 #: Tokens of a file, and the number of files from which on files grow instead.
 FILE_TOKENS, MOST_FILES = 1 << 24, 20_000
 #: Bytes of text whose distinct pieces are looked up at once, and how many pieces of at most which length a worker remembers.
-BLOCK_BYTES, CACHED_PIECES, CACHED_LENGTH = 4 << 20, 600_000, 48
+BLOCK_BYTES, CACHED_PIECES, CACHED_LENGTH = 4 << 20, 800_000, 48
 #: Columns of the files.
 BLOCKS = "file int, block int, before long, ids array<long>, counts array<int>, control binary, data binary"
 
