@@ -53,10 +53,11 @@ def rebalance(slots: list[Slot], sizes: list[tuple[int, int, int]], shards: int)
     """Next version of the map for new sizes or more shards.
 
     First, slots move from shards above the mean to the emptiest one, largest
-    first, as long as the giver stays above the mean. Then the fullest and the
-    emptiest shard swap the slots (or the one gives a slot) that bring them
-    closest to each other, until loads are level or no swap helps. All other
-    slots keep their shard.
+    first, as long as the giver stays above the mean. Then, unless shards were
+    added, which take slots and give none, the fullest and the emptiest shard
+    swap the slots (or the one gives a slot) that bring them closest to each
+    other, until loads are level or no swap helps. All other slots keep their
+    shard.
     """
     version = max(s.version for s in slots) + 1
     size = {v: (b, r) for v, b, r in sizes}
@@ -80,7 +81,8 @@ def rebalance(slots: list[Slot], sizes: list[tuple[int, int, int]], shards: int)
             taker = lightest()
             if bytes_of[v] and load[giver] - bytes_of[v] >= mean and load[taker] + bytes_of[v] < load[giver]:
                 move(v, giver, taker)
-    for _ in range(16 * shards):
+    added = max(s.shard for s in slots) + 1 < shards
+    for _ in range(0 if added else 16 * shards):
         giver, taker = max(load, key=lambda k: (load[k], -k)), lightest()
         gap = load[giver] - load[taker]
         if gap <= LEVEL * mean:
