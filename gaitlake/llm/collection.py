@@ -17,21 +17,39 @@ import numpy as np
 
 
 class _Column:
-    """An array that is replaced once a round: in memory, or in a file written and read in sequence."""
+    """An array that is replaced once a round: in memory, or in a file written and read in sequence.
+
+    The file stays open and is overwritten in place, as columns only grow;
+    emptying it first makes some file systems wait for the disk every round.
+    """
 
     def __init__(self, kind: type, folder: str | None, name: str) -> None:
-        self.kind, self.path = kind, folder and os.path.join(folder, name)
-        self.held = np.zeros(0, kind)
+        self.kind, self.held = kind, np.zeros(0, kind)
+        self.file = open(os.path.join(folder, name), "w+b", buffering=0) if folder else None  # noqa: SIM115
+        self.size = 0
 
     def get(self) -> np.ndarray:
-        return np.fromfile(self.path, self.kind) if self.path and os.path.exists(self.path) else self.held
+        if not self.file:
+            return self.held
+        self.file.seek(0)
+        return np.fromfile(self.file, self.kind, self.size)
 
     def put(self, values: np.ndarray) -> None:
-        if self.path:
-            values.astype(self.kind).tofile(self.path)
+        values = values.astype(self.kind, copy=False)
+        if self.file:
+            self.file.seek(0)
+            values.tofile(self.file)
+            self.size = len(values)
         else:
             self.held = values
 
+    def last(self) -> np.ndarray:
+        """The array, after which the file is closed."""
+        values = self.get()
+        if self.file:
+            self.file.close()
+        return values
+
 
 def _minima(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Smallest value of each non-empty range [low, high)."""
@@ -93,7 +111,7 @@ def columnwise(strings: list[bytes], folder: str | None = None) -> tuple[np.ndar
         transform.put(column)
         common.put(shared)
         active, place = active[more], m + at[more]
-    return transform.get(), common.get()
+    return transform.last(), common.last()
 
 
 def repeated(strings: list[bytes], window: int, folder: str | None = None) -> list[np.ndarray]:
