@@ -80,3 +80,45 @@ string_agg(t, ',' order by a, kind) spans, string_agg(t, ',' order by a, kind) f
 select doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, coalesce(n_hex, 0) n_hex, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans, coalesce(live, '') live_spans
 from d left join t using (r)
 """
+
+FILL_IN_MIDDLE = """
+with d as (select doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') w, sha256('1:' || coalesce(cast(doc_id as varchar), '')) h from documents),
+e as (select *, len(w) n, ('0x' || substr(h, 1, 8))::bigint % (len(w) + 1) a, ('0x' || substr(h, 9, 8))::bigint % (len(w) + 1) b, ('0x' || substr(h, 17, 8))::bigint % 100 c, ('0x' || substr(h, 25, 8))::bigint % 100 s from d),
+f as (select doc_id, t, n, case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or c >= 90 then 'plain' when s < 20 then 'spm' else 'psm' end form,
+array_to_string(w[1:least(a, b)], '') p, array_to_string(w[least(a, b)+1:greatest(a, b)], '') m, array_to_string(w[greatest(a, b)+1:n], '') s from e)
+select doc_id, cast(n as bigint) n, form, case when form <> 'plain' then length(p) end prefix_chars, case when form <> 'plain' then length(m) end middle_chars,
+sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) output_sha256, sha256(t) restored_sha256 from f
+"""
+
+_GRAMS = " union all ".join(f"select lang, {k} k, array_to_string(w[i:i+{k - 1}], ' ') g from (select lang, w, unnest(range(1, len(w)+1-{k - 1})) i from p)" for k in (1, 2, 3, 4))
+
+COLLOCATIONS = rf"""
+with t as (select coalesce(lang, 'und') lang, unnest(regexp_split_to_array({LOWER}, '[.,;:!?\x0A-\x0D]')) p from documents),
+p as (select lang, regexp_extract_all(p, '[^\x20\x09]+') w from t),
+c as (select lang, k, g, count(*) f from ({_GRAMS}) group by all having count(*) >= 30),
+tot as (select lang, sum(len(w)) n from p group by lang),
+cand as (select lang, k, g, f, string_split(g, ' ') w from c where k > 1),
+ext as (select lang, unnest([array_to_string(w[1:k-1], ' '), array_to_string(w[2:k], ' ')]) g, f from cand where k > 2),
+kept as (select * from cand anti join (select lang, g, max(f) e from ext group by all) x on x.lang = cand.lang and x.g = cand.g and 100::hugeint * e >= 80::hugeint * f),
+cut as (select lang, g, f a, w, k, unnest(range(1, k)) j from kept),
+s as (select cut.lang, cut.g, a, j, l.f l, r.f r, cast(2000000::hugeint * a // (l.f + r.f) as bigint) score from cut join c l on l.lang = cut.lang and l.g = array_to_string(w[1:j], ' ') join c r on r.lang = cut.lang and r.g = array_to_string(w[j+1:cut.k], ' ')),
+b as (select * from s qualify row_number() over (partition by lang, g order by score, j) = 1),
+o as (select lang, row_number() over (partition by lang order by score desc, a desc, g) rank, g phrase, a, l, r, score from b)
+select lang, rank, phrase, a, l, r, cast(n as bigint) n, score from o join tot using (lang) where rank <= 2000
+"""
+
+_ESC = r"regexp_replace(replace(text, '\', '\\'), '([<\[])(/?s>|/?INST\]|<SYS>>|</SYS>>)', '\1\\\2', 'g')"
+
+CHATS = rf"""
+with c as (select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text from conversations union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e as (select *, {_ESC} esc, len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_\t\n\x0B\f\r ]')) + 4 n, row_number() over (partition by conv_id order by turn, role, text) - 1 pos from c),
+f as (select *, coalesce(sum(n) over (partition by conv_id order by pos rows between unbounded preceding and 1 preceding), 0) before, max(case when pos = 0 and role = 'system' then n end) over (partition by conv_id) head,
+max(case when pos = 0 and role = 'system' then length(esc) + 14 end) over (partition by conv_id) head_chars, length(role) + length(esc) + 8 chars from e),
+g as (select *, greatest(2048 - 256 - coalesce(head, 0), 512) // 2 half from f),
+h as (select *, before // half * 2 + cast(n > half as int) win from g),
+runs as (select conv_id, win, min(pos) start, min(before) b, max(head_chars) head_chars, sum(chars) chars from h group by all),
+past as (select runs.conv_id, runs.win, sum(h.chars) chars from runs join h on h.conv_id = runs.conv_id and h.pos between runs.start - 4 and runs.start - 1 and runs.b - h.before <= 256 and not (h.pos = 0 and h.role = 'system') group by all),
+size as (select conv_id, sum(runs.chars + coalesce(past.chars, 0) + case when start > 0 then coalesce(head_chars, 0) else 0 end) chars from runs left join past using (conv_id, win) group by conv_id)
+select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by pos)) turns_sha256, cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) loss_chars,
+sha256(coalesce(string_agg(text, '' order by pos) filter (role = 'assistant'), '')) loss_sha256, cast(any_value(size.chars) as bigint) formatted_chars from h join size using (conv_id) group by conv_id
+"""

@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gaitlake.llm import oracles
+from gaitlake.llm.chats import chat_windows, read_back
 from gaitlake.llm.classifier import quality_scores
+from gaitlake.llm.collocations import collocations
 from gaitlake.llm.decontaminate import decontaminate
+from gaitlake.llm.fill_middle import fill_in_middle, restored
 from gaitlake.llm.mixing import mix
 from gaitlake.llm.near_dedup import near_duplicates
 from gaitlake.llm.pii import find_pii
@@ -68,7 +72,25 @@ def op10_ngram_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_columnwise_suffix_dedup, op2_minhash_near_dedup, op3_frequency_ranked_tokens, op4_skip_chain_pii, op5_secret_ownership, op6_wu_manber_decontamination, op7_quality_cascade, op8_virtual_slots, op9_entropy_balancing, op10_ngram_ftrl)}
+def op11_budgeted_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ok = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(ok)
+    back = read_back(chat_windows(rows))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("loss", "")
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_documents(spark, sf_dir))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle(_documents(spark, sf_dir))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_columnwise_suffix_dedup, op2_minhash_near_dedup, op3_frequency_ranked_tokens, op4_skip_chain_pii, op5_secret_ownership, op6_wu_manber_decontamination, op7_quality_cascade, op8_virtual_slots, op9_entropy_balancing, op10_ngram_ftrl, op11_budgeted_chat_windows, op12_phrase_collocations, op13_fill_in_middle)}
 
 ORACLES: dict[str, str] = {
     "op1_columnwise_suffix_dedup": oracles.REPEATS,
@@ -76,4 +98,7 @@ ORACLES: dict[str, str] = {
     "op5_secret_ownership": oracles.SECRETS,
     "op6_wu_manber_decontamination": oracles.DECONTAMINATION,
     "op7_quality_cascade": oracles.QUALITY,
+    "op11_budgeted_chat_windows": oracles.CHATS,
+    "op12_phrase_collocations": oracles.COLLOCATIONS,
+    "op13_fill_in_middle": oracles.FILL_IN_MIDDLE,
 }
