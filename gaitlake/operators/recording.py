@@ -77,15 +77,16 @@ def best_so_far(scores: DataFrame, parameter: str, metric: str) -> DataFrame:
 
 
 def rolling(frames: DataFrame, value: str, window: int) -> DataFrame:
-    """Adds ``window``: the values of an odd number of frames around each, end values repeated beyond the ends of a session."""
+    """Adds ``window``: the values, nulls included, of an odd number of frames around each, end values repeated beyond the ends of a session."""
     if window % 2 == 0:
         raise ValueError("a rolling window has an odd number of frames")
     half = window // 2
-    near = f"collect_list({value}) over (partition by id order by t rows between {half} preceding and {half} following)"
+    # A list of nulls would leave them out, one of structs does not.
+    near = f"collect_list(struct({value} as v)) over (partition by id order by t rows between {half} preceding and {half} following)"
     back, ahead = (f"count(1) over (partition by id order by t rows between {x})" for x in (f"{half} preceding and current row", f"current row and {half} following"))
     held = frames.withColumns({"_near": F.expr(near), "_back": F.lit(half + 1) - F.expr(back), "_ahead": F.lit(half + 1) - F.expr(ahead)})
     ends = (F.array_repeat(F.element_at("_near", 1), F.col("_back").cast("int")), F.array_repeat(F.element_at("_near", -1), F.col("_ahead").cast("int")))
-    return held.withColumn("window", F.concat(ends[0], "_near", ends[1])).drop("_near", "_back", "_ahead")
+    return held.withColumn("window", F.transform(F.concat(ends[0], "_near", ends[1]), lambda x: x["v"])).drop("_near", "_back", "_ahead")
 
 
 def borders(cells: DataFrame, cluster: str = "cluster") -> DataFrame:

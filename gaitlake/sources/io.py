@@ -4,15 +4,13 @@ from __future__ import annotations
 
 import io
 import json
-import re
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
-from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
 import yaml
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaitlake.operators.reduce import Heuristic
@@ -88,28 +86,45 @@ def read_features(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]
     return spark.read.parquet(f"{path}/features"), list(spark.read.parquet(f"{path}/labels").first()[0])
 
 
-def _plain(path: str) -> str:
-    return re.sub("^[a-z0-9]+:/*", "/", unquote(path)).rstrip("/")
+#: Up to this number of files and sessions, files are joined by broadcast.
+FEW_FILES = 10_000
 
 
-#: Files up to this number are joined by broadcast.
-FEW_FILES = 10_000
+def _plain(path: Column) -> Column:
+    """Without scheme and closing slash."""
+    return F.regexp_replace(F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:/*", "/"), "(?<=.)/+$", "")
 
 
 def pose_from_meta(spark: SparkSession, meta: DataFrame, column: str = "path") -> DataFrame:
-    """All sessions' poses, each from the file or folder that its metadata names, in one scan. A file belongs to the session named by it or by the nearest folder above it."""
-    named = {_plain(r[0]): (r[0], r[1]) for r in meta.select(column, "id").collect()}
-    pose = spark.read.option("recursiveFileLookup", "true").parquet(*(path for path, _ in named.values())).drop("id")
-
-    def session(path: str) -> int:
-        while path not in named:
-            path = path.rpartition("/")[0]
-        return named[path][1]
-
-    files = [(re.sub("^[a-z0-9]+:/*", "/", f), int(session(_plain(f)))) for f in pose.inputFiles()]
-    held = spark.createDataFrame(files, "_file string, id long").withColumn("id", F.col("id").cast(meta.schema["id"].dataType))
-    pose = pose.withColumn("_file", F.regexp_replace("_metadata.file_path", "^[a-z0-9]+:/*", "/"))
-    return pose.join(F.broadcast(held) if len(files) <= FEW_FILES else held, "_file").drop("_file")
+    """All sessions' poses, each from the file or folder that its metadata names, in one scan.
+
+    Names are resolved as Spark's readers do, relative ones from the working
+    folder. A file belongs to the sessions named by it or by the nearest
+    folder above it, so sessions that name the same folder each have its
+    frames, and a folder named within another is read once. A file that no
+    name leads to is an error.
+    """
+    names = [r[0] for r in meta.select(column).distinct().collect()]  # the reader takes a list of them
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    whole = {}
+    for name in names:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        whole[name] = path.getFileSystem(conf).makeQualified(path).toString()
+    every = set(whole.values())
+    roots = sorted(q for q in every if not any(q[:k] in every for k in range(1, len(q)) if q[k] == "/"))
+    found = spark.createDataFrame(list(whole.items()), "_name string, _whole string")
+    sessions = meta.select(F.col(column).alias("_name"), "id").join(found, "_name").select(_plain(F.col("_whole")).alias("_folder"), "id")
+    pose = spark.read.option("recursiveFileLookup", "true").parquet(*roots).drop("id")
+    few = max(len(pose.inputFiles()), meta.count()) <= FEW_FILES
+    # File names come percent-encoded.
+    pose = pose.withColumn("_file", _plain(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))))
+    parts = F.split("_file", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, 1, n), "/").alias("folder")))
+    owners = pose.select("_file").distinct().select("_file", F.explode(above).alias("a")).join(sessions, F.col("a.folder") == F.col("_folder"))
+    deepest = F.expr("max(a.depth) over (partition by _file)")
+    owners = owners.withColumn("_deepest", deepest).where("a.depth = _deepest").select("_file", "id")
+    held = pose.join(F.broadcast(owners) if few else owners, "_file", "left")
+    return held.withColumn("id", F.coalesce("id", F.raise_error(F.concat(F.lit("no session names "), "_file")).cast(meta.schema["id"].dataType))).drop("_file")
 
 
 def read_extended(spark: SparkSession, path: str, *extra: str) -> tuple[DataFrame, list[str], dict[str, DataFrame]]:

@@ -1,5 +1,7 @@
 """Files with awkward names, and the operators on recordings."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +19,25 @@ def test_a_session_is_not_another_whose_name_begins_alike(spark, tmp_path):
     assert {(r["id"], r["k"]): r["count"] for r in got} == {(5, 0): 1, (6, 1): 2, (7, 2): 3, (8, 3): 4}
 
 
+def test_sessions_by_relative_shared_and_nested_folders(spark, tmp_path):
+    """Two sessions on one folder both get its frames; a folder within a named one goes to its own session alone."""
+    for k, name in enumerate(("s1", "s1/inner", "a+b%20c")):
+        spark.range(k + 1).select(F.col("id").alias("t"), F.lit(k).alias("k")).coalesce(1).write.parquet(str(tmp_path / name))
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    base = jvm.org.apache.hadoop.fs.Path(".").getFileSystem(conf).getWorkingDirectory().toString().removeprefix("file:")
+    relative = os.path.relpath(tmp_path / "s1", base)
+    meta = spark.createDataFrame([(0, relative), (1, str(tmp_path / "s1")), (2, str(tmp_path / "s1" / "inner")), (3, str(tmp_path / "a+b%20c"))], "id int, path string")
+    got = io.pose_from_meta(spark, meta)
+    assert got.schema["id"].dataType.simpleString() == "int"
+    assert {(r["id"], r["k"]): r["count"] for r in got.groupBy("id", "k").count().collect()} == {(0, 0): 1, (1, 0): 1, (2, 1): 2, (3, 2): 3}
+
+
+def test_rolling_windows_hold_nulls(spark):
+    frames = spark.createDataFrame([(0, t, None if t == 2 else float(t)) for t in range(5)], "id int, t int, v double")
+    got = {r["t"]: r["window"] for r in recording.rolling(frames, "v", 3).collect()}
+    assert got == {0: [0.0, 0.0, 1.0], 1: [0.0, 1.0, None], 2: [1.0, None, 3.0], 3: [None, 3.0, 4.0], 4: [3.0, 4.0, 4.0]}
+
+
 def test_positions_in_metadata_follow_files_and_pieces(spark, tmp_path):
     lines = [f"{k},{'x' * 50}" for k in range(4000)]
     for a, name in ((0, "a.csv"), (2500, "b.csv")):
