@@ -23,8 +23,8 @@ from gaitlake.llm import _text, _work
 #: Ends of pieces, and white space within them.
 BREAK, BLANK = _text.byte_class(*((ord(c), ord(c)) for c in ".,;:!?"), (0x0A, 0x0D)), _text.byte_class((0x20, 0x20), (0x09, 0x09))
 WORD = ~(BREAK | BLANK)
-#: Bits of the filter of frequent phrases, which every worker holds, whatever the size of the corpus: 16 MB.
-FILTER_BITS = 1 << 27
+#: Bits of the filter of frequent phrases, which every worker holds, whatever the size of the corpus: 8 MB.
+FILTER_BITS = 1 << 26
 #: Bytes of text whose phrases are counted together before they become rows.
 BLOCK_BYTES = 1 << 20
 EXACT = "decimal(38,0)"
@@ -83,7 +83,7 @@ def phrases(batches: Iterator[pa.RecordBatch], n: int, allowed: np.ndarray | Non
             codes, counts = np.unique(lang, return_counts=True)
             found = pa.concat_tables([found, pa.table({"lang": codes, "phrase": pa.array([""] * len(codes), pa.large_string()), "count_all": counts}).cast(found.schema)])
         names = coded.dictionary.take(found["lang"].combine_chunks())
-        yield from pa.table({"lang": names, "phrase": found["phrase"].cast(pa.string()), "count": found["count_all"]}).to_batches(max_chunksize=100_000)
+        yield from pa.table({"lang": names, "phrase": found["phrase"].cast(pa.string()), "count": found["count_all"]}).to_batches(max_chunksize=20_000)
 
 
 def _filter(frequent: DataFrame, bits: int) -> np.ndarray:
