@@ -3,62 +3,76 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaitlake.operators import kernels
+from gaitlake.functions.shared import written
+from gaitlake.operators import kernels, layout
 from gaitlake.operators.density import Watershed
+from gaitlake.operators.forest import near
 from gaitlake.operators.neighbors import knn_regress
 
-#: Most template rows; the embedding works on all pairs of them.
-TEMPLATE_ROWS = 20_000
+#: Up to this many rows, t-SNE works on all pairs of them, in one process; beyond, through an index and a grid.
+EXACT_ROWS = 2000
 
 
-def sample_per_cluster(points: DataFrame, cluster: str = "cluster", n: int = 20, seed: int = 0, key: str = "frame") -> DataFrame:
-    """``n`` rows of each cluster in an order given by a hash; clusters with fewer rows are left out."""
-    w = F.expr(f"row_number() over (partition by {cluster} order by pmod({key} * 7919 + {seed}, 10007), {key})")
-    size = F.expr(f"count(1) over (partition by {cluster})")
+def sample_per_cluster(points: DataFrame, cluster: str | Sequence[str] = "cluster", n: int = 20, seed: int = 0, key: str = "frame") -> DataFrame:
+    """``n`` rows of each cluster in an order given by a hash; clusters with fewer rows are left out. ``cluster`` may be several columns."""
+    by = cluster if isinstance(cluster, str) else ", ".join(cluster)
+    w = F.expr(f"row_number() over (partition by {by} order by pmod({key} * 7919 + {seed}, 10007), {key})")
+    size = F.expr(f"count(1) over (partition by {by})")
     return points.withColumns({"_r": w, "_n": size}).where((F.col("_n") >= n) & (F.col("_r") <= n)).drop("_r", "_n")
 
 
 @dataclass
 class Embedding:
-    """A template in feature space and on the plane; all else is placed by its nearest template rows."""
+    """A template in feature space and on the plane; all else is placed by its nearest template rows.
+
+    ``method`` is tsne or umap. The template is a table (frame, features, y).
+    """
 
     method: str = "tsne"
     perplexity: float = 30.0
+    neighbors: int = 15
+    min_dist: float = 0.5
+    spread: float = 1.0
+    rounds: int = 500
     seed: int = 0
-    keys: np.ndarray | None = field(default=None, repr=False)
-    features: np.ndarray | None = field(default=None, repr=False)
-    plane: np.ndarray | None = field(default=None, repr=False)
+    template: DataFrame | None = field(default=None, repr=False)
 
     def fit(self, template: DataFrame, key: str = "frame", column: str = "features") -> Embedding:
-        if self.method != "tsne":
+        rows = template.select(F.col(key).cast("long").alias("frame"), F.col(column).cast("array<double>").alias("features"))
+        if self.method == "umap":
+            self.template = layout.umap(rows, neighbors=self.neighbors, min_dist=self.min_dist, spread=self.spread, epochs=min(self.rounds, 200), seed=self.seed)
+        elif self.method == "tsne":
+            some = rows.limit(EXACT_ROWS + 1).collect()
+            if len(some) > EXACT_ROWS:
+                self.template = layout.tsne(rows, perplexity=self.perplexity, rounds=self.rounds, early=self.rounds // 4, seed=self.seed)
+            else:
+                some = sorted(some, key=lambda r: r[0])
+                plane = kernels.tsne(np.array([r[1] for r in some], float).reshape(len(some), -1), self.perplexity, self.rounds, self.seed)
+                self.template = written(template.sparkSession.createDataFrame([(*r, y.tolist()) for r, y in zip(some, plane, strict=True)], "frame long, features array<double>, y array<double>"))
+        else:
             raise ValueError(f"unknown method {self.method}")
-        rows = template.select(key, column).orderBy(key).limit(TEMPLATE_ROWS + 1).collect()
-        if len(rows) > TEMPLATE_ROWS:
-            raise ValueError(f"a template has at most {TEMPLATE_ROWS} rows: sample it first")
-        self.keys = np.array([r[0] for r in rows], np.int64)
-        self.features = np.array([r[1] for r in rows], float)
-        self.plane = kernels.tsne(self.features, self.perplexity, seed=self.seed)
         return self
 
-    def frames(self, spark) -> DataFrame:  # noqa: ANN001
-        rows = [(int(k), x.tolist(), y.tolist()) for k, x, y in zip(self.keys, self.features, self.plane, strict=True)]
-        return spark.createDataFrame(rows, "frame long, features array<double>, y array<double>")
+    def plane(self) -> DataFrame:
+        """(frame, x, y) of the template."""
+        return self.template.select("frame", F.col("y")[0].alias("x"), F.col("y")[1].alias("y"))
 
     def predict(self, points: DataFrame, method: str = "knn", k: int = 5, weights: str = "distance") -> DataFrame:
-        """(frame, x, y) of every row, from its nearest template rows or from two random forests."""
-        held = self.frames(points.sparkSession)
+        """(frame, x, y) of every row: from its nearest template rows (knn), from two random forests (forest), or moved by UMAP's edges to its nearest template rows (umap)."""
+        held = self.template
         if method == "knn":
-            out = knn_regress(points, held, held, k, weights)
-            return out.select("frame", F.col("y")[0].alias("x"), F.col("y")[1].alias("y"))
-        if method == "forest":
+            out = knn_regress(points, held, held, k, weights, found=near(points, held, k, skip_self=False, seed=self.seed))
+        elif method == "umap":
+            out = layout.umap_transform(points, held, neighbors=self.neighbors, min_dist=self.min_dist, spread=self.spread, seed=self.seed)
+        elif method == "forest":
             from pyspark.ml.functions import array_to_vector
             from pyspark.ml.regression import RandomForestRegressor
 
@@ -67,58 +81,98 @@ class Embedding:
             for label, name in (("a", "x"), ("b", "y")):
                 out = RandomForestRegressor(featuresCol="v", labelCol=label, predictionCol=name, seed=self.seed).fit(train).transform(out)
             return out.select("frame", "x", "y")
-        raise ValueError(f"unknown method {method}")
+        else:
+            raise ValueError(f"unknown method {method}")
+        return out.select("frame", F.col("y")[0].alias("x"), F.col("y")[1].alias("y"))
 
     def save(self, path: str) -> None:
-        os.makedirs(path, exist_ok=True)
-        np.savez(os.path.join(path, "template.npz"), keys=self.keys, features=self.features, plane=self.plane)
-        with open(os.path.join(path, "model.json"), "w") as f:
-            json.dump({"method": self.method, "perplexity": self.perplexity, "seed": self.seed}, f)
+        """Template and parameters as tables, wherever Spark writes."""
+        spark = self.template.sparkSession
+        self.template.write.mode("overwrite").parquet(f"{path}/template")
+        held = {k: v for k, v in self.__dict__.items() if k not in ("template", "picked")}
+        spark.createDataFrame([(json.dumps(held),)], "model string").coalesce(1).write.mode("overwrite").text(f"{path}/model")
 
     @classmethod
-    def load(cls, path: str) -> Embedding:
-        with open(os.path.join(path, "model.json")) as f:
-            model = cls(**json.load(f))
-        with np.load(os.path.join(path, "template.npz")) as z:
-            model.keys, model.features, model.plane = z["keys"], z["features"], z["plane"]
+    def load(cls, spark: SparkSession, path: str) -> Embedding:
+        model = cls(**json.loads(spark.read.text(f"{path}/model").first()[0]))
+        model.template = spark.read.parquet(f"{path}/template")
         return model
 
 
-def batch_template(points: DataFrame, batch: str, n: int = 20, sigma: float = 15.0, bins: int = 1000, perplexity: float = 30.0, seed: int = 0) -> DataFrame:
-    """Rows of every batch that stand for its clusters: each batch is embedded, segmented, and sampled by cluster."""
-    out = None
-    for (one,) in points.select(batch).distinct().orderBy(batch).collect():
-        own = points.where(F.col(batch).eqNullSafe(F.lit(one)))
-        model = Embedding(perplexity=perplexity, seed=seed).fit(own)
-        plane = model.frames(points.sparkSession).select("frame", F.col("y")[0].alias("x"), F.col("y")[1].alias("y"))
-        labelled = Watershed(sigma=sigma, bins=bins).fit_predict(plane).select("frame", "cluster")
-        picked = sample_per_cluster(labelled, n=n, seed=seed)
-        got = own.join(F.broadcast(picked), "frame")
-        out = got if out is None else out.unionByName(got)
+def batch_clusters(points: DataFrame, batch: str, sigma: float = 15.0, bins: int = 1000, perplexity: float = 30.0, rounds: int = 500, seed: int = 0, key: str = "frame", column: str = "features", most: int = EXACT_ROWS) -> DataFrame:
+    """(batch, key, cluster): every row's basin in the embedding of its own batch. Batches of at most ``most`` rows are a task each; larger ones are embedded one after another, each by all tasks. A null batch is one of its own."""
+    rows = points.select(batch, F.col(key).cast("long").alias("_key"), F.col(column).cast("array<double>").alias("_x"))
+    sizes = rows.groupBy(F.col(batch).alias("_b")).agg(F.count("*").alias("_n"))
+    rows = written(rows.join(sizes, F.col(batch).eqNullSafe(F.col("_b"))).drop("_b"))
+
+    def own(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_key")
+        plane = kernels.tsne(np.stack(group["_x"]), perplexity, rounds, seed)
+        return pd.DataFrame({batch: group[batch], key: group["_key"], "cluster": kernels.segmented(plane, bins, sigma)})
+
+    kind = points.schema[batch].dataType.simpleString()
+    out = rows.where(F.col("_n") <= most).select(batch, "_key", "_x").groupBy(batch).applyInPandas(own, f"`{batch}` {kind}, `{key}` long, cluster long")
+    for (one,) in rows.where(F.col("_n") > most).select(batch).distinct().orderBy(batch).collect():  # a line each
+        mine = rows.where(F.col(batch).eqNullSafe(F.lit(one))).select(F.col("_key").alias("frame"), F.col("_x").alias("features"))
+        plane = Embedding("tsne", perplexity, rounds=rounds, seed=seed).fit(mine).plane()
+        found = Watershed(sigma=sigma, bins=bins).fit_predict(plane)
+        out = out.unionByName(found.select(F.lit(one).cast(kind).alias(batch), F.col("frame").alias(key), F.col("cluster").cast("long").alias("cluster")))
     return out
 
 
-def kfold_errors(model: Embedding, spark, ks: Sequence[int], folds: int = 5, seed: int = 0, sigma: float = 2.0, bins: int = 100) -> list[tuple[int, float, float, float]]:  # noqa: ANN001
-    """(k, mean squared error, mean distance, share of equal segment labels) of template rows placed by the others.
+def batch_template(points: DataFrame, batch: str, n: int = 20, sigma: float = 15.0, bins: int = 1000, perplexity: float = 30.0, rounds: int = 500, seed: int = 0) -> DataFrame:
+    """Rows of every batch that stand for its clusters: each batch is embedded, segmented, and sampled by cluster; adds ``cluster``. Frames differ between batches."""
+    labelled = batch_clusters(points, batch, sigma, bins, perplexity, rounds, seed)
+    picked = written(sample_per_cluster(labelled, (batch, "cluster"), n, seed)).select("frame", "cluster")
+    return points.join(picked, "frame")
+
+
+@dataclass
+class BatchEmbedding(Embedding):
+    """An embedding whose template is sampled from the clusters of batches; ``picked`` has the frames of the template and their batches and clusters."""
+
+    sampled: int = 20
+    sigma: float = 15.0
+    bins: int = 1000
+    picked: DataFrame | None = field(default=None, repr=False)
+
+    def fit_batches(self, points: DataFrame, batch: str) -> BatchEmbedding:
+        template = written(batch_template(points, batch, self.sampled, self.sigma, self.bins, self.perplexity, self.rounds, self.seed))
+        self.picked = template.select(batch, "frame", "cluster")
+        self.fit(template)
+        return self
+
+    def fit_predict(self, points: DataFrame, batch: str, **how: object) -> DataFrame:
+        """(frame, x, y) of every row on the template of all batches."""
+        return self.fit_batches(points, batch).predict(points, **how)
+
 
-    Errors are relative to the diagonal of the template's bounding box.
+def kfold_errors(model: Embedding, ks: Sequence[int], folds: int = 5, seed: int = 0, sigma: float = 2.0, bins: int = 100) -> DataFrame:
+    """(k, mse, distance, accuracy, best) of the template's rows, each placed by those of the other folds, and the k up to each that has the smallest mse.
+
+    Folds are given by a hash of the frame. Errors are relative to the
+    diagonal of the template's bounding box; accuracy is the share of rows
+    that fall into their own segment. Neighbours are sought once, for the
+    largest k.
     """
-    order = np.random.default_rng(seed).permutation(len(model.keys))
-    held = model.frames(spark)
-    plane = held.select("frame", F.col("y")[0].alias("x"), F.col("y")[1].alias("y"))
+    from gaitlake.operators.recording import best_so_far
+
+    held = model.template.withColumn("fold", F.pmod(F.xxhash64("frame", F.lit(seed)), F.lit(folds)))
+    found = None
+    for fold in range(folds):
+        one = near(held.where(F.col("fold") == fold), held.where(F.col("fold") != fold), max(ks), skip_self=False, seed=seed).withColumn("fold", F.lit(fold))
+        found = one if found is None else found.union(one)
+    plane, spark = model.plane(), held.sparkSession
+    tried = spark.createDataFrame([(int(k),) for k in ks], "k int")
+    each = written(found).join(F.broadcast(tried), F.col("rank") <= F.col("k"))
+    floor = F.coalesce(F.min(F.when(F.col("d2") > 0, F.col("d2"))) * 0.5, F.lit(1.0))
+    each = each.join(F.broadcast(each.groupBy("k", "fold").agg(floor.alias("floor"))), ["k", "fold"]).withColumn("w", 1 / F.greatest("d2", "floor"))
+    each = each.join(plane.withColumnRenamed("frame", "dst"), "dst")
+    placed = written(each.groupBy("k", F.col("src").alias("frame")).agg(*((F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(c) for c in "xy")))
     shed = Watershed(sigma=sigma, bins=bins)
-    truth = {r["frame"]: r["cluster"] for r in shed.fit_predict(plane).collect()}
-    extent = np.linalg.norm(model.plane.max(0) - model.plane.min(0))
-    out = []
-    for k in ks:
-        placed = np.zeros_like(model.plane)
-        for fold in np.array_split(order, folds):
-            rest = np.setdiff1d(np.arange(len(order)), fold)
-            at, d = kernels.nearest(model.features[fold], model.features[rest], k)
-            w = 1 / np.maximum(d, 0.5 * d[d > 0].min() if (d > 0).any() else 1.0)
-            placed[fold] = (model.plane[rest][at] * w[:, :, None]).sum(1) / w.sum(1)[:, None]
-        off = np.linalg.norm(placed - model.plane, axis=1)
-        got = spark.createDataFrame([(int(f), float(x), float(y)) for f, (x, y) in zip(model.keys, placed, strict=True)], "frame long, x double, y double")
-        same = np.mean([truth[r["frame"]] == r["cluster"] for r in shed.predict(got).collect()])
-        out.append((int(k), float((off**2).mean() / extent**2), float(off.mean() / extent), float(same)))
-    return out
+    truth = shed.fit_predict(plane).select("frame", F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("cluster").alias("_cluster"))
+    extent = plane.agg(F.sqrt(F.pow(F.max("x") - F.min("x"), 2) + F.pow(F.max("y") - F.min("y"), 2)).alias("extent"))
+    both = shed.predict(placed).join(truth, "frame").join(F.broadcast(extent))
+    off = F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2)
+    errors = both.groupBy("k").agg((F.avg(off) / F.pow(F.first("extent"), 2)).alias("mse"), (F.avg(F.sqrt(off)) / F.first("extent")).alias("distance"), F.avg((F.col("cluster") == F.col("_cluster")).cast("double")).alias("accuracy"))
+    return best_so_far(errors, "k", "mse")

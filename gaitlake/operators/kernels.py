@@ -7,39 +7,30 @@ import heapq
 import numpy as np
 
 
-def cubic_spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Not-a-knot cubic through (x, y), y of any number of columns, extrapolated at the ends.
-
-    One knot gives a constant, two a line, three a parabola.
-    """
-    x, at = np.asarray(x, float), np.asarray(at, float)
-    y = np.asarray(y, float)
+def second_derivatives(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Second derivatives, at its knots, of the not-a-knot cubic through (x, y), y of any number of columns; two knots give a line, three a parabola."""
+    x, y = np.asarray(x, float), np.asarray(y, float)
     n = len(x)
-    if n == 0:
-        raise ValueError("a spline needs a knot")
-    if n < 4:
-        out = np.zeros((len(at), *y.shape[1:]))
-        for i in range(n):
-            factor = np.ones(len(at))
-            for j in range(n):
-                if j != i:
-                    factor = factor * (at - x[j]) / (x[i] - x[j])
-            out += factor.reshape(-1, *[1] * (y.ndim - 1)) * y[i]
-        return out
+    column = lambda v: v.reshape(-1, *[1] * (y.ndim - 1))
+    m = np.zeros_like(y)
+    if n < 3:
+        return m
     h = np.diff(x)
-    slope = np.diff(y, axis=0) / h.reshape(-1, *[1] * (y.ndim - 1))
+    slope = np.diff(y, axis=0) / column(h)
+    if n == 3:
+        m[:] = 2 * (slope[1] - slope[0]) / (x[2] - x[0])
+        return m
     low, mid, high = np.zeros(n), np.ones(n), np.zeros(n)
     right = np.zeros_like(y)
     low[1:-1], mid[1:-1], high[1:-1] = h[:-1], 2 * (h[:-1] + h[1:]), h[1:]
     right[1:-1] = 6 * np.diff(slope, axis=0)
-    # Second derivatives m: the third derivative is continuous at the second and the last but one knot, which gives
-    # the end values as combinations of two inner ones.
+    # The third derivative is continuous at the second and the last but one knot, which gives the end values as
+    # combinations of two inner ones.
     a, b = h[0] / h[1], h[-1] / h[-2]
     mid[1] += low[1] * (1 + a)
     high[1] -= low[1] * a
     mid[-2] += high[-2] * (1 + b)
     low[-2] -= high[-2] * b
-    m = np.zeros_like(y)
     c, d = np.zeros(n), np.zeros_like(y)
     for i in range(1, n - 1):
         under = low[i] if i > 1 else 0.0
@@ -51,10 +42,28 @@ def cubic_spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
         m[i] = d[i] - c[i] * m[i + 1] if i < n - 2 else d[i]
     m[0] = (1 + a) * m[1] - a * m[2]
     m[-1] = (1 + b) * m[-2] - b * m[-3]
-    k = np.clip(np.searchsorted(x, at, "right") - 1, 0, n - 2)
+    return m
+
+
+def spline_value(t: np.ndarray, step: np.ndarray, y0: np.ndarray, y1: np.ndarray, m0: np.ndarray, m1: np.ndarray) -> np.ndarray:
+    """Value at a distance ``t`` behind a knot of the cubic between it and the next, ``step`` further, by their values and second derivatives."""
+    return y0 + t * ((y1 - y0) / step - step * (2 * m0 + m1) / 6) + t * t * m0 / 2 + t**3 * (m1 - m0) / (6 * step)
+
+
+def cubic_spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Not-a-knot cubic through (x, y), y of any number of columns, extrapolated at the ends.
+
+    One knot gives a constant, two a line, three a parabola.
+    """
+    x, at, y = np.asarray(x, float), np.asarray(at, float), np.asarray(y, float)
+    if len(x) == 0:
+        raise ValueError("a spline needs a knot")
+    if len(x) == 1:
+        return np.repeat(y, len(at), axis=0)
+    m = second_derivatives(x, y)
+    k = np.clip(np.searchsorted(x, at, "right") - 1, 0, len(x) - 2)
     column = lambda v: v.reshape(-1, *[1] * (y.ndim - 1))
-    t, step = column(at - x[k]), column(h[k])
-    return y[k] + t * (slope[k] - step * (2 * m[k] + m[k + 1]) / 6) + t * t * m[k] / 2 + t**3 * (m[k + 1] - m[k]) / (6 * step)
+    return spline_value(column(at - x[k]), column(x[k + 1] - x[k]), y[k], y[k + 1], m[k], m[k + 1])
 
 
 def morlet(points: int, scale: float, w0: float = 5.0) -> np.ndarray:
@@ -62,22 +71,92 @@ def morlet(points: int, scale: float, w0: float = 5.0) -> np.ndarray:
     return np.pi**-0.25 * np.sqrt(1 / scale) * np.exp(1j * w0 * x / scale) * np.exp(-(x**2) / (2 * scale**2))
 
 
-def wavelet_power(trace: np.ndarray, rate: float, freqs: np.ndarray, w0: float = 5.0) -> np.ndarray:
-    """|continuous wavelet transform| of a trace, one column for each frequency."""
-    n = len(trace)
-    out = np.zeros((n, len(freqs)))
-    for k, width in enumerate(w0 * rate / (2 * np.pi * np.asarray(freqs, float))):
-        wave = np.conj(morlet(int(min(10 * width, n)), width, w0)[::-1])
-        full = np.convolve(trace, wave, mode="full") if n * len(wave) < 1 << 16 else _fft_convolve(trace, wave)
-        first = (len(full) - n) // 2
-        out[:, k] = np.abs(full[first : first + n])
-    return out
+def wavelet_width(rate: float, freqs: np.ndarray, w0: float = 5.0) -> np.ndarray:
+    return w0 * rate / (2 * np.pi * np.asarray(freqs, float))
+
+
+def wavelet_power(traces: np.ndarray, rate: float, freqs: np.ndarray, w0: float = 5.0, frames: int | None = None) -> np.ndarray:
+    """|continuous wavelet transform| of traces (frames x columns, or one trace): a column for each trace and frequency, trace by trace. A wavelet has ten widths, but no more points than the session has ``frames`` (default: as many as the traces)."""
+    traces = np.asarray(traces, float).reshape(len(traces), -1)
+    n, widths = len(traces), wavelet_width(rate, freqs, w0)
+    out = np.zeros((n, traces.shape[1], len(widths)))
+    if not n:
+        return out.reshape(0, -1)
+    points = [int(min(10 * w, frames or n)) for w in widths]
+    size = 1 << (n + max(points) - 2).bit_length()
+    spectrum = np.fft.fft(traces, size, axis=0)
+    for k, (width, m) in enumerate(zip(widths, points, strict=True)):
+        wave = np.conj(morlet(m, width, w0)[::-1])
+        full = np.fft.ifft(spectrum * np.fft.fft(wave, size)[:, None], axis=0)
+        first = (m - 1) // 2
+        out[:, :, k] = np.abs(full[first : first + n])
+    return out.reshape(n, -1)
+
+
+def running_median(x: np.ndarray, length: int) -> np.ndarray:
+    """Median over ``length`` values around each, mirrored at the ends, of an even number the upper one of the middle two; NaN does not count.
+
+    Two heaps hold the lower and the upper half of the window; values that have
+    left it are taken off when they come to the top, so that a step takes the
+    logarithm of the window's length.
+    """
+    n, half = len(x), length // 2
+    ahead = length - 1 - half
+    low: list[tuple[float, int]] = []
+    high: list[tuple[float, int]] = []
+    side: dict[int, bool] = {}  # whether the value at a place is in the upper half
+    sizes = [0, 0]
+
+    def value(p: int) -> float:
+        q = -1 - p if p < 0 else 2 * n - 1 - p if p >= n else p
+        return x[q] if 0 <= q < n else np.nan
+
+    def clean(heap: list[tuple[float, int]], upper: bool) -> None:
+        while heap and side.get(heap[0][1]) is not upper:
+            heapq.heappop(heap)
+
+    def settle() -> None:
+        # The lower half has size // 2 values; the median is the first of the upper.
+        want = sum(sizes) // 2
+        while sizes[0] > want:
+            clean(low, False)
+            v, p = heapq.heappop(low)
+            heapq.heappush(high, (-v, p))
+            side[p] = True
+            sizes[0], sizes[1] = sizes[0] - 1, sizes[1] + 1
+        while sizes[0] < want:
+            clean(high, True)
+            v, p = heapq.heappop(high)
+            heapq.heappush(low, (-v, p))
+            side[p] = False
+            sizes[0], sizes[1] = sizes[0] + 1, sizes[1] - 1
 
+    def add(p: int) -> None:
+        v = value(p)
+        if np.isnan(v):
+            return
+        clean(high, True)
+        upper = bool(not high or v >= high[0][0])
+        heapq.heappush(high if upper else low, (v if upper else -v, p))
+        side[p] = upper
+        sizes[upper] += 1
+        settle()
 
-def _fft_convolve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    n = len(a) + len(b) - 1
-    size = 1 << (n - 1).bit_length()
-    return np.fft.ifft(np.fft.fft(a, size) * np.fft.fft(b, size))[:n]
+    def remove(p: int) -> None:
+        if p in side:
+            sizes[side.pop(p)] -= 1
+            settle()
+
+    out = np.full(n, np.nan)
+    for p in range(-half, ahead):
+        add(p)
+    for t in range(n):
+        add(t + ahead)
+        remove(t - half - 1)
+        clean(high, True)
+        if high:
+            out[t] = high[0][0]
+    return out
 
 
 def gaussian(grid: np.ndarray, sigma: float, truncate: float = 4.0) -> np.ndarray:
@@ -134,6 +213,16 @@ def watershed(height: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return label
 
 
+def segmented(xy: np.ndarray, bins: int = 1000, sigma: float = 15.0, least: float = 1e-3) -> np.ndarray:
+    """Number of each point's basin in the logarithmic density of all of them on bins x bins cells between their extremes, 0 below ``least``."""
+    low, high = xy.min(0), xy.max(0)
+    cell = np.clip(np.floor((xy - low) / np.where(high > low, high - low, 1) * bins).astype(int), 0, bins - 1)
+    row, col = bins - 1 - cell[:, 1], cell[:, 0]
+    counts = np.bincount(row * bins + col, minlength=bins * bins).reshape(bins, bins)
+    height = np.log1p(gaussian(counts, sigma))
+    return watershed(height, height > least)[row, col]
+
+
 def nearest(queries: np.ndarray, base: np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(positions in base, squared distances) of the k nearest rows of each query, ties by position; ``skip`` names one position to leave out for each query."""
     d = (queries**2).sum(1)[:, None] - 2 * queries @ base.T + (base**2).sum(1)
@@ -149,8 +238,8 @@ def nearest(queries: np.ndarray, base: np.ndarray, k: int, skip: np.ndarray | No
     return np.take_along_axis(some, order, 1), np.take_along_axis(exact, order, 1)
 
 
-def tsne(points: np.ndarray, perplexity: float = 30.0, rounds: int = 500, seed: int = 0, rate: float | None = None) -> np.ndarray:
-    """Exact t-SNE to two dimensions, for a template of bounded size."""
+def tsne(points: np.ndarray, perplexity: float = 30.0, rounds: int = 500, seed: int = 0, rate: float | None = None, exaggeration: float = 1.5) -> np.ndarray:
+    """Exact t-SNE to two dimensions, for a template of bounded size; affinities count twelvefold in the first 100 rounds and ``exaggeration``-fold after them."""
     n = len(points)
     if n < 2:
         return np.zeros((n, 2))
@@ -181,7 +270,7 @@ def tsne(points: np.ndarray, perplexity: float = 30.0, rounds: int = 500, seed:
         square = (y**2).sum(1)
         q = 1 / (1 + np.maximum(square[:, None] + square - 2 * y @ y.T, 0))
         np.fill_diagonal(q, 0)
-        pull = (p * (12 if r < 100 else 1) - np.maximum(q / q.sum(), 1e-12)) * q
+        pull = (p * (12 if r < 100 else exaggeration) - np.maximum(q / q.sum(), 1e-12)) * q
         slope = 4 * (pull.sum(1)[:, None] * y - pull @ y)
         gain = np.maximum(np.where(np.sign(slope) != np.sign(step), gain + 0.2, gain * 0.8), 0.01)
         step = (0.5 if r < 100 else 0.8) * step - rate * gain * slope

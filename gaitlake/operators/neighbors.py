@@ -15,6 +15,8 @@ from gaitlake.operators import kernels
 
 #: Rows of the base that meet a batch of queries at a time.
 BASE_ROWS = 4096
+#: Queries that meet a block at a time.
+QUERY_ROWS = 512
 #: A base of at most this many bytes goes to every executor; a larger one is joined block by block.
 BROADCAST_BYTES = 64 << 20
 
@@ -38,8 +40,14 @@ def knn(queries: DataFrame, base: DataFrame, k: int = 5, key: str = "frame", col
     if n * (width or 0) * 8 <= BROADCAST_BYTES:
         parts = F.broadcast(parts)
     left = queries.select(F.col(key).cast("long").alias("src"), F.col(column).cast("array<double>").alias("q"))
+
+    def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in frames:
+            parts = [rows.iloc[at : at + QUERY_ROWS] for at in range(0, len(rows), QUERY_ROWS)]
+            yield pd.DataFrame({"src": [p["src"].to_numpy() for p in parts], "q": [np.concatenate(p["q"].to_numpy()) for p in parts]})
+
     # Queries travel once in batches, not once for each block.
-    batches = left.groupBy(F.spark_partition_id().alias("p"), F.pmod(F.xxhash64("src"), F.lit(max(1, -(-n // 512)))).alias("b")).agg(F.collect_list("src").alias("src"), F.flatten(F.collect_list("q")).alias("q"))
+    batches = left.mapInPandas(packed, "src array<long>, q array<double>")
 
     def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in frames:
@@ -62,9 +70,9 @@ def knn_graph(points: DataFrame, k: int = 5, weighted: bool = True, key: str = "
     return knn(points, points, k, key, column).select("src", "dst", (F.col("d2") if weighted else F.lit(1.0)).alias("w"))
 
 
-def knn_regress(queries: DataFrame, base: DataFrame, targets: DataFrame, k: int = 5, weights: str = "distance", key: str = "frame", column: str = "features", target: str = "y") -> DataFrame:
-    """(key, y): mean of the neighbours' target arrays, uniform or by 1 / d2, d2 cut off below at half the smallest d2 above 0 of the whole batch."""
-    found = knn(queries, base, k, key, column, skip_self=False)
+def knn_regress(queries: DataFrame, base: DataFrame, targets: DataFrame, k: int = 5, weights: str = "distance", key: str = "frame", column: str = "features", target: str = "y", found: DataFrame | None = None) -> DataFrame:
+    """(key, y) from ``found`` neighbours, by default those of ``knn``: mean of the neighbours' target arrays, uniform or by 1 / d2, d2 cut off below at half the smallest d2 above 0 of the whole batch."""
+    found = knn(queries, base, k, key, column, skip_self=False) if found is None else found
     if weights == "distance":
         low = found.where("d2 > 0").agg((F.min("d2") * 0.5).alias("low"))
         found = found.join(F.broadcast(low)).withColumn("w", 1 / F.greatest("d2", "low"))

@@ -16,6 +16,10 @@ from gaitlake.functions.numbers import norm
 from gaitlake.operators.geometry import AXES, at, point
 
 
+#: Longest window whose frames are sorted for each row.
+SORTED_FRAMES = 128
+
+
 def session(*more: str) -> WindowSpec:
     return Window.partitionBy("id", *more).orderBy("t")
 
@@ -92,16 +96,18 @@ def median_filter(frames: DataFrame, column: str, length: int = 5) -> DataFrame:
 
     Of an even number the upper one of the middle two counts; the window then
     reaches one frame further back. Sessions must have length // 2 frames at
-    least; a shorter one is mirrored as far as it goes.
+    least; a shorter one is mirrored as far as it goes. Windows of more than
+    SORTED_FRAMES are not sorted for each frame, but kept in heaps.
     """
+    if length > SORTED_FRAMES:
+        from gaitlake.operators.grouped import long_medians
+
+        return long_medians(frames, column, length)
     half = length // 2
     w, every = session(), whole()
     ahead = length - 1 - half
     near = F.collect_list(F.col(column)).over(w.rowsBetween(-half, ahead))
     t, n = (F.row_number().over(w) - 1).cast("int"), F.count(F.lit(1)).over(every).cast("int")
-    head = F.collect_list(F.col(column)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) if half > 64 else None
-    if head is not None:
-        raise ValueError("windows of more than 128 frames are not supported")
     # The mirrored frames lie within the nearest `length` ones, so each end needs no more than a bounded list.
     wide = F.collect_list(F.col(column)).over(w.rowsBetween(-length, length))
     frames = frames.withColumns({"_near": near, "_wide": wide, "_t": t, "_n": n})

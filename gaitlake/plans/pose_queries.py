@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaitlake.functions.numbers import cosine, rounded
-from gaitlake.operators import augment, density, embed, geometry, grouped, motifs, neighbors, reduce, stats
+from gaitlake.operators import augment, density, embed, forest, geometry, grouped, motifs, neighbors, reduce, stats
 from gaitlake.operators import timeseries as ts
 from gaitlake.operators.skeleton import MOUSE18
 from gaitlake.plans import views as v
@@ -282,7 +282,7 @@ def repair_median(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("wavelet_power")
 def wavelet_power(spark: SparkSession, sf: str) -> DataFrame:
-    found, _ = grouped.wavelets(v.trace(spark, sf).select("id", "t", F.array("v").alias("features")), ["v"])
+    found, _ = grouped.wavelets(v.trace(spark, sf).select("id", "t", F.array("v").alias("features")), ["v"], contiguous=True)
     return _items(found, "features", "power")
 
 
@@ -591,21 +591,41 @@ def template_batch_fit(spark: SparkSession, sf: str) -> DataFrame:
     return embed.batch_template(points, "batch", n=5, sigma=2.0, bins=50).select("batch", "frame", "cluster")
 
 
-def _template(points: DataFrame) -> DataFrame:
-    """The whole table where a template takes it, else the frames of the smallest stride that fits."""
-    return ts.strided(points, max(1, -(-points.count() // embed.TEMPLATE_ROWS)))
+@register("batch_fit_predict")
+def batch_fit_predict(spark: SparkSession, sf: str) -> DataFrame:
+    """Every batch embedded and sampled, the samples embedded together, all frames placed on them."""
+    points = v.features(spark, sf).withColumn("batch", F.col("label") % 2)
+    return embed.BatchEmbedding(sampled=5, sigma=2.0, bins=50).fit_predict(points, "batch")
 
 
 @register("embed_tsne")
 def embed_tsne(spark: SparkSession, sf: str) -> DataFrame:
     points = v.features(spark, sf)
-    return embed.Embedding().fit(_template(points)).predict(points)
+    return embed.Embedding().fit(points).predict(points)
+
+
+@register("embed_umap")
+def embed_umap(spark: SparkSession, sf: str) -> DataFrame:
+    points = v.features(spark, sf)
+    return embed.Embedding("umap").fit(points).plane()
+
+
+@register("umap_transform")
+def umap_transform(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames of odd labels, placed on the template of the even ones."""
+    points = v.features(spark, sf)
+    return embed.Embedding("umap").fit(points.where("label % 2 = 0")).predict(points.where("label % 2 = 1"), "umap")
+
+
+@register("knn_indexed", f"with {NN} select src, dst, rank, {v.r('d2', 5)} d2 from k5")
+def knn_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact up to 2,048 rows, which lie in two chunks; a recall of at least 0.95 beyond."""
+    return forest.Forest(v.features(spark, sf)).search(k=5).select("src", "dst", "rank", rounded("d2", 5).alias("d2"))
 
 
 @register("kfold_reembed")
 def kfold_reembed(spark: SparkSession, sf: str) -> DataFrame:
-    model = embed.Embedding().fit(_template(v.features(spark, sf)))
-    return spark.createDataFrame(embed.kfold_errors(model, spark, [1, 3, 5]), "k int, mse double, distance double, accuracy double")
+    return embed.kfold_errors(embed.Embedding().fit(v.features(spark, sf)), [1, 3, 5])
 
 
 @register("feature_hist", f"with {v.TRACE}, h as (select least(99, cast(floor(v/500*100) as int)) bin from tr where v between 0 and 500) select cast(bin as int) bin, {v.r('count(*)/(sum(count(*)) over ()*5.0::double)')} density from h group by bin")

@@ -5,15 +5,11 @@ Queries over files write them from the test tables first, to the shared folder.
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaitlake.functions.numbers import rounded
+from gaitlake.functions.shared import folder
 from gaitlake.operators import density, recording, reduce, stats
 from gaitlake.operators import motifs as mo
 from gaitlake.plans import pose_queries as pq
@@ -21,46 +17,23 @@ from gaitlake.plans import views as v
 from gaitlake.plans.registry import register
 from gaitlake.sources import io
 
-_made: list[tuple[SparkSession, str]] = []
-
-
-def _folder(spark: SparkSession) -> str:
-    """A new folder where driver and executors both reach it; it goes when the application ends."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = tempfile.mkdtemp(prefix="gaitlake-")
-    path = f"{shared.rstrip('/')}/files-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    return path
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _made:
-        with contextlib.suppress(Exception):
-            held = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(held, True)
-
-
 @register("meta_csv", "select c_custkey, c_mktsegment, cast(row_number() over (order by c_custkey) - 1 as int) id from customer")
 def meta_csv(spark: SparkSession, sf: str) -> DataFrame:
-    path = _folder(spark)
+    path = folder(spark)
     v.table(spark, sf, "customer").select("c_custkey", "c_mktsegment").repartitionByRange(4, "c_custkey").sortWithinPartitions("c_custkey").write.csv(path, header=True)
     return io.read_meta(spark, path).select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_mktsegment", "id")
 
 
 @register("pose_written_and_read", f"with {v.POSE} select cast(id as int) id, t, joint, {pq.R3} from pose")
 def pose_written_and_read(spark: SparkSession, sf: str) -> DataFrame:
-    path = _folder(spark)
+    path = folder(spark)
     io.write_pose(v.pose(spark, sf), path)
     return pq._long(io.read_pose(spark, path)).withColumn("id", F.col("id").cast("int"))
 
 
 @register("pose_of_sessions", f"with {v.POSE} select cast(id + 100 as int) id, t, joint, {pq.R3} from pose")
 def pose_of_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    path = _folder(spark)
+    path = folder(spark)
     io.write_pose(v.pose(spark, sf), path)
     ids = [r[0] for r in v.table(spark, sf, "embeddings").select("label").distinct().orderBy("label").collect()]  # sessions, a line each
     meta = spark.createDataFrame([(k + 100, f"{path}/id={k}") for k in ids], "id int, path string")
@@ -69,7 +42,7 @@ def pose_of_sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("features_written_and_read", f"with {v.FEATURES}, n as (select frame, label, unnest(f) val, unnest(range(len(f))) item from ft) select frame, label, 'f' || item as name, {v.r('val')} val from n")
 def features_written_and_read(spark: SparkSession, sf: str) -> DataFrame:
-    path, frames = _folder(spark), v.features(spark, sf)
+    path, frames = folder(spark), v.features(spark, sf)
     io.write_features(frames.select("frame", "features"), [f"f{k}" for k in range(64)], path, sessions=frames.select("frame", "label"))
     held, labels, more = io.read_extended(spark, path, "sessions")
     names = F.array(*(F.lit(x) for x in labels))
@@ -83,7 +56,7 @@ def ids_from_zero(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("cached_stage", f"with {v.TRACE} select id, t, v * 2 as v from tr")
 def cached_stage(spark: SparkSession, sf: str) -> DataFrame:
-    path, runs = f"{_folder(spark)}/doubled", []
+    path, runs = f"{folder(spark)}/doubled", []
 
     def made() -> DataFrame:
         runs.append(1)
@@ -98,7 +71,7 @@ def cached_stage(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("behaviours_csv", f"with {pq.CELLS} select \"row\", col, cluster, case cluster when 1 then 2 when 2 then 1 else 0 end code from ws")
 def behaviours_csv(spark: SparkSession, sf: str) -> DataFrame:
-    path = _folder(spark)
+    path = folder(spark)
     spark.createDataFrame([(1, "Walk"), (2, "Rear"), (3, "Walk"), (1, "Groom")], "Cluster int, Label string").coalesce(1).write.csv(path, header=True)
     return mo.labelled(pq._cells(spark, sf), io.read_behaviours(spark, path))
 
@@ -106,7 +79,7 @@ def behaviours_csv(spark: SparkSession, sf: str) -> DataFrame:
 def _recording(spark: SparkSession, sf: str) -> recording.Recording:
     frames = v.features(spark, sf).select(F.col("label").alias("id"), "frame", "features")
     meta = frames.select("id").distinct().select("id", (F.col("id") % 3).alias("grp"))
-    held, path = recording.Recording(frames, [f"f{k}" for k in range(64)], meta), _folder(spark)
+    held, path = recording.Recording(frames, [f"f{k}" for k in range(64)], meta), folder(spark)
     held.save(path)
     return recording.Recording.load(spark, path)
 
