@@ -3,19 +3,55 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 
 def moments(frames: DataFrame, column: str = "features") -> tuple[np.ndarray, np.ndarray]:
-    """(means, population deviations) of an array column's positions."""
-    rows = frames.select(F.posexplode(column).alias("j", "x")).groupBy("j").agg(F.avg("x"), F.stddev_pop("x")).orderBy("j").collect()
-    return np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], float)
+    """(means, population deviations) of an array column's positions; a position of equal values has deviation 0. Tasks sum up their rows, positions are added up by number."""
+
+    one = frames.select(F.col(column).cast("array<double>")).first()
+    if one is None:
+        return np.zeros(0), np.zeros(0)
+    # Sums of differences from one row: large values of small spread keep their digits.
+    shift = np.array(one[0], float)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, mean, square, low, high = 0, 0.0, 0.0, np.inf, -np.inf
+        for batch in batches:
+            x = _rows(batch.column(0))
+            if not len(x):
+                continue
+            x = x - shift
+            own, both = x.mean(0), n + len(x)
+            square = square + ((x - own) ** 2).sum(0) + (own - mean) ** 2 * n * len(x) / both
+            mean = mean + (own - mean) * len(x) / both
+            n, low, high = both, np.minimum(low, x.min(0)), np.maximum(high, x.max(0))
+        if n:
+            yield pa.record_batch({"j": np.arange(len(mean)), "n": np.full(len(mean), n), "mean": mean, "square": square, "low": low, "high": high})
+
+    parts = frames.select(F.col(column).cast("array<double>")).mapInArrow(partial, "j long, n long, mean double, square double, low double, high double")
+    n, mean = F.sum("n"), F.sum(F.col("n") * F.col("mean"))
+    sums = parts.groupBy("j").agg(n.alias("n"), (mean / n).alias("mean"), F.sum("square").alias("within"), F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("between"), F.min("low").alias("low"), F.max("high").alias("high")).orderBy("j").collect()
+    means = np.array([r["mean"] for r in sums], float)
+    square = np.array([r["within"] + r["between"] - r["n"] * r["mean"] ** 2 for r in sums], float)
+    flat = np.array([r["low"] == r["high"] for r in sums], bool)
+    return shift + np.where(flat, 0.0, means), np.where(flat, 0.0, np.sqrt(np.maximum(square, 0) / np.array([max(r["n"], 1) for r in sums], float)))
+
+
+def _rows(column: pa.Array) -> np.ndarray:
+    """Equally long lists of numbers as rows; a null list or number is an error."""
+    flat = column.flatten()
+    if column.null_count or flat.null_count:
+        raise ValueError("features must not be null")
+    return np.asarray(flat.to_numpy(zero_copy_only=False), float).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
 def standard_scaled(frames: DataFrame, labels: Sequence[str], column: str = "features", clip: float | None = None) -> tuple[DataFrame, list[str]]:
@@ -146,21 +182,36 @@ def fit_pca(frames: DataFrame, positions: Sequence[int], n: int, column: str = "
 
 
 def project(frames: DataFrame, model: Pca, column: str = "features", name: str = "scores") -> DataFrame:
-    """Adds the scores: the centred features times the components."""
-    x = [F.col(column)[j] - float(m) for j, m in zip(model.positions, model.mean, strict=True)]
-    frames = frames.withColumn("_x", F.array(*x))
-    scores = [F.aggregate(F.zip_with("_x", F.array(*(F.lit(float(v)) for v in c)), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) for c in model.components.T]
-    return frames.withColumn(name, F.array(*scores)).drop("_x")
+    """Adds the scores: the centred features times the components, a matrix product for each batch."""
+    shared = frames.sparkSession.sparkContext.broadcast((model.positions, model.mean, model.components))
 
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, mean, components = shared.value
+        for batch in batches:
+            x = _rows(batch.column(column))
+            y = (x[:, own] - mean) @ components if len(x) else np.zeros((0, components.shape[1]))
+            yield batch.append_column(name, pa.ListArray.from_arrays(np.arange(len(y) + 1, dtype=np.int32) * y.shape[1], pa.array(y.ravel())))
 
-def pca(frames: DataFrame, labels: Sequence[str], categories: Sequence[str] = ("vel", "ego_euc", "ang", "avel"), n: int = 10, stride: int = 1, column: str = "features", frame: str = "frame") -> tuple[DataFrame, list[str]]:
-    """Adds ``scores`` of all categories in a row, with labels {category}_pc{i}; fitted on every ``stride``-th frame."""
+    return frames.mapInArrow(scored, StructType([*frames.schema.fields, StructField(name, ArrayType(DoubleType()))]))
+
+
+def pca(frames: DataFrame, labels: Sequence[str], categories: Sequence[str] = ("vel", "ego_euc", "ang", "avel"), n: int = 10, stride: int = 1, column: str = "features", frame: str = "frame", method: str = "exact") -> tuple[DataFrame, list[str]]:
+    """Adds ``scores`` of all categories in a row, with labels {category}_pc{i}; fitted on every ``stride``-th frame.
+
+    ``method`` is exact (a matrix of all pairs of a category's columns),
+    randomised (for thousands of columns) or incremental (on all frames).
+    """
+    from gaitlake.operators import components
+
+    if method not in ("exact", "randomised", "incremental"):
+        raise ValueError(f"unknown method {method}")
     names, parts = [], []
     for c in categories:
         own = selected(labels, c)
         if not own:
             raise ValueError(f"no feature of category {c}")
-        model = fit_pca(frames, own, n, column, frames.where(F.pmod(F.col(frame), F.lit(stride)) == 0) if stride > 1 else None)
+        some = frames.where(F.pmod(F.col(frame), F.lit(stride)) == 0) if stride > 1 else None
+        model = components.fit_incremental(frames, own, n, column) if method == "incremental" else (fit_pca if method == "exact" else components.fit_randomised)(frames, own, n, column, some)
         frames = project(frames, model, column, f"_s{len(parts)}")
         parts.append(f"_s{len(parts)}")
         names += [f"{c}_pc{i}" for i in range(model.components.shape[1])]

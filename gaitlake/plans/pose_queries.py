@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaitlake.functions.numbers import cosine, rounded
-from gaitlake.operators import augment, density, embed, forest, geometry, grouped, motifs, neighbors, reduce, stats
+from gaitlake.operators import augment, components, density, embed, forest, geometry, grouped, motifs, neighbors, reduce, stats
 from gaitlake.operators import timeseries as ts
 from gaitlake.operators.skeleton import MOUSE18
 from gaitlake.plans import views as v
@@ -355,6 +355,19 @@ def pca_scores(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("frame", F.posexplode("scores").alias("component", "score"))
 
 
+@register("pca_randomised")
+def pca_randomised(spark: SparkSession, sf: str) -> DataFrame:
+    """Variances by Krylov blocks: those of pca_explained_variance."""
+    model = components.fit_randomised(v.features(spark, sf), range(64), 10)
+    return spark.createDataFrame([(k, float(x), float(x / model.total)) for k, x in enumerate(model.variances)], "component int, variance double, share double")
+
+
+@register("pca_incremental")
+def pca_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    out, _ = reduce.pca(v.features(spark, sf), [f"ego_euc_{k}" for k in range(64)], ["ego_euc"], 5, method="incremental")
+    return out.select("frame", F.posexplode("scores").alias("component", "score"))
+
+
 @register("cluster_freq_from_labels", f"with {v.CLUSTERS}, s as (select unnest(range(5))::int cluster) select s.cluster, {v.r('count(event_id)/(select count(*) from cl)')} freq from s left join cl using (cluster) group by all")
 def cluster_freq_from_labels(spark: SparkSession, sf: str) -> DataFrame:
     return reduce.cluster_shares(v.clusters(spark, sf)).select("cluster", rounded("freq").alias("freq"))
