@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaitlake.functions.shared import written
 from gaitlake.operators import kernels
 
 #: Rows of the base that meet a batch of queries at a time.
@@ -86,14 +87,72 @@ def knn_regress(queries: DataFrame, base: DataFrame, targets: DataFrame, k: int
     return held.groupBy(F.col("src").alias(key)).agg(F.array(*means).alias("y"))
 
 
-def geodesic(edges: DataFrame, start: int, end: int, bound: int = 5_000_000) -> list[tuple[int, float]]:
+#: Edges up to which a path is sought in one process.
+HELD_EDGES = 200_000
+
+
+def geodesic(edges: DataFrame, start: int, end: int, held: int = HELD_EDGES) -> list[tuple[int, float]]:
     """[(key, distance to the end)] along the shortest path over the undirected graph; empty if there is none.
 
-    One path over at most ``bound`` edges, an error beyond: Dijkstra with a heap.
+    A graph of at most ``held`` edges is searched with a heap; a larger one
+    by ``shortest_paths``. Only the path itself is collected. Where several
+    paths are equally short, either way may give another.
+    """
+    rows = edges.select("src", "dst", "w").limit(held + 1).collect()
+    if len(rows) <= held:
+        return _by_heap(rows, start, end)
+    far = shortest_paths(edges, end, start)
+    if not far.where(F.col("key") == start).limit(1).count():
+        return []
+    return along(far, start, end)
+
+
+def shortest_paths(edges: DataFrame, source: int, until: int | None = None) -> DataFrame:
+    """(key, d, towards): distances to ``source`` over the undirected graph (src, dst, w), and the next key on the way there; a table.
+
+    Delta-stepping: keys whose distance has changed are relaxed by a join with
+    the edges, those within the nearest bucket first, so that most keys are
+    relaxed once; distances are joined with the edges by key, and nothing is
+    collected but a line a round. With ``until``, rounds end when its distance
+    is final; keys beyond may be missing, or further than they are.
     """
-    rows = edges.limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError("the graph has too many edges for one path on the driver")
+    both = edges.select("src", "dst", F.col("w").cast("double").alias("w"))
+    both = written(both.union(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.min("w").alias("w")))
+    low, step = both.agg(F.min("w"), F.avg("w")).first()
+    if low is not None and low < 0:
+        raise ValueError("weights must not be negative")
+    step = step or 1.0
+    spark = edges.sparkSession
+    far = written(spark.range(1).select(F.lit(source).cast("long").alias("key"), F.lit(0.0).alias("d"), F.lit(source).cast("long").alias("towards"), F.lit(True).alias("open")))
+    limit = step
+    while True:
+        best, target = far.agg(F.min(F.when(F.col("open"), F.col("d"))), F.min(F.when(F.col("key") == (source if until is None else until), F.col("d")))).first()
+        if best is None or (until is not None and target is not None and best >= target):
+            return far.drop("open")
+        if best >= limit:
+            limit = (best // step + 1) * step
+        now = F.col("open") & (F.col("d") < limit)
+        reached = far.where(now).join(both, F.col("key") == F.col("src")).select(F.col("dst").alias("key"), (F.col("d") + F.col("w")).alias("d"), F.col("src").alias("towards"), F.lit(True).alias("new"))
+        held = far.select("key", "d", "towards", F.lit(False).alias("new"), (F.col("open") & (F.col("d") >= limit)).alias("still"))
+        # A key's own entry comes before an equal new one.
+        both_ways = held.union(reached.withColumn("still", F.lit(True))).groupBy("key").agg(F.min(F.struct("d", "new", "towards", "still")).alias("m"))
+        far = written(both_ways.select("key", "m.d", "m.towards", F.col("m.still").alias("open")))
+
+
+def along(far: DataFrame, start: int, end: int) -> list[tuple[int, float]]:
+    """[(key, d)] from ``start`` over ``towards`` to ``end``: ways of 1, 2, 4, ... steps are joined from those before them, so that a long path takes few rounds."""
+    ways = far.select("key", F.col("towards").alias("to"))
+    path = written(far.where(F.col("key") == start).select("key", F.lit(0).cast("long").alias("step")))
+    length = 1
+    while not path.where(F.col("key") == end).limit(1).count():
+        next_ = path.join(ways, "key").select(F.col("to").alias("key"), (F.col("step") + length).alias("step"))
+        path = written(path.union(next_).groupBy("key").agg(F.min("step").alias("step")))
+        ways = written(ways.join(ways.select(F.col("key").alias("to"), F.col("to").alias("then")), "to").select("key", F.col("then").alias("to")))
+        length *= 2
+    return [(r["key"], r["d"]) for r in path.join(far, "key").orderBy("step").collect()]
+
+
+def _by_heap(rows: list, start: int, end: int) -> list[tuple[int, float]]:
     near: dict[int, list[tuple[int, float]]] = defaultdict(list)
     for a, b, w in rows:
         near[a].append((b, w))

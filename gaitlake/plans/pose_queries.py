@@ -454,22 +454,24 @@ def _predictions(spark: SparkSession, cats: list, predicted: object) -> DataFram
     return spark.createDataFrame([(int(c), float(p)) for c, p in zip(cats, predicted, strict=True)], "cat long, prediction double")
 
 
+def _occupied(spark: SparkSession, sf: str) -> DataFrame:
+    """(cat, x, y): shares of event types of every user, and a target."""
+    return stats.occupancy_rows(reduce.cluster_shares_by(v.clusters(spark, sf), "cat", clusters=5), 1.0 + F.col("cat") * 7 % 11)
+
+
 @register("loo_lstsq")
 def loo_lstsq(spark: SparkSession, sf: str) -> DataFrame:
-    cats, x, y = _occupancy(spark, sf)
-    return _predictions(spark, cats, stats.loo_lstsq(x, y))
+    return stats.loo_lstsq(_occupied(spark, sf)).select("cat", "prediction")
 
 
 @register("loo_elastic_net")
 def loo_elastic_net(spark: SparkSession, sf: str) -> DataFrame:
-    cats, x, y = _occupancy(spark, sf)
-    return _predictions(spark, cats, stats.loo_elastic_net(x, y))
+    return stats.loo_elastic_net(_occupied(spark, sf)).select("cat", "prediction")
 
 
 @register("loo_elastic_net_cv")
 def loo_elastic_net_cv(spark: SparkSession, sf: str) -> DataFrame:
-    cats, x, y = _occupancy(spark, sf)
-    return _predictions(spark, cats, stats.loo_elastic_net_cv(x, y)[0])
+    return stats.loo_elastic_net_cv(_occupied(spark, sf)).select("cat", "prediction")
 
 
 @register("loo_random_forest")
@@ -516,6 +518,13 @@ def pose_geodesic(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(k, f, float(d)) for k, (f, d) in enumerate(path)], "step int, frame long, distance double")
 
 
+@register("pose_distances")
+def pose_distances(spark: SparkSession, sf: str) -> DataFrame:
+    """Distance of every frame that is reached to frame 0, and the next frame on the way."""
+    far = neighbors.shortest_paths(neighbors.knn_graph(v.features(spark, sf)), 0)
+    return far.select(F.col("key").alias("frame"), "d", "towards")
+
+
 HIST = "cast(49-least(49, cast(floor((y+4)/8*50) as int)) as int) \"row\", cast(least(49, cast(floor((x+4)/8*50) as int)) as int) col"
 
 

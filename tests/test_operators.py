@@ -194,12 +194,6 @@ def test_divergence_of_equal_categories_is_zero(spark):
     assert [tuple(r) for r in stats.segment_divergence(df, "cat", "a", 4, 5, (0, 0), (7, 5)).collect()] == [("b", 0.0)]
 
 
-def test_leave_one_out_of_a_linear_law():
-    x = np.random.default_rng(0).normal(size=(12, 3))
-    y = x @ np.array([1.0, 2, 3])
-    assert np.allclose(stats.loo_lstsq(x, y), y)
-
-
 def test_embedding_round_trip(spark, tmp_path):
     x = np.random.default_rng(0).normal(size=(30, 4))
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "frame long, features array<double>")
