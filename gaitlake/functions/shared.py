@@ -32,10 +32,10 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, key: str, name: str = "i") -> DataFrame:
-    """Adds the row's place from 0 in the order of ``key``, which rows do not share; a table. Places are those within a range of keys, after the rows of all ranges before it."""
+def numbered(df: DataFrame, *order: str, name: str = "i") -> DataFrame:
+    """Adds the row's place from 0 in the order given; a table. Places are those within a range of the order's values, after the rows of all ranges before it: no task orders all rows, and rows that share their first values are parted by the others."""
     parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    held = df.repartitionByRange(int(parts), key).sortWithinPartitions(key).select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_k"))
+    held = df.repartitionByRange(int(parts), *order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_k"))
     held = written(held)
     before = held.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.expr("coalesce(sum(_n) over (order by _p rows between unbounded preceding and 1 preceding), 0)").alias("_before"))  # one row for each partition
     return held.join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + F.col("_k")).drop("_p", "_k", "_before")

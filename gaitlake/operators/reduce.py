@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -13,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from gaitlake.functions.shared import numbered
+
 
 def moments(frames: DataFrame, column: str = "features") -> tuple[np.ndarray, np.ndarray]:
     """(means, population deviations) of an array column's positions; a position of equal values has deviation 0. Tasks sum up their rows, positions are added up by number."""
@@ -108,30 +109,9 @@ def heuristic_score(labels: Sequence[str], rule: Heuristic, column: str = "featu
     return (sum(terms[1:], terms[0]) / len(terms) if terms else F.lit(float("nan"))), missing
 
 
-#: Ranges of values that places are counted in.
-RANGES = 1000
-
-
 def placed(rows: DataFrame, *order: str) -> DataFrame:
-    """Adds ``place``, the row's position from 1 in the order given, its first column numeric and free of nulls.
-
-    Values fall into RANGES ranges between approximate quantiles, fixed before
-    rows are placed; places are those within a range, after the rows of all
-    ranges below it. No task orders all rows.
-    """
-    value = F.col(order[0]).cast("double")
-    edges = rows.agg(F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)], 10 * RANGES).alias("e")).first()["e"] or []
-    edges = sorted(set(edges))
-    part = F.lit(0)
-    if edges:
-        held = F.array(*(F.lit(e) for e in edges)) if len(edges) < 32 else F.from_json(F.lit(json.dumps(edges)), "array<double>")
-        part = F.size(F.filter(held, lambda e: e < value))
-    rows = rows.withColumn("_part", part)
-    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", F.expr("coalesce(sum(_n) over (order by _part rows between unbounded preceding and 1 preceding), 0)").alias("_before"))
-    rank = F.expr(f"row_number() over (partition by _part order by {', '.join(order)})")
-    # At most RANGES rows are broadcast.
-    return rows.join(F.broadcast(before), "_part").withColumn("place", (rank + F.col("_before")).cast("long")).drop("_part", "_before")
+    """Adds ``place``, the row's position from 1 in the order given (nulls first); equal rows share nothing but their neighbourhood, so a constant score is dealt out by the further columns. A table."""
+    return numbered(rows, *order, name="_place").withColumn("place", (F.col("_place") + 1).cast("long")).drop("_place")
 
 
 def selected(labels: Sequence[str], category: str) -> list[int]:

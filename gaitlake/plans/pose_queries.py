@@ -265,22 +265,60 @@ def outlier_flags_median(spark: SparkSession, sf: str) -> DataFrame:
     return ts.outlier_flags(v.pose(spark, sf), error=2.0).select("id", "t", rounded("value").alias("val"), "bad")
 
 
-@register("repair_vel")
+def _spline_sql(knots: str) -> str:
+    """CTEs up to mm (id, ja, k, m): second derivatives of the not-a-knot spline through four knots (id, ja, k from 1, n, x, y) or more, by elimination along k and back."""
+    w = "window w as (partition by id, ja order by k)"
+    return f"""hs as (select *, lead(x) over w - x h, (lead(y) over w - y) / (lead(x) over w - x) s from {knots} {w}),
+cs as (select id, ja, k, n, lag(h) over w l, h u, 6 * (s - lag(s) over w) r from hs {w}),
+ci as (select id, ja, k, n, r, 2 * (l + u) + case when k = 2 then l * (1 + l / u) else 0 end + case when k = n - 1 then u * (1 + u / l) else 0 end mid,
+case when k = 2 then 0 else l - case when k = n - 1 then u * u / l else 0 end end low, case when k = n - 1 then 0 else u - case when k = 2 then l * l / u else 0 end end up, l, u from cs where k between 2 and n - 1),
+fw as (select id, ja, k, up / mid c, r / mid d from ci where k = 2 union all select ci.id, ci.ja, ci.k, up / (mid - low * c), (r - low * d) / (mid - low * c) from fw join ci on ci.id = fw.id and ci.ja = fw.ja and ci.k = fw.k + 1),
+bw as (select ci.id, ci.ja, ci.k, d m from fw join ci using (id, ja, k) where ci.k = ci.n - 1 union all select fw.id, fw.ja, fw.k, fw.d - fw.c * bw.m from bw join fw on fw.id = bw.id and fw.ja = bw.ja and fw.k = bw.k - 1),
+mm as (select * from bw union all select ci.id, ci.ja, 1, (1 + l / u) * a.m - l / u * b.m from ci join bw a using (id, ja, k) join bw b on b.id = ci.id and b.ja = ci.ja and b.k = 3 where ci.k = 2
+union all select ci.id, ci.ja, ci.n, (1 + u / l) * a.m - u / l * b.m from ci join bw a using (id, ja, k) join bw b on b.id = ci.id and b.ja = ci.ja and b.k = ci.n - 2 where ci.k = ci.n - 1)"""
+
+
+PIECE = "p.y + d * ((q.y - p.y) / h - h * (2 * a.m + b.m) / 6) + d * d * a.m / 2 + d * d * d * (b.m - a.m) / (6 * h)"
+FLAT = "fl as (select id, t, unnest(v[1:54])::double y, unnest(range(54)) ja from fr)"
+WIDE = ", ".join(f"{v.r(f'max(case when ja % 3 = {k} then y end)')} {a}" for k, a in enumerate(XYZ))
+
+
+def _repair_sql(flags: str) -> str:
+    return f"""with recursive {v.POSE}, {FLAT}, bd as ({flags}), g as (select id, t, bad, sum((not bad)::int) over (partition by id order by t) g, sum((not bad)::int) over (partition by id) n from bd),
+kn as (select fl.id, ja, g k, n, t::double x, y from fl join g using (id, t) where not bad and n >= 2), {_spline_sql("kn")},
+pc as (select g.id, t, p.ja, t - p.x d, q.x - p.x h, p.k from g join kn p on p.id = g.id and p.k = least(greatest(g.g, 1), g.n - 1) join kn q on q.id = p.id and q.ja = p.ja and q.k = p.k + 1 where bad and g.n >= 2),
+nw as (select pc.id, pc.t, pc.ja, {PIECE} y from pc join kn p on p.id = pc.id and p.ja = pc.ja and p.k = pc.k join kn q on q.id = pc.id and q.ja = pc.ja and q.k = pc.k + 1 join mm a on a.id = pc.id and a.ja = pc.ja and a.k = pc.k join mm b on b.id = pc.id and b.ja = pc.ja and b.k = pc.k + 1),
+al as (select fl.id, fl.t, fl.ja, coalesce(nw.y, fl.y) y, nw.y is not null repaired from fl left join nw using (id, t, ja)) select id, t, repaired, cast(ja // 3 as bigint) joint, {WIDE} from al group by id, t, repaired, ja // 3"""
+
+
+VEL_BAD = f"with d as (select id, t, joint, x+y+z-coalesce(lag(x+y+z) over ({O}), x+y+z) d from pose) select id, t, sqrt(sum(d*d)) > 8 bad from d group by all"
+MEDIAN_BAD = """with n as (select id, count(*) n from fr group by id), o as (select fr.id, t, case when t+o<0 then -1-(t+o) when t+o>=n then 2*n-1-(t+o) else t+o end i from fr join n using (id), range(-3, 3) r(o)),
+m as (select o.id, o.t, joint, list_sort(list(x))[4] mx, list_sort(list(y))[4] my, list_sort(list(z))[4] mz from o join pose q on q.id=o.id and q.t=o.i group by all)
+select p.id, p.t, avg(sqrt((x-mx)*(x-mx)+(y-my)*(y-my)+(z-mz)*(z-mz))) > 2 bad from pose p join m using (id, t, joint) group by all"""
+
+
+@register("repair_vel", _repair_sql(VEL_BAD))
 def repair_vel(spark: SparkSession, sf: str) -> DataFrame:
     return _long(grouped.repaired(v.pose(spark, sf), speed=8.0), "repaired")
 
 
-@register("repair_z")
+@register("repair_z", _repair_sql("select id, t, sum(z) > 3 bad from pose group by all"))
 def repair_z(spark: SparkSession, sf: str) -> DataFrame:
     return _long(grouped.repaired(v.pose(spark, sf), height=3.0), "repaired")
 
 
-@register("repair_median")
+@register("repair_median", _repair_sql(MEDIAN_BAD))
 def repair_median(spark: SparkSession, sf: str) -> DataFrame:
     return _long(grouped.repaired(v.pose(spark, sf), error=2.0), "repaired")
 
 
-@register("wavelet_power")
+WAVELET = f"""with {v.TRACE}, n as (select id, count(*) n from tr group by id), p as (select id, n, cast(f - 1 as bigint) item, 450 / (2 * pi() * f) w, cast(floor(least(10 * 450 / (2 * pi() * f), n)) as bigint) m from n, range(1, 26) r(f)),
+j as (select a.id, a.t, item, w, b.v, a.t + (m - 1) // 2 - b.t - (m - 1) / 2.0::double x from p join tr a using (id) join tr b on b.id = a.id and a.t + (m - 1) // 2 - b.t between 0 and m - 1),
+s as (select id, t, item, sum(v * exp(-x * x / (2 * w * w)) * cos(5 * x / w)) re, sum(v * exp(-x * x / (2 * w * w)) * sin(5 * x / w)) im, any_value(w) w from j group by id, t, item)
+select id, t, item, {v.r('pow(pi(), -0.25) / sqrt(w) * sqrt(re * re + im * im)')} power from s"""
+
+
+@register("wavelet_power", WAVELET)
 def wavelet_power(spark: SparkSession, sf: str) -> DataFrame:
     found, _ = grouped.wavelets(v.trace(spark, sf).select("id", "t", F.array("v").alias("features")), ["v"], contiguous=True)
     return _items(found, "features", "power")
@@ -459,9 +497,17 @@ def _occupied(spark: SparkSession, sf: str) -> DataFrame:
     return stats.occupancy_rows(reduce.cluster_shares_by(v.clusters(spark, sf), "cat", clusters=5), 1.0 + F.col("cat") * 7 % 11)
 
 
-@register("loo_lstsq")
+LSTSQ = f"""with recursive {CATS}, xs as (select cat, list(freq order by cluster) x, 1.0 + cat * 7 % 11 y from fq group by cat),
+u as (select cat, y, unnest(range(1, 6)) i, x from xs), gr as (select i, j, sum(x[i] * x[j]) g from (select i, x, unnest(range(1, 6)) j from u) group by i, j), gl as (select i, list(g order by j) g from gr group by i),
+al as (select list(list_append(g, c) order by i) m from gl join (select i, sum(x[i] * y) c from u group by i) using (i)),
+el as (select cat, x, 0 k, list_transform(m, lambda r, i: list_transform(r, lambda e, j: e - x[i] * (case when j = 6 then y else x[j] end))) m from xs, al
+union all select cat, x, k + 1, list_transform(m, lambda r, i: case when i = k + 1 then list_transform(r, lambda e: e / r[k + 1]) else list_transform(r, lambda e, j: e - r[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) end) from el where k < 5)
+select cat, {v.r('list_sum(list_transform(x, lambda e, i: e * m[i][6]))', 4)} prediction from el where k = 5"""
+
+
+@register("loo_lstsq", LSTSQ)
 def loo_lstsq(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.loo_lstsq(_occupied(spark, sf)).select("cat", "prediction")
+    return stats.loo_lstsq(_occupied(spark, sf)).select("cat", rounded("prediction", 4).alias("prediction"))
 
 
 @register("loo_elastic_net")
@@ -518,11 +564,16 @@ def pose_geodesic(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(k, f, float(d)) for k, (f, d) in enumerate(path)], "step int, frame long, distance double")
 
 
-@register("pose_distances")
+DISTANCES = f"""with recursive {NN}, ed as (select src a, dst b, d2 w from k5 union all select dst, src, d2 from k5),
+r(step, key, d) as (select 0, 0::bigint, 0.0::double union all select step + 1, key, min(d) from (select step, key, d from r union all select step, b, d + w from r join ed on a = key) where step < 100 group by step, key)
+select key frame, {v.r('d', 5)} d from r where step = 100"""
+
+
+@register("pose_distances", DISTANCES)
 def pose_distances(spark: SparkSession, sf: str) -> DataFrame:
-    """Distance of every frame that is reached to frame 0, and the next frame on the way."""
+    """Distance of every frame that is reached to frame 0."""
     far = neighbors.shortest_paths(neighbors.knn_graph(v.features(spark, sf)), 0)
-    return far.select(F.col("key").alias("frame"), "d", "towards")
+    return far.select(F.col("key").alias("frame"), rounded("d", 5).alias("d"))
 
 
 HIST = "cast(49-least(49, cast(floor((y+4)/8*50) as int)) as int) \"row\", cast(least(49, cast(floor((x+4)/8*50) as int)) as int) col"
@@ -602,7 +653,15 @@ def augment_noise(spark: SparkSession, sf: str) -> DataFrame:
     return _long(augment.noise(v.pose(spark, sf), [0, 0.1, 1.0]), "noise")
 
 
-@register("augment_speed")
+SPEED = f"""with recursive {v.POSE}, {FLAT}, kn as (select id, ja, t + 1 k, count(*) over (partition by id, ja) n, t::double x, y from fl), {_spline_sql("kn")},
+lv as (select id, n, number, level, cast(floor(n / level) as bigint) cnt from (select distinct id, n from kn), (values (0, 1.0::double), (1, 0.5::double), (2, 2.0::double)) l(number, level)),
+nf as (select id, n, number, level, j, case when j = cnt - 1 then (n - 1)::double else j * ((n - 1)::double / (cnt - 1)) end at_ from (select *, unnest(range(cnt)) j from lv)),
+pc as (select id, number, level, j, least(cast(floor(at_) as bigint), n - 2) + 1 k, at_ - least(cast(floor(at_) as bigint), n - 2) d, 1.0::double h from nf),
+al as (select cast(pc.id * 3 + number as bigint) id, j t, level, p.ja, {PIECE} y from pc join kn p on p.id = pc.id and p.k = pc.k join kn q on q.id = p.id and q.ja = p.ja and q.k = p.k + 1 join mm a on a.id = p.id and a.ja = p.ja and a.k = p.k join mm b on b.id = p.id and b.ja = p.ja and b.k = p.k + 1)
+select id, t, level, cast(ja // 3 as bigint) joint, {WIDE} from al group by id, t, level, ja // 3"""
+
+
+@register("augment_speed", SPEED)
 def augment_speed(spark: SparkSession, sf: str) -> DataFrame:
     return _long(grouped.speed_augmented(v.pose(spark, sf), [1.0, 0.5, 2.0]), "level")
 
