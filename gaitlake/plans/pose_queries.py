@@ -16,6 +16,8 @@ XYZ = ("x", "y", "z")
 R3 = f"{v.r('x')} x, {v.r('y')} y, {v.r('z')} z"
 WIDTHS = (1, 3, 7)
 VEL_JOINTS = (0, 4, 5)
+#: Bounds that about one frame in ten or twenty of the test tables exceeds.
+SPEED_BAD, HEIGHT_BAD, ERROR_BAD = 1.6, 0.85, 0.215
 LINK_VALUES = ", ".join(f"({k},{a},{b})" for k, (a, b) in enumerate(MOUSE18.links))
 ANGLE_VALUES = ", ".join(f"({k},{a},{b},{c})" for k, (a, b, c) in enumerate(MOUSE18.angles))
 
@@ -248,21 +250,21 @@ def floor_align(spark: SparkSession, sf: str) -> DataFrame:
     return _long(ts.align_floor(v.pose(spark, sf)), "upright")
 
 
-@register("outlier_flags_vel", f"with {v.POSE}, d as (select id, t, joint, x+y+z-coalesce(lag(x+y+z) over ({O}), x+y+z) d from pose), s as (select id, t, sqrt(sum(d*d)) val from d group by all) select id, t, {v.r('val')} val, val>8 bad from s")
+@register("outlier_flags_vel", f"with {v.POSE}, d as (select id, t, joint, x+y+z-coalesce(lag(x+y+z) over ({O}), x+y+z) d from pose), s as (select id, t, sqrt(sum(d*d)) val from d group by all) select id, t, {v.r('val')} val, val>{SPEED_BAD} bad from s")
 def outlier_flags_vel(spark: SparkSession, sf: str) -> DataFrame:
-    return ts.outlier_flags(v.pose(spark, sf), speed=8.0).select("id", "t", rounded("value").alias("val"), "bad")
+    return ts.outlier_flags(v.pose(spark, sf), speed=SPEED_BAD).select("id", "t", rounded("value").alias("val"), "bad")
 
 
-@register("outlier_flags_z", f"with {v.POSE}, s as (select id, t, sum(z) val from pose group by all) select id, t, {v.r('val')} val, val>3 bad from s")
+@register("outlier_flags_z", f"with {v.POSE}, s as (select id, t, sum(z) val from pose group by all) select id, t, {v.r('val')} val, val>{HEIGHT_BAD} bad from s")
 def outlier_flags_z(spark: SparkSession, sf: str) -> DataFrame:
-    return ts.outlier_flags(v.pose(spark, sf), height=3.0).select("id", "t", rounded("value").alias("val"), "bad")
+    return ts.outlier_flags(v.pose(spark, sf), height=HEIGHT_BAD).select("id", "t", rounded("value").alias("val"), "bad")
 
 
 @register("outlier_flags_median", f"""with {v.POSE}, n as (select id, count(*) n from fr group by id), o as (select fr.id, t, case when t+o<0 then -1-(t+o) when t+o>=n then 2*n-1-(t+o) else t+o end i from fr join n using (id), range(-3, 3) r(o)),
 m as (select o.id, o.t, joint, list_sort(list(x))[4] mx, list_sort(list(y))[4] my, list_sort(list(z))[4] mz from o join pose q on q.id=o.id and q.t=o.i group by all),
-e as (select p.id, p.t, avg(sqrt((x-mx)*(x-mx)+(y-my)*(y-my)+(z-mz)*(z-mz))) val from pose p join m using (id, t, joint) group by all) select id, t, {v.r('val')} val, val>2 bad from e""")
+e as (select p.id, p.t, avg(sqrt((x-mx)*(x-mx)+(y-my)*(y-my)+(z-mz)*(z-mz))) val from pose p join m using (id, t, joint) group by all) select id, t, {v.r('val')} val, val>{ERROR_BAD} bad from e""")
 def outlier_flags_median(spark: SparkSession, sf: str) -> DataFrame:
-    return ts.outlier_flags(v.pose(spark, sf), error=2.0).select("id", "t", rounded("value").alias("val"), "bad")
+    return ts.outlier_flags(v.pose(spark, sf), error=ERROR_BAD).select("id", "t", rounded("value").alias("val"), "bad")
 
 
 def _spline_sql(knots: str) -> str:
@@ -291,25 +293,25 @@ nw as (select pc.id, pc.t, pc.ja, {PIECE} y from pc join kn p on p.id = pc.id an
 al as (select fl.id, fl.t, fl.ja, coalesce(nw.y, fl.y) y, nw.y is not null repaired from fl left join nw using (id, t, ja)) select id, t, repaired, cast(ja // 3 as bigint) joint, {WIDE} from al group by id, t, repaired, ja // 3"""
 
 
-VEL_BAD = f"with d as (select id, t, joint, x+y+z-coalesce(lag(x+y+z) over ({O}), x+y+z) d from pose) select id, t, sqrt(sum(d*d)) > 8 bad from d group by all"
-MEDIAN_BAD = """with n as (select id, count(*) n from fr group by id), o as (select fr.id, t, case when t+o<0 then -1-(t+o) when t+o>=n then 2*n-1-(t+o) else t+o end i from fr join n using (id), range(-3, 3) r(o)),
+VEL_BAD = f"with d as (select id, t, joint, x+y+z-coalesce(lag(x+y+z) over ({O}), x+y+z) d from pose) select id, t, sqrt(sum(d*d)) > {SPEED_BAD} bad from d group by all"
+MEDIAN_BAD = f"""with n as (select id, count(*) n from fr group by id), o as (select fr.id, t, case when t+o<0 then -1-(t+o) when t+o>=n then 2*n-1-(t+o) else t+o end i from fr join n using (id), range(-3, 3) r(o)),
 m as (select o.id, o.t, joint, list_sort(list(x))[4] mx, list_sort(list(y))[4] my, list_sort(list(z))[4] mz from o join pose q on q.id=o.id and q.t=o.i group by all)
-select p.id, p.t, avg(sqrt((x-mx)*(x-mx)+(y-my)*(y-my)+(z-mz)*(z-mz))) > 2 bad from pose p join m using (id, t, joint) group by all"""
+select p.id, p.t, avg(sqrt((x-mx)*(x-mx)+(y-my)*(y-my)+(z-mz)*(z-mz))) > {ERROR_BAD} bad from pose p join m using (id, t, joint) group by all"""
 
 
 @register("repair_vel", _repair_sql(VEL_BAD))
 def repair_vel(spark: SparkSession, sf: str) -> DataFrame:
-    return _long(grouped.repaired(v.pose(spark, sf), speed=8.0), "repaired")
+    return _long(grouped.repaired(v.pose(spark, sf), speed=SPEED_BAD), "repaired")
 
 
-@register("repair_z", _repair_sql("select id, t, sum(z) > 3 bad from pose group by all"))
+@register("repair_z", _repair_sql(f"select id, t, sum(z) > {HEIGHT_BAD} bad from pose group by all"))
 def repair_z(spark: SparkSession, sf: str) -> DataFrame:
-    return _long(grouped.repaired(v.pose(spark, sf), height=3.0), "repaired")
+    return _long(grouped.repaired(v.pose(spark, sf), height=HEIGHT_BAD), "repaired")
 
 
 @register("repair_median", _repair_sql(MEDIAN_BAD))
 def repair_median(spark: SparkSession, sf: str) -> DataFrame:
-    return _long(grouped.repaired(v.pose(spark, sf), error=2.0), "repaired")
+    return _long(grouped.repaired(v.pose(spark, sf), error=ERROR_BAD), "repaired")
 
 
 WAVELET = f"""with {v.TRACE}, n as (select id, count(*) n from tr group by id), p as (select id, n, cast(f - 1 as bigint) item, 450 / (2 * pi() * f) w, cast(floor(least(10 * 450 / (2 * pi() * f), n)) as bigint) m from n, range(1, 26) r(f)),
