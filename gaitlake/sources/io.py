@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from gaitlake.operators.reduce import Heuristic
 from gaitlake.operators.skeleton import Skeleton, skeleton_from_config
+from gaitlake.sources.mat5 import variables
 
 
 def read_config(path: str) -> dict[str, Any]:
@@ -157,16 +158,9 @@ def _mat(content: bytes) -> dict[str, Any]:
     """Variables by name, fields of a struct by ``variable/field``; the newer format is HDF5, with axes reversed."""
     if content[:8] == b"\x89HDF\r\n\x1a\n" or content[512:520] == b"\x89HDF\r\n\x1a\n":
         return {k: np.asarray(v).T for k, v in _h5(content).items()}
-    try:
-        from scipy.io import loadmat
-    except ImportError as e:
-        raise ImportError("reading MATLAB files needs scipy") from e
     found: dict[str, Any] = {}
-    for name, value in loadmat(io.BytesIO(content), struct_as_record=True).items():
-        if isinstance(value, np.ndarray) and value.dtype.names:
-            found |= {f"{name}/{k}": np.asarray(value[k].item()) for k in value.dtype.names}
-        else:
-            found[name] = np.asarray(value)
+    for name, value in variables(content).items():
+        found |= {f"{name}/{k}": v for k, v in value.items()} if isinstance(value, dict) else {name: value}
     return found
 
 
@@ -196,7 +190,7 @@ READ_FRAMES = 4096
 
 
 def pose_files(spark: SparkSession, path: str | Sequence[str], kind: str, joints: Sequence[str] = ()) -> DataFrame:
-    """(path, id, t, frame, kp) of HDF5 or MATLAB files, each read by one task, in whatever store Spark reads; ``kind`` as in ``frames_of``. Needs h5py or scipy on the executors."""
+    """(path, id, t, frame, kp) of HDF5 or MATLAB files, each read by one task, in whatever store Spark reads; ``kind`` as in ``frames_of``. HDF5, and MATLAB files that are HDF5, need h5py on the executors."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -217,6 +211,35 @@ def pose_h5(spark: SparkSession, path: str) -> DataFrame:
     return pose_files(spark, path, "h5").drop("path")
 
 
+def mat_variable(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """(k, v): the rows of a variable, from 0; a vector, whichever way it lies, has a number in each, and of a cell array the first cell that holds numbers counts."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                value = _mat(content)[name]
+                if isinstance(value, np.ndarray) and value.dtype == object:
+                    value = next(v for v in value.ravel(order="F") if isinstance(v, np.ndarray) and v.size)
+                value = np.atleast_2d(np.asarray(value, float))
+                value = value.reshape(-1, 1) if 1 in value.shape else value
+                for a in range(0, len(value), READ_FRAMES):
+                    part = value[a : a + READ_FRAMES]
+                    yield pd.DataFrame({"k": np.arange(a, a + len(part)), "v": list(part)})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(read, "k long, v array<double>")
+
+
+def features_mat(spark: SparkSession, analysis: str, pose: str, session: str, downsample: int = 1) -> tuple[DataFrame, int]:
+    """((frame, id, features), step) of a MATLAB analysis: ``jt_features`` of the frames in ``frames_with_good_tracking`` (from 1), every ``downsample``-th of them, with the sessions that variable ``session`` of the pose file gives to all frames, their ids shifted to 0; ``step`` is the recording frames between two features."""
+    kept = F.col("k") % downsample == 0
+    features = mat_variable(spark, analysis, "jt_features").where(kept).select("k", F.col("v").alias("features"))
+    frames = mat_variable(spark, analysis, "frames_with_good_tracking").where(kept).select("k", (F.col("v")[0].cast("long") - 1).alias("frame"))
+    ids = mat_variable(spark, pose, session).select(F.col("k").alias("frame"), F.col("v")[0].cast("int").alias("id"))
+    ids = ids.join(F.broadcast(ids.agg(F.min("id").alias("_low")))).select("frame", (F.col("id") - F.col("_low")).alias("id"))
+    step = int(mat_variable(spark, analysis, "tsnegranularity").first()["v"][0])
+    return features.join(frames, "k").join(ids, "frame").select("frame", "id", "features"), downsample * step
+
+
 def good_frames(features: DataFrame, frames: Sequence[int], step: int = 20, frame: str = "frame") -> DataFrame:
     """Features of the recording frames given by their numbers from 1, every ``step``-th of them; ``frame`` counts features from 0 and becomes the recording's frame."""
     spark = features.sparkSession
