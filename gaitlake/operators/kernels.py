@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Sequence
 
 import numpy as np
 
@@ -66,6 +67,29 @@ def cubic_spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     return spline_value(column(at - x[k]), column(x[k + 1] - x[k]), y[k], y[k + 1], m[k], m[k + 1])
 
 
+def rolling_deviation(x: np.ndarray, half: int) -> np.ndarray:
+    """Population deviation over 2 * half + 1 rows around each, end rows repeated beyond the ends."""
+    k = 2 * half + 1
+    # Around the mean of all rows, so that running sums stay small.
+    padded = np.pad(x - x.mean(0), [(half, half)] + [(0, 0)] * (x.ndim - 1), mode="edge")
+    sums = [np.concatenate([np.zeros((1, *x.shape[1:])), np.cumsum(p, 0)]) for p in (padded, padded**2)]
+    mean, square = ((s[k:] - s[:-k]) / k for s in sums)
+    return np.sqrt(np.maximum(square - mean**2, 0))
+
+
+def motion(x: np.ndarray, widths: Sequence[int], rate: float, std: bool = True, norm: bool = True, absolute: bool = False) -> np.ndarray:
+    """Of frames x points x axes, for each half-width and point the centred difference times rate / (2w + 1), end frames repeated beyond the ends; then, with ``std``, the deviations of the frame-to-frame velocity over the same windows. ``norm`` puts the norm over the axes before them; ``absolute`` takes the size of differences."""
+    n, at = len(x), np.arange(len(x))
+    led = lambda d: np.concatenate([np.sqrt((d**2).sum(2, keepdims=True)), d], 2) if norm else d
+    parts = [led((x[np.minimum(at + w, n - 1)] - x[np.maximum(at - w, 0)]) * (rate / (2 * w + 1))) for w in widths]
+    if absolute:
+        parts = [np.abs(p) for p in parts]
+    if std:
+        step = led(np.diff(x, axis=0, prepend=x[:1]) * rate)
+        parts += [rolling_deviation(step, w) for w in widths]
+    return np.concatenate([p.reshape(n, -1) for p in parts], 1)
+
+
 def morlet(points: int, scale: float, w0: float = 5.0) -> np.ndarray:
     x = np.arange(points) - (points - 1) / 2
     return np.pi**-0.25 * np.sqrt(1 / scale) * np.exp(1j * w0 * x / scale) * np.exp(-(x**2) / (2 * scale**2))

@@ -9,10 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from gaitlake.functions.numbers import norm
+from gaitlake.operators import kernels, tiles
 from gaitlake.operators.geometry import AXES, at, point
 
 
@@ -53,42 +57,40 @@ def zero_padded_mean(x: Column, width: int) -> Column:
     return F.sum(x).over(session().rowsBetween(-((width - 1) // 2), width // 2)) / width
 
 
-def velocities(pose: DataFrame, joints: Sequence[int], names: Sequence[str], widths: Sequence[int] = (3, 31, 89), rate: float = 90.0, tag: str = "abs", std: bool = True, absolute: bool = False) -> tuple[DataFrame, list[str]]:
+def velocities(pose: DataFrame, joints: Sequence[int], names: Sequence[str], widths: Sequence[int] = (3, 31, 89), rate: float = 90.0, tag: str = "abs", std: bool = True, absolute: bool = False, contiguous: bool = False, rows: int = tiles.TILE_ROWS) -> tuple[DataFrame, list[str]]:
     """(id, t, features) with its labels: for each half-width and joint the norm and axes of the centred difference, times rate / (2w + 1).
 
     With ``std``, the deviations over the same windows of the frame-to-frame
-    velocity follow. The table goes through a long layout, one row for each
-    joint, so that the number of window expressions does not grow with the
-    number of joints.
+    velocity follow. Beyond a session's ends its end frames count. Sessions
+    are cut into tiles; ``contiguous`` says that ``t`` counts the frames of
+    each session from 0.
     """
-    long = pose.select("id", "t", F.explode(F.array(*(F.struct(F.lit(k).alias("o"), *(at(j, a).alias(a) for a in AXES)) for k, j in enumerate(joints)))).alias("p")).select("id", "t", "p.*")
-    deltas, steps = {}, {a: frame_diff(F.col(a), 1, False, ["o"]) * rate for a in AXES}
-    for w in widths:
-        deltas |= {f"v{w}{a}": frame_diff(F.col(a), w, True, ["o"]) * (rate / (2 * w + 1)) for a in AXES}
-    long = long.withColumns(deltas | {f"s{a}": c for a, c in steps.items()})
-    long = long.withColumn("sn", norm(F.col("sx"), F.col("sy"), F.col("sz")))
-    kinds = [("vel", "v")]
-    if std:
-        long = long.withColumns({f"d{w}{a}": padded_std(F.col(f"s{a}"), w, ["o"]) for w in widths for a in ("n", *AXES)})
-        kinds.append(("vel_std", "d"))
-    value = lambda p, w, a: norm(*(F.col(f"{p}{w}{x}") for x in AXES)) if (p, a) == ("v", "n") else F.col(f"{p}{w}{a}")
-    parts = [F.array(*(F.abs(value(p, w, a)) if absolute and p == "v" else value(p, w, a) for a in ("n", *AXES))) for _, p in kinds for w in widths]
-    row = long.groupBy("id", "t").agg(F.array_sort(F.collect_list(F.struct("o", F.array(*parts).alias("parts")))).alias("j"))
-    features = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(len(parts) - 1)), lambda k: F.flatten(F.transform("j", lambda o: F.get(o["parts"], k)))))
-    labels = [f"{tag}_{kind}_{a}_{names[j]}_{2 * w + 1}" for kind, _ in kinds for w in widths for j in joints for a in ("norm", *AXES)]
-    return row.select("id", "t", features.alias("features")), labels
-
-
-def angular_velocities(frames: DataFrame, labels: Sequence[str], widths: Sequence[int] = (1, 15, 45), rate: float = 90.0, column: str = "angles") -> tuple[DataFrame, list[str]]:
-    """(id, t, features) with labels: centred differences of each angle times rate / (2w + 1), then deviations of its frame-to-frame velocity. Angles are not unwrapped."""
-    long = frames.select("id", "t", F.posexplode(column).alias("o", "a"))
-    long = long.withColumns({"s": frame_diff(F.col("a"), 1, False, ["o"]) * rate} | {f"v{w}": frame_diff(F.col("a"), w, True, ["o"]) * (rate / (2 * w + 1)) for w in widths})
-    long = long.withColumns({f"d{w}": padded_std(F.col("s"), w, ["o"]) for w in widths})
-    row = long.groupBy("id", "t").agg(F.array_sort(F.collect_list(F.struct("o", F.array(*(F.col(f"{p}{w}") for p in "vd" for w in widths)).alias("parts")))).alias("j"))
-    n = 2 * len(widths)
-    features = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.transform("j", lambda o: F.get(o["parts"], k))))
+    flat = pose.select("id", "t", F.array(*(at(j, a) for j in joints for a in AXES)).alias("v"))
+    kinds = ("vel", "vel_std") if std else ("vel",)
+    labels = [f"{tag}_{kind}_{a}_{names[j]}_{2 * w + 1}" for kind in kinds for w in widths for j in joints for a in ("norm", *AXES)]
+    return _moving(flat, widths, rate, len(AXES), std, absolute, contiguous, rows), labels
+
+
+def angular_velocities(frames: DataFrame, labels: Sequence[str], widths: Sequence[int] = (1, 15, 45), rate: float = 90.0, column: str = "angles", contiguous: bool = False, rows: int = tiles.TILE_ROWS) -> tuple[DataFrame, list[str]]:
+    """(id, t, features) with labels: centred differences of each angle times rate / (2w + 1), then deviations of its frame-to-frame velocity. Angles are not unwrapped. Sessions are cut into tiles, as in ``velocities``."""
     names = [f"{name.replace('ang', kind)}_{2 * w + 1}" for kind in ("avel", "avel_std") for w in widths for name in labels]
-    return row.select("id", "t", features.alias("features")), names
+    return _moving(frames.select("id", "t", F.col(column).alias("v")), widths, rate, 1, True, False, contiguous, rows), names
+
+
+def _moving(frames: DataFrame, widths: Sequence[int], rate: float, axes: int, std: bool, absolute: bool, contiguous: bool, rows: int) -> DataFrame:
+    """(id, t, features) by ``kernels.motion`` of the arrays ``v``, ``axes`` numbers a point, on tiles."""
+    widths, margin = list(widths), max(widths) + 2
+    held = frames.withColumn("v", F.col("v").cast("array<double>"))
+    held = held.withColumn("pos", F.col("t").cast("long")) if contiguous else tiles.counted(held, "pos").withColumn("pos", F.col("pos") - 1)
+
+    def moved(table: pa.Table) -> pa.Table:
+        own = pa.array(table["own"].to_numpy())
+        x = tiles.matrix(table["v"]) if pc.any(own).as_py() else np.zeros((0, axes))
+        found = kernels.motion(x.reshape(len(x), -1, axes), widths, rate, std, axes > 1, absolute)[np.asarray(own)] if len(x) else np.zeros((0, 1))
+        return pa.table({"id": table["id"].filter(own), "t": table["t"].filter(own), "features": tiles.lists(found)})
+
+    kind = lambda c: frames.schema[c].dataType.simpleString()
+    return tiles.grouped_arrow(tiles.tiled(held, margin, rows), ("id", "tile"), ("pos",), moved, f"id {kind('id')}, t {kind('t')}, features array<double>")
 
 
 def median_filter(frames: DataFrame, column: str, length: int = 5) -> DataFrame:

@@ -148,7 +148,7 @@ def _velocity_sql(source: str, tag: str, std: bool) -> str:
 
 
 def _velocity(pose: DataFrame, tag: str, std: bool) -> DataFrame:
-    found, labels = ts.velocities(pose, VEL_JOINTS, MOUSE18.joints, WIDTHS, tag=tag, std=std)
+    found, labels = ts.velocities(pose, VEL_JOINTS, MOUSE18.joints, WIDTHS, tag=tag, std=std, contiguous=True)
     names = F.array(*(F.lit(x) for x in labels))
     rows = found.select("id", "t", F.posexplode("features").alias("k", "val")).select("id", "t", F.get(names, F.col("k")).alias("label"), rounded("val", 4).alias("val"))
     return rows.where(F.col("label").contains("_vel_std_")) if std else rows
@@ -192,7 +192,7 @@ def angular_velocity_std(spark: SparkSession, sf: str) -> DataFrame:
 
 def _angular(spark: SparkSession, sf: str) -> DataFrame:
     triples = [MOUSE18.angles[2], MOUSE18.angles[5]]
-    found, labels = ts.angular_velocities(geometry.joint_angles(v.pose(spark, sf), triples), geometry.angle_labels(triples), WIDTHS)
+    found, labels = ts.angular_velocities(geometry.joint_angles(v.pose(spark, sf), triples), geometry.angle_labels(triples), WIDTHS, contiguous=True)
     names = F.array(*(F.lit(x) for x in labels))
     return found.select("id", "t", F.posexplode("features").alias("k", "val")).select("id", "t", F.get(names, F.col("k")).alias("label"), rounded("val", 4).alias("val"))
 

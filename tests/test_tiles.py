@@ -44,11 +44,26 @@ def test_positions_are_counted_in_stretches(pose, monkeypatch):
 
 
 def test_velocities_on_tiles_equal_whole_sessions(pose):
-    run = lambda p: ts.velocities(p, [0, 1], ["a", "b"], (1, 5))[0]
-    same(tiles.over(pose, run, 7, rows=16), run(pose), "features")
+    run = lambda rows: ts.velocities(pose, [0, 1], ["a", "b"], (1, 5), rows=rows)[0]
+    same(run(16), run(10**6), "features")
     angles = pose.select("id", "t", F.array(F.col("kp")[0]["x"]).alias("angles"))
-    run = lambda p: ts.angular_velocities(p, ["ang"], (2,))[0]
-    same(tiles.over(angles, run, 4, rows=10), run(angles), "features")
+    run = lambda rows: ts.angular_velocities(angles, ["ang"], (2,), rows=rows)[0]
+    same(run(10), run(10**6), "features")
+
+
+def test_velocities_equal_window_functions(pose):
+    """The same from DataFrame windows, column by column."""
+    got, labels = ts.velocities(pose, [1], ["a", "b"], (2,), rate=10.0, rows=16)
+    x = F.col("kp")[1]["x"]
+    frames = pose.select("id", "t", x.alias("x")).withColumn("s", ts.frame_diff(F.col("x"), 1, False) * 10.0)
+    want = frames.select("id", "t", F.array(ts.frame_diff(F.col("x"), 2) * 2.0, ts.padded_std(F.col("s"), 2)).alias("features"))
+    places = [labels.index("abs_vel_x_b_5"), labels.index("abs_vel_std_x_b_5")]
+    same(got.withColumn("features", F.array(*(F.col("features")[p] for p in places))), want, "features")
+
+
+def test_means_on_tiles_equal_whole_sessions(pose):
+    run = lambda p: p.withColumn("m", ts.zero_padded_mean(F.col("kp")[0]["x"], 6)).select("id", "t", F.array("m").alias("m"))
+    same(tiles.over(pose, run, 6, rows=16), run(pose), "m")
 
 
 @pytest.mark.parametrize("rule", [{"speed": 2.0}, {"height": 1.0}, {"error": 0.8}])
