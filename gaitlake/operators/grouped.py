@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from gaitlake.functions import numbers
+from gaitlake.functions.shared import written
 from gaitlake.operators import kernels, tiles
 from gaitlake.operators.timeseries import outlier_flags
 
@@ -33,17 +35,16 @@ def _points(column: str) -> object:
     return F.transform(F.sequence(F.lit(0), F.floor(F.size(column) / 3).cast("int") - 1), lambda j: F.struct(*(F.get(column, 3 * j + a).alias(n) for a, n in enumerate("xyz"))))
 
 
-def repaired(pose: DataFrame, rows: int = tiles.TILE_ROWS, **rule: float) -> DataFrame:
+def repaired(pose: DataFrame, rows: int = tiles.TILE_ROWS, contiguous: bool = False, **rule: float) -> DataFrame:
     """(id, t, kp, repaired): replaces the frames that ``outlier_flags(**rule)`` calls bad by a cubic spline through the good ones of the session. Sessions with fewer than two good frames stay as they are.
 
     Good frames are knots, in tiles of ``rows`` of them; a tile gives the
     pieces between two knots with bad frames between them, at which the bad
-    frames are looked up, however many they are.
+    frames are looked up, however many they are. ``contiguous``: ``t`` counts
+    the frames of each session from 0.
     """
-    flagged = tiles.over(pose, lambda p: outlier_flags(p, **rule), rule.get("length", 6) + 1).select("id", "t", _flat().alias("v"), "bad")
-    held = tiles.counted(flagged, "g", ~F.col("bad"))
-    total = held.groupBy(F.col("id").alias("_id")).agg(F.max("g").alias("n"), F.min(F.when(~F.col("bad"), F.col("t"))).alias("first"))
-    held = held.join(total, F.col("id").eqNullSafe(F.col("_id"))).drop("_id")
+    flagged = tiles.over(pose, lambda p: outlier_flags(p, **rule), rule.get("length", 6) + 1, contiguous=contiguous)
+    held = tiles.counted(written(flagged.select("id", "t", _flat().alias("v"), "bad")), "g", ~F.col("bad"), "n")
     knots = tiles.tiled(held.where("not bad and n >= 2").withColumn("k", F.col("g") - 1), KNOTS, rows, "k", F.col("n"))
     kind = pose.schema["id"].dataType.simpleString()
 
@@ -56,14 +57,15 @@ def repaired(pose: DataFrame, rows: int = tiles.TILE_ROWS, **rule: float) -> Dat
         return pa.table({"pid": table["id"].take(pa.array(at)), "piece": k[at] + 1, "t0": t[at], "step": t[at + 1] - t[at], **{name: tiles.lists(v[at + s]) for name, v, s in (("y0", y, 0), ("y1", y, 1), ("m0", m, 0), ("m1", m, 1))}})
 
     found = tiles.grouped_arrow(knots.select("id", "tile", "t", "v", "k", "n", "own"), ("id", "tile"), ("k",), pieces, f"pid {kind}, piece long, t0 double, step double, y0 array<double>, y1 array<double>, m0 array<double>, m1 array<double>")
-    bad = held.where("bad and n >= 2").withColumn("_piece", F.least(F.greatest("g", F.lit(1)), F.col("n") - 1))
-    bad = bad.join(found, F.col("id").eqNullSafe(F.col("pid")) & (F.col("_piece") == F.col("piece")))
+    found = found.withColumnRenamed("piece", "_piece")
+    fix = F.when(F.col("bad") & (F.col("n") >= 2), F.least(F.greatest("g", F.lit(1)), F.col("n") - 1))
+    held = held.withColumn("_fix", fix).join(found, F.col("id").eqNullSafe(F.col("pid")) & (F.col("_fix") == F.col("_piece")), "left")
     d, h = F.col("t") - F.col("t0"), F.col("step")
     y0, y1, m0, m1 = (lambda j, c=c: F.get(c, j) for c in ("y0", "y1", "m0", "m1"))
     value = lambda j: y0(j) + d * ((y1(j) - y0(j)) / h - h * (2 * m0(j) + m1(j)) / 6) + d * d * m0(j) / 2 + d * d * d * (m1(j) - m0(j)) / (6 * h)
-    new = bad.select("id", "t", F.transform(F.sequence(F.lit(0), F.size("y0") - 1), value).alias("v"), F.lit(True).alias("repaired"))
-    kept = held.where("not bad or n < 2").select("id", "t", "v", F.lit(False).alias("repaired"))
-    return kept.union(new).select("id", "t", _points("v").alias("kp"), "repaired")
+    fixed = F.col("_piece").isNotNull()
+    new = F.when(fixed, F.transform(F.sequence(F.lit(0), F.size("v") - 1), value)).otherwise(F.col("v"))
+    return numbers.held(held, w=new).select("id", "t", _points("w").alias("kp"), fixed.alias("repaired"))
 
 
 def wavelets(frames: DataFrame, labels: Sequence[str], column: str = "features", rate: float = 90.0, freqs: Sequence[float] | None = None, w0: float = 5.0, contiguous: bool = False, rows: int = tiles.TILE_ROWS) -> tuple[DataFrame, list[str]]:
@@ -105,9 +107,8 @@ def long_medians(frames: DataFrame, column: str, length: int, rows: int = tiles.
 
 def speed_augmented(pose: DataFrame, levels: Sequence[float], rows: int = tiles.TILE_ROWS) -> DataFrame:
     """(id, old_id, level, t, kp): each session resampled to int(n / level) frames by a cubic spline through all of its frames; new ids are id * levels + position of the level. A tile makes the new frames that lie behind its own knots."""
-    flat = tiles.counted(pose.select(F.col("id").cast("long").alias("id"), "t", _flat().alias("v")), "k").withColumn("k", F.col("k") - 1)
-    total = flat.groupBy(F.col("id").alias("_id")).agg(F.count("*").alias("n"))
-    knots = tiles.tiled(flat.join(total, F.col("id") == F.col("_id")).drop("_id"), KNOTS, rows, "k", F.col("n"))
+    flat = tiles.counted(pose.select(F.col("id").cast("long").alias("id"), "t", _flat().alias("v")), "k", total="n").withColumn("k", F.col("k") - 1)
+    knots = tiles.tiled(flat, KNOTS, rows, "k", F.col("n"))
     levels = list(levels)
 
     def resample(table: pa.Table) -> pa.Table:

@@ -23,13 +23,15 @@ TILE_ROWS = 16_384
 STRETCH = 8192
 
 
-def counted(frames: DataFrame, name: str, flag: Column | None = None) -> DataFrame:
-    """Adds ``name``: how many frames of the session, of those with ``flag``, lie at or before each."""
+def counted(frames: DataFrame, name: str, flag: Column | None = None, total: str | None = None) -> DataFrame:
+    """Adds ``name``: how many frames of the session, of those with ``flag``, lie at or before each; and ``total``, how many there are."""
     flag = (F.lit(1) if flag is None else flag.cast("int")).cast("long")
     held = frames.withColumns({"_s": F.floor(F.col("t") / STRETCH), "_f": flag})
     sums = held.groupBy(F.col("id").alias("_id"), F.col("_s").alias("_k")).agg(F.sum("_f").alias("_n"))
-    sums = sums.withColumn("_before", F.expr("coalesce(sum(_n) over (partition by _id order by _k rows between unbounded preceding and 1 preceding), 0)")).drop("_n")
-    held = held.join(sums, F.col("id").eqNullSafe(F.col("_id")) & (F.col("_s") == F.col("_k")))
+    sums = sums.withColumn("_before", F.expr("coalesce(sum(_n) over (partition by _id order by _k rows between unbounded preceding and 1 preceding), 0)"))
+    if total:
+        sums = sums.withColumn(total, F.expr("sum(_n) over (partition by _id)"))
+    held = held.join(sums.drop("_n"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("_s") == F.col("_k")))
     own = F.expr("sum(_f) over (partition by id, _s order by t rows between unbounded preceding and current row)")
     return held.withColumn(name, F.col("_before") + own).drop("_s", "_f", "_id", "_k", "_before")
 

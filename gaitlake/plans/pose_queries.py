@@ -301,17 +301,17 @@ select p.id, p.t, avg(sqrt((x-mx)*(x-mx)+(y-my)*(y-my)+(z-mz)*(z-mz))) > {ERROR_
 
 @register("repair_vel", _repair_sql(VEL_BAD))
 def repair_vel(spark: SparkSession, sf: str) -> DataFrame:
-    return _long(grouped.repaired(v.pose(spark, sf), speed=SPEED_BAD), "repaired")
+    return _long(grouped.repaired(v.pose(spark, sf), contiguous=True, speed=SPEED_BAD), "repaired")
 
 
 @register("repair_z", _repair_sql(f"select id, t, sum(z) > {HEIGHT_BAD} bad from pose group by all"))
 def repair_z(spark: SparkSession, sf: str) -> DataFrame:
-    return _long(grouped.repaired(v.pose(spark, sf), height=HEIGHT_BAD), "repaired")
+    return _long(grouped.repaired(v.pose(spark, sf), contiguous=True, height=HEIGHT_BAD), "repaired")
 
 
 @register("repair_median", _repair_sql(MEDIAN_BAD))
 def repair_median(spark: SparkSession, sf: str) -> DataFrame:
-    return _long(grouped.repaired(v.pose(spark, sf), error=ERROR_BAD), "repaired")
+    return _long(grouped.repaired(v.pose(spark, sf), contiguous=True, error=ERROR_BAD), "repaired")
 
 
 WAVELET = f"""with {v.TRACE}, n as (select id, count(*) n from tr group by id), p as (select id, n, cast(f - 1 as bigint) item, 450 / (2 * pi() * f) w, cast(floor(least(10 * 450 / (2 * pi() * f), n)) as bigint) m from n, range(1, 26) r(f)),
