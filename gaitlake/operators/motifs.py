@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaitlake.operators.density import Watershed, density_by
+
 
 def motif_centres(labels: DataFrame, cluster: str = "cluster", n: int = 9, frames: int = 100, apart: int = 200, seed: int = 0, key: str = "frame") -> DataFrame:
     """(cluster, sample, key): up to ``n`` frames of each cluster, picked greedily in an order given by a hash.
@@ -33,6 +35,18 @@ def motif_frames(centres: DataFrame, frames: int = 100, centred: bool = True, ke
     return every.withColumn(key, F.col(key) + F.col("step") - F.lit(frames // 2 if centred else 0))
 
 
+def motif_density(points: DataFrame, frames: DataFrame, fitted: Watershed, cluster: str = "cluster", key: str = "frame") -> DataFrame:
+    """(cluster, row, col, density): of each cluster's sampled frames (``motif_frames``), on the axes and masked by the labels of the fitted segmentation of all points (key, x, y)."""
+    return density_by(points.select(key, "x", "y").join(frames.select(cluster, key), key), cluster, fitted)
+
+
+def coloured(points: DataFrame, by: str) -> DataFrame:
+    """Adds ``color``: the number from 0 of the row's category, categories in their order, null first."""
+    kinds = points.select(F.col(by).alias("_kind")).distinct()
+    kinds = kinds.withColumn("color", F.expr("cast(row_number() over (order by _kind) - 1 as int)"))  # one row for each category
+    return points.join(kinds, F.col(by).eqNullSafe(F.col("_kind"))).drop("_kind")
+
+
 def planar(frames: DataFrame, stride: int, across: str = "x", up: str = "z") -> DataFrame:
     """(.., u, v): the first and every ``stride``-th step of exploded poses side by side in a plane."""
     kept = frames.where((F.col("step") == 0) | (F.pmod(F.col("step") + 1, F.lit(stride)) == 0))

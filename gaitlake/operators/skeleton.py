@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import runpy
 from dataclasses import dataclass, field
 from typing import Any
 
 
+def _whole(x: object) -> int:
+    """A joint number out of whatever a file holds; an error if it is none that 16 bits take."""
+    if int(x) != x or not 0 <= int(x) < 1 << 16:
+        raise ValueError(f"{x} is no joint number")
+    return int(x)
+
+
 @dataclass(frozen=True)
 class Skeleton:
     """Joint names with the pairs and triples of joint numbers that features are made of."""
@@ -19,6 +27,10 @@ class Skeleton:
 
     def __post_init__(self) -> None:
         n = len(self.joints)
+        for name, kind in (("links", _whole), ("angles", _whole), ("colors", float), ("joint_colors", float)):
+            held = getattr(self, name)
+            if held is not None:
+                object.__setattr__(self, name, tuple(tuple(kind(x) for x in group) for group in held))
         for group in (*self.links, *(self.angles or ())):
             if not all(0 <= j < n for j in group):
                 raise ValueError(f"{group} names a joint beyond the {n} there are")
@@ -31,6 +43,16 @@ def skeleton_from_config(config: dict[str, Any]) -> Skeleton:
     return Skeleton(tuple(config["LABELS"]), tuples("SEGMENTS"), tuples("JOINT_ANGLES") if config.get("JOINT_ANGLES") else None, tuples("COLORS"), tuples("KEYPT_COLORS"))
 
 
+def skeleton_from_module(path: str, name: str) -> Skeleton:
+    """The skeleton called ``name`` of a Python file that defines presets as mappings by name; the file is run, so it must be trusted."""
+    held = runpy.run_path(path)
+    # The names of the mappings.
+    joints, colors, links, angles = (held[key].get(name) for key in ("JOINT_NAME_DICT", "COLOR_DICT", "CONNECTIVITY_DICT", "JOINT_ANGLES_DICT"))
+    if joints is None or links is None:
+        raise ValueError(f"{path} has no skeleton {name}")
+    return Skeleton(tuple(joints), tuple(map(tuple, links)), tuple(map(tuple, angles)) if angles is not None else None, tuple(map(tuple, colors)) if colors is not None else ())
+
+
 # The 18-joint mouse skeleton that pose data of this kind comes with.
 MOUSE18 = Skeleton(
     joints=("Snout", "EarR", "EarL", "SpineF", "SpineM", "Tail_base", "ForepawR", "WristR", "ElbowR", "ForepawL", "WristL", "ElbowL", "HindpawR", "AnkleR", "KneeR", "HindpawL", "AnkleL", "KneeL"),

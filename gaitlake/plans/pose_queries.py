@@ -754,6 +754,19 @@ def motif_planar(spark: SparkSession, sf: str) -> DataFrame:
     return motifs.planar(poses, 5).select("cluster", "sample", "step", "joint", rounded("u").alias("u"), rounded("v").alias("v"))
 
 
+@register("motif_density")
+def motif_density(spark: SparkSession, sf: str) -> DataFrame:
+    points = v.plane(spark, sf)
+    shed = density.Watershed(sigma=2.0, bins=50)
+    shed.segment(points)
+    return motifs.motif_density(points, motifs.motif_frames(_centres(spark, sf), 20), shed)
+
+
+@register("scatter_by_cat", f"with {v.PLANE} select frame, {v.r('x')} x, {v.r('y')} y, label, cast(dense_rank() over (order by label) - 1 as int) color from xy")
+def scatter_by_cat(spark: SparkSession, sf: str) -> DataFrame:
+    return motifs.coloured(v.plane(spark, sf), "label").select("frame", rounded("x").alias("x"), rounded("y").alias("y"), "label", "color")
+
+
 CELLS = f"{v.PLANE}, h as (select {HIST} from xy where x between -4 and 4 and y between -4 and 4), ws as (select \"row\", col, cast(count(*)%5 as int) cluster from h group by all)"
 
 

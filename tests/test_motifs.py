@@ -1,7 +1,11 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from gaitlake.operators import motifs
+from gaitlake.operators.density import Watershed, masked
+from gaitlake.operators.skeleton import Skeleton, skeleton_from_module
 from gaitlake.sources import io
 
 
@@ -66,3 +70,32 @@ def test_stage_is_made_once(spark, tmp_path):
 def test_good_frames(spark):
     features = spark.range(6).select("id").withColumnRenamed("id", "frame")
     assert sorted(r["frame"] for r in io.good_frames(features, [3, 4, 7, 8, 9, 12], 2).collect()) == [2, 6, 8]
+
+
+def test_density_of_sampled_frames_on_the_fitted_axes(spark):
+    rng = np.random.default_rng(0)
+    points = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(rng.normal(size=(400, 2)))], "frame long, x double, y double")
+    shed = Watershed(sigma=1.0, bins=12)
+    shed.segment(points)
+    frames = spark.createDataFrame([(c, 50 * c + k) for c in (1, 3) for k in range(20)], "cluster int, frame long")
+    got = {(r["cluster"], r["row"], r["col"]): r["density"] for r in motifs.motif_density(points, frames, shed).collect()}
+    for c in (1, 3):
+        fresh = Watershed(sigma=1.0, bins=12, range=shed.range)
+        want = masked(fresh.fit(points.where(F.col("frame").between(50 * c, 50 * c + 19)), new=False), shed.labels)
+        assert all(np.isclose(got.get((c, i, j), 0.0), want[i, j]) for i in range(12) for j in range(12))
+
+
+def test_colours_by_category(spark):
+    rows = spark.createDataFrame([(1, "b"), (2, None), (3, "a"), (4, "b")], "frame int, kind string")
+    assert {r["frame"]: r["color"] for r in motifs.coloured(rows, "kind").collect()} == {1: 2, 2: 0, 3: 1, 4: 2}
+
+
+def test_skeleton_presets_of_a_module(tmp_path):
+    (tmp_path / "s.py").write_text("import numpy as np\nJOINT_NAME_DICT = {'a': ['x', 'y', 'z']}\nCOLOR_DICT = {'a': [(1, 0, 0, 1)]}\nCONNECTIVITY_DICT = {'a': np.array([[0, 1.0]])}\nJOINT_ANGLES_DICT = {'a': [[0, 1, 2]]}\n")
+    got = skeleton_from_module(str(tmp_path / "s.py"), "a")
+    assert got == Skeleton(("x", "y", "z"), ((0, 1),), ((0, 1, 2),), ((1.0, 0.0, 0.0, 1.0),))
+    assert type(got.links[0][1]) is int and type(got.colors[0][0]) is float
+    with pytest.raises(ValueError, match="no skeleton"):
+        skeleton_from_module(str(tmp_path / "s.py"), "b")
+    with pytest.raises(ValueError, match="joint number"):
+        Skeleton(("x", "y"), ((0, 0.5),))
