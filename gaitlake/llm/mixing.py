@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaitlake.llm import _work
+from gaitlake.llm._rows import numbered_copies
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST_COPIES = 3
@@ -146,10 +147,12 @@ def round_rates(rated: DataFrame, sources: list[Source], most: int = MOST_COPIES
 
 
 def sized_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> tuple[DataFrame, list[Source]]:
-    """A table of (id, source, size, the columns to keep) and the sources by code point, null last."""
+    """A table of (id, source, size, key, the columns to keep) and the sources by code point, null last; ``key`` is a hash of id and text, and of the row's number among rows that are equal in both."""
     size = F.size(F.regexp_extract_all(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD), F.lit(0))).cast("long")
     kept = F.struct(*(F.col(c) for c in keep)) if keep else F.lit(None).cast("int")
-    held = _work.table(docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), kept.alias("_kept")), "sizes")
+    text = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    rows = _work.table(docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), text.alias("text"), F.monotonically_increasing_id().alias("row"), kept.alias("_kept")), "sizes")
+    held = numbered_copies(rows, "_id", "text").withColumn("key", F.xxhash64("_id", "text", "nth")).drop("text", "nth", "row")
     found = held.groupBy("source").agg(F.sum("size"), F.count("*")).collect()
     return held, [Source(*r) for r in sorted(found, key=lambda r: (r[0] is None, r[0] or ""))]
 
@@ -162,8 +165,9 @@ def mix(docs: DataFrame, weight: list[float] | None = None, most: int = MOST_COP
     1, 2, 3, repeating). A document is taken ``copies`` times, at most
     ``most``; ``taken`` is that many times its size. Documents without words
     (null and empty texts) have rate 1 (``most`` in a source that is taken in
-    full) and take nothing. Equal ids draw alike, so repeated rows and reruns
-    agree; a null id draws like any other value. ``keep`` names columns to
+    full) and take nothing. Draws come from id and text, and of rows that are
+    equal in both, null ids among them, from their number, so that reruns agree
+    and rows that share an id are not taken all or none. ``keep`` names columns to
     carry along; others, whatever their names, are ignored; an empty table
     gives an empty result. There may be any number of sources; the driver
     holds a line for each.
@@ -175,7 +179,7 @@ def mix(docs: DataFrame, weight: list[float] | None = None, most: int = MOST_COP
     _work.drop(sizes)
     each = lambda f: {k: f(s) for k, s in enumerate(sources)}
     rated = _joined(
-        sized.withColumns({"draw": F.pmod(F.xxhash64("_id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)}), sources,  # a draw in [0, 1) from the id alone
+        sized.withColumns({"draw": F.pmod(F.xxhash64("key", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)}), sources,  # a draw in [0, 1)
         source_size=each(lambda s: s.size), target=each(lambda s: s.target), whole=each(lambda s: not math.isfinite(s.tilt)), slope=each(lambda s: s.tilt * s.rows / s.size if s.size and math.isfinite(s.tilt) else 0.0),
     )
     rate = F.when(F.col("whole") == 1, F.lit(float(most))).otherwise(F.least(F.exp(F.least(F.col("slope") * F.col("size"), F.lit(60.0))), F.lit(float(most))))
@@ -196,9 +200,9 @@ def _repaired(out: DataFrame, sources: list[Source], most: int, passes: int = 3)
         if not off:
             break
         can = (F.col("size") > 0) & (F.col("size") < 2 * F.abs("off")) & F.when(F.col("off") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0)
-        place = F.xxhash64("_id")
+        place = F.col("key")
         picked = _joined(out, sources, off=off).where(can).groupBy("source").agg(F.min(F.struct(F.abs(F.abs("off") - F.col("size")).alias("d"), place.alias("h")))["h"]).collect()
-        # The pick goes by the hash of its id, and two halves make that two exact numbers.
+        # The pick goes by its key, and two halves make that two exact numbers.
         picks = {number[r[0]]: r[1] for r in picked}
         every = range(len(sources))
         out = _joined(out, sources, by={k: math.copysign(1, off[k]) if k in picks else 0.0 for k in every}, high={k: picks.get(k, 0) >> 32 for k in every}, low={k: picks.get(k, 0) & 0xFFFFFFFF for k in every})

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaitlake.llm import _work
+from gaitlake.llm._rows import numbered_copies
 
 SLOTS = 4096
 
@@ -57,7 +58,7 @@ def rebalance(slots: list[Slot], sizes: list[tuple[int, int, int]], shards: int)
     added, which take slots and give none, the fullest and the emptiest shard
     swap the slots (or the one gives a slot) that bring them closest to each
     other, until loads are level or no swap helps. All other slots keep their
-    shard.
+    shard, but for those of shards that there are no more, which come first.
     """
     version = max(s.version for s in slots) + 1
     size = {v: (b, r) for v, b, r in sizes}
@@ -65,9 +66,10 @@ def rebalance(slots: list[Slot], sizes: list[tuple[int, int, int]], shards: int)
     bytes_of = {s.virtual: s.bytes for s in now}
     held: dict[int, set[int]] = {k: set() for k in range(shards)}
     for s in now:
-        held[s.shard].add(s.virtual)
+        if s.shard < shards:
+            held[s.shard].add(s.virtual)
     load = {k: sum(bytes_of[v] for v in held[k]) for k in held}
-    mean = sum(load.values()) / shards
+    mean = sum(bytes_of.values()) / shards
 
     def move(v: int, giver: int, taker: int) -> None:
         held[giver].remove(v)
@@ -76,6 +78,10 @@ def rebalance(slots: list[Slot], sizes: list[tuple[int, int, int]], shards: int)
         load[taker] += bytes_of[v]
 
     lightest = lambda: min(load, key=lambda k: (load[k], k))
+    for s in sorted((s for s in now if s.shard >= shards), key=lambda s: (-s.bytes, s.virtual)):
+        taker = min(load, key=lambda k: (load[k], len(held[k]), k))
+        held[taker].add(s.virtual)
+        load[taker] += s.bytes
     for giver in sorted(load, key=lambda k: (-load[k], k)):
         for v in sorted(held[giver], key=lambda v: (-bytes_of[v], v)):
             taker = lightest()
@@ -102,7 +108,7 @@ def rebalance(slots: list[Slot], sizes: list[tuple[int, int, int]], shards: int)
 
 
 def stored(spark: SparkSession, slots: list[Slot], folder: str) -> DataFrame:
-    """Writes a version of the map beside those before it, with each slot's first position in its shard."""
+    """Writes a version of the map beside those before it, with each slot's first position in its shard. What a lost driver has left of the same version is overwritten."""
     after: dict[int, int] = {}
     lines = []
     for s in slots:
@@ -111,7 +117,7 @@ def stored(spark: SparkSession, slots: list[Slot], folder: str) -> DataFrame:
     held = F.from_json(F.lit(json.dumps(lines)), "array<array<long>>")
     line = spark.range(1).select(F.explode(held).alias("x"))
     path = f"{folder}/version-{slots[0].version:06d}"
-    line.select(*(F.col("x")[i].cast(kind).alias(name) for i, (name, kind) in enumerate(MAP))).write.parquet(path)
+    line.select(*(F.col("x")[i].cast(kind).alias(name) for i, (name, kind) in enumerate(MAP))).write.mode("overwrite").parquet(path)
     return spark.read.schema(", ".join(map(" ".join, MAP))).parquet(path)
 
 
@@ -143,24 +149,30 @@ def shard(docs: DataFrame, shards: int = 8, slots: int = SLOTS, id_col: str = "d
     far as no one record is larger than a shard should be. ``folder`` keeps
     the versions of the map: the newest there, or else the first map, is
     edited for the sizes found and written as the next version, so rows stay in
-    their shards but for the slots that move. Without one, both versions lie in
+    their shards but for the slots that move; the map of a folder keeps its
+    number of slots, another is an error. Without one, both versions lie in
     the shared folder until the application ends.
 
     ``slot`` numbers the rows of a shard from 0 without gaps: by virtual slot,
     part of it, id, crc and size; equal rows come in any order, which no column
     shows. A virtual slot is numbered in parts of about NUMBERED_ROWS rows, so
-    no task handles a whole shard or slot. Rows with a null id are dealt out by
-    their place in the input. ``keep`` names columns to carry along; others,
+    no task handles a whole shard or slot. Rows that share id and crc, null ids
+    among them, hash with their number among these, so that they spread over
+    slots, as many to each whenever they are dealt out again. ``keep`` names columns to carry along; others,
     whatever their names, are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     records = docs.select(F.col(id_col).alias("_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.struct(*(F.col(c) for c in keep) if keep else [F.lit(0).alias("_")]).alias("_kept"))
-    place = F.when(F.col("_id").isNull(), F.monotonically_increasing_id())
-    records = _work.table(records.withColumn("hash", F.xxhash64("_id", "crc", place)).withColumn("virtual", F.pmod("hash", F.lit(slots)).cast("int")), "records")
+    records = _work.table(records.withColumn("row", F.monotonically_increasing_id()), "rows")
+    records = numbered_copies(records, "_id", "crc").drop("row")
+    # A null is no part of a hash, so rows without copies hash by id and crc alone.
+    records = _work.table(records.withColumn("hash", F.xxhash64("_id", "crc", "nth")).withColumn("virtual", F.pmod("hash", F.lit(slots)).cast("int")), "records")
     folder = folder or _work.place(spark, "slot-maps")
     sizes = slot_sizes(records, slots)
     before = newest(spark, folder)
+    if before is not None and len(before) != slots:
+        raise ValueError(f"the map in {folder} has {len(before)} slots, not {slots}")
     if before is None:
         before = first_map(shards, slots)
         stored(spark, before, folder)

@@ -131,6 +131,35 @@ def test_sharding(docs, rows, none):
     assert shard(none).count() == 0
 
 
+def test_repeated_rows_spread_over_shards(spark):
+    """Also rows without an id; as many in each shard however the input is dealt."""
+    rows = [(k, "other " * (k % 50)) for k in range(998)] + [(7777, "same text " * 10)] * 3000 + [(None, "no id " * 8)] * 2000
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    first, second = (shard(df.repartition(n), shards=6).collect() for n in (3, 11))
+    for found in (first, second):
+        size = Counter()
+        for r in found:
+            size[r["shard"]] += r["size"]
+        assert max(size.values()) - min(size.values()) < 0.02 * sum(size.values()) / 6
+        for k in range(6):
+            assert sorted(r["slot"] for r in found if r["shard"] == k) == list(range(sum(r["shard"] == k for r in found)))
+    assert Counter((r["doc_id"], r["shard"]) for r in first) == Counter((r["doc_id"], r["shard"]) for r in second)
+
+
+def test_folder_of_maps_survives_a_lost_driver_and_fewer_shards(spark, docs, tmp_path):
+    folder = str(tmp_path / "maps")
+    first = shard(docs, shards=5, slots=64, folder=folder).collect()
+    (tmp_path / "maps" / "version-000003").mkdir()
+    (tmp_path / "maps" / "version-000003" / "part-left.parquet").write_bytes(b"half")
+    again = shard(docs, shards=5, slots=64, folder=folder).collect()
+    assert {r["map_version"] for r in again} == {3}
+    assert sum(a["shard"] != b["shard"] for a, b in zip(sorted(first, key=str), sorted(again, key=str), strict=True)) == 0
+    fewer = shard(docs, shards=3, slots=64, folder=folder).collect()
+    assert {r["shard"] for r in fewer} == {0, 1, 2} and {r["map_version"] for r in fewer} == {4}
+    with pytest.raises(ValueError, match="64 slots"):
+        shard(docs, shards=3, slots=128, folder=folder)
+
+
 def loads(slots, shards):
     load = dict.fromkeys(range(shards), 0)
     for s in slots:
@@ -222,6 +251,20 @@ def test_targets_are_capped_and_shared_again():
     assert sources[2].target / sources[1].target == pytest.approx(1.5)
 
 
+def test_mix_meets_targets_where_rows_share_ids(spark):
+    rows = [(None, "w w", "a")] * 1000 + [(5, f"{'v ' * (k % 30)}", "b") for k in range(900)] + [(6, "x y z", "c")] * 700 + [(k, "q " * (k % 9), "d") for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    results = []
+    for n in (2, 9):
+        found = mix(df.repartition(n)).collect()
+        taken = Counter()
+        for r in found:
+            taken[r["source_size"], r["target"]] += r["taken"]
+        assert all(abs(t - target) <= 0.02 * target + 3 for (_, target), t in taken.items())
+        results.append(Counter((r["doc_id"], r["size"], r["source_size"], r["copies"]) for r in found))
+    assert results[0] == results[1]
+
+
 def test_mix_meets_targets(spark, none):
     rng = random.Random(0)
     rows = [(k, " ".join("w" * 1 for _ in range(rng.randrange(0, 60))), ["a", "b", "c", None][k % 4] if k % 7 else "a") for k in range(800)]
