@@ -323,14 +323,15 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _learn(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """One row of the field that the rows train, as many from the first on as have ``most`` tokens together."""
+    """One row of the field that the rows train: from the first on, each that has no more tokens than those before it leave of ``most``. A long document is left out alone, not with all behind it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         documents, known, size = [], [], 0
         for batch in batches:
             for k in range(batch.num_rows):
-                size += len(batch.column(1)[k])
-                if size <= most:
+                own = len(batch.column(1)[k])
+                if size + own <= most:
+                    size += own
                     row = [batch.column(c)[k].as_py() for c in range(1, 5)]
                     documents.append((row[0], row[2], row[3]))
                     known.append(row[1])

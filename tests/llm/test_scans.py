@@ -6,6 +6,7 @@ from collections import Counter
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +79,16 @@ def test_marginals_equal_enumeration(links, kind, close):
         assert np.abs(got - want).max(initial=0) < close
 
 
+def test_a_long_document_leaves_the_others_to_train_on(monkeypatch):
+    seen = []
+    monkeypatch.setattr(pii, "fit", lambda documents, known: (seen.append([len(k) for k in known]), type("Field", (), {"weights": np.zeros(1), "pair": np.zeros(1)}))[1])
+    nested = pa.list_(pa.list_(pa.int32()))
+    rows = [(k, [[1]] * n, [0] * n, [], []) for k, n in enumerate((50, 4, 3, 9, 2))]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), nested, pa.list_(pa.int32()), nested, nested))], names=["o", "features", "labels", "chain", "skip"])
+    assert len(list(pii._learn(10)(iter([batch])))) == 1
+    assert seen == [[4, 3, 2]]
+
+
 def test_training_ascends_the_likelihood():
     """Its step is the slope of the log-likelihood, by enumeration and differences."""
     documents = [([[1], [2], [1]], [(0, 1)], [(0, 2)])]
