@@ -512,9 +512,21 @@ def loo_lstsq(spark: SparkSession, sf: str) -> DataFrame:
     return stats.loo_lstsq(_occupied(spark, sf)).select("cat", rounded("prediction", 4).alias("prediction"))
 
 
-@register("loo_elastic_net")
+NET = f"""with recursive {CATS}, u as (select cat, list_append(list(freq order by cluster), log2(1.0 + cat * 7 % 11)) z from fq group by cat),
+e as (select z, unnest(range(1, 7)) i from u), so as (select list(s order by i) s from (select i, sum(z[i]) s from e group by i)), n as (select count(*) - 1 n from u),
+go as (select list(g order by i) g from (select i, list(g order by j) g from (select i, j, sum(z[i] * z[j]) g from (select i, z, unnest(range(1, 7)) j from e) group by i, j) group by i)),
+me as (select cat, z, list_transform(range(1, 7), lambda i: (s[i] - z[i]) / n) mu, list_transform(range(1, 7), lambda i: list_transform(range(1, 7), lambda j: (g[i][j] - z[i] * z[j]) / n)) m2 from u, so, go, n),
+cv as (select cat, z, mu, list_transform(m2, lambda r, i: list_transform(r, lambda x, j: x - mu[i] * mu[j])) c from me),
+sd as (select *, list_transform(range(1, 6), lambda i: sqrt(c[i][i])) sd from cv),
+st as (select cat, z, mu, sd, list_transform(range(1, 6), lambda i: list_transform(range(1, 6), lambda j: c[i][j] / (sd[i] * sd[j]))) g, list_transform(range(1, 6), lambda i: c[i][6] / sd[i]) b from sd),
+rw as (select cat, 0 k, [0.0::double, 0, 0, 0, 0] w from st union all
+select cat, k + 1, list_transform(w, lambda x, i: case when i = k % 5 + 1 then sign(b[i] - list_dot_product(g[i], w) + g[i][i] * x) * greatest(abs(b[i] - list_dot_product(g[i], w) + g[i][i] * x) - 0.07::double, 0) / (g[i][i] + 0.03::double) else x end) from rw join st using (cat) where k < 1000)
+select cat, {v.r('mu[6] + list_sum(list_transform(w, lambda x, i: x * (z[i] - mu[i]) / sd[i]))', 4)} prediction from rw join st using (cat) where k = 1000"""
+
+
+@register("loo_elastic_net", NET)
 def loo_elastic_net(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.loo_elastic_net(_occupied(spark, sf)).select("cat", "prediction")
+    return stats.loo_elastic_net(_occupied(spark, sf)).select("cat", rounded("prediction", 4).alias("prediction"))
 
 
 @register("loo_elastic_net_cv")
