@@ -29,7 +29,22 @@ def written(df: DataFrame) -> DataFrame:
     """The same rows, written once and read from there: steps behind it neither repeat nor lose them."""
     path = folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def replaced(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``new`` written; the table ``old``, from ``written``, is deleted once that is done, so that rounds of a loop do not pile up. No other plan may still read it."""
+    out = written(new)
+    _delete(old.sparkSession, old._written_to)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        held = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(held, True)
 
 
 def numbered(df: DataFrame, *order: str, name: str = "i") -> DataFrame:
@@ -44,6 +59,4 @@ def numbered(df: DataFrame, *order: str, name: str = "i") -> DataFrame:
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:
-        with contextlib.suppress(Exception):
-            held = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(held, True)
+        _delete(spark, path)

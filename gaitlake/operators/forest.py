@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaitlake.functions.shared import written
+from gaitlake.functions.shared import replaced, written
 from gaitlake.operators import kernels
 from gaitlake.operators.neighbors import knn
 
@@ -174,9 +174,9 @@ class Forest:
         found = None
         for first in range(0, self.most, self.step):
             each = self._candidates(rows, 0 if own else n, k, first, first + self.step, skip_self).select("src", F.arrays_zip("d2", "dst").alias("near"))
-            each = each if found is None else each.union(found)
             merged = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k)
-            found = written(each.groupBy("src").agg(merged.alias("near")))
+            best = lambda rows: rows.groupBy("src").agg(merged.alias("near"))
+            found = written(best(each)) if found is None else replaced(found, best(each.union(found)))
             hits = F.size(F.filter("near", lambda p: p["d2"] <= F.col("worst") * (1 + 1e-12)))
             right, of = truth.join(found, "src", "left").agg(F.sum(F.coalesce(F.least(F.greatest(hits, F.lit(0)), F.col("n")), F.lit(0))), F.sum("n")).first()
             self.recall = right / of if of else 1.0

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaitlake.functions.shared import written
+from gaitlake.functions.shared import replaced, written
 from gaitlake.operators import kernels
 
 #: Rows of the base that meet a batch of queries at a time.
@@ -136,18 +136,18 @@ def shortest_paths(edges: DataFrame, source: int, until: int | None = None) -> D
         held = far.select("key", "d", "towards", F.lit(False).alias("new"), (F.col("open") & (F.col("d") >= limit)).alias("still"))
         # A key's own entry comes before an equal new one.
         both_ways = held.union(reached.withColumn("still", F.lit(True))).groupBy("key").agg(F.min(F.struct("d", "new", "towards", "still")).alias("m"))
-        far = written(both_ways.select("key", "m.d", "m.towards", F.col("m.still").alias("open")))
+        far = replaced(far, both_ways.select("key", "m.d", "m.towards", F.col("m.still").alias("open")))
 
 
 def along(far: DataFrame, start: int, end: int) -> list[tuple[int, float]]:
     """[(key, d)] from ``start`` over ``towards`` to ``end``: ways of 1, 2, 4, ... steps are joined from those before them, so that a long path takes few rounds."""
-    ways = far.select("key", F.col("towards").alias("to"))
+    ways = written(far.select("key", F.col("towards").alias("to")))
     path = written(far.where(F.col("key") == start).select("key", F.lit(0).cast("long").alias("step")))
     length = 1
     while not path.where(F.col("key") == end).limit(1).count():
         next_ = path.join(ways, "key").select(F.col("to").alias("key"), (F.col("step") + length).alias("step"))
-        path = written(path.union(next_).groupBy("key").agg(F.min("step").alias("step")))
-        ways = written(ways.join(ways.select(F.col("key").alias("to"), F.col("to").alias("then")), "to").select("key", F.col("then").alias("to")))
+        path = replaced(path, path.union(next_).groupBy("key").agg(F.min("step").alias("step")))
+        ways = replaced(ways, ways.join(ways.select(F.col("key").alias("to"), F.col("to").alias("then")), "to").select("key", F.col("then").alias("to")))
         length *= 2
     return [(r["key"], r["d"]) for r in path.join(far, "key").orderBy("step").collect()]
 
