@@ -12,7 +12,7 @@ from gaitlake.plans import registry
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-PICKED = ["motif_poses", "feature_ridge", "painted_map", "ego_rotate", "joint_angles_planar", "velocity_std", "median_filter_even", "floor_align", "cluster_freq_by_cat", "js_distance_segments", "knn_regress_distance", "hist2d", "augment_mirror", "meta_csv", "pose_of_sessions", "features_written_and_read", "behaviours_csv", "rolling_window", "segment_borders", "heuristic_score", "best_parameter"]
+PICKED = ["motif_poses", "feature_ridge", "painted_map", "ego_rotate", "joint_angles_planar", "velocity_std", "median_filter_even", "floor_align", "cluster_freq_by_cat", "js_distance_segments", "knn_regress_distance", "hist2d", "augment_mirror", "meta_csv", "pose_of_sessions", "features_written_and_read", "behaviours_csv", "rolling_window", "segment_borders", "heuristic_score", "best_parameter", "repair_z", "wavelet_power", "augment_speed", "loo_lstsq", "loo_elastic_net", "scatter_by_cat"]
 
 
 @pytest.mark.parametrize("name", PICKED)
