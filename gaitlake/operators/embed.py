@@ -55,8 +55,8 @@ class Embedding:
                 self.template = layout.tsne(rows, perplexity=self.perplexity, rounds=self.rounds, early=self.rounds // 4, seed=self.seed)
             else:
                 some = sorted(some, key=lambda r: r[0])
-                plane = kernels.tsne(np.array([r[1] for r in some], float).reshape(len(some), -1), self.perplexity, self.rounds, self.seed)
-                self.template = written(template.sparkSession.createDataFrame([(*r, y.tolist()) for r, y in zip(some, plane, strict=True)], "frame long, features array<double>, y array<double>"))
+                plane = kernels.tsne(np.array([r[1] for r in some], float).reshape(len(some), len(some[0][1]) if some else 0), self.perplexity, self.rounds, self.seed)
+                self.template = written(template.sparkSession.createDataFrame([(r[0], r[1], y.tolist()) for r, y in zip(some, plane, strict=True)], "frame long, features array<double>, y array<double>"))
         else:
             raise ValueError(f"unknown method {self.method}")
         return self

@@ -31,7 +31,7 @@ def counted(frames: DataFrame, name: str, flag: Column | None = None, total: str
     sums = sums.withColumn("_before", F.expr("coalesce(sum(_n) over (partition by _id order by _k rows between unbounded preceding and 1 preceding), 0)"))
     if total:
         sums = sums.withColumn(total, F.expr("sum(_n) over (partition by _id)"))
-    held = held.join(sums.drop("_n"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("_s") == F.col("_k")))
+    held = held.join(sums.drop("_n"), F.col("id").eqNullSafe(F.col("_id")) & F.col("_s").eqNullSafe(F.col("_k")))
     own = F.expr("sum(_f) over (partition by id, _s order by t rows between unbounded preceding and current row)")
     return held.withColumn(name, F.col("_before") + own).drop("_s", "_f", "_id", "_k", "_before")
 

@@ -157,6 +157,9 @@ def test_layouts_of_little(spark):
         for made in (layout.umap(df, epochs=3), layout.tsne(df, rounds=3)):
             rows = made.collect()
             assert len(rows) == n and all(len(r["y"]) == 2 and np.isfinite(r["y"]).all() for r in rows)
+    for n in (0, 1):
+        df = frame_of(spark, np.ones((1, 3))).limit(n)
+        assert embed.Embedding().fit(df).template.count() == n
 
 
 def test_batches_are_embedded_sampled_and_embedded_together(spark):
