@@ -617,11 +617,20 @@ def density_feat(spark: SparkSession, sf: str) -> DataFrame:
     return density.feature_grid(v.plane(spark, sf), "label", _density()).select("row", "col", rounded(F.col("value").cast("double")).alias("val"))
 
 
-@register("density_gaussian")
+_TAPS = "kn as (select o, exp(-o*o/8.0::double)/(select sum(exp(-j*j/8.0::double)) from range(-8, 9) q(j)) w from range(-8, 9) r(o))"
+_MIRROR = lambda x: f"case when {x} < 0 then -1 - ({x}) when {x} > 49 then 99 - ({x}) else {x} end"
+SMOOTHED = f"""with {v.PLANE}, h as (select {HIST} from xy where x between -4 and 4 and y between -4 and 4), g as (select \"row\" r, col c, count(*) n from h group by all), {_TAPS},
+s as (select cast(i // 50 as int) r, cast(i % 50 as int) c from range(2500) q(i)), f as (select s.r, s.c, coalesce(n, 0) n from s left join g using (r, c)),
+a as (select f.r, f.c, sum(w * q.n) n from f, kn join f q on q.c = f.c and q.r = {_MIRROR('f.r + o')} group by all),
+b as (select a.r, a.c, sum(w * q.n) n from a, kn join a q on q.r = a.r and q.c = {_MIRROR('a.c + o')} group by all)
+select r \"row\", c col, {v.r('least(n, 0.75 * (select max(n) from b))', 5)} density from b"""
+
+
+@register("density_gaussian", SMOOTHED)
 def density_gaussian(spark: SparkSession, sf: str) -> DataFrame:
     d = _density(sigma=2.0)
     grid = d.fit(v.plane(spark, sf), new=False)
-    return spark.createDataFrame([(r, c, float(grid[r, c])) for r in range(50) for c in range(50)], "row int, col int, density double")
+    return spark.createDataFrame([(r, c, float(grid[r, c])) for r in range(50) for c in range(50)], "row int, col int, density double").withColumn("density", rounded("density", 5))
 
 
 @register("watershed_labels")
