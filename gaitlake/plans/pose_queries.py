@@ -572,18 +572,25 @@ def knn_regress_uniform(spark: SparkSession, sf: str) -> DataFrame:
     return _regress(spark, sf, "uniform")
 
 
-@register("pose_geodesic")
-def pose_geodesic(spark: SparkSession, sf: str) -> DataFrame:
-    path = neighbors.geodesic(neighbors.knn_graph(v.features(spark, sf)), 0, 100)
-    return spark.createDataFrame([(k, f, float(d)) for k, (f, d) in enumerate(path)], "step int, frame long, distance double")
+def _distances_sql(source: int) -> str:
+    """CTEs up to fin (key, d): distances to a frame over the graph of five nearest neighbours, by a hundred relaxations."""
+    return f"""{NN}, ed as (select src a, dst b, d2 w from k5 union all select dst, src, d2 from k5),
+r(step, key, d) as (select 0, {source}::bigint, 0.0::double union all select step + 1, key, min(d) from (select step, key, d from r union all select step, b, d + w from r join ed on a = key) where step < 100 group by step, key),
+fin as (select key, d from r where step = 100)"""
+
 
+GEODESIC = f"""with recursive {_distances_sql(100)}, nx as (select a, arg_min(b, w + d) b from ed join fin on key = b group by a),
+pa as (select 0 step, 0::bigint key union all select step + 1, b from pa join nx on a = key where key <> 100)
+select step, key frame, {v.r('d', 5)} distance from pa join fin using (key)"""
 
-DISTANCES = f"""with recursive {NN}, ed as (select src a, dst b, d2 w from k5 union all select dst, src, d2 from k5),
-r(step, key, d) as (select 0, 0::bigint, 0.0::double union all select step + 1, key, min(d) from (select step, key, d from r union all select step, b, d + w from r join ed on a = key) where step < 100 group by step, key)
-select key frame, {v.r('d', 5)} d from r where step = 100"""
+
+@register("pose_geodesic", GEODESIC)
+def pose_geodesic(spark: SparkSession, sf: str) -> DataFrame:
+    path = neighbors.geodesic(neighbors.knn_graph(v.features(spark, sf)), 0, 100)
+    return spark.createDataFrame([(k, f, float(d)) for k, (f, d) in enumerate(path)], "step int, frame long, distance double").withColumn("distance", rounded("distance", 5))
 
 
-@register("pose_distances", DISTANCES)
+@register("pose_distances", f"with recursive {_distances_sql(0)} select key frame, {v.r('d', 5)} d from fin")
 def pose_distances(spark: SparkSession, sf: str) -> DataFrame:
     """Distance of every frame that is reached to frame 0."""
     far = neighbors.shortest_paths(neighbors.knn_graph(v.features(spark, sf)), 0)
