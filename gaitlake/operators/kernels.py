@@ -341,6 +341,69 @@ def elastic_net_many(gram: np.ndarray, cross: np.ndarray, l1: np.ndarray, l2: np
     return w
 
 
+def elastic_net_signed(gram: np.ndarray, cross: np.ndarray, l1: np.ndarray, l2: np.ndarray, signs: np.ndarray, rounds: int = 300, close: float = 1e-7) -> np.ndarray:
+    """Weights of many elastic nets, from a guess of their signs (0: weight 0), which are changed until the conditions of the optimum hold.
+
+    Where signs are known, the weights solve a linear system. Only nets whose
+    conditions fail are changed, by one sign each time: a weight with the wrong
+    sign becomes 0, or else the most correlated of the others is taken in. What
+    is left after that (nearly collinear columns without ``l2``) is descended on
+    by ``elastic_net_many``.
+    """
+    shape, d = np.broadcast_shapes(cross.shape[:-1], l1.shape), cross.shape[-1]
+    # Numbers of one place of all nets lie side by side.
+    last = lambda x, more: np.ascontiguousarray(np.moveaxis(np.broadcast_to(x, shape + more).reshape(-1, *more), 0, -1))
+    g, c, s = last(gram, (d, d)), last(cross, (d,)), last(signs, (d,)).astype(float)
+    thin, thick = last(l1, ()), last(l2, ())
+    out = np.zeros_like(c)
+    todo = np.arange(c.shape[1])
+    for _ in range(4 * d):
+        own, at, one, two, sign = (g, c, thin, thick, s) if len(todo) == c.shape[1] else (g[:, :, todo], c[:, todo], thin[todo], thick[todo], s[:, todo])
+        w, sound = _solved(own, at, one, two, sign)
+        rest = at - np.einsum("ijk,jk->ik", own, w) - two * w
+        active = sign != 0
+        wrong = np.where(active & (w * sign <= 0), -w * sign + 1e-300, 0.0)
+        beyond = np.where(active, 0.0, np.abs(rest) - one)
+        tight = 1e-12 * np.maximum(np.abs(at).max(0), one)
+        right = sound & ~wrong.any(0) & (beyond <= tight).all(0)
+        out[:, todo[right]] = w[:, right]
+        left = ~right
+        todo, sign, rest, wrong, beyond = todo[left], sign[:, left], rest[:, left], wrong[:, left], beyond[:, left]
+        if not len(todo):
+            break
+        k = np.arange(len(todo))
+        drop, take = wrong.argmax(0), beyond.argmax(0)
+        bad = wrong.any(0)
+        j = np.where(bad, drop, take)
+        sign[j, k] = np.where(bad, 0.0, np.sign(rest[take, k]))
+        s[:, todo] = sign
+    if len(todo):
+        out[:, todo] = elastic_net_many(np.moveaxis(g[:, :, todo], -1, 0), c[:, todo].T, thin[todo], thick[todo], rounds, close).T
+    return np.moveaxis(out, 0, -1).reshape(*shape, d)
+
+
+def _solved(gram: np.ndarray, cross: np.ndarray, l1: np.ndarray, l2: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(weights of given signs, whether their system could be solved), by elimination; nets lie along the last axis."""
+    d, active = len(cross), sign != 0
+    a = gram * (active[:, None] & active)
+    b = (cross - l1 * sign) * active
+    sound = np.ones(cross.shape[1], bool)
+    for j in range(d):
+        a[j, j] = np.where(active[j], a[j, j] + l2, 1.0)
+    scale = np.stack([a[j, j] for j in range(d)])
+    for j in range(d):
+        sound &= a[j, j] > 1e-10 * scale[j]
+        pivot = np.where(sound, a[j, j], 1.0)
+        for i in range(j + 1, d):
+            f = a[i, j] / pivot
+            a[i, j:] -= f * a[j, j:]
+            b[i] -= f * b[j]
+    w = np.zeros_like(b)
+    for j in range(d - 1, -1, -1):
+        w[j] = (b[j] - (a[j, j + 1 :] * w[j + 1 :]).sum(0)) / np.where(sound, a[j, j], 1.0)
+    return w, sound
+
+
 def forest(x: np.ndarray, y: np.ndarray, at: np.ndarray, trees: int = 100, seed: int = 0) -> float:
     """Prediction at one point of a random forest: bootstrapped regression trees, all features, grown until leaves are pure or single."""
     rng = np.random.default_rng(seed)

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from gaitlake.operators import stats
+from gaitlake.operators import kernels, stats
 
 
 @pytest.mark.parametrize("block", [3, 4096])
@@ -20,3 +20,29 @@ def test_pairs_meet_in_blocks(spark, monkeypatch, block):
     assert got.keys() == want.keys() and found.count() == len(want)
     assert all(np.isclose(got[p], want[p], rtol=1e-12, equal_nan=True) for p in want)
     assert all(r["half"] == ("Baseline" if r["a"] < 9 else "Lesion") for r in found.collect())
+
+
+def test_nets_of_cross_validation_solve_systems(spark, monkeypatch):
+    """Descent is for what signs leave over: a few nets, not rows times folds times penalties of them."""
+    many, descended = kernels.elastic_net_many, []
+    monkeypatch.setattr(kernels, "elastic_net_many", lambda gram, cross, l1, *a, **b: (descended.append(np.broadcast_shapes(cross.shape[:-1], l1.shape)), many(gram, cross, l1, *a, **b))[1])
+    each = []
+    monkeypatch.setattr(stats, "_each_left_out", lambda rows, predict: each.append(predict))
+    rng = np.random.default_rng(0)
+    x = rng.dirichlet(np.ones(5) * 13, 200)
+    y = 1.0 + np.arange(200) * 7 % 11
+    stats.loo_elastic_net_cv(spark.createDataFrame([(k, a.tolist(), float(b)) for k, (a, b) in enumerate(zip(x, y, strict=True))], "cat long, x array<double>, y double"))
+    descended.clear()
+    each[0](np.column_stack([np.ones(40), x[:40], y[:40]]), np.arange(40))
+    assert sum(int(np.prod(s)) for s in descended) < 0.01 * 40 * 10 * 350
+
+
+def test_signed_nets_meet_the_conditions():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(6, 30, 4))
+    gram, cross = x.transpose(0, 2, 1) @ x / 30, (x.transpose(0, 2, 1) @ rng.normal(size=(6, 30, 1)))[..., 0] / 30
+    l1, l2 = np.geomspace(0.3, 1e-4, 20), np.geomspace(0.1, 1e-4, 20)
+    many = (gram[:, None], cross[:, None], l1, l2)
+    want = kernels.elastic_net_many(*many, rounds=5000, close=1e-14)
+    for guess in (np.zeros(4), np.ones(4), np.sign(want)):
+        assert np.allclose(kernels.elastic_net_signed(*many, guess), want, atol=1e-10)
