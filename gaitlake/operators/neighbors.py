@@ -7,7 +7,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,50 +18,98 @@ from gaitlake.operators import kernels
 BASE_ROWS = 4096
 #: Queries that meet a block at a time.
 QUERY_ROWS = 512
-#: A base of at most this many bytes goes to every executor; a larger one is joined block by block.
+#: A base of at most this many bytes goes to every executor; a larger one is cut into groups of half of it.
 BROADCAST_BYTES = 64 << 20
 
 
-def _blocks(base: DataFrame, key: str, column: str, blocks: int) -> DataFrame:
-    """One row for each block of the base: its keys and its vectors."""
-    spread = base.select(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"), F.col(key).cast("long").alias("key"), F.col(column).cast("array<double>").alias("x"))
-    return spread.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("key", "x"))).alias("rows")).select("block", F.col("rows.key").alias("keys"), F.flatten("rows.x").alias("flat"))
+def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(-1, width)
 
 
-def knn(queries: DataFrame, base: DataFrame, k: int = 5, key: str = "frame", column: str = "features", skip_self: bool = True) -> DataFrame:
+def _sorted(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    return keys[order], x[order]
+
+
+def _best(src: np.ndarray, q: np.ndarray, bound: np.ndarray, keys: np.ndarray, x: np.ndarray, k: int, skip_self: bool) -> pa.RecordBatch:
+    """(src, dst, d2, rank) of each query's k nearest of the sorted base rows, none beyond its ``bound``.
+
+    Blocks of the base are met in order; of each, only rows that the fast
+    formula puts within the k best so far are measured exactly.
+    """
+    dst, far = np.zeros((len(src), k), np.int64), np.full((len(src), k), np.inf)
+    square = (x**2).sum(1)
+    for low in range(0, len(src), QUERY_ROWS):
+        own = slice(low, low + QUERY_ROWS)
+        one, queries, size = src[own], q[own], (q[own] ** 2).sum(1)
+        near, d2, most = dst[own], far[own], bound[own].copy()
+        for at in range(0, len(keys), BASE_ROWS):
+            ids, rows = keys[at : at + BASE_ROWS], x[at : at + BASE_ROWS]
+            place = np.searchsorted(ids, one).clip(0, len(ids) - 1)
+            skip = np.where((ids[place] == one) & skip_self, place, -1)
+            # What the fast formula may be off by.
+            slack = 1e-12 * (size + square[at : at + BASE_ROWS].max())
+            if np.isfinite(most).all():
+                d = square[at : at + BASE_ROWS] - 2 * queries @ rows.T
+                d[np.flatnonzero(skip >= 0), skip[skip >= 0]] = np.inf
+                i, j = np.nonzero(d <= (most - size + slack)[:, None])
+            if np.isfinite(most).all() and len(i) <= 64 * len(one):
+                exact = ((queries[i] - rows[j]) ** 2).sum(1)
+                place = np.arange(len(i)) - np.searchsorted(i, i)
+                found, d = np.zeros((len(one), place.max(initial=-1) + 1), np.int64), np.full((len(one), place.max(initial=-1) + 1), np.inf)
+                found[i, place], d[i, place] = ids[j], exact
+            else:
+                found, d = kernels.nearest(queries, rows, k, skip)
+                found = ids[found]
+            if found.shape[1]:
+                d = np.where(d <= most[:, None], d, np.inf)
+                every, d = np.concatenate([near, found], 1), np.concatenate([d2, d], 1)
+                order = np.lexsort((every, d), axis=1)[:, :k]
+                near[:], d2[:] = np.take_along_axis(every, order, 1), np.take_along_axis(d, order, 1)
+                most = np.minimum(most, d2[:, -1])
+    real = np.isfinite(far)
+    rank = np.broadcast_to(np.arange(1, k + 1), far.shape)
+    return pa.record_batch({"src": np.repeat(src, real.sum(1)), "dst": dst[real], "d2": far[real], "rank": rank[real]})
+
+
+def knn(queries: DataFrame, base: DataFrame, k: int = 5, key: str = "frame", column: str = "features", skip_self: bool = True, bound: str | None = None) -> DataFrame:
     """(src, dst, rank, d2): the k rows of ``base`` nearest to each query in squared Euclidean distance, ties by key.
 
     ``skip_self`` leaves out the row with the query's own key, wherever it
-    ranks. Each block of the base meets each batch of queries in NumPy; a query
-    keeps k candidates of each block, and the best k of those.
+    ranks; ``bound`` names a column of distances beyond which a query seeks
+    nothing. Rows travel singly, so that a Python worker holds a batch of
+    queries and the base, or the queries and rows of one cell of a larger one:
+    groups of queries and of base rows meet in pairs, a task each.
     """
     n, width = base.select(F.count("*"), F.max(F.size(column))).first()
-    blocks = max(1, -(-n // BASE_ROWS))
-    parts = _blocks(base, key, column, blocks)
+    rows = base.select(F.col(key).cast("long").alias("key"), F.col(column).cast("array<double>").alias("x"))
+    within = F.coalesce(F.col(bound).cast("double"), F.lit(float("inf"))) if bound else F.lit(float("inf"))
+    left = queries.select(F.col(key).cast("long").alias("src"), F.col(column).cast("array<double>").alias("q"), within.alias("bound"))
+    kinds = "src long, dst long, d2 double, rank long"
+    tasks = 4 * base.sparkSession.sparkContext.defaultParallelism
     if n * (width or 0) * 8 <= BROADCAST_BYTES:
-        parts = F.broadcast(parts)
-    left = queries.select(F.col(key).cast("long").alias("src"), F.col(column).cast("array<double>").alias("q"))
-
-    def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in frames:
-            parts = [rows.iloc[at : at + QUERY_ROWS] for at in range(0, len(rows), QUERY_ROWS)]
-            yield pd.DataFrame({"src": [p["src"].to_numpy() for p in parts], "q": [np.concatenate(p["q"].to_numpy()) for p in parts]})
-
-    # Queries travel once in batches, not once for each block.
-    batches = left.mapInPandas(packed, "src array<long>, q array<double>")
-
-    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in frames:
-            for src, q, keys, flat in zip(rows["src"], rows["q"], rows["keys"], rows["flat"], strict=True):
-                src, keys = np.asarray(src), np.asarray(keys)
-                q, x = np.asarray(q, float).reshape(len(src), -1), np.asarray(flat, float).reshape(len(keys), -1)
-                own = np.searchsorted(keys, src).clip(0, len(keys) - 1)
-                skip = np.where((keys[own] == src) & skip_self, own, -1)
-                at, d = kernels.nearest(q, x, k, skip)
-                out = pd.DataFrame({"src": np.repeat(src, at.shape[1]), "dst": keys[at].ravel(), "d2": d.ravel()})
-                yield out[np.isfinite(out["d2"])]
-
-    found = batches.join(parts).select("src", "q", "keys", "flat").mapInPandas(best, "src long, dst long, d2 double")
+        held = rows.toArrow()
+        shared = base.sparkSession.sparkContext.broadcast(_sorted(held["key"].to_numpy(), _matrix(held["x"], width)) if n else None)
+
+        def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches if shared.value else ():
+                yield _best(batch.column("src").to_numpy(), _matrix(batch.column("q"), width), batch.column("bound").to_numpy(), *shared.value, k, skip_self)
+
+        return left.repartition(tasks, "src").mapInArrow(against, kinds).select("src", "dst", "rank", "d2")
+
+    size = max(BROADCAST_BYTES // (16 * width), 1)
+    groups, stripes = -(-n // size), -(-queries.count() // size)
+    part = lambda name, of: F.pmod(F.xxhash64(name), F.lit(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    a = left.select("*", part("src", stripes).alias("s"), every(groups).alias("g"))
+    b = rows.select("*", part("key", groups).alias("g"), every(stripes).alias("s"))
+
+    def cell(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = _best(a["src"].to_numpy(), _matrix(a["q"], width), a["bound"].to_numpy(), *_sorted(b["key"].to_numpy(), _matrix(b["x"], width)), k, skip_self)
+        return pa.Table.from_batches([found])
+
+    found = a.groupBy("s", "g").cogroup(b.groupBy("s", "g")).applyInArrow(cell, kinds)
     rank = F.expr("row_number() over (partition by src order by d2, dst)").cast("long")
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("src", "dst", "rank", "d2")
 

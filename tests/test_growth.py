@@ -3,7 +3,9 @@
 import numpy as np
 import pytest
 
-from gaitlake.operators import kernels, stats
+from pyspark.sql import functions as F
+
+from gaitlake.operators import kernels, neighbors, stats
 
 
 @pytest.mark.parametrize("block", [3, 4096])
@@ -46,3 +48,27 @@ def test_signed_nets_meet_the_conditions():
     want = kernels.elastic_net_many(*many, rounds=5000, close=1e-14)
     for guess in (np.zeros(4), np.ones(4), np.sign(want)):
         assert np.allclose(kernels.elastic_net_signed(*many, guess), want, atol=1e-10)
+
+
+@pytest.mark.parametrize("held", [64 << 20, 6000])
+def test_neighbours_in_cells_equal_brute_force(spark, monkeypatch, held):
+    """Also beyond the bytes that go to every executor, with copies, and by bounds."""
+    monkeypatch.setattr(neighbors, "BROADCAST_BYTES", held)
+    monkeypatch.setattr(neighbors, "BASE_ROWS", 37)
+    x = np.random.default_rng(0).integers(0, 6, (150, 6)).astype(float)
+    x[70:100] = x[70]
+    d = ((x[:, None] - x) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    bound = np.sort(d, 1)[:, 2]
+    rows = spark.createDataFrame([(k, v.tolist(), float(b)) for k, (v, b) in enumerate(zip(x, bound, strict=True))], "frame long, features array<double>, bound double")
+    for how in (None, "bound"):
+        got = {(r["src"], r["rank"]): r["d2"] for r in neighbors.knn(rows, rows, 4, bound=how).collect()}
+        want = {(i, r + 1): v for i in range(150) for r, v in enumerate(np.sort(d[i])[:4]) if how is None or v <= bound[i]}
+        assert got == want
+
+
+def test_neighbour_batches_hold_single_rows(spark):
+    """What a Python worker gets at a time is rows, not pairs of blocks, whose number grows with the table."""
+    rows = spark.range(9000).select(F.col("id").alias("frame"), F.array(*(F.rand(k) for k in range(4))).alias("features"))
+    plan = neighbors.knn(rows, rows, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "flat" not in plan
