@@ -1,10 +1,12 @@
 """Layouts of neighbour graphs on the plane: t-SNE through a grid, and UMAP.
 
 The graph lies in blocks of rows, one record each, on the executors. Rows are
-moved synchronously: in each round every block gets all coordinates (a few
-numbers a row, a broadcast of at most MOST_ROWS rows) and returns those of its
-own rows. A round is a job of its own, so lost executors cost no more than
-the round. The driver holds the coordinates and, for t-SNE, a grid.
+moved synchronously: in each round a task reads the coordinates of all rows (a
+few numbers a row, at most MOST_ROWS rows) from the files that the tasks of the
+round before left in the shared folder, a file a block, and leaves those of its
+own rows. A round is a job or two, so lost executors cost no more than the
+round. Nothing that grows with the rows passes through the driver, which gets a
+line from each task.
 """
 
 from __future__ import annotations
@@ -16,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaitlake.functions.shared import numbered, written
+from gaitlake.functions.shared import discard, folder, got, numbered, put, written
 from gaitlake.operators import reduce
 from gaitlake.operators.forest import Forest
 
-#: Rows of a block; most rows of a layout, whose coordinates are a broadcast of 24 bytes a row.
+#: Rows of a block; most rows of a layout, of whose coordinates every task holds 8 bytes a row.
 BLOCK_ROWS, MOST_ROWS = 2048, 8_000_000
 BLOCKS = "block int, first long, n int, i binary, j binary, w binary"
 
@@ -118,16 +120,43 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select("i", "j", "w").union(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
 
 
-def start(points: DataFrame, rows: int, spread: float, seed: int) -> np.ndarray:
-    """First coordinates of the rows (i, x): the two main components, scaled to a deviation of ``spread``, with a little noise; collected, two numbers a row."""
+def _every(path: str, rows: int, kind: type = np.float32) -> np.ndarray:
+    """Coordinates of all rows from the blocks' files below ``path``."""
+    y = np.empty((rows, 2), kind)
+    for first in range(0, rows, BLOCK_ROWS):
+        own = y[first : first + BLOCK_ROWS]
+        own[:] = np.frombuffer(got(f"{path}/y-{first // BLOCK_ROWS}"), kind).reshape(own.shape)
+    return y
+
+
+def _lines(steps: DataFrame) -> None:
+    """Runs the tasks of a round; each returns a line."""
+    steps.collect()
+
+
+def kept(points: DataFrame, path: str, kind: type = np.float32, noise: float = 0.0, seed: int = 0) -> None:
+    """Leaves the coordinates of the rows (i, a, b) as the blocks' files below ``path``, with a little noise."""
+
+    def packed(table: pa.Table) -> pa.Table:
+        table = table.sort_by("i")
+        block = table["block"][0].as_py()
+        y = np.stack([table[c].to_numpy() for c in "ab"], 1) + np.random.default_rng((seed, block)).normal(0, noise, (table.num_rows, 2))
+        put(f"{path}/y-{block}", y.astype(kind).tobytes())
+        return pa.table({"block": pa.array([block], pa.int32())})
+
+    held = points.select(F.floor(F.col("i") / BLOCK_ROWS).cast("int").alias("block"), F.col("i").cast("long"), F.col("a").cast("double"), F.col("b").cast("double"))
+    held.groupBy("block").applyInArrow(packed, "block int").agg(F.count("*")).collect()
+
+
+def start(points: DataFrame, path: str, spread: float, seed: int) -> None:
+    """First coordinates of the rows (i, x), left below ``path``: the two main components, scaled to a deviation of ``spread``, with a little noise."""
     width = points.select(F.size("x")).first()[0]
-    noise = np.random.default_rng(seed).normal(0, spread / 100, (rows, 2))
-    y = np.zeros((rows, 2))
     if width >= 2:
-        held = reduce.project(points.select("i", "x"), reduce.fit_pca(points.select("x"), range(width), 2, "x"), "x").select("i", F.col("scores")[0].alias("a"), F.col("scores")[1].alias("b")).toArrow()
-        y[held["i"].to_numpy()] = np.stack([held["a"].to_numpy(), held["b"].to_numpy()], 1)
-        y *= spread / (y[:, 0].std() or 1.0)
-    return y + noise
+        main = written(reduce.project(points.select("i", "x"), reduce.fit_pca(points.select("x"), range(width), 2, "x"), "x").select("i", F.col("scores")[0].alias("a"), F.col("scores")[1].alias("b")))
+        scale = F.lit(spread / (main.select(F.stddev_pop("a")).first()[0] or 1.0))
+        kept(main.select("i", (F.col("a") * scale).alias("a"), (F.col("b") * scale).alias("b")), path, noise=spread / 100, seed=seed)
+    else:
+        kept(points.select("i", F.lit(0.0).alias("a"), F.lit(0.0).alias("b")), path, noise=spread / 100, seed=seed)
 
 
 # t-SNE --------------------------------------------------------------------------------------------
@@ -137,16 +166,15 @@ BOXES, NODES = 50, 3
 
 
 class Grid:
-    """Boxes of side ``width`` from ``low``, each with NODES x NODES nodes between which potentials are interpolated by parabolas."""
+    """Boxes over the points, each with NODES x NODES nodes between which potentials are interpolated by parabolas."""
 
     def __init__(self, y: np.ndarray) -> None:
-        span = float((y.max(0) - y.min(0)).max())
-        # Room for the next round's moves, which are the wider the closer the points still lie.
-        margin = max(0.1 * span, min(span, 5.0)) or 1.0
-        self.low = y.min(0) - margin
+        low, high = y.min(0).astype(float), y.max(0).astype(float)
+        span = float((high - low).max()) or 1.0
         # No box is wider than 1; sides are multiples of ten boxes, which transforms like.
-        self.boxes = max(BOXES, -(-int(np.ceil(span + 2 * margin)) // 10) * 10)
-        self.width = (span + 2 * margin) / self.boxes
+        self.boxes = max(BOXES, -(-int(np.ceil(span)) // 10) * 10)
+        self.width = min(span / BOXES, 1.0)
+        self.low = (low + high - self.boxes * self.width) / 2
         self.side = self.boxes * NODES
 
     def places(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,27 +187,46 @@ class Grid:
         node = (box * NODES).astype(np.int64)[:, :, None] + np.arange(NODES)
         return (node[:, 0, :, None] * self.side + node[:, 1, None, :]).reshape(len(y), -1), (one[:, 0, :, None] * one[:, 1, None, :]).reshape(len(y), -1)
 
+    def laid(self, y: np.ndarray, charge: np.ndarray | float = 1.0) -> np.ndarray:
+        """One charge of the points on the nodes."""
+        out = np.zeros(self.side**2)
+        for at in range(0, len(y), 1 << 18):
+            node, weight = self.places(y[at : at + (1 << 18)])
+            weight *= charge if np.isscalar(charge) else charge[at : at + (1 << 18), None]
+            out += np.bincount(node.ravel(), weight.ravel(), self.side**2)
+        return out
+
     def deposit(self, y: np.ndarray) -> np.ndarray:
         """Charges 1, x and y of the points on the nodes."""
-        node, weight = self.places(y)
-        return np.stack([np.bincount(node.ravel(), (weight * c).ravel(), self.side**2) for c in (np.ones((len(y), 1)), y[:, :1], y[:, 1:])])
+        return np.stack([self.laid(y), self.laid(y, y[:, 0]), self.laid(y, y[:, 1])])
 
     def potentials(self, charges: np.ndarray) -> tuple[np.ndarray, float]:
-        """(potentials of 1 / (1 + d^2)^2 for the three charges on the nodes, sum of 1 / (1 + d^2) over all pairs of different points)."""
+        """(potentials of the three charges on the nodes, sum over all pairs), all in one place."""
+        return np.stack([self.potential(c) for c in charges]), self.total(charges[0])
+
+    def _transformed(self, charges: np.ndarray, power: int) -> tuple[np.ndarray, np.ndarray]:
+        """Transforms of 1 / (1 + d^2)^power and of the charges on a plane of twice the side."""
         m, h = self.side, self.width / NODES
-        step = np.minimum(np.arange(2 * m), 2 * m - np.arange(2 * m)) * h
-        one = 1 / (1 + step[:, None] ** 2 + step**2)
-        size = (2 * m, 2 * m)
-        own = np.fft.rfft2(charges.reshape(3, m, m), size)
-        back = lambda f: np.fft.irfft2(f, size)[..., :m, :m]
-        near = back(np.fft.rfft2(one) * own[0])
-        total = float((near.ravel() * charges[0]).sum()) - float(charges[0].sum())
-        return back(np.fft.rfft2(one**2) * own).reshape(3, -1), max(total, 1e-12)
+        step = (np.minimum(np.arange(2 * m), 2 * m - np.arange(2 * m)) * h) ** 2
+        return np.fft.rfft2(1 / (1 + step[:, None] + step) ** power), np.fft.rfft2(charges.reshape(m, m), (2 * m, 2 * m))
+
+    def potential(self, charges: np.ndarray) -> np.ndarray:
+        """Potential of 1 / (1 + d^2)^2 for the charges on the nodes."""
+        near, own = self._transformed(charges, 2)
+        own *= near
+        return np.fft.irfft2(own, (2 * self.side, 2 * self.side))[: self.side, : self.side].ravel()
 
+    def total(self, charges: np.ndarray) -> float:
+        """Sum of 1 / (1 + d^2) over all pairs of different points of charge 1."""
+        near, own = self._transformed(charges, 1)
+        # The sum over the nodes, taken from the transforms; all columns but the first and the last stand for two.
+        each = (near.real * (own.real**2 + own.imag**2)).sum(0)
+        return max(float(2 * each.sum() - each[0] - each[-1]) / (2 * self.side) ** 2 - float(charges.sum()), 1e-12)
 
-def _moved(y: np.ndarray, state: np.ndarray, force: np.ndarray, momentum: float, rate: float) -> np.ndarray:
+
+def _moved(state: np.ndarray, force: np.ndarray, momentum: float, rate: float) -> np.ndarray:
     """(y, step, gain) after a step of gradient descent with a gain for each number."""
-    step, gain = state[:, 2:4], state[:, 4:6]
+    y, step, gain = state[:, :2], state[:, 2:4], state[:, 4:6]
     gain = np.maximum(np.where(np.sign(force) != np.sign(step), gain + 0.2, gain * 0.8), 0.01)
     step = momentum * step - rate * gain * force
     return np.concatenate([y + step, step, gain], 1)
@@ -189,10 +236,10 @@ def tsne(points: DataFrame, key: str = "frame", column: str = "features", perple
     """(key, features, y): t-SNE of all rows to two dimensions; keys are numeric and differ.
 
     Affinities reach the 3 * perplexity nearest rows of an index with a
-    recall of ``target``. In each round a task moves its rows by their edges
-    and by the potential of all rows on a grid, and lays the charges of its
-    moved rows onto the next grid; the driver adds the grids up and transforms
-    their sum. Rows beyond MOST_ROWS are an error.
+    recall of ``target``. In each round four tasks lay charges of all rows
+    onto a grid, one each for the sum over all pairs and for the three
+    potentials of it, and then every task moves its rows by their edges and by
+    these potentials. Rows beyond MOST_ROWS are an error.
     """
     spark = points.sparkSession
     held = written(numbered(points.select(F.col(key).cast("long").alias("key"), F.col(column).cast("array<double>").alias("x")), "key"))
@@ -204,60 +251,65 @@ def tsne(points: DataFrame, key: str = "frame", column: str = "features", perple
     perplexity = min(perplexity, max(1.0, (n - 1) / 3))
     lists = Forest(held, "i", "x", seed, target=target).lists(k=min(n - 1, int(3 * perplexity)))
     edges = _both(weighted(lists, lambda d: affinities(d, perplexity))).groupBy("i", "j").agg((F.sum("w") / (2 * n)).alias("w"))
-    blocks = graph_blocks(edges, n).repartition(min(-(-n // BLOCK_ROWS), 4 * spark.sparkContext.defaultParallelism)).persist()
-    y = start(held, n, 1e-4, seed)
-    y -= y.mean(0)
-    state = np.concatenate([y, np.zeros((n, 2)), np.ones((n, 2))], 1).astype(np.float32)
-    grid = Grid(state[:, :2])
-    charges = grid.deposit(state[:, :2].astype(float))
+    blocks = graph_blocks(edges, n).repartition(min(-(-n // BLOCK_ROWS), spark.sparkContext.defaultParallelism)).persist()
+    shared, rows = folder(spark), n
+    start(held, f"{shared}/0", 1e-4, seed)
+    tasks = spark.range(0, 4, 1, 4)
     for r in range(rounds):
-        potentials, total = grid.potentials(charges)
+        now, then = f"{shared}/{r}", f"{shared}/{r + 1}"
         boost, momentum = (12.0, 0.5) if r < early else (exaggeration, 0.8)
-        following = Grid(state[:, :2])
-        centre = state[:, :2].mean(0, dtype=float)
-        shared = spark.sparkContext.broadcast((state, potentials, total, grid, following, centre))
 
-        def advance(batches: Iterator[pa.RecordBatch], shared: object = shared, boost: float = boost, momentum: float = momentum) -> Iterator[pa.RecordBatch]:
-            state, potentials, total, grid, following, centre = shared.value
-            laid = np.zeros((3, following.side**2))
+        def fields(batches: Iterator[pa.RecordBatch], now: str = now) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for which in batch.column(0).to_pylist():
+                    y = _every(now, rows).astype(float)
+                    grid = Grid(y)
+                    if which == 3:
+                        put(f"{now}/total", np.float64(grid.total(grid.laid(y))).tobytes())
+                    else:
+                        charge = 1.0 if which == 0 else y[:, which - 1] - y[:, which - 1].mean()
+                        put(f"{now}/field-{which}", grid.potential(grid.laid(y, charge)).astype(np.float32).tobytes())
+                yield batch
+
+        def advance(batches: Iterator[pa.RecordBatch], now: str = now, then: str = then, first_round: bool = r == 0, boost: float = boost, momentum: float = momentum) -> Iterator[pa.RecordBatch]:
+            every = _every(now, rows)
+            grid, centre = Grid(every.astype(float)), every.mean(0, dtype=float)
+            potentials = [np.frombuffer(got(f"{now}/field-{c}"), np.float32) for c in range(3)]
+            total = float(np.frombuffer(got(f"{now}/total"))[0])
             for block, first, n, i, j, w in _read(batches):
-                own = state[first : first + n].astype(float)
-                y = own[:, :2]
-                apart = y[i] - state[j, :2]
+                y = every[first : first + n].astype(float)
+                rest = np.repeat([[0.0, 0.0, 1.0, 1.0]], n, 0) if first_round else np.frombuffer(got(f"{now}/rest-{block}"), np.float32).reshape(n, 4)
+                apart = y[i] - every[j]
                 pull = _sums(i, apart * (w / (1 + (apart**2).sum(1)))[:, None], n)
                 node, weight = grid.places(y)
-                one, x0, x1 = ((potentials[c][node] * weight).sum(1) for c in range(3))
-                push = (y * one[:, None] - np.stack([x0, x1], 1)) / total
+                one, x0, x1 = ((p[node] * weight).sum(1) for p in potentials)
                 # Forces are the same wherever the centre lies.
-                moved = _moved(y - centre, own, 4 * (boost * pull - push), momentum, max(len(state) / 48, 5.0)).astype(np.float32)
-                laid += following.deposit(moved[:, :2].astype(float))
-                yield pa.record_batch({"block": pa.array([block], pa.int32()), "held": pa.array([moved.tobytes()], pa.binary())})
-            yield pa.record_batch({"block": pa.array([-1], pa.int32()), "held": pa.array([laid.tobytes()], pa.binary())})
-
-        found = blocks.mapInArrow(advance, "block int, held binary").toArrow()
-        shared.destroy()
-        state, charges, grid = np.empty_like(state), np.zeros((3, following.side**2)), following
-        for block, value in zip(found["block"].to_pylist(), found["held"], strict=True):
-            if block < 0:
-                charges += np.frombuffer(value.as_buffer()).reshape(3, -1)
-            else:
-                own = np.frombuffer(value.as_buffer(), np.float32).reshape(-1, 6)
-                state[block * BLOCK_ROWS : block * BLOCK_ROWS + len(own)] = own
+                y -= centre
+                push = (y * one[:, None] - np.stack([x0, x1], 1)) / total
+                moved = _moved(np.concatenate([y, rest], 1), 4 * (boost * pull - push), momentum, max(rows / 48, 5.0)).astype(np.float32)
+                put(f"{then}/rest-{block}", moved[:, 2:].tobytes())
+                put(f"{then}/y-{block}", moved[:, :2].tobytes())
+            yield pa.record_batch({"id": pa.array([1], pa.int64())})
+
+        _lines(tasks.mapInArrow(fields, "id long"))
+        _lines(blocks.mapInArrow(advance, "id long"))
+        discard(spark, now)
     blocks.unpersist()
-    return placed(held, state[:, :2], key, column)
+    return placed(held, f"{shared}/{rounds}", n, key, column)
 
 
-def placed(held: DataFrame, y: np.ndarray, key: str, column: str) -> DataFrame:
-    """(key, column, y) from (i, key, x) and the coordinates of all rows; a table."""
-    shared = held.sparkSession.sparkContext.broadcast(np.ascontiguousarray(y, float))
+def placed(held: DataFrame, path: str, rows: int, key: str, column: str) -> DataFrame:
+    """(key, column, y) from (i, key, x) and the coordinates of all rows below ``path``, which are deleted; a table."""
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y = None
         for batch in batches:
-            own = shared.value[batch.column("i").to_numpy()]
+            y = _every(path, rows).astype(float) if y is None else y
+            own = y[batch.column("i").to_numpy()]
             yield pa.record_batch({"key": batch.column("key"), "x": batch.column("x"), "y": pa.ListArray.from_arrays(np.arange(0, 2 * len(own) + 1, 2, dtype=np.int32), pa.array(own.ravel()))})
 
     out = written(held.select("i", "key", "x").mapInArrow(joined, "key long, x array<double>, y array<double>"))
-    shared.destroy()
+    discard(held.sparkSession, path)
     return out.select(F.col("key").alias(key), F.col("x").alias(column), "y")
 
 
@@ -347,29 +399,28 @@ def umap(points: DataFrame, key: str = "frame", column: str = "features", neighb
     k = max(min(n - 1, neighbors - 1), 1)
     lists = Forest(held, "i", "x", seed, target=target).lists(k=k)
     blocks = graph_blocks(fuzzy_union(weighted(lists, lambda d: smooth_weights(d, k + 1))), n)
-    blocks = blocks.repartition(min(-(-n // BLOCK_ROWS), 4 * spark.sparkContext.defaultParallelism)).persist()
+    blocks = blocks.repartition(min(-(-n // BLOCK_ROWS), spark.sparkContext.defaultParallelism)).persist()
     a, b = curve(min_dist, spread)
-    y = start(held, n, 5.0 * spread, seed).astype(np.float32)
+    shared, rows = folder(spark), n
+    start(held, f"{shared}/0", 5.0 * spread, seed)
     single = n <= BLOCK_ROWS
     for epoch in range(0, epochs, epochs if single else 1):
-        shared = spark.sparkContext.broadcast(y)
+        last = epochs if single else epoch + 1
+        now, then = f"{shared}/{epoch}", f"{shared}/{last}"
 
-        def advance(batches: Iterator[pa.RecordBatch], shared: object = shared, epoch: int = epoch) -> Iterator[pa.RecordBatch]:
-            every = shared.value
+        def advance(batches: Iterator[pa.RecordBatch], now: str = now, then: str = then, epoch: int = epoch, last: int = last) -> Iterator[pa.RecordBatch]:
+            every = _every(now, rows)
             for block, first, n, i, j, w in _read(batches):
-                for e in range(epoch, epochs if single else epoch + 1):
+                for e in range(epoch, last):
                     own = _epoch(every[first : first + n], np.arange(first, first + n), every, i, j, w, e, seed, a, b, 1 - e / epochs, first, 2.0).astype(np.float32)
                     every = own if single else every
-                yield pa.record_batch({"block": pa.array([block], pa.int32()), "held": pa.array([own.tobytes()], pa.binary())})
-
-        found = blocks.mapInArrow(advance, "block int, held binary").toArrow()
-        shared.destroy()
-        y = np.empty_like(y)
-        for block, value in zip(found["block"].to_pylist(), found["held"], strict=True):
-            own = np.frombuffer(value.as_buffer(), np.float32).reshape(-1, 2)
-            y[block * BLOCK_ROWS : block * BLOCK_ROWS + len(own)] = own
+                put(f"{then}/y-{block}", own.tobytes())
+            yield pa.record_batch({"id": pa.array([1], pa.int64())})
+
+        _lines(blocks.mapInArrow(advance, "id long"))
+        discard(spark, now)
     blocks.unpersist()
-    return placed(held, y, key, column)
+    return placed(held, f"{shared}/{epochs}", n, key, column)
 
 
 def umap_transform(points: DataFrame, template: DataFrame, key: str = "frame", column: str = "features", neighbors: int = 15, min_dist: float = 0.5, spread: float = 1.0, epochs: int = 67, seed: int = 0, target: float = 0.95) -> DataFrame:
@@ -379,18 +430,17 @@ def umap_transform(points: DataFrame, template: DataFrame, key: str = "frame", c
     n = held.count()
     if n > MOST_ROWS:
         raise ValueError(f"a layout has at most {MOST_ROWS} rows")
-    found = held.select("i", F.col("y")[0].alias("a"), F.col("y")[1].alias("b")).toArrow()
-    y = np.zeros((n, 2))
-    y[found["i"].to_numpy()] = np.stack([found["a"].to_numpy(), found["b"].to_numpy()], 1)
+    shared = folder(spark)
+    kept(held.select("i", F.col("y")[0].alias("a"), F.col("y")[1].alias("b")), shared, float)
     k = max(min(n, neighbors), 1)
     asked = points.select(F.col(key).cast("long").alias("i"), F.col(column).cast("array<double>").alias("x"))
     lists = Forest(held, "i", "x", seed, target=target).lists(asked, k, skip_self=False)
-    shared = spark.sparkContext.broadcast(y)
     a, b = curve(min_dist, spread)
 
     def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        y = shared.value
+        y = None
         for batch in batches:
+            y = _every(shared, n, float) if y is None else y
             for at in range(0, batch.num_rows, BLOCK_ROWS):
                 part = batch.slice(at, BLOCK_ROWS)
                 src = part.column("src").to_numpy()

@@ -87,3 +87,25 @@ def test_index_query_is_exact_beyond_two_chunks(spark, tmp_path):
     np.fill_diagonal(d, np.inf)
     near = np.argsort(d, 1)[:, :5]
     assert got == {(i, r + 1): near[i, r] for i in range(3000) for r in range(5)}
+
+
+@pytest.mark.parametrize("name", ["tsne", "umap"])
+def test_rounds_of_a_layout_send_no_rows_to_the_driver(spark, monkeypatch, name):
+    """What the driver gets does not grow with rows times rounds."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from gaitlake.operators import layout
+
+    sent = []
+    arrow, collect = DataFrame.toArrow, DataFrame.collect
+    monkeypatch.setattr(DataFrame, "toArrow", lambda self: (sent.append(t := arrow(self)), t)[1])
+    monkeypatch.setattr(DataFrame, "collect", lambda self: (sent.append(t := collect(self)), t)[1])
+    rows = spark.range(2100).select(F.col("id").alias("frame"), F.array(*(F.rand(k) for k in range(4))).alias("features"))
+    bytes_of = lambda t: t.nbytes if hasattr(t, "nbytes") else sum(len(str(r)) for r in t)
+    sizes = []
+    for rounds in (2, 6):
+        sent.clear()
+        made = getattr(layout, name)(rows, **{"tsne": {"rounds": rounds, "early": 1, "perplexity": 5.0}, "umap": {"epochs": rounds}}[name])
+        sizes.append(sum(map(bytes_of, sent)))
+        assert made.count() == 2100
+    assert sizes[1] - sizes[0] < 4 * 1000
