@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from gaitlake.functions.shared import written
 from gaitlake.operators import kernels, layout
 from gaitlake.operators.density import Watershed
-from gaitlake.operators.forest import near
+from gaitlake.operators.forest import near, near_parts
 from gaitlake.operators.neighbors import knn_regress
 
 #: Up to this many rows, t-SNE works on all pairs of them, in one process; beyond, through an index and a grid.
@@ -153,15 +153,12 @@ def kfold_errors(model: Embedding, ks: Sequence[int], folds: int = 5, seed: int
     Folds are given by a hash of the frame. Errors are relative to the
     diagonal of the template's bounding box; accuracy is the share of rows
     that fall into their own segment. Neighbours are sought once, for the
-    largest k.
+    largest k and for all folds.
     """
     from gaitlake.operators.recording import best_so_far
 
     held = model.template.withColumn("fold", F.pmod(F.xxhash64("frame", F.lit(seed)), F.lit(folds)))
-    found = None
-    for fold in range(folds):
-        one = near(held.where(F.col("fold") == fold), held.where(F.col("fold") != fold), max(ks), skip_self=False, seed=seed).withColumn("fold", F.lit(fold))
-        found = one if found is None else found.union(one)
+    found = near_parts(held, "fold", max(ks), seed=seed).withColumn("fold", F.pmod(F.xxhash64("src", F.lit(seed)), F.lit(folds)))
     plane, spark = model.plane(), held.sparkSession
     tried = spark.createDataFrame([(int(k),) for k in ks], "k int")
     each = written(found).join(F.broadcast(tried), F.col("rank") <= F.col("k"))

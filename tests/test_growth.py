@@ -5,7 +5,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from gaitlake.operators import kernels, neighbors, stats
+from gaitlake.operators import embed, forest, kernels, neighbors, stats
 
 
 @pytest.mark.parametrize("block", [3, 4096])
@@ -109,3 +109,20 @@ def test_rounds_of_a_layout_send_no_rows_to_the_driver(spark, monkeypatch, name)
         sizes.append(sum(map(bytes_of, sent)))
         assert made.count() == 2100
     assert sizes[1] - sizes[0] < 4 * 1000
+
+
+def test_folds_share_one_index(spark, monkeypatch):
+    """Large templates are indexed once, not once a fold, and no row's neighbours are of its own fold."""
+    monkeypatch.setattr(forest, "COMPARED_ROWS", 500)
+    searches, found, search = [], [], forest.Forest.search
+    monkeypatch.setattr(forest.Forest, "search", lambda self, *a, **b: (searches.append(self), found.append(f := search(self, *a, **b)), f)[2])
+    x = np.random.default_rng(0).normal(size=(700, 4))
+    rows = spark.createDataFrame([(k, v.tolist(), v[:2].tolist()) for k, v in enumerate(x)], "frame long, features array<double>, y array<double>")
+    errors = embed.kfold_errors(embed.Embedding(template=rows), [3], folds=5).collect()
+    assert len(errors) == 1 and len(searches) == 1 and searches[0].recall > 0.95
+    fold = np.array([r[0] for r in rows.orderBy("frame").select(F.pmod(F.xxhash64("frame", F.lit(0)), F.lit(5))).collect()])
+    d = ((x[:, None] - x) ** 2).sum(2)
+    d[fold[:, None] == fold] = np.inf
+    want = {(i, r + 1): v for i in range(700) for r, v in enumerate(np.sort(d[i])[:3])}
+    got = {(r["src"], r["rank"]): r["d2"] for r in found[0].collect()}
+    assert got.keys() == want.keys() and all(np.isclose(got[p], want[p]) for p in want)
