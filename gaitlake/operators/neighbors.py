@@ -15,9 +15,9 @@ from gaitlake.functions.shared import replaced, written
 from gaitlake.operators import kernels
 
 #: Rows of the base that meet a batch of queries at a time.
-BASE_ROWS = 4096
-#: Queries that meet a block at a time.
-QUERY_ROWS = 512
+BASE_ROWS = 1024
+#: Queries that meet a block at a time, and rows of a block that are measured for them at a time.
+QUERY_ROWS, HIT_ROWS = 512, 1 << 16
 #: A base of at most this many bytes goes to every executor; a larger one is cut into groups of half of it.
 BROADCAST_BYTES = 64 << 20
 
@@ -32,47 +32,93 @@ def _sorted(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], x[order]
 
 
+def _single(x: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows around ``centre`` as 32-bit numbers, with a place for one more; squares of their lengths)."""
+    x = x - centre
+    square = np.einsum("nd,nd->n", x, x)
+    return np.concatenate([x, square[:, None]], 1, dtype=np.float32, casting="same_kind"), square
+
+
+def _true(flags: np.ndarray) -> np.ndarray:
+    """Places of the few that are true: eight at a time, then one by one."""
+    if len(flags) % 8:
+        return np.flatnonzero(flags)
+    eight = np.flatnonzero(flags.view(np.uint64))
+    return (eight[:, None] * 8 + np.arange(8))[flags.reshape(-1, 8)[eight]]
+
+
 def _best(src: np.ndarray, q: np.ndarray, bound: np.ndarray, keys: np.ndarray, x: np.ndarray, k: int, skip_self: bool) -> pa.RecordBatch:
-    """(src, dst, d2, rank) of each query's k nearest of the sorted base rows, none beyond its ``bound``.
+    """(src, dst, d2, rank) of each query's k nearest of the sorted base rows, ties by key, none beyond its ``bound``.
 
-    Blocks of the base are met in order; of each, only rows that the fast
-    formula puts within the k best so far are measured exactly.
+    Blocks of the base are met in order; of each, only rows that a product of
+    32-bit numbers, with what it may be off by, puts within the k best so far
+    are measured exactly. Vectors whose squares those numbers do not hold are
+    all measured.
     """
-    dst, far = np.zeros((len(src), k), np.int64), np.full((len(src), k), np.inf)
-    square = (x**2).sum(1)
+    dst, far = np.full((len(src), k), np.iinfo(np.int64).max), np.full((len(src), k), np.inf)
+    with np.errstate(over="ignore", invalid="ignore"):
+        centre = x.mean(0) if len(x) else np.zeros(x.shape[1])
+        base, square = _single(x, centre)
+        asked, size = _single(q, centre)
+        asked *= np.float32(-2)
+        asked[:, -1] = 1
+        held = max(square.max(initial=0), size.max(initial=0)) < 1e30
+        # Rounding of each term and of their sum, and of the way to the centre.
+        off = 1.1 * (x.shape[1] + 8) * 2.0**-24
+        shift = 1e-12 * (np.einsum("nd,nd->n", q, q) + np.einsum("nd,nd->n", x, x).max(initial=0)) + 1e-30
     for low in range(0, len(src), QUERY_ROWS):
         own = slice(low, low + QUERY_ROWS)
-        one, queries, size = src[own], q[own], (q[own] ** 2).sum(1)
-        near, d2, most = dst[own], far[own], bound[own].copy()
+        one, queries, near, d2, most = src[own], q[own], dst[own], far[own], bound[own].copy()
         for at in range(0, len(keys), BASE_ROWS):
+            # Later rows have larger keys, so a query that has k copies of itself is done.
+            open_ = d2[:, -1] > 0
+            if not open_.any():
+                break
             ids, rows = keys[at : at + BASE_ROWS], x[at : at + BASE_ROWS]
             place = np.searchsorted(ids, one).clip(0, len(ids) - 1)
-            skip = np.where((ids[place] == one) & skip_self, place, -1)
-            # What the fast formula may be off by.
-            slack = 1e-12 * (size + square[at : at + BASE_ROWS].max())
-            if np.isfinite(most).all():
-                d = square[at : at + BASE_ROWS] - 2 * queries @ rows.T
-                d[np.flatnonzero(skip >= 0), skip[skip >= 0]] = np.inf
-                i, j = np.nonzero(d <= (most - size + slack)[:, None])
-            if np.isfinite(most).all() and len(i) <= 64 * len(one):
-                exact = ((queries[i] - rows[j]) ** 2).sum(1)
-                place = np.arange(len(i)) - np.searchsorted(i, i)
-                found, d = np.zeros((len(one), place.max(initial=-1) + 1), np.int64), np.full((len(one), place.max(initial=-1) + 1), np.inf)
-                found[i, place], d[i, place] = ids[j], exact
+            skip = np.flatnonzero((ids[place] == one) & skip_self)
+            if held:
+                fast = asked[own] @ base[at : at + BASE_ROWS].T
+                fast[skip, place[skip]] = np.inf
+                slack = off * (size[own] + 2 * square[at : at + BASE_ROWS].max()) + shift[own]
+                if k <= len(ids) and np.isinf(most).any():
+                    most = np.minimum(most, np.partition(fast, k - 1, 1)[:, k - 1] + size[own] + slack)
+                limit = np.where(open_, most - size[own] + slack, -np.inf).astype(np.float32)
+                hit = fast <= np.nextafter(limit, np.float32(np.inf))[:, None]
+                hit[~open_] = False
             else:
-                found, d = kernels.nearest(queries, rows, k, skip)
-                found = ids[found]
-            if found.shape[1]:
-                d = np.where(d <= most[:, None], d, np.inf)
-                every, d = np.concatenate([near, found], 1), np.concatenate([d2, d], 1)
-                order = np.lexsort((every, d), axis=1)[:, :k]
-                near[:], d2[:] = np.take_along_axis(every, order, 1), np.take_along_axis(d, order, 1)
-                most = np.minimum(most, d2[:, -1])
+                hit = np.broadcast_to(open_[:, None], (len(one), len(ids))).copy()
+            hit[skip, place[skip]] = False
+            i, j = np.divmod(_true(hit.ravel()), len(ids))
+            # A few numbers a query as a rule; where many rows are alike, queries are taken in turn.
+            ends = np.searchsorted(i, np.arange(len(one) + 1))
+            first = 0
+            while first < len(one):
+                last = max(first + 1, int(np.searchsorted(ends, ends[first] + HIT_ROWS, "right")) - 1)
+                part = slice(ends[first], ends[last])
+                _kept(near, d2, i[part], ids[j[part]], ((queries[i[part]] - rows[j[part]]) ** 2).sum(1), most)
+                first = last
+            most = np.minimum(most, d2[:, -1])
     real = np.isfinite(far)
     rank = np.broadcast_to(np.arange(1, k + 1), far.shape)
     return pa.record_batch({"src": np.repeat(src, real.sum(1)), "dst": dst[real], "d2": far[real], "rank": rank[real]})
 
 
+def _kept(near: np.ndarray, d2: np.ndarray, i: np.ndarray, ids: np.ndarray, d: np.ndarray, most: np.ndarray) -> None:
+    """Puts rows found for queries ``i`` (sorted) among the k nearest so far, in place."""
+    within = d <= most[i]
+    i, ids, d = i[within], ids[within], d[within]
+    if not len(i):
+        return
+    k = near.shape[1]
+    who = np.unique(i)
+    i, ids, d = (np.concatenate(c) for c in ((i, np.repeat(who, k)), (ids, near[who].ravel()), (d, d2[who].ravel())))
+    order = np.lexsort((ids, d, i))
+    i, ids, d = i[order], ids[order], d[order]
+    at = np.searchsorted(i, who)[:, None] + np.arange(k)
+    near[who], d2[who] = ids[at], d[at]
+
+
 def knn(queries: DataFrame, base: DataFrame, k: int = 5, key: str = "frame", column: str = "features", skip_self: bool = True, bound: str | None = None) -> DataFrame:
     """(src, dst, rank, d2): the k rows of ``base`` nearest to each query in squared Euclidean distance, ties by key.
 
@@ -144,11 +190,12 @@ def geodesic(edges: DataFrame, start: int, end: int, held: int = HELD_EDGES) ->
 
     A graph of at most ``held`` edges is searched with a heap; a larger one
     by ``shortest_paths``. Only the path itself is collected. Where several
-    paths are equally short, either way may give another.
+    paths are equally short, either way may give another. Edges are made once,
+    as seeking them may be most of the work.
     """
-    rows = edges.select("src", "dst", "w").limit(held + 1).collect()
-    if len(rows) <= held:
-        return _by_heap(rows, start, end)
+    edges = written(edges.select("src", "dst", "w"))
+    if edges.limit(held + 1).count() <= held:
+        return _by_heap(edges.collect(), start, end)
     far = shortest_paths(edges, end, start)
     if not far.where(F.col("key") == start).limit(1).count():
         return []
@@ -165,6 +212,7 @@ def shortest_paths(edges: DataFrame, source: int, until: int | None = None) -> D
     is final; keys beyond may be missing, or further than they are.
     """
     both = edges.select("src", "dst", F.col("w").cast("double").alias("w"))
+    both = both if hasattr(edges, "_written_to") else written(both)
     both = written(both.union(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.min("w").alias("w")))
     low, step = both.agg(F.min("w"), F.avg("w")).first()
     if low is not None and low < 0:

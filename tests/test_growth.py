@@ -67,6 +67,40 @@ def test_neighbours_in_cells_equal_brute_force(spark, monkeypatch, held):
         assert got == want
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e17, 1e-17])
+@pytest.mark.parametrize("held", [64 << 20, 6000])
+def test_neighbours_among_many_copies_have_the_smallest_keys(spark, monkeypatch, held, scale):
+    """Also of vectors far from the origin, and beyond what 32-bit numbers hold."""
+    monkeypatch.setattr(neighbors, "BROADCAST_BYTES", held)
+    monkeypatch.setattr(neighbors, "BASE_ROWS", 64)
+    x = np.random.default_rng(0).integers(0, 6, (200, 6)).astype(float) + 1000
+    x[40:160] = x[40]
+    x *= scale
+    d = ((x[:, None] - x) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    want = {(i, r + 1): (int(j), d[i, j]) for i in range(200) for r, j in enumerate(np.lexsort((np.arange(200), d[i]))[:4])}
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "frame long, features array<double>")
+    assert {(r["src"], r["rank"]): (r["dst"], r["d2"]) for r in neighbors.knn(rows, rows, 4).collect()} == want
+
+
+@pytest.mark.parametrize("of", ["geodesic", "shortest_paths"])
+def test_edges_of_a_path_are_sought_once(spark, of):
+    """Seeking them may be most of the work."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    line = spark.range(50, numPartitions=1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1.0).alias("w")).mapInArrow(count, "src long, dst long, w double")
+    if of == "geodesic":
+        assert neighbors.geodesic(line, 3, 0, held=5) == [(3, 3.0), (2, 2.0), (1, 1.0), (0, 0.0)]
+    else:
+        assert neighbors.shortest_paths(line, 0, 3).where("key = 3").first()["d"] == 3.0
+    assert made.value == 50
+
+
 def test_neighbour_batches_hold_single_rows(spark):
     """What a Python worker gets at a time is rows, not pairs of blocks, whose number grows with the table."""
     rows = spark.range(9000).select(F.col("id").alias("frame"), F.array(*(F.rand(k) for k in range(4))).alias("features"))
