@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from gaitlake.functions.shared import discard, folder, got, numbered, put, written
 from gaitlake.operators import reduce
-from gaitlake.operators.forest import Forest
+from gaitlake.operators.forest import Forest, near_lists
 
 #: Rows of a block; most rows of a layout, of whose coordinates every task holds 8 bytes a row.
 BLOCK_ROWS, MOST_ROWS = 2048, 8_000_000
@@ -397,7 +397,7 @@ def umap(points: DataFrame, key: str = "frame", column: str = "features", neighb
     if n < 2:
         return held.select(F.col("key").alias(key), F.col("x").alias(column), F.array(F.lit(0.0), F.lit(0.0)).alias("y"))
     k = max(min(n - 1, neighbors - 1), 1)
-    lists = Forest(held, "i", "x", seed, target=target).lists(k=k)
+    lists = near_lists(held, n, None, k, "i", "x", seed=seed, target=target)
     blocks = graph_blocks(fuzzy_union(weighted(lists, lambda d: smooth_weights(d, k + 1))), n)
     blocks = blocks.repartition(min(-(-n // BLOCK_ROWS), spark.sparkContext.defaultParallelism)).persist()
     a, b = curve(min_dist, spread)
@@ -434,7 +434,7 @@ def umap_transform(points: DataFrame, template: DataFrame, key: str = "frame", c
     kept(held.select("i", F.col("y")[0].alias("a"), F.col("y")[1].alias("b")), shared, float)
     k = max(min(n, neighbors), 1)
     asked = points.select(F.col(key).cast("long").alias("i"), F.col(column).cast("array<double>").alias("x"))
-    lists = Forest(held, "i", "x", seed, target=target).lists(asked, k, skip_self=False)
+    lists = near_lists(held, n, asked, k, "i", "x", False, seed, target)
     a, b = curve(min_dist, spread)
 
     def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

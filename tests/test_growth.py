@@ -5,7 +5,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from gaitlake.operators import embed, forest, kernels, neighbors, stats
+from gaitlake.operators import embed, forest, kernels, layout, neighbors, stats
 
 
 @pytest.mark.parametrize("block", [3, 4096])
@@ -160,3 +160,22 @@ def test_folds_share_one_index(spark, monkeypatch):
     want = {(i, r + 1): v for i in range(700) for r, v in enumerate(np.sort(d[i])[:3])}
     got = {(r["src"], r["rank"]): r["d2"] for r in found[0].collect()}
     assert got.keys() == want.keys() and all(np.isclose(got[p], want[p]) for p in want)
+
+
+def test_neighbours_of_umap_are_exact_without_trees(spark, monkeypatch):
+    """Trees, of which more rows need more, are for more rows than those that all can meet."""
+    x = np.random.default_rng(0).normal(size=(300, 4)).round(1)
+    x[200:260] = x[200]
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "frame long, features array<double>")
+    d = ((x[:, None] - x) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    want = {i: np.lexsort((np.arange(300), d[i]))[:6].tolist() for i in range(300)}
+    indexed = forest.near_lists
+    with monkeypatch.context() as m:
+        m.setattr(forest, "MET_ROWS", 100)
+        assert indexed(rows, 300, k=6).count() == 300
+    monkeypatch.setattr(forest.Forest, "lists", lambda *a, **k: pytest.fail("trees"))
+    got = {r["src"]: [p["dst"] for p in r["near"]] for r in forest.near_lists(rows, 300, k=6).collect()}
+    assert got == want
+    template = layout.umap(rows, epochs=2)
+    assert template.count() == 300 and layout.umap_transform(rows.where("frame < 9"), template, epochs=2).count() == 9
