@@ -7,9 +7,11 @@ done. Equal runs are counted rather than moved, and runs that differ go, as
 short strings, to collections of bounded size. There the Burrows-Wheeler
 transform and the common prefixes are built column by column, and a window
 whose suffix shares ``length`` bytes with a neighbour in sorted order is
-repeated. An anchor with very many different runs is split into single
-windows: their hashes are counted, and of each that several runs have, two
-copies go to a collection, whose verdict then holds for all of them.
+repeated. An anchor with very many different runs is split: its windows are
+dealt by where the anchor lies in them, into stretches that share more bytes
+than the anchor, and those bytes tell groups apart anew, in narrower steps
+while a group is too large. A stretch that several runs have goes on once, and
+to a collection in two copies, whose verdict then holds for all of them.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from gaitlake.llm.collection import repeated
 LENGTH, ANCHOR = 200, 120
 #: Bytes of runs in a collection, on average.
 COLLECTION_BYTES = 1 << 20
-#: An anchor with more different runs than this is split into single windows.
+#: An anchor with more different runs than this is split into stretches of windows, and so are groups of stretches.
 MOST_RUNS = 1000
 
 #: Bytes that UTF-8 never has: one opens an anchor's number, the others are its digits.
@@ -70,22 +72,6 @@ def _cut(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return run
 
 
-def _hashed(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(spread, tail, h, own, k) of every window of (h, own, bytes) runs: two parts of its hash, its run and its place there."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pieces = batch.column(2).to_pylist()
-            n = np.array([len(p) - length + 1 for p in pieces], np.int64)
-            digests = b"".join(sha256(p[k : k + length]).digest()[:16] for p in pieces for k in range(len(p) - length + 1))
-            spread, tail = np.frombuffer(digests, "<i8").reshape(-1, 2).T
-            h, own = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), n) for i in (0, 1))
-            columns = (spread, tail, h, own, np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n))
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c), pa.int64()) for c in columns], names=["spread", "tail", "h", "own", "k"])
-
-    return run
-
-
 def _places(pieces: list[bytes], length: int, anchor: int) -> Iterator[int]:
     """Where each piece has its anchor. Pieces are taken in buffers that ``super_windows`` does not cut."""
     offsets = np.cumsum([0, *map(len, pieces)])
@@ -100,6 +86,61 @@ def _places(pieces: list[bytes], length: int, anchor: int) -> Iterator[int]:
         at = to
 
 
+def _widths(most: int) -> list[int]:
+    """Most windows of a stretch, step by step, where a run has up to ``most``: powers of two, so that stretches lie within those before, and 1 at last."""
+    found = [1 << max(0, most.bit_length() - 2)]
+    while found[-1] > 1:
+        found.append(max(1, found[-1] // 4))
+    return found
+
+
+def _stretches(length: int, anchor: int, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(near, part, one, two, at, weight, piece) of the stretches of every (one, two, weight, piece).
+
+    A stretch has the windows whose anchor lies in one range of ``width``
+    places; it begins ``at`` windows into its piece. ``near`` is of the bytes
+    that all windows of that range have, so equal windows share it; ``part`` is
+    of the stretch itself. No piece has a window twice, nor a stretch.
+    """
+    number = lambda raw: int.from_bytes(sha256(raw).digest()[:8], "little", signed=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            pieces = batch.column(3).to_pylist()
+            for one, two, weight, piece, place in zip(*(batch.column(i).to_pylist() for i in range(3)), pieces, _places(pieces, length, anchor), strict=True):
+                n = len(piece) - length + 1
+                for low in range((place - n + 1) // width * width, place + 1, width):
+                    first = place - low - width + 1
+                    a, b = max(0, first), min(n, place - low + 1)
+                    part = piece[a : b + length - 1]
+                    rows.append((number(b"%d " % low + piece[place - low : first + length]), number(part), one, two, a, weight, part))
+            kinds = (*[pa.int64()] * 6, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["near", "part", "one", "two", "at", "weight", "piece"])
+
+    return run
+
+
+def _split(runs: DataFrame, length: int, anchor: int) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """For each step (links, stretches for collections) of (one, two, weight, piece) runs.
+
+    ``links`` (near, part, one, two, at) has the pieces that a stretch is in: runs
+    or stretches of the step before. ``stretches`` (near, part, times, piece) are
+    those of groups of bounded size that have a rival or are in several runs
+    (``times`` > 1); those of larger groups make the next step. One piece is
+    never in stretches of two steps, as its windows' groups are larger or not.
+    """
+    for width in _widths(length - anchor + 1):
+        found = _work.table(runs.mapInArrow(_stretches(length, anchor, width), "near long, part long, one long, two long, at long, weight long, piece binary"), "stretches")
+        kinds = _work.table(found.groupBy("near", "part").agg(F.sum("weight").alias("times"), F.first("piece").alias("piece")), "stretch-kinds")
+        kinds = kinds.join(_work.table(kinds.groupBy("near").agg(F.count("*").alias("rivals")), "rivals"), "near")
+        large = (F.col("rivals") > MOST_RUNS) & F.lit(width > 1)
+        yield found.drop("weight", "piece"), kinds.where(~large & ((F.col("rivals") > 1) | (F.col("times") > 1))).drop("rivals")
+        runs = kinds.where(large).select(F.col("near").alias("one"), F.col("part").alias("two"), F.least("times", F.lit(2)).alias("weight"), "piece")
+        if runs.isEmpty():
+            return
+
+
 def _numbered(k: int) -> bytes:
     out = []
     for _ in range(_PLACES):
@@ -127,7 +168,7 @@ def repeats(pieces: list[bytes], length: int, anchor: int, folder: str | None =
 
 
 def _collect(length: int, anchor: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(one, two, split, a, b): windows a to b - 1 of a piece, counted from its ``at``, are repeated; rows lie in order of their collection.
+    """(one, two, step, a, b): windows a to b - 1 of a piece are repeated; rows lie in order of their collection.
 
     A collection's columns are external files of the task, in its own temporary
     folder, which goes with it: nothing outside the task ever reads them.
@@ -139,15 +180,15 @@ def _collect(length: int, anchor: int) -> Callable[[Iterator[pa.RecordBatch]], I
         def done() -> pa.RecordBatch:
             out = []
             with tempfile.TemporaryDirectory(prefix="columns-") as folder:
-                found = repeats([r[4] for r in rows], length, anchor, folder) if rows else []
-            for (one, two, split, at, _), flags in zip(rows, found, strict=True):
+                found = repeats([r[3] for r in rows], length, anchor, folder) if rows else []
+            for (one, two, step, _), flags in zip(rows, found, strict=True):
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
-                out += [(one, two, split, at + a, at + b) for a, b in edge.reshape(-1, 2).tolist()]
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["one", "two", "split", "a", "b"])
+                out += [(one, two, step, a, b) for a, b in edge.reshape(-1, 2).tolist()]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["one", "two", "step", "a", "b"])
 
         for batch in batches:
-            for collection, *row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for collection, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if collection != last:
                     yield done()
                     last, rows = collection, []
@@ -195,7 +236,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     long = docs.where(F.octet_length("text") >= length)
     runs = long.select(_key(F.col("text")).alias("key"), "text").mapInArrow(_runs(length, anchor), "h long, own long, key long, start long, n long")
     runs = runs.select("h", "own", "key", F.col("start").cast("int").alias("start"), F.col("n").cast("int").alias("n"))
-    twice = runs.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
+    # A table, like the spans below: Spark splits what very many rows share only in a join of two tables as they are.
+    twice = _work.table(runs.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h"), "shared-anchors")
+    _work.release(spark)
     shared = _work.table(runs.join(twice, "h"), "shared-runs")
     _work.release(spark)
 
@@ -210,30 +253,34 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     # Repeated rows (id and text) give the same runs more than once; they count as equal runs already.
     cut = _work.table(cut.dropDuplicates(["h", "own"]), "cut-runs")
     _work.release(spark)
-    # A piece is named by two numbers: a run by its anchor's hash and its own, a split window by the two parts of its hash.
-    pieces = cut.where(~F.col("split")).select(F.col("h").alias("one"), F.col("own").alias("two"), "split", F.lit(0).cast("long").alias("at"), "piece")
+    # A piece is named by two numbers: a run by its anchor's hash and its own, a stretch likewise, by its group's. Step 0 has the runs.
+    pieces = cut.where(~F.col("split")).select(F.col("h").alias("one"), F.col("own").alias("two"), F.lit(0).alias("step"), "piece")
+    links: list[DataFrame] = []
     if split:
-        windows = cut.where("split").select("h", "own", "piece").mapInArrow(_hashed(length), "spread long, tail long, h long, own long, k long")
-        # Equal windows have one anchor at one place in them, so a run has none twice: those that repeat have two values of own.
-        pairs = windows.groupBy("spread", "tail").agg(F.min("h").alias("h"), F.min("own").alias("own_0"), F.max("own").alias("own_1"), F.min_by("k", "own").alias("k_0"), F.max_by("k", "own").alias("k_1")).where("own_0 < own_1")
-        copies = F.array(*(F.struct(F.lit(i).cast("long").alias("at"), F.col(f"own_{i}").alias("own"), F.col(f"k_{i}").alias("k")) for i in (0, 1)))
-        pairs = pairs.select("spread", "tail", "h", F.explode(copies).alias("c")).select("spread", "tail", "h", "c.*").join(cut.where("split"), ["h", "own"])
-        pairs = _work.table(pairs.select(F.col("spread").alias("one"), F.col("tail").alias("two"), "split", "at", F.col("piece").substr((F.col("k") + 1).cast("int"), F.lit(length)).alias("piece")), "pairs")
-        pieces, size = pieces.union(pairs), size + pairs.count() * length
+        whole = cut.where("split").select(F.col("h").alias("one"), F.col("own").alias("two"), F.lit(1).cast("long").alias("weight"), "piece")
+        for step, (link, stretches) in enumerate(_split(whole, length, anchor), 1):
+            links.append(link)
+            # Both copies of a stretch that several runs have are found; the first one's verdict is taken.
+            copies = F.when(F.col("times") > 1, F.array(F.lit(step), F.lit(-1))).otherwise(F.array(F.lit(step)))
+            stretches = stretches.select(F.col("near").alias("one"), F.col("part").alias("two"), F.explode(copies).alias("step"), "piece")
+            pieces, size = pieces.union(stretches), size + stretches.agg(F.coalesce(F.sum(F.octet_length("piece")), F.lit(0))).first()[0]
+        _work.release(spark)
     collections = max(1, -(-size // COLLECTION_BYTES))
-    pieces = pieces.select(F.pmod(F.xxhash64("one"), F.lit(collections)).alias("collection"), "one", "two", "split", "at", "piece")
+    pieces = pieces.select(F.pmod(F.xxhash64("one"), F.lit(collections)).alias("collection"), "one", "two", "step", "piece")
     pieces = pieces.repartition(F.col("collection")).sortWithinPartitions("collection")
-    differing = _work.table(pieces.mapInArrow(_collect(length, anchor), "one long, two long, split boolean, a long, b long"), "repeats")
+    differing = _work.table(pieces.mapInArrow(_collect(length, anchor), "one long, two long, step int, a long, b long"), "repeats")
     _work.release(spark)
 
     equal = kinds.where("times > 1").select("h", "own", F.lit(0).cast("long").alias("a"), F.col("at.n").cast("long").alias("b"))
     single = kinds.where("times = 1").select("h", "own")
-    differs = differing.where(~F.col("split")).select(F.col("one").alias("h"), F.col("two").alias("own"), "a", "b")
-    if split:
-        # Both copies of a repeated window are found; the first one's verdict is taken.
-        twins = differing.where("split and a = 0").select(F.col("one").alias("spread"), F.col("two").alias("tail"))
-        differs = differs.union(windows.join(twins, ["spread", "tail"]).select("h", "own", F.col("k").alias("a"), (F.col("k") + 1).alias("b")))
-    spans = equal.union(differs.join(single, ["h", "own"], "left_semi"))
+    # What is repeated in a stretch is so in all pieces that have it, step by step back to the runs.
+    verdict = lambda step: differing.where(F.col("step") == step).select("one", "two", "a", "b")
+    differs = verdict(len(links))
+    for step in reversed(range(len(links))):
+        held = differs.select(F.col("one").alias("near"), F.col("two").alias("part"), "a", "b").join(links[step], ["near", "part"])
+        differs = verdict(step).union(held.select("one", "two", F.col("a") + F.col("at"), F.col("b") + F.col("at")))
+    differs = differs.withColumnsRenamed({"one": "h", "two": "own"})
+    spans = _work.table(equal.union(differs.join(single, ["h", "own"], "left_semi")), "run-spans")
     found = shared.join(spans, ["h", "own"]).select("key", (F.col("start") + F.col("a")).cast("int").alias("start"), (F.col("start") + F.col("b")).cast("int").alias("end"))
     found = found.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     found = _work.table(found, "spans")

@@ -106,6 +106,48 @@ def test_split_windows_are_sent_twice_at_most(spark, monkeypatch):
     assert got == Counter((r[0], *e) for r, e in zip(rows, brute_removal([r[1] for r in rows], 200), strict=True))
 
 
+@pytest.mark.parametrize("most", [40, 3])
+def test_split_anchors_make_few_rows(spark, monkeypatch, most):
+    """Contexts of a passage that differ at many places: no step makes nearly as many rows as their runs have windows, in one step of narrowing or several."""
+    monkeypatch.setattr(substrings, "MOST_RUNS", most)
+    rng = random.Random(12)
+    line = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage = line(500)
+    rows = []
+    for k in range(120):
+        own = list(passage)
+        for p in rng.sample(range(500), 2):
+            own[p] = rng.choice("klmnopqrst")
+        rows.append((k, "".join(own)))
+    rows += [(200, passage), (201, passage), (202, rows[0][1])]
+    frame = type(spark.range(1))
+    plain, made = frame.mapInArrow, []
+
+    def counted(self, func, schema, *more, **named):
+        rows_out = spark.sparkContext.accumulator(0)
+        made.append((schema, rows_out))
+
+        def run(batches):
+            for batch in func(batches):
+                rows_out.add(batch.num_rows)
+                yield batch
+
+        return plain(self, run, schema, *more, **named)
+
+    monkeypatch.setattr(frame, "mapInArrow", counted)
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter((r[0], *e) for r, e in zip(rows, brute_removal([r[1] for r in rows], 200), strict=True))
+    data = np.frombuffer("".join(r[1] for r in rows).encode(), np.uint8)
+    _, start, n, _, anchors = super_windows(data, np.cumsum([0, *(len(r[1]) for r in rows)]), 200, 120)
+    kinds = {(h, data[s : s + k + 199].tobytes()): k for h, s, k in zip(anchors.tolist(), start.tolist(), n.tolist(), strict=True)}
+    runs = Counter(h for h, _ in kinds)
+    windows = sum(k for (h, _), k in kinds.items() if runs[h] > most)
+    # The first step cuts the documents into runs.
+    later = [(schema, rows_out.value) for schema, rows_out in made[1:]]
+    assert max(n for _, n in later) < windows / 4, (windows, later)
+    assert sum(schema.startswith("near ") for schema, _ in later) > (most < 40)
+
+
 def test_repeats_of_many_pieces(monkeypatch):
     """Also beyond the bytes that one call of super_windows takes uncut."""
     rng = random.Random(4)
