@@ -11,6 +11,8 @@ line from each task.
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,23 +22,30 @@ from pyspark.sql import functions as F
 
 from gaitlake.functions.shared import discard, folder, got, numbered, put, written
 from gaitlake.operators import reduce
-from gaitlake.operators.forest import Forest, near_lists
+from gaitlake.operators.forest import near_lists
 
 #: Rows of a block; most rows of a layout, of whose coordinates every task holds 8 bytes a row.
 BLOCK_ROWS, MOST_ROWS = 2048, 8_000_000
-BLOCKS = "block int, first long, n int, i binary, j binary, w binary"
+BLOCKS = "block int, first long, n int, file string"
+#: Edges that are taken at a time, so that what is computed of them stays near the core.
+EDGES = 1 << 15
 
 
 def graph_blocks(edges: DataFrame, rows: int) -> DataFrame:
-    """(block, first, n, i, j, w): the edges (i, j, w) that leave each run of BLOCK_ROWS rows, as arrays in order of i, counted from ``first``; every block of the ``rows`` rows has a record."""
+    """(block, first, n, file): the edges (i, j, w) that leave each run of BLOCK_ROWS rows, from ``first`` on, lie in a file of the shared folder in order of i and j; every block of the ``rows`` rows has one. Weights of an edge that is given more than once are added."""
+    shared = folder(edges.sparkSession)
 
     def packed(table: pa.Table) -> pa.Table:
         table = table.sort_by([("i", "ascending"), ("j", "ascending")]) if table.num_rows > 1 else table
         block = table["block"][0].as_py()
         first = block * BLOCK_ROWS
         i, j, w = (table[c].drop_null().to_numpy() for c in ("i", "j", "w"))
-        arrays = ((i - first).astype(np.int32), j.astype(np.int32), w.astype(np.float32))
-        return pa.table({"block": pa.array([block], pa.int32()), "first": pa.array([first], pa.int64()), "n": pa.array([min(rows - first, BLOCK_ROWS)], pa.int32()), **{k: pa.array([a.tobytes()], pa.binary()) for k, a in zip("ijw", arrays, strict=True)}})
+        new = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (j[1:] != j[:-1])][: len(i)])
+        i, j, w = i[new], j[new], np.add.reduceat(w, new) if len(new) else w
+        n, file = min(rows - first, BLOCK_ROWS), f"{shared}/edges-{block}"
+        ends = np.searchsorted(i, first + np.arange(n + 1))
+        put(file, b"".join(a.tobytes() for a in (ends.astype(np.int64), j.astype(np.int32), w.astype(np.float32))))
+        return pa.table({"block": pa.array([block], pa.int32()), "first": pa.array([first], pa.int64()), "n": pa.array([n], pa.int32()), "file": pa.array([file])})
 
     blocks = -(-rows // BLOCK_ROWS)
     spine = edges.sparkSession.range(blocks).select(F.col("id").cast("int").alias("block"), F.lit(None).cast("long").alias("i"), F.lit(None).cast("long").alias("j"), F.lit(None).cast("double").alias("w"))
@@ -45,10 +54,13 @@ def graph_blocks(edges: DataFrame, rows: int) -> DataFrame:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(block, first, n, ends, j, w) of each block: row r of it has the edges from ends[r] to ends[r + 1]."""
     for batch in batches:
-        for r in range(batch.num_rows):
-            block, first, n = (batch.column(c)[r].as_py() for c in ("block", "first", "n"))
-            yield block, first, n, *(np.frombuffer(batch.column(c)[r].as_buffer(), t) for c, t in (("i", np.int32), ("j", np.int32), ("w", np.float32)))
+        for record in batch.to_pylist():
+            n, data = record["n"], got(record["file"])
+            ends = np.frombuffer(data, np.int64, n + 1)
+            j, w = (np.frombuffer(data, t, ends[-1], 8 * (n + 1) + at * ends[-1]) for t, at in ((np.int32, 0), (np.float32, 4)))
+            yield record["block"], record["first"], n, ends, j, w
 
 
 def _sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -161,8 +173,38 @@ def start(points: DataFrame, path: str, spread: float, seed: int) -> None:
 
 # t-SNE --------------------------------------------------------------------------------------------
 
-#: Least boxes of the grid a side; nodes of a box a side.
-BOXES, NODES = 50, 3
+#: Least boxes of the grid a side; nodes of a box a side; columns that are transformed at a time.
+BOXES, NODES, COLUMNS = 50, 3, 64
+#: Greatest width of a box: with it, pushes are as exact as those from potentials of boxes 1 wide.
+WIDTH = 0.85
+
+
+def _length(least: int) -> int:
+    """The smallest even number from ``least`` on without prime factors above 5, as transforms like."""
+    for n in itertools.count(least + least % 2, 2):
+        rest = n
+        for f in (2, 3, 5):
+            while rest % f == 0:
+                rest //= f
+        if rest == 1:
+            return n
+
+
+@functools.lru_cache(maxsize=2)
+def _spectrum(size: int, step: float, kind: str) -> np.ndarray:
+    """A quarter of the transform of a kernel on a plane of ``size`` nodes a side, ``step`` apart: of 1 / (1 + d^2) (all), its square (near), or that times the way along the first axis (push), where it is imaginary."""
+    way = np.arange(size // 2 + 1) * step
+    kernel = 1 / (1 + way[:, None] ** 2 + way**2)
+    if kind != "all":
+        kernel *= kernel
+    sign = 1
+    if kind == "push":
+        kernel *= way[:, None]
+        # Half the plane away lies no other node.
+        kernel[-1], sign = 0, -1
+    across = np.concatenate([np.fft.rfft(np.concatenate([k, k[:, -2:0:-1]], 1), axis=1).real for k in np.array_split(kernel, -(-len(kernel) // COLUMNS))])
+    down = (np.fft.rfft(np.concatenate([k, sign * k[-2:0:-1]]), axis=0) for k in np.array_split(across, -(-len(kernel) // COLUMNS), axis=1))
+    return np.concatenate([d.imag if sign < 0 else d.real for d in down], 1)
 
 
 class Grid:
@@ -171,9 +213,9 @@ class Grid:
     def __init__(self, y: np.ndarray) -> None:
         low, high = y.min(0).astype(float), y.max(0).astype(float)
         span = float((high - low).max()) or 1.0
-        # No box is wider than 1; sides are multiples of ten boxes, which transforms like.
-        self.boxes = max(BOXES, -(-int(np.ceil(span)) // 10) * 10)
-        self.width = min(span / BOXES, 1.0)
+        # Sides are multiples of ten boxes, so that few spectra are needed.
+        self.boxes = max(BOXES, -(-int(np.ceil(span / WIDTH)) // 10) * 10)
+        self.width = min(span / BOXES, WIDTH)
         self.low = (low + high - self.boxes * self.width) / 2
         self.side = self.boxes * NODES
 
@@ -201,27 +243,54 @@ class Grid:
         return np.stack([self.laid(y), self.laid(y, y[:, 0]), self.laid(y, y[:, 1])])
 
     def potentials(self, charges: np.ndarray) -> tuple[np.ndarray, float]:
-        """(potentials of the three charges on the nodes, sum over all pairs), all in one place."""
-        return np.stack([self.potential(c) for c in charges]), self.total(charges[0])
-
-    def _transformed(self, charges: np.ndarray, power: int) -> tuple[np.ndarray, np.ndarray]:
-        """Transforms of 1 / (1 + d^2)^power and of the charges on a plane of twice the side."""
-        m, h = self.side, self.width / NODES
-        step = (np.minimum(np.arange(2 * m), 2 * m - np.arange(2 * m)) * h) ** 2
-        return np.fft.rfft2(1 / (1 + step[:, None] + step) ** power), np.fft.rfft2(charges.reshape(m, m), (2 * m, 2 * m))
-
-    def potential(self, charges: np.ndarray) -> np.ndarray:
-        """Potential of 1 / (1 + d^2)^2 for the charges on the nodes."""
-        near, own = self._transformed(charges, 2)
-        own *= near
-        return np.fft.irfft2(own, (2 * self.side, 2 * self.side))[: self.side, : self.side].ravel()
+        """(potentials 1 / (1 + d^2)^2 of the three charges on the nodes, sum over all pairs)."""
+        return np.stack([self.field(c, "near") for c in charges]), self.total(charges[0])
+
+    def _columns(self, charges: np.ndarray, kind: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first, transforms of the charges, of the kernel) of some columns at a time, on a plane of twice the side."""
+        size = _length(2 * self.side)
+        half, quarter = np.fft.rfft(charges.reshape(self.side, self.side), size, axis=1), _spectrum(size, self.width / NODES, kind)
+        for first in range(0, half.shape[1], COLUMNS):
+            near = quarter[:, first : first + COLUMNS].T
+            yield first, np.fft.fft(np.ascontiguousarray(half[:, first : first + COLUMNS].T), size, axis=1), np.concatenate([near, (-1 if kind == "push" else 1) * near[:, -2:0:-1]], 1)
+
+    def field(self, charges: np.ndarray, kind: str, axis: int = 0) -> np.ndarray:
+        """What the charges on the nodes do to a point at each node, by a kernel of ``_spectrum``; pushes are those along ``axis``."""
+        own = charges.reshape(self.side, self.side)
+        size = _length(2 * self.side)
+        out = np.empty((self.side, size // 2 + 1), complex)
+        for first, each, near in self._columns(own.T if axis else own, kind):
+            each *= near
+            out[:, first : first + COLUMNS] = np.fft.ifft(each, axis=1)[:, : self.side].T
+        found = np.fft.irfft(out * 1j if kind == "push" else out, size, axis=1)[:, : self.side]
+        return (found.T if axis else found).ravel()
 
     def total(self, charges: np.ndarray) -> float:
         """Sum of 1 / (1 + d^2) over all pairs of different points of charge 1."""
-        near, own = self._transformed(charges, 1)
+        size = _length(2 * self.side)
         # The sum over the nodes, taken from the transforms; all columns but the first and the last stand for two.
-        each = (near.real * (own.real**2 + own.imag**2)).sum(0)
-        return max(float(2 * each.sum() - each[0] - each[-1]) / (2 * self.side) ** 2 - float(charges.sum()), 1e-12)
+        each = np.concatenate([(near * (own.real**2 + own.imag**2)).sum(1) for _, own, near in self._columns(charges, "all")])
+        return max(float(2 * each.sum() - each[0] - each[-1]) / size**2 - float(charges.sum()), 1e-12)
+
+
+def _pull(own: np.ndarray, every: np.ndarray, ends: np.ndarray, j: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sum of w (y_i - y_j) / (1 + d^2) over the edges of each own row; coordinates are 32-bit numbers, of which a pair is fetched as one of 64 bits."""
+    out, others = np.zeros((len(own), 2)), every.view(np.float64).ravel()
+    first = 0
+    while first < len(own):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + EDGES, "right")) - 1)
+        some, count = slice(ends[first], ends[last]), np.diff(ends[first : last + 1])
+        at = np.take(others, j[some], mode="clip").view(np.float32).reshape(-1, 2)
+        apart = [np.repeat(own[first:last, c], count) - at[:, c] for c in range(2)]
+        near = apart[0] * apart[0]
+        near += apart[1] * apart[1]
+        near += 1
+        np.divide(w[some], near, out=near)
+        real = np.flatnonzero(count)
+        for c in range(2) if len(real) else ():
+            out[first + real, c] = np.add.reduceat(apart[c] * near, ends[first:last][real] - ends[first], dtype=np.float64)
+        first = last
+    return out
 
 
 def _moved(state: np.ndarray, force: np.ndarray, momentum: float, rate: float) -> np.ndarray:
@@ -235,11 +304,11 @@ def _moved(state: np.ndarray, force: np.ndarray, momentum: float, rate: float) -
 def tsne(points: DataFrame, key: str = "frame", column: str = "features", perplexity: float = 30.0, rounds: int = 500, early: int = 125, exaggeration: float = 1.5, seed: int = 0, target: float = 0.95) -> DataFrame:
     """(key, features, y): t-SNE of all rows to two dimensions; keys are numeric and differ.
 
-    Affinities reach the 3 * perplexity nearest rows of an index with a
-    recall of ``target``. In each round four tasks lay charges of all rows
-    onto a grid, one each for the sum over all pairs and for the three
-    potentials of it, and then every task moves its rows by their edges and by
-    these potentials. Rows beyond MOST_ROWS are an error.
+    Affinities reach the 3 * perplexity nearest rows, sought with a
+    recall of ``target`` or more. In each round three tasks lay all rows onto
+    a grid, one each for the sum over all pairs and for the pushes along
+    either axis, and then every task moves its rows by their edges and by
+    these pushes. Rows beyond MOST_ROWS are an error.
     """
     spark = points.sparkSession
     held = written(numbered(points.select(F.col(key).cast("long").alias("key"), F.col(column).cast("array<double>").alias("x")), "key"))
@@ -249,12 +318,12 @@ def tsne(points: DataFrame, key: str = "frame", column: str = "features", perple
     if n < 2:
         return held.select(F.col("key").alias(key), F.col("x").alias(column), F.array(F.lit(0.0), F.lit(0.0)).alias("y"))
     perplexity = min(perplexity, max(1.0, (n - 1) / 3))
-    lists = Forest(held, "i", "x", seed, target=target).lists(k=min(n - 1, int(3 * perplexity)))
-    edges = _both(weighted(lists, lambda d: affinities(d, perplexity))).groupBy("i", "j").agg((F.sum("w") / (2 * n)).alias("w"))
+    lists = near_lists(held, n, None, min(n - 1, int(3 * perplexity)), "i", "x", seed=seed, target=target)
+    edges = _both(weighted(lists, lambda d: affinities(d, perplexity) / (2 * n)))
     blocks = graph_blocks(edges, n).repartition(min(-(-n // BLOCK_ROWS), spark.sparkContext.defaultParallelism)).persist()
     shared, rows = folder(spark), n
     start(held, f"{shared}/0", 1e-4, seed)
-    tasks = spark.range(0, 4, 1, 4)
+    tasks = spark.range(0, 3, 1, 3)
     for r in range(rounds):
         now, then = f"{shared}/{r}", f"{shared}/{r + 1}"
         boost, momentum = (12.0, 0.5) if r < early else (exaggeration, 0.8)
@@ -264,28 +333,21 @@ def tsne(points: DataFrame, key: str = "frame", column: str = "features", perple
                 for which in batch.column(0).to_pylist():
                     y = _every(now, rows).astype(float)
                     grid = Grid(y)
-                    if which == 3:
-                        put(f"{now}/total", np.float64(grid.total(grid.laid(y))).tobytes())
-                    else:
-                        charge = 1.0 if which == 0 else y[:, which - 1] - y[:, which - 1].mean()
-                        put(f"{now}/field-{which}", grid.potential(grid.laid(y, charge)).astype(np.float32).tobytes())
+                    laid = grid.laid(y)
+                    put(f"{now}/field-{which}", np.float64(grid.total(laid)).tobytes() if which == 2 else grid.field(laid, "push", which).astype(np.float32).tobytes())
                 yield batch
 
         def advance(batches: Iterator[pa.RecordBatch], now: str = now, then: str = then, first_round: bool = r == 0, boost: float = boost, momentum: float = momentum) -> Iterator[pa.RecordBatch]:
             every = _every(now, rows)
-            grid, centre = Grid(every.astype(float)), every.mean(0, dtype=float)
-            potentials = [np.frombuffer(got(f"{now}/field-{c}"), np.float32) for c in range(3)]
-            total = float(np.frombuffer(got(f"{now}/total"))[0])
-            for block, first, n, i, j, w in _read(batches):
+            grid = Grid(every)
+            pushes = [np.frombuffer(got(f"{now}/field-{c}"), np.float32) for c in range(2)]
+            total = float(np.frombuffer(got(f"{now}/field-2"))[0])
+            for block, first, n, ends, j, w in _read(batches):
                 y = every[first : first + n].astype(float)
                 rest = np.repeat([[0.0, 0.0, 1.0, 1.0]], n, 0) if first_round else np.frombuffer(got(f"{now}/rest-{block}"), np.float32).reshape(n, 4)
-                apart = y[i] - every[j]
-                pull = _sums(i, apart * (w / (1 + (apart**2).sum(1)))[:, None], n)
+                pull = _pull(every[first : first + n], every, ends, j, w)
                 node, weight = grid.places(y)
-                one, x0, x1 = ((p[node] * weight).sum(1) for p in potentials)
-                # Forces are the same wherever the centre lies.
-                y -= centre
-                push = (y * one[:, None] - np.stack([x0, x1], 1)) / total
+                push = np.stack([(p[node] * weight).sum(1) for p in pushes], 1) / total
                 moved = _moved(np.concatenate([y, rest], 1), 4 * (boost * pull - push), momentum, max(rows / 48, 5.0)).astype(np.float32)
                 put(f"{then}/rest-{block}", moved[:, 2:].tobytes())
                 put(f"{then}/y-{block}", moved[:, :2].tobytes())
@@ -410,7 +472,8 @@ def umap(points: DataFrame, key: str = "frame", column: str = "features", neighb
 
         def advance(batches: Iterator[pa.RecordBatch], now: str = now, then: str = then, epoch: int = epoch, last: int = last) -> Iterator[pa.RecordBatch]:
             every = _every(now, rows)
-            for block, first, n, i, j, w in _read(batches):
+            for block, first, n, ends, j, w in _read(batches):
+                i = np.repeat(np.arange(n), np.diff(ends))
                 for e in range(epoch, last):
                     own = _epoch(every[first : first + n], np.arange(first, first + n), every, i, j, w, e, seed, a, b, 1 - e / epochs, first, 2.0).astype(np.float32)
                     every = own if single else every

@@ -4,21 +4,20 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaitlake.functions.shared import replaced, written
-from gaitlake.operators import kernels
+from gaitlake.functions.shared import folder, got, put, replaced, written
 
 #: Rows of the base that meet a batch of queries at a time.
 BASE_ROWS = 1024
 #: Queries that meet a block at a time, and rows of a block that are measured for them at a time.
 QUERY_ROWS, HIT_ROWS = 512, 1 << 16
-#: A base of at most this many bytes goes to every executor; a larger one is cut into groups of half of it.
+#: A base of at most this many bytes goes to every executor; a larger one lies in files of half of it.
 BROADCAST_BYTES = 64 << 20
 
 
@@ -27,9 +26,13 @@ def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(-1, width)
 
 
-def _sorted(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _parts(rows: pa.Table | pa.RecordBatch) -> np.ndarray | None:
+    return rows.column("part").to_numpy() if "part" in rows.schema.names else None
+
+
+def _sorted(keys: np.ndarray, x: np.ndarray, parts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     order = np.argsort(keys, kind="stable")
-    return keys[order], x[order]
+    return keys[order], x[order], None if parts is None else parts[order]
 
 
 def _single(x: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,15 +50,16 @@ def _true(flags: np.ndarray) -> np.ndarray:
     return (eight[:, None] * 8 + np.arange(8))[flags.reshape(-1, 8)[eight]]
 
 
-def _best(src: np.ndarray, q: np.ndarray, bound: np.ndarray, keys: np.ndarray, x: np.ndarray, k: int, skip_self: bool) -> pa.RecordBatch:
-    """(src, dst, d2, rank) of each query's k nearest of the sorted base rows, ties by key, none beyond its ``bound``.
+def nearest(src: np.ndarray, q: np.ndarray, bound: np.ndarray, keys: np.ndarray, x: np.ndarray, k: int, skip_self: bool, best: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, squared distances) of each query's k nearest of the sorted base rows and of the ``best`` among rows of smaller keys, ties by key, none beyond its ``bound``; distances are infinite where there are fewer.
 
     Blocks of the base are met in order; of each, only rows that a product of
     32-bit numbers, with what it may be off by, puts within the k best so far
     are measured exactly. Vectors whose squares those numbers do not hold are
-    all measured.
+    all measured. What is found is ranked when there are some k / 2 rows a
+    query of it.
     """
-    dst, far = np.full((len(src), k), np.iinfo(np.int64).max), np.full((len(src), k), np.inf)
+    dst, far = best or _none(len(src), k)
     with np.errstate(over="ignore", invalid="ignore"):
         centre = x.mean(0) if len(x) else np.zeros(x.shape[1])
         base, square = _single(x, centre)
@@ -68,7 +72,8 @@ def _best(src: np.ndarray, q: np.ndarray, bound: np.ndarray, keys: np.ndarray, x
         shift = 1e-12 * (np.einsum("nd,nd->n", q, q) + np.einsum("nd,nd->n", x, x).max(initial=0)) + 1e-30
     for low in range(0, len(src), QUERY_ROWS):
         own = slice(low, low + QUERY_ROWS)
-        one, queries, near, d2, most = src[own], q[own], dst[own], far[own], bound[own].copy()
+        one, queries, near, d2, most = src[own], q[own], dst[own], far[own], np.minimum(bound[own], far[own, -1])
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for at in range(0, len(keys), BASE_ROWS):
             # Later rows have larger keys, so a query that has k copies of itself is done.
             open_ = d2[:, -1] > 0
@@ -96,22 +101,86 @@ def _best(src: np.ndarray, q: np.ndarray, bound: np.ndarray, keys: np.ndarray, x
             while first < len(one):
                 last = max(first + 1, int(np.searchsorted(ends, ends[first] + HIT_ROWS, "right")) - 1)
                 part = slice(ends[first], ends[last])
-                _kept(near, d2, i[part], ids[j[part]], ((queries[i[part]] - rows[j[part]]) ** 2).sum(1), most)
+                found.append((i[part], ids[j[part]], ((queries[i[part]] - rows[j[part]]) ** 2).sum(1)))
+                if 2 * sum(len(f[0]) for f in found) >= k * len(one):
+                    _kept(near, d2, found, most)
                 first = last
             most = np.minimum(most, d2[:, -1])
+        _kept(near, d2, found, most)
+    return dst, far
+
+
+def _none(queries: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.full((queries, k), np.iinfo(np.int64).max), np.full((queries, k), np.inf)
+
+
+def nearest_apart(src: np.ndarray, q: np.ndarray, bound: np.ndarray, part: np.ndarray, keys: np.ndarray, x: np.ndarray, parts: np.ndarray, k: int, skip_self: bool, best: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """As ``nearest``, with rows of the query's own part (if that is not -1) left out."""
+    dst, far = best or _none(len(src), k)
+    for p in np.unique(part):
+        asked, others = np.flatnonzero(part == p), slice(None) if p == -1 else parts != p
+        dst[asked], far[asked] = nearest(src[asked], q[asked], bound[asked], keys[others], x[others], k, skip_self, (dst[asked], far[asked]))
+    return dst, far
+
+
+def _found(batch: pa.RecordBatch, width: int, blocks: Iterable[tuple], k: int, skip_self: bool) -> pa.RecordBatch:
+    """(src, dst, d2, rank) of a batch of queries, which meet one block of the base after another."""
+    src, q, bound, part = batch.column("src").to_numpy(), _matrix(batch.column("q"), width), batch.column("bound").to_numpy(), _parts(batch)
+    dst, far = _none(len(src), k)
+    for keys, x, parts in blocks:
+        dst, far = nearest(src, q, bound, keys, x, k, skip_self, (dst, far)) if part is None else nearest_apart(src, q, bound, part, keys, x, parts, k, skip_self, (dst, far))
     real = np.isfinite(far)
     rank = np.broadcast_to(np.arange(1, k + 1), far.shape)
     return pa.record_batch({"src": np.repeat(src, real.sum(1)), "dst": dst[real], "d2": far[real], "rank": rank[real]})
 
 
-def _kept(near: np.ndarray, d2: np.ndarray, i: np.ndarray, ids: np.ndarray, d: np.ndarray, most: np.ndarray) -> None:
-    """Puts rows found for queries ``i`` (sorted) among the k nearest so far, in place."""
+def _stored(rows: DataFrame, width: int, size: int, groups: int) -> list[str]:
+    """Files of at most ``size`` rows (key, x, part) each, in order of the keys, in the shared folder."""
+    path = folder(rows.sparkSession)
+
+    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count, number = [], 0, 0
+
+        def file() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            name = f"{table['group'][0].as_py():06d}-{number:06d}"
+            put(f"{path}/{name}", b"".join(np.ascontiguousarray(v).tobytes() for v in (table["key"].to_numpy(), _matrix(table["x"], width), _parts(table)) if v is not None))
+            return pa.record_batch({"name": [name]})
+
+        for batch in batches:
+            while batch.num_rows:
+                held.append(batch.slice(0, size - count))
+                batch = batch.slice(size - count)
+                count += held[-1].num_rows
+                if count == size:
+                    yield file()
+                    held, count, number = [], 0, number + 1
+        if count:
+            yield file()
+
+    dealt = rows.repartitionByRange(groups, "key").sortWithinPartitions("key").withColumn("group", F.spark_partition_id())
+    return sorted(f"{path}/{r[0]}" for r in dealt.mapInArrow(stored, "name string").collect())  # a line for each file
+
+
+def _read(path: str, width: int, apart: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """(keys, vectors, parts) of a file of ``_stored``."""
+    data = got(path)
+    n = len(data) // (8 + 8 * width + 4 * apart)
+    return np.frombuffer(data, np.int64, n), np.frombuffer(data, float, n * width, 8 * n).reshape(n, width), np.frombuffer(data, np.int32, n, 8 * n * (1 + width)) if apart else None
+
+
+def _kept(near: np.ndarray, d2: np.ndarray, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], most: np.ndarray) -> None:
+    """Puts rows found (query, key, distance) among the k nearest so far, in place, and empties the list."""
+    if not found:
+        return
+    i, ids, d = (np.concatenate(c) for c in zip(*found, strict=True))
+    found.clear()
     within = d <= most[i]
     i, ids, d = i[within], ids[within], d[within]
     if not len(i):
         return
     k = near.shape[1]
-    who = np.unique(i)
+    who = np.flatnonzero(np.bincount(i, minlength=len(near)))
     i, ids, d = (np.concatenate(c) for c in ((i, np.repeat(who, k)), (ids, near[who].ravel()), (d, d2[who].ravel())))
     order = np.lexsort((ids, d, i))
     i, ids, d = i[order], ids[order], d[order]
@@ -119,45 +188,37 @@ def _kept(near: np.ndarray, d2: np.ndarray, i: np.ndarray, ids: np.ndarray, d: n
     near[who], d2[who] = ids[at], d[at]
 
 
-def knn(queries: DataFrame, base: DataFrame, k: int = 5, key: str = "frame", column: str = "features", skip_self: bool = True, bound: str | None = None) -> DataFrame:
+def knn(queries: DataFrame, base: DataFrame, k: int = 5, key: str = "frame", column: str = "features", skip_self: bool = True, bound: str | None = None, part: str | None = None) -> DataFrame:
     """(src, dst, rank, d2): the k rows of ``base`` nearest to each query in squared Euclidean distance, ties by key.
 
     ``skip_self`` leaves out the row with the query's own key, wherever it
     ranks; ``bound`` names a column of distances beyond which a query seeks
-    nothing. Rows travel singly, so that a Python worker holds a batch of
-    queries and the base, or the queries and rows of one cell of a larger one:
-    groups of queries and of base rows meet in pairs, a task each.
+    nothing, ``part`` one of numbers from 0: a query seeks among rows of other
+    parts alone. Rows travel singly, once, so that a Python worker holds a
+    batch of queries and the base, or one file of a larger one, which every
+    batch reads in turn.
     """
     n, width = base.select(F.count("*"), F.max(F.size(column))).first()
-    rows = base.select(F.col(key).cast("long").alias("key"), F.col(column).cast("array<double>").alias("x"))
+    width = width or 0
+    own = [F.col(part).cast("int").alias("part")] if part else []
+    rows = base.select(F.col(key).cast("long").alias("key"), F.col(column).cast("array<double>").alias("x"), *own)
     within = F.coalesce(F.col(bound).cast("double"), F.lit(float("inf"))) if bound else F.lit(float("inf"))
-    left = queries.select(F.col(key).cast("long").alias("src"), F.col(column).cast("array<double>").alias("q"), within.alias("bound"))
-    kinds = "src long, dst long, d2 double, rank long"
+    left = queries.select(F.col(key).cast("long").alias("src"), F.col(column).cast("array<double>").alias("q"), within.alias("bound"), *own)
     tasks = 4 * base.sparkSession.sparkContext.defaultParallelism
-    if n * (width or 0) * 8 <= BROADCAST_BYTES:
+    if n * width * 8 <= BROADCAST_BYTES:
         held = rows.toArrow()
-        shared = base.sparkSession.sparkContext.broadcast(_sorted(held["key"].to_numpy(), _matrix(held["x"], width)) if n else None)
-
-        def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches if shared.value else ():
-                yield _best(batch.column("src").to_numpy(), _matrix(batch.column("q"), width), batch.column("bound").to_numpy(), *shared.value, k, skip_self)
-
-        return left.repartition(tasks, "src").mapInArrow(against, kinds).select("src", "dst", "rank", "d2")
-
-    size = max(BROADCAST_BYTES // (16 * width), 1)
-    groups, stripes = -(-n // size), -(-queries.count() // size)
-    part = lambda name, of: F.pmod(F.xxhash64(name), F.lit(of)).cast("int")
-    every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
-    a = left.select("*", part("src", stripes).alias("s"), every(groups).alias("g"))
-    b = rows.select("*", part("key", groups).alias("g"), every(stripes).alias("s"))
+        shared = base.sparkSession.sparkContext.broadcast(_sorted(held["key"].to_numpy(), _matrix(held["x"], width), _parts(held)) if n else None)
+        blocks = lambda: [shared.value] if shared.value else []
+    else:
+        size = max(BROADCAST_BYTES // (16 * width), 1)
+        files = _stored(rows, width, size, -(-n // size))
+        blocks = lambda: (_read(file, width, bool(part)) for file in files)
 
-    def cell(a: pa.Table, b: pa.Table) -> pa.Table:
-        found = _best(a["src"].to_numpy(), _matrix(a["q"], width), a["bound"].to_numpy(), *_sorted(b["key"].to_numpy(), _matrix(b["x"], width)), k, skip_self)
-        return pa.Table.from_batches([found])
+    def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _found(batch, width, blocks(), k, skip_self)
 
-    found = a.groupBy("s", "g").cogroup(b.groupBy("s", "g")).applyInArrow(cell, kinds)
-    rank = F.expr("row_number() over (partition by src order by d2, dst)").cast("long")
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("src", "dst", "rank", "d2")
+    return left.repartition(tasks, "src").mapInArrow(against, "src long, dst long, d2 double, rank long").select("src", "dst", "rank", "d2")
 
 
 def knn_graph(points: DataFrame, k: int = 5, weighted: bool = True, key: str = "frame", column: str = "features") -> DataFrame:
