@@ -78,3 +78,15 @@ def test_edges_given_twice_are_added(spark):
     (batch,) = layout.graph_blocks(edges, 5).toArrow().to_batches()
     ((_, first, n, ends, j, w),) = layout._read(iter([batch]))
     assert (first, n, ends.tolist(), j.tolist(), w.tolist()) == (0, 5, [0, 2, 2, 2, 3, 3], [1, 4, 0], [0.75, 2.0, 1.0])
+
+
+def test_folds_need_no_trees(spark, monkeypatch):
+    monkeypatch.setattr(forest, "COMPARED_ROWS", 100)
+    monkeypatch.setattr(forest.Forest, "lists", lambda *a, **k: pytest.fail("trees"))
+    x = np.random.default_rng(3).normal(size=(200, 4))
+    part = np.arange(200) % 5
+    d = squares(x)
+    d[part[:, None] == part] = np.inf
+    want = {(i, r + 1): int(j) for i in range(200) for r, j in enumerate(np.argsort(d[i])[:3])}
+    rows = rows_of(spark, x).withColumn("fold", F.col("frame") % 5)
+    assert {(r["src"], r["rank"]): r["dst"] for r in forest.near_parts(rows, "fold", 3).collect()} == want
