@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,6 +20,8 @@ from gaitlake.operators.neighbors import knn_regress
 
 #: Up to this many rows, t-SNE works on all pairs of them, in one process; beyond, through an index and a grid.
 EXACT_ROWS = 2000
+#: Large batches that are embedded at a time: tasks of one use the cores that few tasks of the other leave.
+LARGE_BATCHES = 2
 
 
 def sample_per_cluster(points: DataFrame, cluster: str | Sequence[str] = "cluster", n: int = 20, seed: int = 0, key: str = "frame") -> DataFrame:
@@ -100,7 +103,7 @@ class Embedding:
 
 
 def batch_clusters(points: DataFrame, batch: str, sigma: float = 15.0, bins: int = 1000, perplexity: float = 30.0, rounds: int = 500, seed: int = 0, key: str = "frame", column: str = "features", most: int = EXACT_ROWS) -> DataFrame:
-    """(batch, key, cluster): every row's basin in the embedding of its own batch. Batches of at most ``most`` rows are a task each; larger ones are embedded one after another, each by all tasks. A null batch is one of its own."""
+    """(batch, key, cluster): every row's basin in the embedding of its own batch. Batches of at most ``most`` rows are a task each; larger ones are embedded LARGE_BATCHES at a time, each by all tasks. A null batch is one of its own."""
     rows = points.select(batch, F.col(key).cast("long").alias("_key"), F.col(column).cast("array<double>").alias("_x"))
     sizes = rows.groupBy(F.col(batch).alias("_b")).agg(F.count("*").alias("_n"))
     rows = written(rows.join(sizes, F.col(batch).eqNullSafe(F.col("_b"))).drop("_b"))
@@ -112,11 +115,17 @@ def batch_clusters(points: DataFrame, batch: str, sigma: float = 15.0, bins: int
 
     kind = points.schema[batch].dataType.simpleString()
     out = rows.where(F.col("_n") <= most).select(batch, "_key", "_x").groupBy(batch).applyInPandas(own, f"`{batch}` {kind}, `{key}` long, cluster long")
-    for (one,) in rows.where(F.col("_n") > most).select(batch).distinct().orderBy(batch).collect():  # a line each
+
+    def large(one: object) -> DataFrame:
         mine = rows.where(F.col(batch).eqNullSafe(F.lit(one))).select(F.col("_key").alias("frame"), F.col("_x").alias("features"))
         plane = Embedding("tsne", perplexity, rounds=rounds, seed=seed).fit(mine).plane()
         found = Watershed(sigma=sigma, bins=bins).fit_predict(plane)
-        out = out.unionByName(found.select(F.lit(one).cast(kind).alias(batch), F.col("frame").alias(key), F.col("cluster").cast("long").alias("cluster")))
+        return found.select(F.lit(one).cast(kind).alias(batch), F.col("frame").alias(key), F.col("cluster").cast("long").alias("cluster"))
+
+    many = [r[0] for r in rows.where(F.col("_n") > most).select(batch).distinct().orderBy(batch).collect()]  # a line each
+    with ThreadPoolExecutor(LARGE_BATCHES) as pool:
+        for found in pool.map(large, many):
+            out = out.unionByName(found)
     return out
 
 

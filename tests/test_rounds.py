@@ -1,10 +1,12 @@
 """Neighbours and rounds of layouts at size, on small tables."""
 
+import threading
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gaitlake.operators import forest, layout, neighbors
+from gaitlake.operators import embed, forest, layout, neighbors
 
 
 def rows_of(spark, x):
@@ -90,3 +92,12 @@ def test_folds_need_no_trees(spark, monkeypatch):
     want = {(i, r + 1): int(j) for i in range(200) for r, j in enumerate(np.argsort(d[i])[:3])}
     rows = rows_of(spark, x).withColumn("fold", F.col("frame") % 5)
     assert {(r["src"], r["rank"]): r["dst"] for r in forest.near_parts(rows, "fold", 3).collect()} == want
+
+
+def test_large_batches_are_embedded_at_the_same_time(spark, monkeypatch):
+    """Few tasks lay the grid of one batch, so the other takes the cores they leave."""
+    both, fit = threading.Barrier(2), embed.Embedding.fit
+    monkeypatch.setattr(embed.Embedding, "fit", lambda self, *a: (both.wait(20), fit(self, *a))[1])
+    rows = rows_of(spark, np.random.default_rng(4).normal(size=(120, 3))).withColumn("batch", F.col("frame") % 2)
+    got = embed.batch_clusters(rows, "batch", sigma=1.0, bins=20, perplexity=5, rounds=10, most=50)
+    assert got.select("batch", "frame").distinct().count() == 120
