@@ -1,5 +1,6 @@
 """Neighbours and rounds of layouts at size, on small tables."""
 
+import functools
 import threading
 
 import numpy as np
@@ -101,3 +102,13 @@ def test_large_batches_are_embedded_at_the_same_time(spark, monkeypatch):
     rows = rows_of(spark, np.random.default_rng(4).normal(size=(120, 3))).withColumn("batch", F.col("frame") % 2)
     got = embed.batch_clusters(rows, "batch", sigma=1.0, bins=20, perplexity=5, rounds=10, most=50)
     assert got.select("batch", "frame").distinct().count() == 120
+
+
+def test_rows_that_trees_do_not_serve_meet_all_others(spark, monkeypatch):
+    """Vectors without structure: no number of trees reaches the recall, which was an error."""
+    x = np.random.default_rng(5).normal(size=(1500, 40))
+    rows, d = rows_of(spark, x), squares(x)
+    monkeypatch.setattr(forest, "MET_ROWS", 100)
+    monkeypatch.setattr(forest, "Forest", functools.partial(forest.Forest, chunk=64, most=8))
+    got = {r["src"]: [p["dst"] for p in r["near"]] for r in forest.near_lists(rows, 1500, k=4, target=0.999).collect()}
+    assert got == {i: np.argsort(d[i])[:4].tolist() for i in range(1500)}
